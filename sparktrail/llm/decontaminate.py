@@ -4,12 +4,11 @@ Every document is a list of words; its postings are (term, document, position).
 How often each benchmark term occurs is counted over all documents first. Then
 every window of `width` benchmark words is looked up from its rarest term: the
 postings of that term, moved back by the term's offset, say where the window
-could start, and are intersected with the postings of the terms beside it, that
-is, with the words at the positions next to it in the same document. Windows that
-share their rarest term at one place of an item are looked up together: the run
-of equal words around that place is measured, and a run of at least `width`
-words is an exact phrase. Postings of terms that are rarest in no window are never
-joined.
+could start, and are intersected with the postings of its other terms, that is,
+with what stands at the positions from there on in the same document. What is
+left is an exact phrase. Postings of terms that are rarest in no window are
+never joined. (`explode_outer` is used, as Spark would infer a filter from
+`explode` that splits every text a second time.)
 
 The index is divided by document, as the terms of a benchmark are few: they are
 sent to all tasks while their measured size is below `broadcast_bytes`; beyond
@@ -48,12 +47,12 @@ def _keys() -> list[Column]:
 def postings(docs: DataFrame) -> DataFrame:
     """(dk, th, words, pos, term): a row for each word of each document, with the list that it stands in."""
     lists = docs.select(*_keys(), words(F.col("text")).alias("words"))
-    return lists.select("dk", "th", "words", F.posexplode("words").alias("pos", "term"))
+    return lists.select("dk", "th", "words", F.posexplode_outer("words").alias("pos", "term"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """How often each of `terms` (term) occurs in all documents."""
-    every = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    every = docs.select(F.explode_outer(words(F.col("text"))).alias("term"))
     return every.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -63,52 +62,50 @@ def items(benchmark: DataFrame) -> DataFrame:
     return rows.where(F.size("item") > 0).distinct()
 
 
-def anchors(listed: DataFrame, counts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, item, term, at): the places of the items that are rarest in some window, of terms that occur."""
-    places = listed.select("item_id", "item", F.posexplode("item").alias("at", "term"))
-    counted = places.join(counts, "term", "left").groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
-    by_count = F.transform("c", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at")))
+def rarest_first(listed: DataFrame, counts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(item_id, window, term, at): each window of each item with its rarest term and that term's place; windows with a term that occurs nowhere are left out."""
+    places = listed.select("item_id", "item", F.posexplode("item").alias("at", "word"))
+    counted = places.join(counts.withColumnRenamed("term", "word"), "word", "left").groupBy("item_id", "item")
+    by_place = counted.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("item") - width, F.lit(0)) + 1)
-    rarest = F.array_distinct(F.transform(starts, lambda s: F.array_min(F.slice(by_count, s, F.lit(width)))))
-    found = counted.select("item_id", "item", F.explode(rarest).alias("r")).where("r.n > 0")
-    return found.select("item_id", "item", F.col("r.at").alias("at"), F.get("item", F.col("r.at")).alias("term"))
+    found = by_place.select("item_id", "item", F.transform("c", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"))).alias("c"), F.explode(starts).alias("s"))
+    rarest = F.array_min(F.slice("c", F.col("s"), F.lit(width)))
+    found = found.select("item_id", F.slice("item", F.col("s"), F.lit(width)).alias("window"), rarest.alias("r"), "s").where("r.n > 0")
+    return found.select("item_id", "window", (F.col("r.at") + 1 - F.col("s")).alias("at")).withColumn("term", F.get("window", F.col("at"))).distinct()
 
 
-def _equal_run(doc: Column, item: Column, n: Column) -> Column:
-    """How many of the first n entries of two lists are equal, from the first on."""
-    differ = F.array_position(F.zip_with(doc, item, lambda x, y: x == y), F.lit(False))
-    return F.when(differ == 0, n).otherwise(differ.cast("int") - 1)
+def _bytes(of: Column) -> Column:
+    return F.coalesce(F.sum(F.aggregate(of, F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 16)), F.lit(0))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(dk, th, item_id, lo, hi): words lo to hi - 1 of a document stand in occurrences of the item's windows."""
+    """(dk, th, item_id, lo, hi): words lo to hi - 1 of a document are a window of the item."""
     listed = checkpoint(items(benchmark))
-    size = listed.agg(F.sum(F.aggregate("item", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0
+    small = listed.agg(_bytes(F.col("item"))).first()[0] <= broadcast_bytes
     terms = listed.select(F.explode("item").alias("term")).distinct()
-    counts = checkpoint(term_counts(docs, terms, size <= broadcast_bytes))
-    rare = checkpoint(anchors(listed, counts, width))
-    # an anchor carries its item's words
-    carried = rare.agg(F.sum(F.aggregate("item", F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0
-    reach = width - 1
-    back = F.least(F.lit(reach), F.col("pos"))
+    counts = checkpoint(term_counts(docs, terms, small))
+    windows = checkpoint(rarest_first(listed, counts, width))
+    small = windows.agg(_bytes(F.col("window"))).first()[0] <= broadcast_bytes
     found = postings(docs)
-    if carried <= broadcast_bytes:
-        around = found.join(F.broadcast(rare), "term").withColumn("before", F.reverse(F.slice("words", F.col("pos") + 1 - back, back))).withColumn("after", F.slice("words", F.col("pos") + 2, F.lit(reach)))
+    if small:
+        # The list of words is only looked into here, in generated code: no posting takes a copy of it along.
+        list_, first = F.col("words"), F.col("pos") - F.col("at")
     else:
-        near = found.withColumn("before", F.reverse(F.slice("words", F.col("pos") + 1 - back, back))).withColumn("after", F.slice("words", F.col("pos") + 2, F.lit(reach))).drop("words")
-        around = near.join(rare, "term")
-    left, right = F.least(F.size("before"), F.col("at"), F.lit(reach)), F.least(F.size("after"), F.size("item") - 1 - F.col("at"), F.lit(reach))
-    item_before, item_after = F.reverse(F.slice("item", F.col("at") + 1 - left, left)), F.slice("item", F.col("at") + 2, right)
-    runs = around.withColumn("a", _equal_run(F.slice("before", F.lit(1), left), item_before, left)).withColumn("b", _equal_run(F.slice("after", F.lit(1), right), item_after, right))
-    matched = runs.where(F.col("a") + F.col("b") + 1 >= F.least(F.lit(width), F.size("item")))
-    return matched.select("dk", "th", "item_id", (F.col("pos") - F.col("a")).alias("lo"), (F.col("pos") + F.col("b") + 1).alias("hi"))
+        back = F.least(F.lit(width - 1), F.col("pos"))
+        found = found.select("dk", "th", "pos", "term", back.alias("back"), F.slice("words", F.col("pos") + 1 - back, back + width).alias("near"))
+        list_, first = F.col("near"), F.col("back") - F.col("at")
+    same = F.when(first >= 0, F.slice(list_, F.greatest(first, F.lit(0)) + 1, F.size("window")) == F.col("window")).otherwise(False)
+    windows = windows.withColumnRenamed("term", "rare")
+    matched = found.join(F.broadcast(windows) if small else windows, (found["term"] == windows["rare"]) & same)
+    lo = F.col("pos") - F.col("at")
+    return matched.select("dk", "th", "item_id", lo.alias("lo"), (lo + F.size("window")).alias("hi"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, rarest: int = 4, slop: int = 16, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(dk, th, item_id, pos): the rarest term of an item stands at pos, and its `rarest` rarest terms all within slop words of it."""
     listed = checkpoint(items(benchmark))
     terms = listed.select("item_id", "item", F.explode(F.array_distinct("item")).alias("term"))
-    size = listed.agg(F.sum(F.aggregate("item", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0
+    size = listed.agg(_bytes(F.col("item"))).first()[0]
     counts = checkpoint(term_counts(docs, terms.select("term").distinct(), size <= broadcast_bytes))
     ranked = terms.join(counts, "term").groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("r"))
     wanted = ranked.where(F.size("r") >= rarest).select("item_id", F.get("r", F.lit(0))["term"].alias("term"), F.transform(F.slice("r", 1, rarest), lambda x: x["term"]).alias("all"))

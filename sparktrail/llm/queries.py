@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, centroid_langid, chat_format, decontaminate, line_dedup, pfair_mix, shard_bfd, simhash_tiles
+from . import bpe_count, centroid_langid, chat_format, decontaminate, image_match, license_scan, line_dedup, pfair_mix, shard_bfd, simhash_tiles
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_hashes(table(spark, sf_dir, "documents"), min_docs=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_pfair_mix, op5_simhash_dedup, op6_language_id, op7_decontaminate, op8_shard, op9_line_dedup)}
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures, so those of the embeddings are drawn."""
+    return image_match.image_copies(image_match.rendered(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_pfair_mix, op4_license_scan, op5_simhash_dedup, op6_language_id, op7_decontaminate, op8_shard, op9_line_dedup, op10_image_copies)}
 
 _TEMPLATE = "'<|im_start|>' || {role} || chr(10) || {text} || '<|im_end|>' || chr(10)"
 #: Escapes as the operator does: RE2 lets the backslashes between be kept by a group.
