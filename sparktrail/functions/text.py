@@ -12,7 +12,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 ANSI = r"\x1b\[[0-9;]*m|\\u001b\[[0-9;]*m"
 
@@ -180,7 +180,7 @@ def head_tail(text: Column, n: int, mark: str = " ... ") -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(half)), F.lit(mark), F.right(text, F.lit(half)))).otherwise(text)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def named_keys(text: pd.Series) -> pd.Series:
     """Keys that a lookup error names: one quoted key, or those of a listing."""
 
@@ -203,7 +203,7 @@ def named_keys(text: pd.Series) -> pd.Series:
 def nearest(known: list[str], n: int = 1, cutoff: float = 0.8):
     """A column function: the known names nearest to a key (matching blocks, not edit distance)."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def near(key: pd.Series) -> pd.Series:
         met = {k: difflib.get_close_matches(k, known, n=n, cutoff=cutoff) for k in key.dropna().unique()}
         return key.map(lambda k: met.get(k, []))
@@ -211,7 +211,7 @@ def nearest(known: list[str], n: int = 1, cutoff: float = 0.8):
     return near
 
 
-@F.pandas_udf("array<struct<code:string,after:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("code", T.StringType()), T.StructField("after", T.StringType())])))
 def fenced_blocks(text: pd.Series) -> pd.Series:
     """Fenced program blocks with the text between each and the next."""
     fence = re.compile(r"```(?:py|python)?\n(.*?)```", re.S)
@@ -224,7 +224,7 @@ def fenced_blocks(text: pd.Series) -> pd.Series:
     return text.map(blocks)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_leaves(text: pd.Series) -> pd.Series:
     """All text leaves of a JSON value, in order; the text itself if it is no JSON."""
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 import posixpath
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def normal(path: str | None) -> str | None:
     return None if path is None else posixpath.normpath(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_path(path: pd.Series) -> pd.Series:
     return path.map(normal)
 

@@ -6,16 +6,25 @@ and one sort for any number of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-TRACE = W.partitionBy("trace").orderBy("idx")
-LATER = TRACE.rowsBetween(1, W.unboundedFollowing)
-EARLIER = TRACE.rowsBetween(W.unboundedPreceding, -1)
 #: Error types that name data which is not there, and those of the executor.
 DATA_REFERENCE = ("KeyError", "KeyError(wrapped)", "index-error(wrapped)", "FileNotFoundError", "ValueError:usecols")
 EXECUTOR = ("executor:forbidden", "executor:budget", "ModuleNotFoundError")
 
 
+def _trace() -> WindowSpec:
+    return W.partitionBy("trace").orderBy("idx")
+
+
+def _later() -> WindowSpec:
+    return _trace().rowsBetween(1, W.unboundedFollowing)
+
+
+def _earlier() -> WindowSpec:
+    return _trace().rowsBetween(W.unboundedPreceding, -1)
+
+
 def error_group(error_type: Column | str = "error_type") -> Column:
     c = F.col(error_type) if isinstance(error_type, str) else error_type
     return F.when(c.isin(*DATA_REFERENCE), "data-reference").when(c.isin(*EXECUTOR), "executor").when(c.isNotNull(), "other")
@@ -23,11 +32,11 @@ def error_group(error_type: Column | str = "error_type") -> Column:
 
 def with_recovery(cells: DataFrame) -> DataFrame:
     """next_ok (false on the last cell), retry_chain (failures before the next success; null: never) and same_key (null: no next cell)."""
-    ok_at = F.min(F.when(~F.col("failed"), F.col("idx"))).over(LATER)
-    next_idx = F.lead("idx").over(TRACE)
-    same = F.lead("error_key").over(TRACE) == F.col("error_key")
+    ok_at = F.min(F.when(~F.col("failed"), F.col("idx"))).over(_later())
+    next_idx = F.lead("idx").over(_trace())
+    same = F.lead("error_key").over(_trace()) == F.col("error_key")
     return (
-        cells.withColumn("next_ok", F.coalesce(~F.lead("failed").over(TRACE), F.lit(False)))
+        cells.withColumn("next_ok", F.coalesce(~F.lead("failed").over(_trace()), F.lit(False)))
         .withColumn("retry_chain", ok_at - F.col("idx") - 1)
         .withColumn("same_key", F.when(next_idx.isNotNull() & F.col("error_key").isNotNull(), F.coalesce(same, F.lit(False))))
     )
@@ -43,9 +52,9 @@ def episodes(cells: DataFrame) -> DataFrame:
     ok_cell = F.when(~F.col("failed"), F.struct("idx", "inspect"))
     fix_cell = F.when(~F.col("failed") & ~F.col("inspect"), F.struct("idx", "value"))
     seen = (
-        cells.withColumn("before", F.lag("failed").over(TRACE))
-        .withColumn("ok", F.min(ok_cell).over(LATER))
-        .withColumn("fix", F.min(fix_cell).over(LATER))
+        cells.withColumn("before", F.lag("failed").over(_trace()))
+        .withColumn("ok", F.min(ok_cell).over(_later()))
+        .withColumn("fix", F.min(fix_cell).over(_later()))
         # the next failure of the same key
         .withColumn("key_again", F.min(F.when(F.col("failed"), F.col("idx"))).over(W.partitionBy("trace", "error_key").orderBy("idx").rowsBetween(1, W.unboundedFollowing)))
     )
@@ -82,7 +91,7 @@ def stateless(cells: DataFrame, name: str = "name", min_cells: int = 20, limit:
 
 def previous_cells(cells: DataFrame, n: int, what: str) -> DataFrame:
     """The `what` of up to n cells before, oldest first."""
-    return cells.withColumn("context", F.collect_list(what).over(TRACE.rowsBetween(-n, -1)))
+    return cells.withColumn("context", F.collect_list(what).over(_trace().rowsBetween(-n, -1)))
 
 
 def cut_at_first(cells: DataFrame, event: Column, most: int | None = None) -> DataFrame:
@@ -94,7 +103,7 @@ def cut_at_first(cells: DataFrame, event: Column, most: int | None = None) -> Da
 
 def first_event(cells: DataFrame, event: Column) -> DataFrame:
     """Per trace: the place of its first event (null: none), and whether the cell after it is ok."""
-    marked = cells.withColumn("after_ok", ~F.lead("failed").over(TRACE)).withColumn("_e", event)
+    marked = cells.withColumn("after_ok", ~F.lead("failed").over(_trace())).withColumn("_e", event)
     hit = F.min(F.when(F.col("_e"), F.struct("idx", "after_ok")))
     return marked.groupBy("trace").agg(hit.alias("e")).select("trace", F.col("e.idx").alias("first_idx"), F.col("e.after_ok").alias("after_ok"))
 
@@ -102,7 +111,7 @@ def first_event(cells: DataFrame, event: Column) -> DataFrame:
 def written_earlier(cells: DataFrame, path: str, writes: Column, opaque: Column) -> DataFrame:
     """exists: true if an earlier cell wrote the path; unknown if not, but an earlier cell wrote what can't be told; else false."""
     wrote = F.min(F.when(writes, F.col("idx"))).over(W.partitionBy("trace", path)) < F.col("idx")
-    blurred = F.coalesce(F.bool_or(opaque).over(EARLIER), F.lit(False))
+    blurred = F.coalesce(F.bool_or(opaque).over(_earlier()), F.lit(False))
     return cells.withColumn("exists", F.when(F.coalesce(wrote, F.lit(False)), True).when(blurred, None).otherwise(False))
 
 
@@ -114,4 +123,4 @@ def last_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def running_count(cells: DataFrame, what: Column, out: str) -> DataFrame:
     """How many earlier cells of the trace it holds for."""
-    return cells.withColumn(out, F.coalesce(F.sum(what.cast("long")).over(EARLIER), F.lit(0)))
+    return cells.withColumn(out, F.coalesce(F.sum(what.cast("long")).over(_earlier()), F.lit(0)))

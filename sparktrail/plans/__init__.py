@@ -1,4 +1,4 @@
 """The registered queries: importing this fills registry.QUERIES and registry.ORACLE."""
 
-from . import recovery, studies  # noqa: F401
+from . import programs, recovery, studies  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
