@@ -258,3 +258,61 @@ def random_intercept(y: np.ndarray, group: np.ndarray) -> dict:
 def jeffreys_interval(k: int, n: int, draws: int = 400_000, seed: int = 1) -> tuple[float, float]:
     """Monte-Carlo interval of a proportion under Beta(k + 1/2, n - k + 1/2)."""
     return tuple(np.quantile(np.random.default_rng(seed).beta(k + 0.5, n - k + 0.5, draws), [0.025, 0.975]))
+
+
+def grouped_difference(units: pd.DataFrame, group: str, x: str, y: str, reps: int = 2000, seed: int = 20261012) -> dict:
+    """Macro mean over groups of x - y, units drawn inside each group and in pairs, with interval and signed-rank test."""
+    units = units.sort_values([group, x, y])
+    parts = [g[[x, y]].to_numpy(float) for _, g in units.groupby(group, sort=True)]
+    rng = np.random.default_rng(seed)
+    draws = np.mean([_means(p[:, 0] - p[:, 1], reps, rng) for p in parts], axis=0)
+    d = units[x].to_numpy(float) - units[y].to_numpy(float)
+    low, high = np.percentile(draws, [2.5, 97.5])
+    return {"estimate": float(np.mean([(p[:, 0] - p[:, 1]).mean() for p in parts])), "low": float(low), "high": float(high), "flat_mean": float(d.mean()), "n": len(d), "n_nonzero": int((d != 0).sum()), "wilcoxon_p": wilcoxon(d, np.zeros(len(d)))}
+
+
+def two_group_difference(a, b, reps: int = 2000, seed: int = 20261012) -> tuple[float, float, float]:
+    """mean(a) - mean(b) and its interval, the groups drawn apart."""
+    a, b = np.sort(np.asarray(a, float)), np.sort(np.asarray(b, float))
+    rng = np.random.default_rng(seed)
+    draws = _means(a, reps, rng) - _means(b, reps, rng)
+    return float(a.mean() - b.mean()), *map(float, np.percentile(draws, [2.5, 97.5]))
+
+
+def ratio_of_sums(num, den, reps: int = 2000, seed: int = 20261012) -> tuple[float, float, float]:
+    """sum(num) / sum(den) over drawn units; replicates without a denominator are left out."""
+    order = np.lexsort((den, num))
+    num, den = np.asarray(num, float)[order], np.asarray(den, float)[order]
+    at = np.random.default_rng(seed).integers(0, len(num), (reps, len(num)))
+    n, d = num[at].sum(1), den[at].sum(1)
+    return float(num.sum() / den.sum()), *map(float, np.percentile(n[d > 0] / d[d > 0], [2.5, 97.5]))
+
+
+def audit_estimates(labels: dict[str, list[int]], population: dict[str, int], total: int) -> dict:
+    """Precision, recall and corrected count of a rule from labels (1 right, 2 or 3 wrong, others left out) of the strata pos, and neg-*."""
+
+    def share(stratum: str) -> float:
+        counted = [x for x in labels.get(stratum, ()) if x in (1, 2, 3)]
+        return counted.count(1) / len(counted) if counted else 0.0
+
+    precision = share("pos")
+    hits = population["pos"] * precision
+    missed = sum(n * share(s) for s, n in population.items() if s != "pos")
+    return {"precision": precision, "tp": hits, "fn": missed, "recall": hits / (hits + missed) if hits + missed else None, "corrected": hits + missed, "corrected_share": (hits + missed) / total, "rule_share": population["pos"] / total}
+
+
+def audit_bootstrap(labels: dict[str, list[int]], population: dict[str, int], total: int, measure: str, reps: int = 2000, seed: int = 20261012) -> tuple[float, float]:
+    """Interval of one of the estimates when labels are drawn anew inside each stratum."""
+    rng = np.random.default_rng(seed)
+    held = {s: np.sort(np.asarray(v)) for s, v in sorted(labels.items())}
+    got = [audit_estimates({s: rng.choice(v, len(v)).tolist() for s, v in held.items() if len(v)}, population, total)[measure] for _ in range(reps)]
+    return tuple(float(x) for x in np.percentile([g for g in got if g is not None], [2.5, 97.5]))
+
+
+def rank_bootstrap(units: pd.DataFrame, group: str, value: str, reps: int = 1000, seed: int = 20261012) -> dict[str, tuple[float, float]]:
+    """Interval of each group's rank (1: highest mean) when its units are drawn anew."""
+    rng = np.random.default_rng(seed)
+    names = sorted(units[group].unique())
+    draws = np.stack([_means(np.sort(units.loc[units[group] == g, value].to_numpy(float)), reps, rng) for g in names], 1)
+    ranks = (-draws).argsort(1, kind="stable").argsort(1, kind="stable") + 1
+    return {g: tuple(float(x) for x in np.percentile(ranks[:, i], [2.5, 97.5])) for i, g in enumerate(names)}

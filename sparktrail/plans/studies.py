@@ -117,12 +117,12 @@ def join_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id").select("doc_id", "source", "quality", "toxic")
 
 
-_OLD = "old AS (SELECT l_orderkey AS k, l_linenumber AS n, min(CASE WHEN l_discount > 0.05 THEN 'block' WHEN l_tax > 0.04 THEN 'unknown' ELSE 'run' END) AS outcome FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1, 2)"
-_NEW = "new AS (SELECT l_orderkey AS k, l_linenumber AS n, min(CASE WHEN l_discount > 0.06 THEN 'block' WHEN l_tax > 0.05 THEN 'unknown' ELSE 'run' END) AS outcome FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1, 2)"
+_OLD = "old AS (SELECT l_orderkey AS k, l_linenumber AS n, min(CASE WHEN l_discount > 0.05 THEN 'block' WHEN l_tax > 0.04 THEN 'unknown' ELSE 'run' END) AS outcome FROM lineitem WHERE l_quantity > 3 GROUP BY 1, 2)"
+_NEW = "new AS (SELECT l_orderkey AS k, l_linenumber AS n, min(CASE WHEN l_discount > 0.06 THEN 'block' WHEN l_tax > 0.05 THEN 'unknown' ELSE 'run' END) AS outcome FROM lineitem WHERE l_quantity < 48 GROUP BY 1, 2)"
 
 
-def _release(spark: SparkSession, sf_dir: str, discount: float, tax: float, skip: int) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % skip != 0)
+def _release(spark: SparkSession, sf_dir: str, discount: float, tax: float, which: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where(which)
     outcome = F.when(F.col("l_discount") > discount, "block").when(F.col("l_tax") > tax, "unknown").otherwise("run")
     return rows.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min(outcome).alias("outcome"))
 
@@ -135,13 +135,13 @@ def _release(spark: SparkSession, sf_dir: str, discount: float, tax: float, skip
 )
 def join_compare_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions of outcomes between two versions of a rule, with the keys that one side lacks."""
-    both = joins.compare(_release(spark, sf_dir, 0.05, 0.04, 7), _release(spark, sf_dir, 0.06, 0.05, 5), ["k", "n"], "outcome")
+    both = joins.compare(_release(spark, sf_dir, 0.05, 0.04, "l_quantity > 3"), _release(spark, sf_dir, 0.06, 0.05, "l_quantity < 48"), ["k", "n"], "outcome")
     return both.groupBy(F.coalesce("old", F.lit("-")).alias("old"), F.coalesce("new", F.lit("-")).alias("new"), "side").agg(F.count("*").alias("cells"))
 
 
-@query("SELECT o.outcome AS old, w.outcome AS new, count(*) AS cells FROM old o JOIN new w ON o.k = w.k AND o.n = w.n GROUP BY 1, 2", _OLD, _NEW.replace("% 5 <> 0", "% 7 <> 0"))
+@query("SELECT o.outcome AS old, w.outcome AS new, count(*) AS cells FROM old o JOIN new w ON o.k = w.k AND o.n = w.n GROUP BY 1, 2", _OLD, _NEW.replace("l_quantity < 48", "l_quantity > 3"))
 def join_strict_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = joins.strict_compare(_release(spark, sf_dir, 0.05, 0.04, 7), _release(spark, sf_dir, 0.06, 0.05, 7), ["k", "n"], "outcome")
+    both = joins.strict_compare(_release(spark, sf_dir, 0.05, 0.04, "l_quantity > 3"), _release(spark, sf_dir, 0.06, 0.05, "l_quantity > 3"), ["k", "n"], "outcome")
     return both.groupBy("old", "new").agg(F.count("*").alias("cells"))
 
 
@@ -168,14 +168,14 @@ _PATH = r"regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/+
 
 
 @query(
-    f"""SELECT a.page_id AS page, b.page_id AS other FROM (SELECT page_id, {_PATH} AS p FROM pages) a JOIN (SELECT page_id, {_PATH} AS p FROM pages WHERE page_id % 10 = 0) b
+    f"""SELECT a.p AS page, b.p AS other FROM (SELECT DISTINCT {_PATH} AS p FROM pages) a JOIN (SELECT DISTINCT {_PATH} AS p FROM pages) b
     ON a.p <> '' AND b.p <> '' AND (a.p = b.p OR a.p LIKE '%/' || b.p OR b.p LIKE '%/' || a.p)"""
 )
 def join_path_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different paths that may name the same file."""
     path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1), r"/+$", "")
-    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("p")).where("p <> ''")
-    other = rows.where("page_id % 10 = 0").select(F.col("page_id").alias("other"), F.col("p").alias("q"))
-    return joins.suffix_pairs(rows.withColumnRenamed("page_id", "page"), other, "p", "q").select("page", "other")
+    rows = table(spark, sf_dir, "pages").select(path.alias("page")).where("page <> ''").distinct()
+    return joins.suffix_pairs(rows, rows.withColumnRenamed("page", "other"), "page", "other").select("page", "other")
 
 
 @query(
