@@ -1,7 +1,7 @@
 """Line dedup: hashes partitioned by range, sorted by document and position, read as a stream.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased.
-Keys are two 64-bit hashes. All lines are dealt by ranges of (hash, document,
+Keys are 128-bit hashes, held as two numbers. All lines are dealt by ranges of (hash, document,
 position) and sorted so within a partition, so that a line which stands in a
 third of all documents takes many partitions. One pass over a sorted partition
 decides each run of equal hashes that lies inside it; the first and the last run
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, checkpoint
+from .common import checkpoint
 
 BLANKS = " \t\n\x0b\x0c\r"
 OUT = "kind int, part int, h1 long, h2 long, dk long, th long, pos int, n_lines int"
@@ -55,12 +55,30 @@ def _doc_key(doc_id: str, text: str) -> Column:
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    own = docs.select(_doc_key(doc_id, text).alias("dk"), F.coalesce(text, F.lit("")).alias("t"))
-    lines = F.split("t", "\n", -1)
-    rows = own.select("dk", F.xxhash64("t").alias("th"), F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
-    key = ascii_lower(F.btrim("line", F.lit(BLANKS)))
-    rows = rows.withColumn("key", key).where(F.length("key") >= min_chars)
-    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "dk", "th", "pos", "n_lines")
+    """(h1, h2, dk, th, pos, n_lines) of each line whose key is long enough."""
+    import xxhash
+
+    own = docs.select(_doc_key(doc_id, text).alias("dk"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("t"))
+    blanks = BLANKS.encode()
+
+    def hashed(batches):
+        for batch in batches:
+            hashes, pos, n_lines = [], [], []
+            for t in batch.column(2).to_pylist():
+                # bytes.lower is A-Z only; a line end is a byte of its own in UTF-8
+                keys = [x.strip(blanks) for x in t.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+                n_lines.append(len(keys))
+                full = [i for i, k in enumerate(keys) if len(k) >= min_chars and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars)]
+                pos.append(full)
+                hashes += [xxhash.xxh3_128_digest(keys[i]) for i in full]
+            counts = np.array([len(p) for p in pos])
+            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            of = np.repeat(np.arange(len(counts)), counts)
+            dk, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cols = both[:, 0].copy(), both[:, 1].copy(), dk[of], th[of], np.fromiter((i for p in pos for i in p), np.int32, len(of)), np.array(n_lines, np.int32)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "dk", "th", "pos", "n_lines"])
+
+    return own.mapInArrow(hashed, "h1 long, h2 long, dk long, th long, pos int, n_lines int")
 
 
 class _Run:
