@@ -71,6 +71,8 @@ _TEMPLATE = "'<|im_start|>' || {role} || chr(10) || {text} || '<|im_end|>' || ch
 #: Escapes as the operator does: RE2 lets the backslashes between be kept by a group.
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
 
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLE = {
     "op1_chat_format": f"""
         WITH t AS (
@@ -83,6 +85,16 @@ ORACLE = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             sum(length({_TEMPLATE.format(role="role", text=_ESCAPED.format("text"))}))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op7_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[s + 1 : s + least(10, len(w))], ' ') AS t FROM (SELECT *, unnest(range(greatest(len(w) - 10, 0) + 1)) AS s FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+        h AS (SELECT doc_id, p, n, item FROM dw JOIN bw USING (n, t)),
+        hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS pos FROM h) GROUP BY 1),
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op9_line_dedup": """
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
