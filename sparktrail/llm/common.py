@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -19,10 +20,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is `spark.checkpoint.dir` of the session. Only where that is
     unset, as in tests on one machine, a temporary folder is taken.
     """
-    sc = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As checkpoint(), for tables that are large or read by column: compressed Parquet in the same shared folder.
+
+    The files stay until the folder is cleared, as the frames made from them are read later.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -46,7 +63,7 @@ def row_key(df: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(*rest), 2) + F.lit(1 << 61))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], out: str, bucket_rows: int = 50_000) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[str], out: str, bucket_rows: int = 1000) -> DataFrame:
     """Number the rows of each group from 0 without a gap, whatever the size of a group.
 
     A group is cut into buckets by a hash of `order`, each bucket is numbered by
@@ -55,7 +72,7 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, bucket_rows:
     numbers in any order.
     """
     key = F.xxhash64(*[F.col(c) for c in order])
-    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.greatest(F.lit(8), F.ceil(F.count("*") / bucket_rows)).cast("long").alias("_n"))
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / bucket_rows).cast("long").alias("_n"))
     cut = df.join(sizes, df[group].eqNullSafe(sizes["_g"])).drop("_g").withColumn("_b", F.pmod(key, F.col("_n"))).drop("_n")
     starts = cut.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_c")).agg(F.count("*").alias("_rows"))
     before = W.partitionBy("_g").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)

@@ -1,36 +1,39 @@
-"""Benchmark decontamination by a positional inverted index, in DataFrame functions only.
-
-Every document is a list of words; its postings are (term, document, position).
-How often each benchmark term occurs is counted over all documents first. Then
-every window of `width` benchmark words is looked up from its rarest term: the
-postings of that term, moved back by the term's offset, say where the window
-could start, and are intersected with the postings of its other terms, that is,
-with what stands at the positions from there on in the same document. What is
-left is an exact phrase. Postings of terms that are rarest in no window are
-never joined. (`explode_outer` is used, as Spark would infer a filter from
-`explode` that splits every text a second time.)
-
-The index is divided by document, as the terms of a benchmark are few: they are
-sent to all tasks while their measured size is below `broadcast_bytes`; beyond
-that, postings with the few words around them are joined by a shuffle on the term.
+"""Benchmark decontamination by a stored positional inverted index, in DataFrame functions only.
+
+Index. Every text is split into words once. The postings (document, position,
+term) of the terms that the benchmark has are stored, with one row at least for
+each document that holds its number of words. How often a term occurs in all
+documents is counted from the index.
+
+Search. The terms of a window of `width` benchmark words are ordered from the
+rarest. The postings of the rarest, moved back by the term's offset, are the
+places where the window may start. They are intersected with the moved
+postings of the next rarest, then with those of all others: a place that every
+list has is an exact phrase. A window with a term that occurs nowhere is left
+out at once, and only documents that a first list names are looked at again.
+
+Sizes. The benchmark's terms and windows, and the set of documents named by
+first lists, are sent to all tasks while their measured size is below
+`broadcast_bytes`; beyond that, the same joins are made by a shuffle. Postings
+are joined by document, position and term, so neither a long document nor a
+frequent passage meets in one task.
 
 Defined cases: null or empty text has no words; an item without words is ignored,
 one of fewer than `width` words is one window; items that occur in several rows
 count once by their id; a null item_id reads as an empty string; a repeated row
 comes back as often; rows that share a doc_id but not the text are kept apart;
-other columns are ignored. n_words of a text is counted whole.
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, checkpoint
+from .common import ascii_lower, checkpoint, stored
 
 WIDTH = 10
-#: All but letters, digits and what lies beyond ASCII; before and after A-Z became a-z.
+#: All but digits, lower-case letters and what lies beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 64 << 20
 
 
@@ -38,22 +41,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
-def _keys() -> list[Column]:
-    """Two columns that name a document: its id, else a hash of its text; and a hash of its text."""
+def _named() -> list[Column]:
+    """doc_id, and two columns that name a document: its id, else a hash of its text; and a hash of its text."""
     h = F.xxhash64("text")
-    return [F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(h, 2) + F.lit(1 << 61)).alias("dk"), h.alias("th")]
+    return [F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(h, 2) + F.lit(1 << 61)).alias("dk"), h.alias("th")]
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(dk, th, words, pos, term): a row for each word of each document, with the list that it stands in."""
-    lists = docs.select(*_keys(), words(F.col("text")).alias("words"))
-    return lists.select("dk", "th", "words", F.posexplode_outer("words").alias("pos", "term"))
+def _send(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """How often each of `terms` (term) occurs in all documents."""
-    every = docs.select(F.explode_outer(words(F.col("text"))).alias("term"))
-    return every.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+def build_index(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """Stored postings (doc_id, dk, th, n_words, pos, term) of `terms`. A document's row with pos 0 (null: no words) is always there, with a null term if its first word is not asked for.
+
+    The words of a text are split once: explode_outer is used, as Spark would
+    infer a filter from explode that splits every text a second time.
+    """
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    lists = docs.select(*_named(), words(F.col("text")).alias("words"))
+    every = lists.select("doc_id", "dk", "th", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
+    found = every.join(_send(terms.select("term").distinct(), small), F.col("word") == F.col("term"), "left")
+    return stored(found.where("term is not null or pos is null or pos = 0").drop("word"), "postings")
+
+
+def term_counts(index: DataFrame) -> DataFrame:
+    return index.where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -63,68 +75,84 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def rarest_first(listed: DataFrame, counts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, window, term, at): each window of each item with its rarest term and that term's place; windows with a term that occurs nowhere are left out."""
-    places = listed.select("item_id", "item", F.posexplode("item").alias("at", "word"))
-    counted = places.join(counts.withColumnRenamed("term", "word"), "word", "left").groupBy("item_id", "item")
-    by_place = counted.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+    """(item_id, window, size, by): each window of each item, as text, and its (n, at, term) from the rarest term on; windows with a term that occurs nowhere are left out."""
+    places = listed.select("item_id", "item", F.posexplode("item").alias("at", "term"))
+    counted = places.join(counts, "term", "left").groupBy("item_id", "item")
+    by_place = counted.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("c"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("item") - width, F.lit(0)) + 1)
-    found = by_place.select("item_id", "item", F.transform("c", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"))).alias("c"), F.explode(starts).alias("s"))
-    rarest = F.array_min(F.slice("c", F.col("s"), F.lit(width)))
-    found = found.select("item_id", F.slice("item", F.col("s"), F.lit(width)).alias("window"), rarest.alias("r"), "s").where("r.n > 0")
-    return found.select("item_id", "window", (F.col("r.at") + 1 - F.col("s")).alias("at")).withColumn("term", F.get("window", F.col("at"))).distinct()
+    cut = by_place.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("c", s, F.lit(width)))).alias("c"))
+    first = F.get("c", F.lit(0))["at"]
+    by = F.array_sort(F.transform("c", lambda x: F.struct(x["n"].alias("n"), (x["at"] - first).alias("at"), x["term"].alias("term"))))
+    found = cut.select("item_id", F.array_join(F.transform("c", lambda x: x["term"]), " ").alias("window"), F.size("c").alias("size"), by.alias("by"))
+    return found.where(F.get("by", F.lit(0))["n"] > 0).distinct()
 
 
 def _bytes(of: Column) -> Column:
     return F.coalesce(F.sum(F.aggregate(of, F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 16)), F.lit(0))
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(dk, th, item_id, lo, hi): words lo to hi - 1 of a document are a window of the item."""
+def _sizes(benchmark: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, bool]:
     listed = checkpoint(items(benchmark))
-    small = listed.agg(_bytes(F.col("item"))).first()[0] <= broadcast_bytes
-    terms = listed.select(F.explode("item").alias("term")).distinct()
-    counts = checkpoint(term_counts(docs, terms, small))
-    windows = checkpoint(rarest_first(listed, counts, width))
-    small = windows.agg(_bytes(F.col("window"))).first()[0] <= broadcast_bytes
-    found = postings(docs)
-    if small:
-        # The list of words is only looked into here, in generated code: no posting takes a copy of it along.
-        list_, first = F.col("words"), F.col("pos") - F.col("at")
-    else:
-        back = F.least(F.lit(width - 1), F.col("pos"))
-        found = found.select("dk", "th", "pos", "term", back.alias("back"), F.slice("words", F.col("pos") + 1 - back, back + width).alias("near"))
-        list_, first = F.col("near"), F.col("back") - F.col("at")
-    same = F.when(first >= 0, F.slice(list_, F.greatest(first, F.lit(0)) + 1, F.size("window")) == F.col("window")).otherwise(False)
-    windows = windows.withColumnRenamed("term", "rare")
-    matched = found.join(F.broadcast(windows) if small else windows, (found["term"] == windows["rare"]) & same)
-    lo = F.col("pos") - F.col("at")
-    return matched.select("dk", "th", "item_id", lo.alias("lo"), (lo + F.size("window")).alias("hi"))
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, rarest: int = 4, slop: int = 16, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return listed, listed.agg(_bytes(F.col("item"))).first()[0] <= broadcast_bytes
+
+
+def phrase_matches(index: DataFrame, listed: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(dk, th, item_id, lo, hi): words lo to hi - 1 of a document are a window of the item. `index` has the terms of the items `listed`."""
+    windows = checkpoint(rarest_first(listed, checkpoint(term_counts(index)), width))
+    small = windows.agg(_bytes(F.transform("by", lambda x: x["term"]))).first()[0] <= broadcast_bytes
+    terms = windows.select("window", "size", "by").distinct()
+    rarest = F.get("by", F.lit(0))
+    lists = index.where("term is not null").select("dk", "th", "n_words", "pos", "term")
+    first = lists.join(_send(terms.select("window", "size", rarest["at"].alias("at"), rarest["term"].alias("term")), small), "term")
+    start = F.col("pos") - F.col("at")
+    places = first.where((start >= 0) & (start + F.col("size") <= F.col("n_words"))).select("dk", "th", "window", start.alias("start")).distinct()
+    places = checkpoint(places)
+    # The other lists are read for the documents that a first list names.
+    named = places.select("dk", "th").distinct()
+    few = named.count() * 64 <= broadcast_bytes
+    others = lists.join(_send(named, few), ["dk", "th"], "left_semi").select("dk", "th", "pos", "term")
+    key = ["dk", "th", "pos", "term"]
+    rest = places.join(_send(terms.select("window", "size", F.slice("by", F.lit(2), F.size("by")).alias("rest")), small), "window")
+    alone = rest.where(F.size("rest") == 0).select("dk", "th", "window", "size", "start")
+    second = F.get("rest", F.lit(0))
+    probe = rest.where(F.size("rest") > 0).select("dk", "th", "window", "size", "start", "rest", (F.col("start") + second["at"]).alias("pos"), second["term"].alias("term"))
+    two = probe.join(others, key, "left_semi").select("dk", "th", "window", "size", "start", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"))
+    short = two.where(F.size("rest") == 0).select("dk", "th", "window", "size", "start")
+    each = two.where(F.size("rest") > 0).select("dk", "th", "window", "size", "start", F.explode("rest").alias("r"))
+    each = each.select("dk", "th", "window", "size", "start", (F.col("start") + F.col("r.at")).alias("pos"), F.col("r.term").alias("term"))
+    met = each.join(others, key, "left_semi").groupBy("dk", "th", "window", "size", "start").agg(F.count("*").alias("n"))
+    full = met.where(F.col("n") == F.col("size") - 2).select("dk", "th", "window", "size", "start")
+    found = full.union(short).union(alone)
+    owners = windows.select("window", "item_id").distinct()
+    return found.join(_send(owners, small), "window").select("dk", "th", "item_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+
+
+def proximity_matches(index: DataFrame, listed: DataFrame, rarest: int = 4, slop: int = 16, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(dk, th, item_id, pos): the rarest term of an item stands at pos, and its `rarest` rarest terms all within slop words of it."""
-    listed = checkpoint(items(benchmark))
-    terms = listed.select("item_id", "item", F.explode(F.array_distinct("item")).alias("term"))
-    size = listed.agg(_bytes(F.col("item"))).first()[0]
-    counts = checkpoint(term_counts(docs, terms.select("term").distinct(), size <= broadcast_bytes))
-    ranked = terms.join(counts, "term").groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("r"))
-    wanted = ranked.where(F.size("r") >= rarest).select("item_id", F.get("r", F.lit(0))["term"].alias("term"), F.transform(F.slice("r", 1, rarest), lambda x: x["term"]).alias("all"))
-    near = F.slice("words", F.greatest(F.col("pos") + 1 - slop, F.lit(1)), F.least(F.col("pos"), F.lit(slop)) + slop + 1)
-    found = postings(docs).join(F.broadcast(wanted) if size <= broadcast_bytes else wanted, "term")
-    return found.where(F.size(F.array_except("all", near)) == 0).select("dk", "th", "item_id", "pos")
+    counts = term_counts(index)
+    ranked = listed.select("item_id", "item", F.explode(F.array_distinct("item")).alias("term")).join(counts, "term").groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("by"))
+    wanted = checkpoint(ranked.where(F.size("by") >= rarest).select("item_id", F.transform(F.slice("by", 1, rarest), lambda x: x["term"]).alias("terms")).distinct())
+    small = wanted.agg(_bytes(F.col("terms"))).first()[0] <= broadcast_bytes
+    lists = index.where("term is not null").select("dk", "th", "pos", "term")
+    centre = lists.join(_send(wanted.select("item_id", "terms", F.get("terms", F.lit(0)).alias("term")), small), "term").select("dk", "th", "item_id", F.col("pos").alias("at"), F.explode("terms").alias("term"))
+    # positions meet in cells of slop words, and in the cells beside
+    cell = lambda p: F.floor(p / (slop + 1))
+    asked = centre.withColumn("cell", F.explode(F.array(cell(F.col("at")) - 1, cell(F.col("at")), cell(F.col("at")) + 1)))
+    near = asked.join(lists.withColumn("cell", cell(F.col("pos"))), ["dk", "th", "cell", "term"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
+    return near.groupBy("dk", "th", "item_id", F.col("at").alias("pos")).agg(F.count_distinct("term").alias("n")).where(F.col("n") == rarest).drop("n")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    spans = phrase_matches(docs, benchmark, width, broadcast_bytes)
+    listed, small = _sizes(benchmark, broadcast_bytes)
+    index = build_index(docs, listed.select(F.explode("item").alias("term")), small)
+    spans = phrase_matches(index, listed, width, broadcast_bytes)
     # Partial sets before the shuffle; a document has at most as many spans as words for each item.
     per_doc = spans.groupBy("dk", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("ids"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(x["lo"], s["end"]))).alias("n"), F.greatest(s["end"], x["hi"]).alias("end")))
-    hits = per_doc.select(F.col("dk").alias("_dk"), F.col("th").alias("_th"), covered["n"].alias("hit"), F.size("ids").alias("items"), F.array_join("ids", ",").alias("joined"))
-    dk, th = _keys()
-    named = docs.select("doc_id", dk, th, F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    found = named.join(hits, (named["dk"] == hits["_dk"]) & (named["th"] == hits["_th"]), "left")
+    hits = per_doc.select("dk", "th", covered["n"].alias("hit"), F.size("ids").alias("items"), F.array_join("ids", ",").alias("joined"))
+    rows = index.where("pos is null or pos = 0").select("doc_id", "dk", "th", F.when(F.col("pos").isNull(), 0).otherwise(F.col("n_words")).cast("long").alias("n_words"))
+    found = rows.join(hits, ["dk", "th"], "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("joined", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

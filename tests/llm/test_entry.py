@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -58,7 +59,7 @@ def test_the_mixed_stream_follows_the_weights(spark):
 
 def test_stages_keep_rows_with_odd_ids(spark):
     rows = [(None, "the same words are here again and again", "en", "a", 1, "x"), (None, "the same words are here again and again", "en", "a", 1, "x"), (7, None, None, None, None, None), (8, "", "en", "a", 0, "y"), (9, "quite other words stand in this one text", "en", None, 1, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string").withColumn("score", F.lit(1)).withColumn("rejected", F.lit("no")).withColumn("pos", F.lit(2)).withColumn("term", F.lit("t"))
     assert Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()) == Counter([None, 7, 9])
     assert corpus_pipeline.decontamination(spark, docs, SMALL).count() == corpus_pipeline.mixing(spark, docs, SMALL).count() == corpus_pipeline.sharding(spark, docs, SMALL).count() == 5
     assert corpus_pipeline.language_id(spark, docs, SMALL).count() <= 3

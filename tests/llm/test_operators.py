@@ -277,7 +277,9 @@ def test_contamination_odd_rows(spark, none):
 def test_proximity(spark):
     b = spark.createDataFrame([(1, "alpha beta gamma delta common")], "item_id long, text string")
     d = spark.createDataFrame([(1, "delta x gamma y beta z alpha"), (2, "alpha beta gamma " + "common " * 9), (3, "alpha " + "w " * 30 + "beta gamma delta"), (4, None)], "doc_id long, text string")
-    got = decontaminate.proximity_matches(d, b, rarest=4, slop=8).select("dk").collect()
+    listed = decontaminate.items(b)
+    index = decontaminate.build_index(d, listed.select(F.explode("item").alias("term")), True)
+    got = decontaminate.proximity_matches(index, listed, rarest=4, slop=8).select("dk").collect()
     assert [r[0] for r in got] == [1]
 
 
