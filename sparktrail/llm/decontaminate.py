@@ -6,14 +6,14 @@ each document that holds its number of words. How often a term occurs in all
 documents is counted from the index.
 
 Search. The terms of a window of `width` benchmark words are ordered from the
-rarest. The postings of the rarest, moved back by the term's offset, are the
-places where the window may start. They are intersected with the moved
-postings of the next rarest, then with those of all others: a place that every
-list has is an exact phrase. A window with a term that occurs nowhere is left
-out at once, and only documents that a first list names are looked at again.
-
-Sizes. The benchmark's terms and windows, and the set of documents named by
-first lists, are sent to all tasks while their measured size is below
+rarest. The postings of the two rarest, each moved back by the term's offset,
+are intersected: places that both have are where the window may start. These are
+intersected with the moved postings of all its other terms, in the documents
+that are left: a place that every list has is an exact phrase. A window with a
+term that occurs nowhere is left out at once.
+
+Sizes. The benchmark's terms and windows, and the set of documents left after
+the first lists, are sent to all tasks while their measured size is below
 `broadcast_bytes`; beyond that, the same joins are made by a shuffle. Postings
 are joined by document, position and term, so neither a long document nor a
 frequent passage meets in one task.
@@ -100,31 +100,24 @@ def phrase_matches(index: DataFrame, listed: DataFrame, width: int = WIDTH, broa
     """(dk, th, item_id, lo, hi): words lo to hi - 1 of a document are a window of the item. `index` has the terms of the items `listed`."""
     windows = checkpoint(rarest_first(listed, checkpoint(term_counts(index)), width))
     small = windows.agg(_bytes(F.transform("by", lambda x: x["term"]))).first()[0] <= broadcast_bytes
-    terms = windows.select("window", "size", "by").distinct()
-    rarest = F.get("by", F.lit(0))
+    terms = checkpoint(windows.select("window", "size", "by").distinct().withColumn("win", F.monotonically_increasing_id()))
     lists = index.where("term is not null").select("dk", "th", "n_words", "pos", "term")
-    first = lists.join(_send(terms.select("window", "size", rarest["at"].alias("at"), rarest["term"].alias("term")), small), "term")
+    # Where the two rarest terms of a window agree on its start; a hot passage is many groups, one for each document.
+    two = terms.select("win", "size", F.posexplode(F.slice("by", 1, 2)).alias("k", "r")).select("win", "size", "k", F.col("r.at").alias("at"), F.col("r.term").alias("term"))
     start = F.col("pos") - F.col("at")
-    places = first.where((start >= 0) & (start + F.col("size") <= F.col("n_words"))).select("dk", "th", "window", start.alias("start")).distinct()
-    places = checkpoint(places)
-    # The other lists are read for the documents that a first list names.
+    moved = lists.join(_send(two, small), "term").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    agreed = moved.groupBy("dk", "th", "win", start.alias("start")).agg(F.bit_or(F.when(F.col("k") == 0, 1).otherwise(2)).alias("seen"), F.max("size").alias("size"))
+    places = checkpoint(agreed.where(F.col("seen") == F.when(F.col("size") == 1, 1).otherwise(3)).select("dk", "th", "win", "start", "size"))
+    # The other lists are read for the documents that are left.
     named = places.select("dk", "th").distinct()
     few = named.count() * 64 <= broadcast_bytes
     others = lists.join(_send(named, few), ["dk", "th"], "left_semi").select("dk", "th", "pos", "term")
-    key = ["dk", "th", "pos", "term"]
-    rest = places.join(_send(terms.select("window", "size", F.slice("by", F.lit(2), F.size("by")).alias("rest")), small), "window")
-    alone = rest.where(F.size("rest") == 0).select("dk", "th", "window", "size", "start")
-    second = F.get("rest", F.lit(0))
-    probe = rest.where(F.size("rest") > 0).select("dk", "th", "window", "size", "start", "rest", (F.col("start") + second["at"]).alias("pos"), second["term"].alias("term"))
-    two = probe.join(others, key, "left_semi").select("dk", "th", "window", "size", "start", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"))
-    short = two.where(F.size("rest") == 0).select("dk", "th", "window", "size", "start")
-    each = two.where(F.size("rest") > 0).select("dk", "th", "window", "size", "start", F.explode("rest").alias("r"))
-    each = each.select("dk", "th", "window", "size", "start", (F.col("start") + F.col("r.at")).alias("pos"), F.col("r.term").alias("term"))
-    met = each.join(others, key, "left_semi").groupBy("dk", "th", "window", "size", "start").agg(F.count("*").alias("n"))
-    full = met.where(F.col("n") == F.col("size") - 2).select("dk", "th", "window", "size", "start")
-    found = full.union(short).union(alone)
-    owners = windows.select("window", "item_id").distinct()
-    return found.join(_send(owners, small), "window").select("dk", "th", "item_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+    rest = terms.where("size > 2").select("win", F.explode(F.slice("by", F.lit(3), F.size("by"))).alias("r")).select("win", F.col("r.at").alias("at"), F.col("r.term").alias("term"))
+    asked = places.join(_send(rest, small), "win").select("dk", "th", "win", "size", "start", (F.col("start") + F.col("at")).alias("pos"), "term")
+    met = asked.join(others, ["dk", "th", "pos", "term"], "left_semi").groupBy("dk", "th", "win", "size", "start").agg(F.count("*").alias("n"))
+    full = met.where(F.col("n") == F.col("size") - 2).drop("n").union(places.where("size <= 2").select("dk", "th", "win", "size", "start"))
+    owners = windows.join(terms.select("window", "win"), "window").select("win", "item_id").distinct()
+    return full.join(_send(owners, small), "win").select("dk", "th", "item_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
 
 
 def proximity_matches(index: DataFrame, listed: DataFrame, rarest: int = 4, slop: int = 16, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
