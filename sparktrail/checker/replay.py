@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,29 +27,37 @@ def alternative(result) -> str:
 def replay(cells: DataFrame, schema: dict[str, list[str]], carry: bool = True, tolerant: bool = False, check: Callable = decide, existing: str | None = None) -> DataFrame:
     """A prediction for each cell (trace, idx, code, failed). `existing` names a map<string,boolean> column of paths that are known to exist or not.
 
-    A trace is folded in one task, as its state goes from cell to cell; traces are small and many.
+    Cells are dealt by trace and sorted, and each partition is read as a stream:
+    the state of one trace at a time is held, whatever its length. The number of
+    partitions is kept as it is set, since the work is in Python and the rows
+    are small.
     """
     columns = ["trace", "idx", "code", "failed", *([existing] if existing else [])]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = State() if carry else None, []
-        for r in pdf.sort_values("idx").itertuples():
-            known = dict(getattr(r, existing) or {}) if existing else None
-            began = time.perf_counter()
-            try:
-                got = check(r.code or "", schema, state, known.get if known is not None else None, tolerant)
-                outcome = alternative(got)
-            except Exception as e:  # a defect of the checker is a result of its own
-                got, outcome = {"reason": repr(e)}, "checker_error"
-            ms = (time.perf_counter() - began) * 1000
-            if state is not None:
-                # a blocked cell would have failed
-                state.commit(bool(r.failed) or outcome == "block")
-            found = got.get("violations") or []
-            out.append((r.trace, r.idx, bool(r.failed), outcome, got.get("kind"), got.get("source"), sorted({v["missing"] for v in found}), got.get("location"), got.get("found_in") or [], got.get("near_matches") or [], sorted({f["path"] for f in got.get("files") or () if not f["conditional"]}), got.get("written") or [], ms))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in PREDICTION.split(", ")])
-
-    return cells.select(*columns).groupBy("trace").applyInPandas(fold, PREDICTION)
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.trace != at:
+                    at, state = r.trace, State() if carry else None
+                known = dict(getattr(r, existing) or {}) if existing else None
+                began = time.perf_counter()
+                try:
+                    got = check(r.code or "", schema, state, known.get if known is not None else None, tolerant)
+                    outcome = alternative(got)
+                except Exception as e:  # a defect of the checker is a result of its own
+                    got, outcome = {"reason": repr(e)}, "checker_error"
+                ms = (time.perf_counter() - began) * 1000
+                if state is not None:
+                    # a blocked cell would have failed
+                    state.commit(bool(r.failed) or outcome == "block")
+                found = got.get("violations") or []
+                out.append((r.trace, r.idx, bool(r.failed), outcome, got.get("kind"), got.get("source"), sorted({v["missing"] for v in found}), got.get("location"), got.get("found_in") or [], got.get("near_matches") or [], sorted({f["path"] for f in got.get("files") or () if not f["conditional"]}), got.get("written") or [], ms))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PREDICTION.split(", ")])
+
+    return cells.select(*columns).repartition(n, "trace").sortWithinPartitions("trace", "idx").mapInPandas(fold, PREDICTION)
 
 
 def cause_match(missing: str, error_key: str) -> Column:
