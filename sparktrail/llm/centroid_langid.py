@@ -133,8 +133,8 @@ def fit(docs: DataFrame, train: Column | None = None, per_lang: int = PER_LANG,
     return fit_texts(sample["text"].tolist(), sample["lang"].tolist(), **how)
 
 
-def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """lang_pred, score and rejected of every row, with the columns in carry, for docs (text, ...)."""
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """lang_pred, score and rejected, or by other names, of every row, with the columns in carry, for docs (text, ...)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # clusters x languages x dims floats
 
     def run(batches):
@@ -143,12 +143,12 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataF
             said = [model.predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array([bool(s[2]) for s in said], pa.bool_())],
-                names=[*carry, "lang_pred", "score", "rejected"],
+                names=[*carry, *out],
             )
 
     rows = docs.select(F.col("text").alias("_text"), *carry)
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[1:])
-    return rows.mapInArrow(run, ", ".join(filter(None, [kinds, "lang_pred string, score double, rejected boolean"])))
+    return rows.mapInArrow(run, ", ".join(filter(None, [kinds, "`{}` string, `{}` double, `{}` boolean".format(*out)])))
 
 
 def held_out() -> Column:
