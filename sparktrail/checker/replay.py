@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.existence import normal_path, same_path
 from .interpreter import State, decide
 
 PREDICTION = "trace long, idx int, failed boolean, outcome string, kind string, source string, missing array<string>, location string, found_in array<string>, near_matches array<string>, reads array<string>, written array<string>, ms double"
@@ -60,6 +61,33 @@ def replay(cells: DataFrame, schema: dict[str, list[str]], carry: bool = True, t
     return cells.select(*columns).repartition(n, "trace").sortWithinPartitions("trace", "idx").mapInPandas(fold, PREDICTION)
 
 
+def file_evidence(cells: DataFrame, first: DataFrame) -> DataFrame:
+    """Adds `existing` (path to true or false) to cells (trace, idx, submitter, failed, missing_path), from a first pass without files.
+
+    For each path that a cell surely reads: true if an earlier cell of its trace
+    wrote it, or another cell of the submitter read it without failing; false if
+    another one failed for want of it; else it is not in the map. A cell is never
+    its own evidence. Paths are compared normalised, and a recorded one also by
+    the end of a longer one.
+    """
+    who = cells.select("trace", "idx", "submitter", "missing_path")
+    seen = first.select("trace", "idx", "failed", "reads", "written").join(who, ["trace", "idx"])
+    reads = seen.select("trace", "idx", "submitter", "failed", "missing_path", F.explode("reads").alias("raw")).withColumn("path", normal_path("raw"))
+    named = normal_path("missing_path")
+    lost = F.col("failed") & F.col("missing_path").isNotNull() & F.coalesce(same_path(F.col("path"), named), F.lit(False))
+    marks = reads.select("trace", "idx", "submitter", "raw", "path", (~F.col("failed")).alias("fine"), lost.alias("lost"))
+    total = marks.groupBy("submitter", "path").agg(F.count_if(F.col("fine")).alias("n_fine"), F.count_if(F.col("lost")).alias("n_lost"))
+    wrote = seen.select("trace", "idx", F.explode("written").alias("w")).groupBy("trace", normal_path("w").alias("path")).agg(F.min("idx").alias("wrote"))
+    known = marks.join(total, ["submitter", "path"]).join(wrote, ["trace", "path"], "left")
+    there = (
+        F.when(F.col("wrote") < F.col("idx"), True)
+        .when(F.col("n_fine") - F.col("fine").cast("int") > 0, True)
+        .when(F.col("n_lost") - F.col("lost").cast("int") > 0, False)
+    )
+    maps = known.withColumn("there", there).where("there is not null").groupBy("trace", "idx").agg(F.map_from_entries(F.collect_set(F.struct("raw", "there"))).alias("existing"))
+    return cells.join(maps, ["trace", "idx"], "left")
+
+
 def cause_match(missing: str, error_key: str) -> Column:
     """A block names the key or path that the recorded error names."""
     return F.coalesce(F.array_contains(missing, F.col(error_key)), F.lit(False))

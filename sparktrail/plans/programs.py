@@ -181,3 +181,104 @@ def chk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = text.error_key("output")
     joined = rows.withColumn("key", key).join(said, ["trace", "idx"]).withColumn("cause", chk.cause_match("missing", "key")).withColumn("data_reference", F.col("key").isNotNull())
     return chk.scores(joined)
+
+
+@query(None)
+def chk_replay_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes: what each cell reads and writes, then decisions with the evidence of the other cells."""
+    rows = programs(spark, sf_dir).withColumn("missing_path", text.missing_path(F.col("output")))
+    first = chk.replay(rows, SCHEMA)
+    return chk.replay(chk.file_evidence(rows, first), SCHEMA, existing="existing").drop("ms")
+
+
+@query("SELECT outcome, count(*) AS cells, count(*) FILTER (failed) AS failed FROM (SELECT failed, CASE WHEN name IN (0, 3, 6, 7, 8, 9) THEN 'run' WHEN name = 10 THEN 'unknown' WHEN name IN (4) THEN 'block' ELSE 'run' END AS outcome FROM cells) GROUP BY 1", CELLS_SQL)
+def chk_without_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell judged alone: only what a cell reads itself can be blocked."""
+    said = chk.replay(programs(spark, sf_dir), SCHEMA, carry=False)
+    return said.groupBy("outcome").agg(F.count("*").alias("cells"), F.count_if(F.col("failed")).alias("failed"))
+
+
+@query(
+    """SELECT old, new, count(*) AS cells FROM (SELECT CASE WHEN name = 4 THEN 'block' WHEN name = 10 THEN 'unknown' ELSE 'run' END AS old, CASE WHEN name = 10 THEN 'unknown' ELSE 'run' END AS new FROM cells) GROUP BY 1, 2""",
+    CELLS_SQL,
+)
+def chk_compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions under a strict and a tolerant profile, where missing keys are replaced silently."""
+    from ..operators.joins import strict_compare
+
+    rows = programs(spark, sf_dir)
+    both = strict_compare(chk.replay(rows, SCHEMA, carry=False), chk.replay(rows, SCHEMA, carry=False, tolerant=True), ["trace", "idx"], "outcome")
+    return both.groupBy("old", "new").agg(F.count("*").alias("cells"))
+
+
+@query("SELECT path, count(*) AS asked, path IN ('k', 'tag') AS known FROM (SELECT unnest(['k', 'tag', 'deep.x', 'k']) AS path) GROUP BY 1")
+def join_filter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that filters ask for, and whether the collection has them."""
+    from ..functions import documents as doc
+
+    filters = [{"k": 1}, {"tag": {"$ne": "x"}}, {"$or": [{"deep.x": 1}, {"k": {"$gt": 2}}]}]
+    asked = spark.createDataFrame([p for f in filters for p in doc.filter_fields(f)], "path string, loose boolean")
+    have = table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("path")).distinct().union(spark.createDataFrame([("tag",)], "path string"))
+    return asked.groupBy("path").agg(F.count("*").alias("asked")).join(have.withColumn("known", F.lit(True)), "path", "left").select("path", "asked", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("SELECT trace, idx, name FROM cells WHERE (trace, idx) IN (SELECT (trace, idx) FROM cells WHERE error_type = 'FileNotFoundError')", CELLS_SQL)
+def join_two_pass_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells whose text is needed, named by a first pass."""
+    rows = programs(spark, sf_dir)
+    need = cells(spark, sf_dir).where("error_type = 'FileNotFoundError'").select("trace", "idx")
+    return rows.join(need, ["trace", "idx"], "left_semi").select("trace", "idx", "name")
+
+
+@query(
+    """SELECT arm, count(*) AS calls, count(*) FILTER (syntax) AS syntax, count(*) FILTER (syntax AND arm = 'A') AS harness FROM (
+        SELECT ['A', 'B', 'C'][trace % 3 + 1] AS arm, error_type = 'SyntaxError' AS syntax FROM cells WHERE failed) GROUP BY 1""",
+    CELLS_SQL,
+)
+def mis_calls_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed calls by arm; only arm A unpacks its programs from a literal, so only there the harness can cause a syntax error."""
+    arm = F.element_at(F.array(*map(F.lit, "ABC")), (F.col("trace") % 3 + 1).cast("int"))
+    rows = cells(spark, sf_dir).where("failed").select(arm.alias("arm"), (F.col("error_type") == "SyntaxError").alias("syntax"))
+    return rows.groupBy("arm").agg(F.count("*").alias("calls"), F.count_if(F.col("syntax")).alias("syntax"), F.count_if(F.col("syntax") & (F.col("arm") == "A")).alias("harness"))
+
+
+@query("SELECT trace, idx, CASE name WHEN 2 THEN 'near-miss' WHEN 5 THEN 'absent' WHEN 6 THEN 'exists-in-main' WHEN 7 THEN 'exists-elsewhere' WHEN 8 THEN 'case-mismatch' END AS class FROM cells WHERE name IN (2, 5, 6, 7, 8)", CELLS_SQL)
+def str_key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a missing key exists: in the main source, another, in other letters, nearly, or nowhere."""
+    known = sorted({c for cols in SCHEMA.values() for c in cols})
+    key = F.element_at(F.array(*map(F.lit, ["eur_amonut", "country", "year", "account_type", "id"])), F.when(F.col("name") == 2, 1).otherwise(F.col("name") - 3).cast("int"))
+    rows = cells(spark, sf_dir).where("name in (2, 5, 6, 7, 8)").select("trace", "idx", key.alias("key"))
+    distinct = rows.select("key").distinct().withColumn("near", text.nearest(known)("key"))
+    kind = (
+        F.when(F.col("key").isin(SCHEMA["payments.csv"]), "exists-in-main")
+        .when(F.col("key").isin(known), "exists-elsewhere")
+        .when(F.lower("key").isin([k.lower() for k in known]), "case-mismatch")
+        .when(F.size("near") > 0, "near-miss")
+        .otherwise("absent")
+    )
+    return rows.join(distinct.withColumn("class", kind), "key").select("trace", "idx", "class")
+
+
+@query(None)
+def cod_miss_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the key that was missing stands in the program of the failed cell, given the programs before it."""
+    import pandas as pd
+
+    from ..operators import runs
+
+    rows = programs(spark, sf_dir).select("trace", "idx", "code", "failed", text.error_key("output").alias("key"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def fold(batches):
+        at, before = None, []
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.trace != at:
+                    at, before = r.trace, []
+                before.append(r.code)
+                if r.failed and r.key is not None:
+                    out.append((r.trace, r.idx, runs.miss_class(r.key, before)))
+            yield pd.DataFrame(out, columns=["trace", "idx", "miss"])
+
+    return rows.repartition(n, "trace").sortWithinPartitions("trace", "idx").mapInPandas(fold, "trace long, idx int, miss string")

@@ -256,3 +256,44 @@ def sort_top_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the five best values first, so that no window orders all units in one task
     best = means.select(F.round("m", 9).alias("v")).distinct().orderBy(F.desc("v")).limit(5).withColumn("place", F.row_number().over(W.orderBy(F.desc("v"))).cast("long"))
     return means.withColumn("v", F.round("m", 9)).join(F.broadcast(best), "v").select("place", "unit", "m")
+
+
+@query(
+    """SELECT precision_, tp / nullif(tp + fn, 0) AS recall, tp + fn AS corrected FROM (SELECT n_pos * p AS tp, p AS precision_, n_neg * q AS fn FROM (
+        SELECT count(*) FILTER (toxic = 1)::DOUBLE AS n_pos, count(*) FILTER (toxic = 0)::DOUBLE AS n_neg, avg(CAST(quality = 1 AS DOUBLE)) FILTER (toxic = 1) AS p, avg(CAST(quality = 1 AS DOUBLE)) FILTER (toxic = 0) AS q FROM labels))"""
+)
+def stat_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and corrected count of a rule (toxic) from audited labels (quality) of its two strata."""
+    pos = F.col("toxic") == 1
+    right = (F.col("quality") == 1).cast("double")
+    part = table(spark, sf_dir, "labels").agg(F.count_if(pos).cast("double").alias("n_pos"), F.count_if(~pos).cast("double").alias("n_neg"), F.avg(F.when(pos, right)).alias("p"), F.avg(F.when(~pos, right)).alias("q"))
+    tp, fn = F.col("n_pos") * F.col("p"), F.col("n_neg") * F.col("q")
+    return part.select(F.col("p").alias("precision_"), F.try_divide(tp, tp + fn).alias("recall"), (tp + fn).alias("corrected"))
+
+
+@query(None)
+def stat_rank_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of each part's rank when its units are drawn anew."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = st.rank_bootstrap(pdf, "part", "on", 500)
+        return pd.DataFrame([(int(k), *v) for k, v in got.items()], columns=["part", "low", "high"])
+
+    return _units(spark, sf_dir).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "part long, low double, high double")
+
+
+@query(
+    """SELECT CASE WHEN a.fa IS NOT NULL THEN 'recorded' WHEN b.defined THEN 'defined' ELSE 'none' END AS answer, count(*) AS runs FROM
+        (SELECT row_number() OVER (ORDER BY o_orderkey, o_custkey) AS line, CASE WHEN o_orderstatus = 'F' THEN 1 END AS fa FROM orders) a JOIN
+        (SELECT row_number() OVER (ORDER BY o_orderkey, o_custkey) AS line, o_totalprice > 200000 AS defined FROM orders) b USING (line) GROUP BY 1"""
+)
+def join_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files row by row, by numbers in the order of a key."""
+    from ..operators.joins import numbered_rows, zipped
+
+    o = table(spark, sf_dir, "orders")
+    a = numbered_rows(o.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", 1).alias("fa")), ["o_orderkey", "o_custkey"], "line").select("line", "fa")
+    b = numbered_rows(o.select("o_orderkey", "o_custkey", (F.col("o_totalprice") > 200000).alias("defined")), ["o_orderkey", "o_custkey"], "line").select("line", "defined")
+    kind = F.when(F.col("fa").isNotNull(), "recorded").when(F.col("defined"), "defined").otherwise("none")
+    return zipped(a, b).groupBy(kind.alias("answer")).agg(F.count("*").alias("runs"))

@@ -157,3 +157,24 @@ def test_random_programs_that_are_blocked_fail(tmp_path, monkeypatch):
         with pytest.raises(Exception):
             exec(compile(program.replace("print(", "repr("), "<p>", "exec"), {})  # noqa: S102
     assert blocked > 200
+
+
+def test_file_evidence(spark):
+    from sparktrail.checker.replay import file_evidence
+
+    read = "import pandas as pd\npd.read_csv('{}')"
+    cells = [
+        (1, 1, read.format("a.csv"), False, None),  # read well here
+        (2, 1, read.format("./a.csv"), True, None),  # so it exists for others
+        (2, 2, read.format("gone.csv"), True, "/data/gone.csv"),
+        (3, 1, read.format("gone.csv"), True, "gone.csv"),
+        (4, 1, read.format("alone.csv"), True, "alone.csv"),  # no evidence but its own
+        (5, 1, "import pandas as pd\nd = pd.read_csv('a.csv')\nd.to_csv('made.csv')", False, None),
+        (5, 2, read.format("made.csv"), True, None),
+    ]
+    df = spark.createDataFrame([(*c, "s") for c in cells], "trace long, idx int, code string, failed boolean, missing_path string, submitter string")
+    schema = {"a.csv": ["x"]}
+    got = {(r["trace"], r["idx"]): r["existing"] for r in file_evidence(df, replay(df, schema)).collect()}
+    assert got == {(1, 1): {"a.csv": True}, (2, 1): {"./a.csv": True}, (2, 2): {"gone.csv": False}, (3, 1): {"gone.csv": False}, (4, 1): None, (5, 1): {"a.csv": True}, (5, 2): {"made.csv": True}}
+    said = {(r["trace"], r["idx"]): r["outcome"] for r in replay(file_evidence(df, replay(df, schema)), schema, existing="existing").collect()}
+    assert said[2, 2] == said[3, 1] == "block" and said[4, 1] == said[5, 2] == "run"
