@@ -75,43 +75,48 @@ def last_error_line(output: Column | str) -> Column:
     return F.when(F.size(found) > 0, F.trim(F.element_at(found, -1)))
 
 
+#: What the messages of tools say, in order; the first that matches decides.
+SQL_RULES = (
+    ("sql:missing-column", r"(?s)UndefinedColumn|no such column|Referenced column .{1,200}? not found|column .{1,200}? does not exist|does not have a column named"),
+    ("sql:missing-table", r"(?s)UndefinedTable|no such table|Table with name .{1,200}? does not exist|relation .{1,200}? does not exist"),
+    ("sql:function", r"(?s)UndefinedFunction|No function matches|function .{1,120}? does not exist|Scalar Function with name|Could not choose a best candidate function"),
+    ("sql:syntax", r"(?i)syntax error|Parser Error|ParserException|SyntaxError|unrecognized token|incomplete input"),
+)
+PYTHON_ERROR = r"[A-Za-z_][\w.]*(?:Error|Exception|Exit|Interrupt)"
+VARIABLE = r"var_[\w.:\-]+|file_storage|\b\d{15,}\.json\b|function-call-\d+|functions\.\w+:\d+"
+EXIT = r"Execution failed with exit code (-?\d+)\n"
+ENGINES = (("DuckDB", "duckdb"), ("SQLite", "sqlite"), ("Postgres", "postgres"), ("psycopg", "postgres"), ("Mongo", "mongo"))
+
+
 def tool_error(tool: Column, db_type: Column, error: Column) -> Column:
-    """The group of a failed tool call: SQL, document store, Python or interface. Rules stand in order."""
+    """The group of a failed tool call: SQL, document store, Python or interface."""
     e = F.coalesce(error, F.lit(""))
-    sql = (
-        F.when(e.rlike(r"(?s)UndefinedColumn|no such column|Referenced column .{1,200}? not found|column .{1,200}? does not exist|does not have a column named"), "sql:missing-column")
-        .when(e.rlike(r"(?s)UndefinedTable|no such table|Table with name .{1,200}? does not exist|relation .{1,200}? does not exist"), "sql:missing-table")
-        .when(e.rlike(r"(?s)UndefinedFunction|No function matches|function .{1,120}? does not exist|Scalar Function with name|Could not choose a best candidate function"), "sql:function")
-        .when(e.rlike(r"(?i)syntax error|Parser Error|ParserException|SyntaxError|unrecognized token|incomplete input"), "sql:syntax")
-        .otherwise("sql:other")
-    )
-    db = (
-        F.when(e.startswith("Collection does not exist"), "mongo:missing-collection")
-        .when(e.startswith("Invalid Mongo query") | (F.coalesce(db_type, F.lit("")) == "mongo"), F.when(e.substr(1, 60).contains("JSON"), "mongo:query-json").otherwise("mongo:other"))
-        .otherwise(sql)
-    )
-    exit_code = _first(e, r"^Execution failed with exit code (-?\d+)\n")
-    last = F.when(exit_code.isNotNull(), F.regexp_replace(e, r"^Execution failed with exit code -?\d+\n", "")).otherwise(e)
-    full = _first(last, r"^\s*([A-Za-z_][\w.]*(?:Error|Exception|Exit|Interrupt))\b")
+    sql = F.coalesce(*[F.when(e.rlike(p), F.lit(name)) for name, p in SQL_RULES], F.lit("sql:other"))
+    store = F.when(e.substr(1, 60).contains("JSON"), "mongo:query-json").otherwise("mongo:other")
+    asked_store = e.startswith("Invalid Mongo query") | F.coalesce(db_type == "mongo", F.lit(False))
+    db = F.when(e.startswith("Collection does not exist"), "mongo:missing-collection").when(asked_store, store).otherwise(sql)
+    exit_code = _first(e, f"^{EXIT}")
+    last = F.regexp_replace(e, f"^{EXIT}", "")
+    full = _first(last, rf"^\s*({PYTHON_ERROR})\b")
     name = F.element_at(F.split(full, r"\."), -1)
     name = F.when(name.isin("IndentationError", "TabError"), "SyntaxError").otherwise(name)
-    rest = F.regexp_replace(last, r"(?s)^\s*[A-Za-z_][\w.]*(?:Error|Exception|Exit|Interrupt)\b:?\s?", "")
-    var = rest.rlike(r"var_[\w.:\-]+|file_storage|\b\d{15,}\.json\b|function-call-\d+|functions\.\w+:\d+")
-    missing = _first(rest, r"name '([^']+)' is not defined")
-    py = (
+    rest = F.regexp_replace(last, rf"(?s)^\s*{PYTHON_ERROR}\b:?\s?", "")
+    interface = rest.rlike(VARIABLE)
+    own_name = F.coalesce(_first(rest, r"name '([^']+)' is not defined").startswith("var_"), F.lit(False))
+    python = (
         F.when(e.startswith("Failed to parse the printed result"), "py:print-format")
         .when((exit_code == "124") | F.lower(e).contains("timed out"), "py:timeout")
         .when(full.isNull(), "py:other")
-        .when(name == "KeyError", F.when(var, "interface:var-key").otherwise("py:data-key"))
-        .when(name == "FileNotFoundError", F.when(var, "interface:var-file").otherwise("py:data-file"))
-        .when((name == "NameError") & F.coalesce(missing.startswith("var_"), F.lit(False)), "interface:var-name")
+        .when(name == "KeyError", F.when(interface, "interface:var-key").otherwise("py:data-key"))
+        .when(name == "FileNotFoundError", F.when(interface, "interface:var-file").otherwise("py:data-file"))
+        .when((name == "NameError") & own_name, "interface:var-name")
         .otherwise(F.concat(F.lit("py:"), name))
     )
-    return F.when(tool == "query_db", db).when(tool != "execute_python", "other").otherwise(py)
+    return F.when(tool == "query_db", db).when(tool == "execute_python", python).otherwise("other")
 
 
 def engine(message: Column) -> Column:
-    return F.coalesce(*[F.when(message.contains(p), F.lit(e)) for p, e in (("DuckDB", "duckdb"), ("SQLite", "sqlite"), ("Postgres", "postgres"), ("psycopg", "postgres"), ("Mongo", "mongo"))])
+    return F.coalesce(*[F.when(message.contains(p), F.lit(e)) for p, e in ENGINES])
 
 
 def missing_path(output: Column) -> Column:

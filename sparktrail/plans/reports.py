@@ -297,3 +297,27 @@ def join_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = numbered_rows(o.select("o_orderkey", "o_custkey", (F.col("o_totalprice") > 200000).alias("defined")), ["o_orderkey", "o_custkey"], "line").select("line", "defined")
     kind = F.when(F.col("fa").isNotNull(), "recorded").when(F.col("defined"), "defined").otherwise("none")
     return zipped(a, b).groupBy(kind.alias("answer")).agg(F.count("*").alias("runs"))
+
+
+# --- streams
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stm_once_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key once, from the files of a table as they arrive."""
+    from ..streaming import folds
+
+    rows = folds.table_stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return folds.settled(folds.once_by_key(rows, ["user_id", "event_type"], late="3650 days").select("user_id", "event_type"))
+
+
+@query(
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type AS kind, count(*) AS cells, count(*) FILTER (event_type = 'error') AS failed
+    FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2"""
+)
+def stm_failures_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of windows that the watermark has closed."""
+    from ..streaming import folds
+
+    rows = folds.table_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), (F.col("event_type") == "error").alias("failed"))
+    return folds.settled(folds.failures_by_window(rows, width="1 day")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))

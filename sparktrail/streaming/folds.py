@@ -6,6 +6,8 @@ they arrive. Windows by event time are an addition.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +28,22 @@ def failures_by_window(rows: DataFrame, ts: str = "ts", late: str = "10 minutes"
     return rows.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), "kind").agg(F.count("*").alias("cells"), F.count_if(F.col("failed")).alias("failed")).select(F.col("w.start").alias("start"), "kind", "cells", "failed")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table read as a stream of its files."""
+    files = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(files.schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+
+
+def settled(stream: DataFrame) -> DataFrame:
+    """All that a stream in append mode says of the files that are there, through a file sink in the shared folder of `spark.checkpoint.dir`."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 CHAIN = "trace long, idx long, chain int"
 
 
