@@ -12,7 +12,8 @@ of no known layout, gives no turns and the mapping ``none``; columns and fields
 that no mapping names are ignored, whatever their names; repeated rows are
 repeated turns; turns that tie in number stand by role, then text; a
 conversation without turns is formatted as the empty string; an empty table
-gives an empty table.
+gives an empty table. The turns of one conversation become one text, so they
+meet in one task after partial lists; nothing else is gathered.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ MAPPINGS = (
     _fields("prompt_completion", ("user", "prompt"), ("assistant", "completion")),
     _fields("question_answer", ("user", "question"), ("assistant", "answer")),
 )
-#: Names that sources give to the three canonical roles.
+#: Names that message layouts give to the canonical roles; rows by turn keep the roles that they have.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -91,9 +92,9 @@ def choose(paths, mappings=MAPPINGS) -> Mapping | None:
     return by_print.get(fingerprint(known)) or next((m for m in mappings if set(m.paths) <= known), None)
 
 
-def _turn(role: Column, text: Column) -> Column:
+def _turn(role: Column, text: Column, rename: bool = True) -> Column:
     named = F.coalesce(role.cast("string"), F.lit(""))
-    canonical = F.coalesce(*[F.when(named == k, F.lit(v)) for k, v in ROLES.items()], named)
+    canonical = F.coalesce(*[F.when(named == k, F.lit(v)) for k, v in ROLES.items()], named) if rename else named
     return F.struct(canonical.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
@@ -115,7 +116,7 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", mappings=MAPPINGS)
         # Partial lists are made before the shuffle: a row for each task and conversation.
         one = F.struct(F.col("turn"), F.coalesce(m.role, F.lit("")).alias("role"), F.coalesce(m.text, F.lit("")).alias("text"))
         rows = df.groupBy(conv_id).agg(F.array_sort(F.collect_list(one)).alias("rows"))
-        return rows.select(F.col(conv_id).alias("conv_id"), *said, F.transform("rows", lambda t: _turn(t["role"], t["text"])).alias("turns"))
+        return rows.select(F.col(conv_id).alias("conv_id"), *said, F.transform("rows", lambda t: _turn(t["role"], t["text"], rename=False)).alias("turns"))
     if m.shape == "array":
         turns = _messages(F.coalesce(F.col(m.array), F.array().cast(df.schema[m.array].dataType)), m)
     else:

@@ -89,9 +89,10 @@ def test_chat_layouts_meet_in_the_same_turns(spark):
 
 def test_chat_ties_repeats_and_empty(spark):
     kind = "conv_id long, turn long, role string, text string, prompt string"
-    df = spark.createDataFrame([(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (None, 1, "user", "n", "x")], kind)
+    df = spark.createDataFrame([(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (None, 1, "user", "n", "x"), (2, 0, "bot", "z", "x")], kind)
     got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat_format.format_chats(df).collect()}
-    assert got == {1: ["a", "a", "b"], None: ["n"]}
+    assert got == {1: ["a", "a", "b"], None: ["n"], 2: ["z"]}
+    assert chat_format.format_chats(df).where("conv_id = 2").first()["turns"][0]["role"] == "bot"
     assert chat_format.format_chats(spark.createDataFrame([], kind)).count() == 0
 
 
