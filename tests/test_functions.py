@@ -205,3 +205,39 @@ def test_wrapper_and_environment():
     assert code.wrapped('y = 1 """\nz = """')[1] != "same"
     assert code.environment_as_names("v = locals()['a'] + globals().get('b-c')", {"a", "b-c"}) == ("v = a + _var_b_c", 2)
     assert code.environment_as_names("def f():\n    return locals()['a']", {"a"})[1] == 0
+
+
+def test_answers(spark):
+    from sparktrail.functions import answers as ans
+
+    df = spark.createDataFrame([("about 1,200.5 EUR",), ("12 %",), ("-3e2",), ("no",), (None,)], "t string")
+    assert [r[0] for r in df.select(ans.number(F.col("t"))).collect()] == [1200.5, 0.12, -300.0, None, None]
+    assert [r[0] for r in spark.createDataFrame([(101.0, 100.0), (103.0, 100.0), (-101.0, -100.0), (None, 1.0)], "a double, b double").select(ans.close(F.col("a"), F.col("b"))).collect()] == [True, False, True, False]
+    assert ans.protected("final_answer = 3\nfinal_answer(4)") == ("_own_final_answer = 3\nfinal_answer(4)", 1)
+    assert ans.protected("def final_answer(x):\n    return x")[1] == 1 and ans.protected("print(1)")[1] == 0 and ans.protected("x (")[1] == 0
+
+
+def test_runs():
+    from sparktrail.operators import runs
+
+    assert runs.answer_code("text ```python\nx = 1\n``` more") == "x = 1\n"
+    assert runs.answer_code("final_answer(3)") == "final_answer(3)" and runs.answer_code("x = 3") is None and runs.answer_code("no code") is None
+    programs = ["df = pd.read_csv('x')", "for i, r in df.iterrows():\n    pass", "df['k']"]
+    assert runs.miss_class("k", programs) == "item of: frame from a reader"
+    assert runs.miss_class("k", [*programs[:2], "r['k']"]) == "item of: row of a frame"
+    assert runs.miss_class("k", ["df.sort_values('k')"]) == "argument of .sort_values"
+    assert runs.miss_class("k", ["f()['k']"]) == "item of an expression" and runs.miss_class("k", ["x = 'k'"]) == "elsewhere in the program"
+    assert runs.miss_class("k", ["x"]) == "not in this program" and runs.miss_class(None, ["x"]) == "no key in the error" and runs.miss_class("k", ["x ("]) == "invalid program"
+
+
+def test_after_blocked(spark):
+    from sparktrail.operators import runs
+
+    cells = [
+        (1, 1, "x = 1", True, False, None, None),
+        (1, 2, "x = 2\ny = 3\nprint(df['nope'])", False, True, 3, None),
+        (1, 3, "print(x)", True, False, None, None),
+        (1, 4, "print(y)", False, False, None, "name 'y' is not defined"),
+    ]
+    df = spark.createDataFrame(cells, "trace long, idx int, code string, ok boolean, blocked boolean, line int, error string")
+    assert [tuple(r) for r in runs.after_blocked(df).collect()] == [(1, 2, True, True, True)]
