@@ -36,6 +36,9 @@ BLOCKED = [
     "import json\nwith open('fees.json') as h:\n    fees = json.load(h)\nfees[0]['nope']",
     READ + "e = df\ne['new'] = 1\ndf['newer']",
     READ + "df.to_dict('records')[0]['nope']",
+    "import pandas as pd\ndef load(name):\n    d = pd.read_csv(name)\n    return d[['year']]\nx = load('payments.csv')\nx['merchant']",
+    READ + "def add(t, c):\n    t[c] = 1\n    return t\ne = add(df, 'new')\ndf['newer']",
+    READ + "def get(c):\n    return df[c]\nget('nope')",
 ]
 RUN = [
     READ + "df['year']",
@@ -66,6 +69,11 @@ RUN = [
     FEES + "fees[0].get('nope')",
     FEES + "fees.append({'nope': 1})\nfees[0]['nope']",
     READ + "del df\ndf = make()\ndf['amount']",
+    READ + "def add(t, c):\n    t[c] = 1\n    return t\ne = add(df, 'new')\ndf['new']\ne['new']",
+    READ + "def add(t):\n    df['new'] = 1\n    return t\nmap(add, x)\nadd(1)\ndf['new']",
+    READ + "def load(name):\n    d = pd.read_csv(name)\n    return d\nload = other\nx = load('payments.csv')\nx['nope']",
+    READ + "def load(name):\n    return pd.read_csv(name)\nif q:\n    def load(name):\n        return other(name)\nload('payments.csv')['nope']",
+    READ + "def load(name, n=1):\n    return pd.read_csv(name)\nload('payments.csv')['nope']",
 ]
 
 
@@ -94,6 +102,8 @@ def test_files():
     assert decide("import pandas as pd\npd.read_csv('else.csv')", SCHEMA, exists=known)["outcome"] == "run"
     assert decide("open('gone.csv', 'w')\nopen('gone.csv')", SCHEMA, exists=known)["outcome"] == "run"
     assert decide("if a:\n    open('gone.csv')", SCHEMA, exists=known)["outcome"] == "run"
+    assert decide("import os\nos.listdir('gone.csv')", SCHEMA, exists=known)["outcome"] == "block"
+    assert decide("import os\nopen('gone.csv/x', 'w')\nos.listdir('gone.csv')", SCHEMA, exists=known)["outcome"] == "run"
     got = decide("import os\nos.listdir('d')\nopen('x')", SCHEMA)
     assert got["dirs"][0]["path"] == "d" and got["files"][0]["path"] == "x"
 
@@ -144,7 +154,7 @@ def test_random_programs_that_are_blocked_fail(tmp_path, monkeypatch):
         lambda: f"{var()} = {var()}.rename(columns={{'{col()}': '{col()}'}})", lambda: f"{var()} = {var()}.drop(columns=['{col()}'])", lambda: f"{var()} = {var()}[{var()}['year'] > 1]",
         lambda: f"if rate > {rng.randint(0, 3)}:\n    {var()}['{col()}'] = 2", lambda: f"try:\n    {var()}['{col()}']\nexcept KeyError:\n    {var()} = d", lambda: f"{var()} = {var()}.merge(m, on='{col()}')",
         lambda: f"{var()} = {var()}.assign({col()}=3)", lambda: f"{var()} = {var()}.sort_values('{col()}').head(2)", lambda: f"{var()}.groupby('{col()}')['{col()}'].count()", lambda: f"{var()} = pd.concat([{var()}, {var()}])",
-        lambda: f"def g(t):\n    t['{col()}'] = 1\n    return t\n{var()} = g({var()})", lambda: f"fees[0]['{rng.choice(['ID', 'rate', 'nope'])}']", lambda: f"for f in fees:\n    f['{col()}'] = 1", lambda: f"{var()}.drop(columns='{col()}', inplace=True, errors='ignore')",
+        lambda: f"def g(t):\n    t['{col()}'] = 1\n    return t\n{var()} = g({var()})", lambda: f"def h(c):\n    x = {var()}[[c, 'year']]\n    return x\n{var()} = h('{col()}')", lambda: f"def k():\n    {var()}['{col()}'] = 1\n    return 1\nk()", lambda: f"fees[0]['{rng.choice(['ID', 'rate', 'nope'])}']", lambda: f"for f in fees:\n    f['{col()}'] = 1", lambda: f"{var()}.drop(columns='{col()}', inplace=True, errors='ignore')",
         lambda: f"{var()} = {var()}.reset_index()", lambda: f"{var()} = {var()}.set_index('{col()}')", lambda: f"del {var()}['{col()}']", lambda: f"{var()}.loc[:, '{col()}'] = 0",
     ]
     head = "import pandas as pd, json\nrate = 1\ndf = pd.read_csv('payments.csv')\nd = df.copy()\ne = pd.read_csv('payments.csv', usecols=['merchant', 'year'])\nm = pd.read_csv('merchants.csv')\nfees = json.load(open('fees.json'))\n"
