@@ -93,12 +93,12 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit_texts(texts: list[str], langs: list[str], clusters: int = CLUSTERS, dims: int = DIMS, slack: float = 0.5) -> Model:
-    kept = [(t, lang, c) for t, lang in zip(texts, langs) if (c := counts(t, dims)) is not None]
+    kept = [(t, lang, c.astype(np.int32)) for t, lang in zip(texts, langs) if (c := counts(t, dims)) is not None]
     if not kept:
         return Model(dims=dims)
-    all_counts = np.stack([c for _, _, c in kept])
-    model = Model(dims=dims, idf=np.log((1 + len(kept)) / (1 + (all_counts > 0).sum(0))) + 1)
-    vectors = np.stack([model.vector(c) for c in all_counts])
+    with_gram = sum((c > 0).astype(np.int64) for _, _, c in kept)
+    model = Model(dims=dims, idf=np.log((1 + len(kept)) / (1 + with_gram)) + 1)
+    vectors = np.stack([model.vector(c) for _, _, c in kept])
     by = np.array([lang for _, lang, _ in kept])
     parts = []
     for lang in sorted(set(by)):
@@ -129,8 +129,8 @@ def fit(docs: DataFrame, train: Column | None = None, per_lang: int = PER_LANG,
         return Model(dims=how.get("dims", DIMS))
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_lang / k)) for lang, k in sorted(n.items())])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.where(draw < share).select("text", "lang").toPandas().sort_values(["lang", "text"])
-    return fit_texts(sample["text"].tolist(), sample["lang"].tolist(), **how)
+    sample = sorted((r["lang"], r["text"]) for r in rows.where(draw < share).select("lang", "text").collect())
+    return fit_texts([text for _, text in sample], [lang for lang, _ in sample], **how)
 
 
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
