@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, numbered
 
@@ -142,32 +142,57 @@ def fewest_bytes(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
+def _group(text: str) -> Column:
+    """The name of a group: a hash of the text; null and empty texts are apart."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return F.unhex(F.sha2(F.concat(F.when(F.col(text).isNull(), F.lit("0")).otherwise(F.lit("1")), body), 256))
+
+
+class Packing:
+    """Which bin each group of (key, size) rows is in. What it holds on the driver is bounded by shards x per_shard."""
+
+    def __init__(self, sized: DataFrame, shards: int | None, capacity: int | None, per_shard: int):
+        groups = checkpoint(sized.groupBy("key").agg(F.sum("size").alias("size")))
+        total = groups.agg(F.sum("size")).first()[0] or 0
+        self.most = per_shard * (shards if capacity is None else math.ceil(total / capacity) + 1)
+        floor = total / self.most
+        large = groups.where(F.col("size") >= floor).collect()  # at most `most` rows: each holds a 1/most of all
+        pools = groups.where(F.col("size") < floor).groupBy(self.pool().alias("pool")).agg(F.sum("size").alias("size")).collect()
+        items = sorted([(-r["size"], 0, bytes(r["key"])) for r in large] + [(-r["size"], 1, r["pool"]) for r in pools])
+        sizes = [-x[0] for x in items]
+        placed = fewest_bytes(sizes, shards) if capacity is None else best_fit(sizes, capacity)[0]
+        spark = sized.sparkSession
+        self.by_key = spark.createDataFrame([(bytearray(x[2]), b) for x, b in zip(items, placed) if not x[1]], "_k binary, _by_key int")
+        self.by_pool = spark.createDataFrame([(x[2], b) for x, b in zip(items, placed) if x[1]], "_pool long, _by_pool int")
+
+    def pool(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.most))
+
+    def assign(self, rows: DataFrame, out: str) -> DataFrame:
+        """Adds the bin to rows with a key. Both tables have at most `most` rows, so they are sent to all tasks."""
+        found = rows.withColumn("_pool", self.pool()).join(F.broadcast(self.by_key), F.col("key") == F.col("_k"), "left").join(F.broadcast(self.by_pool), "_pool", "left")
+        return found.withColumn(out, F.coalesce("_by_key", "_by_pool")).drop("_k", "_pool", "_by_key", "_by_pool")
+
+
 def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text", per_shard: int = 1024) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is not `key`) of every row.
 
     Give the number of shards (sizes near equal) or their capacity in bytes (as few shards as the packing needs).
     """
-    spark, body = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.unhex(F.sha2(F.concat(F.when(F.col(text).isNull(), F.lit("0")).otherwise(F.lit("1")), body), 256)).alias("key"),
-    )
-    slim = checkpoint(slim)
-    groups = checkpoint(slim.groupBy("key").agg(F.sum("size").alias("size")))
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    most = per_shard * (shards if capacity is None else math.ceil(total / capacity) + 1)
-    floor = total / most
-    pool = F.pmod(F.xxhash64("key"), F.lit(most))
-    large = groups.where(F.col("size") >= floor).collect()  # at most `most` rows: each holds a 1/most of all
-    pools = groups.where(F.col("size") < floor).groupBy(pool.alias("pool")).agg(F.sum("size").alias("size")).collect()
-    items = sorted([(-r["size"], 0, bytes(r["key"])) for r in large] + [(-r["size"], 1, r["pool"]) for r in pools])
-    sizes = [-x[0] for x in items]
-    placed = fewest_bytes(sizes, shards) if capacity is None else best_fit(sizes, capacity)[0]
-    by_key = spark.createDataFrame([(bytearray(x[2]), b) for x, b in zip(items, placed) if not x[1]], "k binary, by_key int")
-    by_pool = spark.createDataFrame([(x[2], b) for x, b in zip(items, placed) if x[1]], "pool long, by_pool int")
-    # Both tables have at most `most` rows, so they are sent to all tasks.
-    dealt = slim.join(F.broadcast(by_key), slim["key"] == by_key["k"], "left").withColumn("pool", pool).join(F.broadcast(by_pool), "pool", "left")
-    dealt = dealt.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.coalesce("by_key", "by_pool").alias("shard"))
-    return numbered(dealt, "shard", ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    slim = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), _group(text).alias("key")))
+    dealt = Packing(slim, shards, capacity, per_shard).assign(slim, "shard").drop("key")
+    ranked = numbered(dealt, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    return ranked.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, text: str = "text", per_shard: int = 1024, file_bytes: int = 256 << 20) -> None:
+    """Write all rows with all their columns to path/shard=<n>/, each shard in files of about file_bytes of text, so that no task holds a shard."""
+    slim = docs.select(_group(text).alias("key"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size"))
+    packing = Packing(slim, shards, None, per_shard)
+    total = slim.agg(F.sum("size")).first()[0] or 0
+    files = max(1, math.ceil(total / shards / file_bytes))
+    rows = packing.assign(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _group(text).alias("key")), "shard")
+    # rows of one text may go to several files of its shard
+    part = F.pmod(F.hash("row"), F.lit(files))
+    rows.withColumn("_part", part).repartition(shards * files, "shard", "_part").select("shard", "row.*").write.partitionBy("shard").parquet(path)

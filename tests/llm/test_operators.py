@@ -335,6 +335,13 @@ def test_shards_are_whole_and_near_equal(spark, odd, none):
     assert few.select("shard").distinct().count() == 2
 
 
+def test_shards_are_written_whole(spark, odd, tmp_path):
+    shard_bfd.write_shards(odd, str(tmp_path / "s"), shards=3, file_bytes=100_000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert back.groupBy("text").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
 # --- lines
 
 
