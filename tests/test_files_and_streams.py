@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,9 @@ def test_streams(spark, tmp_path):
     (source / "0.json").write_text("\n".join([row(1, 1, True), row(1, 2, True), row(2, 1, False)]))
     (source / "1.json").write_text("\n".join([row(1, 3, True), row(1, 2, True), row(2, 2, True)]))
 
+    for k in (0, 1):  # files are taken in order of their times
+        os.utime(source / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+
     def run(df, name, mode):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
