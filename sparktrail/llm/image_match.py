@@ -6,12 +6,16 @@ pairs, turned by that orientation. Tables of chosen bits of the tests are joined
 descriptors that agree in all bits of a table and differ in few of the 256 are a
 correspondence. Correspondences between two images vote for a change of angle,
 scale and position; enough votes of different corners in one cell are geometric
-consensus, and link the images.
+consensus, and link the images: MIN_VOTES, and where many corners have matches an
+eighth of these, counted in the image that has fewer.
 
-In a bucket of a table, each descriptor is compared with the bucket's least and
-greatest entry only, so links grow with the rows, not with their square; buckets
-use many bits, so that one holds copies of the same patch. The groups that links
-join are found by distributed components.
+In a bucket of a table every descriptor is compared with every other; a bucket
+larger than a tile becomes pairs of tiles for many tasks. The work of a bucket
+and the links of a group of copies grow with their squares, as each is looked at.
+Images with the same corners and descriptors are one class, compared once and
+counted with its size. The groups that links join are found by distributed
+components. The tables are what the search may miss by: descriptors that differ
+in many bits may agree in none of them; the README has the measured recall.
 
 Defined cases: a null image, or one without corners (too small, or flat), is
 linked with none; copies under the same id count as one image; repeated rows
@@ -22,17 +26,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpoint, components, stored
 
 CORNERS, STEP = (14, 6, 4), 1.5  # the most at each scale
 RADIUS, TABLES, TABLE_BITS, MAX_DIFFER, MIN_VOTES = 7, 8, 40, 48, 4
+VOTE_SHARE = 8  # one vote at least for so many matched corners: with many, some agree by chance
+TILE = 2048
 ANGLES = 24
 _RNG = np.random.default_rng(20240501)
 PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2, (256, 4))), -RADIUS, RADIUS)
 BITS = np.stack([_RNG.permutation(256)[:TABLE_BITS] for _ in range(TABLES)])
-KEYPOINT = "img_id long, kp int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long, keys array<long>"
+#: The 256 bits of each table as four words, as the tests are packed.
+MASKS = np.stack([np.packbits(np.isin(np.arange(256), own)).view(">u8").astype(np.uint64) for own in BITS])
+#: corner holds level, y and x: level << 48 | y << 24 | x, counted in pixels of that level.
+KEYPOINT = "img_id long, corner long, angle float, d0 long, d1 long, d2 long, d3 long, keys array<long>"
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -54,9 +63,9 @@ _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RAD
 
 
 def describe(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, angle) and the 256 tests of the strongest corners of each scale."""
-    image, factor, points, tests = gray.astype(np.float64), 1.0, [], []
-    for most in CORNERS:
+    """(x, y, level, angle), with x and y in pixels of the level, and the 256 tests of the strongest corners of each level."""
+    image, points, tests = gray.astype(np.float64), [], []
+    for level, most in enumerate(CORNERS):
         h, w = image.shape
         edge = RADIUS * 2
         if min(h, w) <= 2 * edge:
@@ -84,8 +93,8 @@ def describe(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             y1, x1, y2, x2 = PAIRS.T
             at = lambda py, px: smooth[np.round(y[:, None] + py * cos + px * sin).astype(int), np.round(x[:, None] + px * cos - py * sin).astype(int)]  # noqa: B023, E731
             tests.append(at(y1, x1) < at(y2, x2))
-            points.append(np.stack([x * factor, y * factor, np.full(len(y), factor), angle], 1))
-        image, factor = _resized(image, STEP), factor * STEP
+            points.append(np.stack([x, y, np.full(len(y), level), angle], 1))
+        image = _resized(image, STEP)
     if not points:
         return np.zeros((0, 4)), np.zeros((0, 256), bool)
     return np.concatenate(points), np.concatenate(tests)
@@ -102,75 +111,180 @@ def keypoints(images: DataFrame, img_id: str = "img_id", image: str = "image") -
 
     def run(batches):
         for batch in (part for whole in batches for part in _parts(whole)):
-            ids, places, points, words, keys = [], [], [], [], []
+            ids, points, words, keys = [], [], [], []
             for i, im in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is None or im is None or not im["gray"] or im["height"] * im["width"] != len(im["gray"]):
                     continue
                 p, t = describe(np.frombuffer(im["gray"], np.uint8).reshape(im["height"], im["width"]))
                 if len(p):
                     ids.append(np.full(len(p), i, np.int64))
-                    places.append(np.arange(len(p), dtype=np.int32))
                     points.append(p)
                     words.append(np.packbits(t, axis=1).view(">i8").astype(np.int64))
-                    keys.append((t[:, BITS] * weights).sum(2).astype(np.int64) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS)
+                    keys.append(((t[:, BITS] * weights).sum(2).astype(np.int64) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS))
             if ids:
-                p, w = np.concatenate(points).astype(np.float32), np.concatenate(words)
+                p, w = np.concatenate(points), np.concatenate(words)
+                x, y, level = p[:, :3].astype(np.int64).T
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * TABLES), pa.array(np.concatenate(keys).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), *(pa.array(p[:, c].copy()) for c in range(4)), *(pa.array(w[:, c].copy()) for c in range(4)), pa.array(np.concatenate(keys).tolist(), pa.list_(pa.int64()))],
-                    names=["img_id", "kp", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3", "keys"],
+                    [pa.array(np.concatenate(ids)), pa.array(level << 48 | y << 24 | x), pa.array(p[:, 3].astype(np.float32)), *(pa.array(w[:, c].copy()) for c in range(4)), lists],
+                    names=["img_id", "corner", "angle", "d0", "d1", "d2", "d3", "keys"],
                 )
 
     return images.select(F.col(img_id).cast("long").alias("img_id"), F.col(image).alias("image")).mapInArrow(run, KEYPOINT)
 
 
-def links(points: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
-    """(a, b, votes): pairs of images with geometric consensus, for points made by keypoints()."""
-    # Buckets with more than one image, from slim rows (a key holds its table's number) with partial aggregates.
-    slim = points.select("img_id", "kp", F.explode("keys").alias("key"))
-    shared = slim.groupBy("key").agg(F.min("img_id").alias("low"), F.max("img_id").alias("high")).where("low <> high")
-    kept = checkpoint(slim.join(shared, "key"))
-    ends = kept.where("img_id = low or img_id = high").select("key", F.col("img_id").alias("r_img"), F.col("kp").alias("r_kp"))
-    met = kept.join(ends, "key").where("img_id <> r_img").select("img_id", "kp", "r_img", "r_kp").distinct()
-    entry = lambda name: F.struct("img_id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").alias(name)
-    left, right = points.select("img_id", "kp", entry("e")), points.select(F.col("img_id").alias("r_img"), F.col("kp").alias("r_kp"), entry("r"))
-    pairs = met.join(left, ["img_id", "kp"]).join(right, ["r_img", "r_kp"])
-    swap = F.col("e.img_id") > F.col("r.img_id")
-    pairs = pairs.select(F.when(swap, F.col("r")).otherwise(F.col("e")).alias("p"), F.when(swap, F.col("e")).otherwise(F.col("r")).alias("q"))
-    differ = sum((F.bit_count(F.col(f"p.d{i}").bitwiseXOR(F.col(f"q.d{i}"))) for i in range(1, 4)), F.bit_count(F.col("p.d0").bitwiseXOR(F.col("q.d0"))))
-    pairs = pairs.where(differ <= MAX_DIFFER)
-    turn = F.col("q.angle") - F.col("p.angle")
-    ratio = F.col("q.scale") / F.col("p.scale")
-    dx = F.col("q.x") - ratio * (F.cos(turn) * F.col("p.x") - F.sin(turn) * F.col("p.y"))
-    dy = F.col("q.y") - ratio * (F.sin(turn) * F.col("p.x") + F.cos(turn) * F.col("p.y"))
-
-    def cells(value: Column, width: float) -> Column:
-        """The two cells nearest to a value, so that no vote is lost at a border."""
-        low = F.floor(value / width - 0.5)
-        return F.array(low, low + 1)
-
-    voted = pairs.select(
-        F.col("p.img_id").alias("a"),
-        F.col("q.img_id").alias("b"),
-        F.pmod(F.round(turn / (2 * np.pi / ANGLES)), F.lit(ANGLES)).cast("int").alias("turn"),
-        F.round(F.log2(ratio) * 4).cast("int").alias("ratio"),
-        cells(dx, 16.0).alias("cx"),
-        cells(dy, 16.0).alias("cy"),
-        F.struct("p.x", "p.y", "p.scale").alias("corner"),
-    )
-    voted = voted.withColumn("cx", F.explode("cx")).withColumn("cy", F.explode("cy"))
-    counted = voted.distinct().groupBy("a", "b", "turn", "ratio", "cx", "cy").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
-    return counted.groupBy("a", "b").agg(F.max("votes").alias("votes"))
+def _whole_runs(batches, n_keys: int):
+    """Lists of columns in which no run of rows with equal first n_keys columns is cut, from batches sorted by these."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
+        last = np.ones(len(cols[0]), bool)
+        for k in cols[:n_keys]:
+            last &= k == k[-1]
+        start = int(last.argmax())
+        if start:
+            yield [c[:start] for c in cols]
+        held = [c[start:] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _run_ends(keys: list[np.ndarray]) -> np.ndarray:
+    """For each row the end of its run of rows with equal keys."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    return np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+
+
+def _pairs(end: np.ndarray, most: int = 1 << 20):
+    """All pairs of rows of one run, in pieces."""
+    left = end - np.arange(len(end)) - 1  # rows of the run behind a row
+    total = np.cumsum(left)
+    i = 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        own = left[i:j]
+        p = np.repeat(np.arange(i, j), own)
+        yield p, p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(own) - own, own)
+        i = j
+
+
+def _votes(cols: list[np.ndarray]):
+    """(a, b, corner of a, corner of b, cell) of the correspondences in sorted rows (key, p, q, me, img_id, corner, angle, d0 to d3)."""
+    key, p, q, me, img, corner, angle = cols[:7]
+    words = np.stack(cols[7:], 1).view(np.uint64)
+    table = key >> TABLE_BITS
+    level = corner >> 48
+    scale = STEP ** level.astype(np.float64)
+    x, y = (corner & 0xFFFFFF) * scale, (corner >> 24 & 0xFFFFFF) * scale
+    for i, j in _pairs(_run_ends([key, p, q])):
+        ok = (img[i] != img[j]) & ((p[i] == q[i]) | (me[i] != me[j]))  # of two tiles only what is between them
+        i, j = i[ok], j[ok]
+        differ = words[i] ^ words[j]
+        near = np.bitwise_count(differ).sum(1, dtype=np.int64) <= MAX_DIFFER
+        i, j, differ = i[near], j[near], differ[near]
+        for t in range(TABLES - 1):  # a pair is told by the first table in which it agrees
+            told = (t < table[i]) & ~(differ & MASKS[t]).any(1)
+            i, j, differ = i[~told], j[~told], differ[~told]
+        if not len(i):
+            continue
+        swap = img[i] > img[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        turn = angle[j].astype(np.float64) - angle[i]
+        ratio = scale[j] / scale[i]
+        dx = x[j] - ratio * (np.cos(turn) * x[i] - np.sin(turn) * y[i])
+        dy = y[j] - ratio * (np.sin(turn) * x[i] + np.cos(turn) * y[i])
+        at = lambda d: np.floor(d / 16.0 - 0.5).astype(np.int64) + (1 << 24)
+        cell = np.round(turn / (2 * np.pi / ANGLES)).astype(np.int64) % ANGLES << 58 | level[j] - level[i] + 32 << 52 | at(dx) << 26 | at(dy)
+        yield img[i], img[j], corner[i], corner[j], cell
+
+
+def _consensus(cols: list[np.ndarray], min_votes: int):
+    """(a, b, votes) from sorted rows (a, b, corner of a, corner of b, cell): the most different corners in one cell."""
+    end = _run_ends(cols[:2])
+    first = np.r_[0, end[:-1][end[:-1] != end[1:]]]
+    run = np.searchsorted(first, np.arange(len(end)), "right") - 1
+    many = np.bincount(run)[run] >= min_votes
+    corner, other, cell = (c[many] for c in cols[2:])
+    run = run[many]
+    if not len(run):
+        return run, run, run
+    need = np.full(len(first), np.iinfo(np.int64).max)
+    for ends in (corner, other):
+        order = np.lexsort((ends, run))
+        new = np.r_[True, (run[order][1:] != run[order][:-1]) | (ends[order][1:] != ends[order][:-1])]
+        need = np.minimum(need, np.bincount(run[order][new], minlength=len(first)))
+    need = np.maximum(min_votes, -(-need // VOTE_SHARE))
+    # The two cells nearest to a value on each axis, so that no vote is lost at a border.
+    cell = np.concatenate([cell + (u << 26) + v for u in (0, 1) for v in (0, 1)])
+    run, corner = np.tile(run, 4), np.tile(corner, 4)
+    order = np.lexsort((corner, cell, run))
+    run, cell, corner = run[order], cell[order], corner[order]
+    new_cell = np.r_[True, (run[1:] != run[:-1]) | (cell[1:] != cell[:-1])]
+    new = new_cell | np.r_[True, corner[1:] != corner[:-1]]
+    votes = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_cell))
+    best = np.zeros(len(first), np.int64)
+    np.maximum.at(best, run[new_cell], votes)
+    won = np.flatnonzero(best >= need)
+    return cols[0][first[won]], cols[1][first[won]], best[won]
+
+
+def links(points: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE) -> DataFrame:
+    """(a, b, votes): all pairs of images with geometric consensus, for points made by keypoints()."""
+    rows = points.select(F.explode("keys").alias("key"), "img_id", "corner", "angle", "d0", "d1", "d2", "d3")
+    # A bucket of more than a tile is cut by a salt; each part meets each, one pair of parts a run.
+    large = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
+    none = F.lit(0)
+    if large.isEmpty():
+        rows = rows.select("key", none.alias("p"), none.alias("q"), none.alias("me"), *rows.columns[1:])
+    else:
+        cut = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("me", F.pmod(F.xxhash64("img_id", "corner", "d0"), F.col("parts")).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(none, F.col("parts") - 1)))
+        rows = cut.select("key", F.least("me", "other").alias("p"), F.greatest("me", "other").alias("q"), "me", *rows.columns[1:])
+
+    def compare(batches):
+        for cols in _whole_runs(batches, 3):
+            for found in _votes(cols):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "corner", "other", "cell"])
+
+    def decide(batches):
+        for cols in _whole_runs(batches, 2):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _consensus(cols, min_votes)], names=["a", "b", "votes"])
+
+    run = ["key", "p", "q"]
+    votes = rows.repartition(*run).sortWithinPartitions(*run).mapInArrow(compare, "a long, b long, corner long, other long, cell long")
+    return votes.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(decide, "a long, b long, votes long")
+
+
+def classes(points: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
+    """(img_id, first, n): the least id and the number of the images with the same points. Images of too few corners, which even a copy doesn't link, are each alone."""
+    row = F.xxhash64("corner", "angle", "d0", "d1", "d2", "d3")
+    prints = points.groupBy("img_id").agg(F.count("*").alias("rows"), F.bit_xor(row).alias("h1"), F.sum(F.shiftright(row, 20)).alias("h2"), (F.size(F.collect_set("corner")) < min_votes).alias("few"))
+    prints = checkpoint(prints.withColumn("alone", F.when(F.col("few"), F.col("img_id"))))
+    same = ["rows", "h1", "h2", "alone"]
+    firsts = prints.groupBy(*same).agg(F.min("img_id").alias("first"), F.count("*").alias("n"))
+    on = [prints[c].eqNullSafe(firsts[c]) for c in same]
+    return prints.join(firsts, on).select("img_id", "first", "n")
 
 
 def image_copies(images: DataFrame, img_id: str = "img_id", image: str = "image", min_votes: int = MIN_VOTES) -> DataFrame:
-    """img_id, component_id (the least id that links reach) and n_links of every row."""
+    """img_id, component_id (the least id that links reach) and n_links (linked images, all of them counted) of every row."""
     points = stored(keypoints(images, img_id, image), "keypoints")  # found once, read for several joins
-    found = checkpoint(links(points, min_votes))
-    roots = components(found)
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("n"))
-    both = roots.join(ends, "node")
+    alike = checkpoint(classes(points, min_votes))
+    copies = alike.where("img_id <> first").select("img_id")
+    found = checkpoint(links(points.join(copies, "img_id", "left_anti"), min_votes))
+    sizes = alike.where("img_id = first").select("first", "n")
+    both = found.select(F.col("a").alias("node"), F.col("b").alias("first")).union(found.select("b", "a"))
+    ends = both.join(sizes, "first").groupBy("node").agg(F.sum("n").alias("others"))
+    named = alike.join(components(found), F.col("first") == F.col("node"), "left").select(F.col("img_id").alias("me"), "first", F.coalesce("root", "first").alias("root"), "n")
+    named = named.join(ends, F.col("first") == F.col("node"), "left").select("me", "root", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     ids = images.select(F.col(img_id).cast("long").alias("img_id"))
-    return ids.join(both, ids["img_id"] == both["node"], "left").select("img_id", F.coalesce("root", "img_id").alias("component_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    return ids.join(named, F.col("img_id") == F.col("me"), "left").select("img_id", F.coalesce("root", "img_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 def rendered(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", grid: int = 24, side: int = 72) -> DataFrame:

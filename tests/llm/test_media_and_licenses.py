@@ -112,3 +112,29 @@ def test_drawn_vectors(spark):
     other = [float(x) for x in np.random.default_rng(2).normal(size=64)]
     df = spark.createDataFrame([(5, v), (9, near), (11, other)], "vec_id long, embedding array<float>")
     assert {r["img_id"]: r["component_id"] for r in im.image_copies(im.rendered(df)).collect()} == {5: 5, 9: 5, 11: 11}
+
+
+def test_links_in_a_bucket_are_those_of_all_pairs(spark):
+    """Copies 3, 4 and 5 stand in every bucket between 1 and 9, which have the same patches at other places."""
+    rng = np.random.default_rng(4)
+    bits = rng.random((5, 256)) < 0.5
+    rows = []
+    for i in (1, 3, 4, 5, 9):
+        for k in range(5):
+            t = bits[k].copy()
+            t[rng.integers(256)] ^= True
+            keys = [int((t[b] << np.arange(im.TABLE_BITS)).sum()) | n << im.TABLE_BITS for n, b in enumerate(im.BITS)]
+            place = 20 * k if 3 <= i <= 5 else 20 * k + 100 * i * (k + 1) ** 2
+            rows.append((i, place << 24 | place, 0.0, *np.packbits(t).view(">i8").tolist(), keys))
+    df = spark.createDataFrame(rows, im.KEYPOINT)
+    for tile in (2, 2048):
+        assert {(r["a"], r["b"]): r["votes"] for r in im.links(df, tile=tile).collect()} == {(3, 4): 5, (3, 5): 5, (4, 5): 5}
+
+
+def test_links_of_edited_and_equal_copies_are_all_counted(spark):
+    a, rng = picture(70), np.random.default_rng(1)
+    edited = [np.clip(a + rng.normal(0, 1.5, a.shape), 0, 255).astype(np.uint8) for _ in range(4)]
+    rows = [row(i, e) for i, e in enumerate([*edited, a, a, a])] + [row(50, picture(71))]
+    df = spark.createDataFrame(rows, "img_id long, image struct<height:int,width:int,gray:binary>, keys string")
+    got = {r["img_id"]: (r["component_id"], r["n_links"]) for r in im.image_copies(df).collect()}
+    assert got == {**dict.fromkeys(range(7), (0, 6)), 50: (50, 0)}
