@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpoint, components, stored
 
-CORNERS, STEP = (14, 6, 4), 1.5  # the most at each scale
-RADIUS, TABLES, TABLE_BITS, MAX_DIFFER, MIN_VOTES = 7, 8, 40, 48, 4
+CORNERS, STEP = (20, 8, 4), 1.5  # the strongest at each scale, besides those of each cell
+CELL, CORNER_AREA = 64, 256  # the strongest of each cell, one for so many pixels
+RADIUS, TABLES, TABLE_BITS, MAX_DIFFER, MIN_VOTES = 7, 8, 24, 48, 4
 VOTE_SHARE = 8  # one vote at least for so many matched corners: with many, some agree by chance
 TILE = 2048
 ANGLES = 24
@@ -41,7 +42,7 @@ BITS = np.stack([_RNG.permutation(256)[:TABLE_BITS] for _ in range(TABLES)])
 #: The 256 bits of each table as four words, as the tests are packed.
 MASKS = np.stack([np.packbits(np.isin(np.arange(256), own)).view(">u8").astype(np.uint64) for own in BITS])
 #: corner holds level, y and x: level << 48 | y << 24 | x, counted in pixels of that level.
-KEYPOINT = "img_id long, corner long, angle float, d0 long, d1 long, d2 long, d3 long, keys array<long>"
+KEYPOINT = "img_id long, corner long, angle float, d0 long, d1 long, d2 long, d3 long, keys array<int>"
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -62,6 +63,18 @@ def _resized(a: np.ndarray, factor: float) -> np.ndarray:
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
 
 
+def _strongest(y: np.ndarray, x: np.ndarray, h: int, w: int, most: int) -> np.ndarray:
+    """Which corners, given strongest first, are kept: the first of all and of each cell, so that every part of a large picture keeps its own."""
+    across = -(-w // CELL)
+    cell = y // CELL * across + x // CELL
+    room = np.minimum(CELL, h - y // CELL * CELL) * np.minimum(CELL, w - x // CELL * CELL)
+    order = np.argsort(cell, kind="stable")
+    first = np.r_[True, cell[order][1:] != cell[order][:-1]]
+    rank = np.empty(len(y), np.int64)
+    rank[order] = np.arange(len(y)) - np.maximum.accumulate(np.where(first, np.arange(len(y)), 0))
+    return (rank < -(-room // CORNER_AREA)) | (np.arange(len(y)) < most)
+
+
 def describe(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, level, angle), with x and y in pixels of the level, and the 256 tests of the strongest corners of each level."""
     image, points, tests = gray.astype(np.float64), [], []
@@ -85,7 +98,9 @@ def describe(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = (y >= edge) & (y < h - edge) & (x >= edge) & (x < w - edge)
         y, x = y[inside], x[inside]
         if len(y):
-            best = np.lexsort((x, y, -response[y, x]))[:most]
+            best = np.lexsort((x, y, -response[y, x]))
+            y, x = y[best], x[best]
+            best = _strongest(y, x, h, w, most)
             y, x = y[best], x[best]
             patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
             angle = np.arctan2((patch * _DISC[:, 0]).sum(1), (patch * _DISC[:, 1]).sum(1))
@@ -120,7 +135,7 @@ def keypoints(images: DataFrame, img_id: str = "img_id", image: str = "image") -
                     ids.append(np.full(len(p), i, np.int64))
                     points.append(p)
                     words.append(np.packbits(t, axis=1).view(">i8").astype(np.int64))
-                    keys.append(((t[:, BITS] * weights).sum(2).astype(np.int64) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS))
+                    keys.append(((t[:, BITS] * weights).sum(2).astype(np.int64) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS).astype(np.int32))
             if ids:
                 p, w = np.concatenate(points), np.concatenate(words)
                 x, y, level = p[:, :3].astype(np.int64).T

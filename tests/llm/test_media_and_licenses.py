@@ -114,6 +114,13 @@ def test_drawn_vectors(spark):
     assert {r["img_id"]: r["component_id"] for r in im.image_copies(im.rendered(df)).collect()} == {5: 5, 9: 5, 11: 11}
 
 
+def test_every_part_of_a_large_picture_keeps_corners():
+    large = picture(50, 400, 400).astype(float)
+    large[:, 200:] = large[:, 200:] * 0.2 + 100  # the strongest corners are in the left half
+    p, _ = im.describe(large.astype(np.uint8))
+    assert ((p[:, 2] == 0) & (p[:, 0] > 220)).sum() >= 40
+
+
 def test_links_in_a_bucket_are_those_of_all_pairs(spark):
     """Copies 3, 4 and 5 stand in every bucket between 1 and 9, which have the same patches at other places."""
     rng = np.random.default_rng(4)
