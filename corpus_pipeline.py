@@ -2,7 +2,7 @@
 
 Each stage takes what the one before kept, and all but the last return the
 columns of documents. Stages 1 to 3 take documents out, stage 4 puts all that
-are left in mixed order, stage 5 deals them to shards.
+are left in mixed order, stage 5 deals them to shards, whose slots keep that order.
 """
 
 from __future__ import annotations
@@ -48,9 +48,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document."""
+    """Shard and slot of every document; the slots of a shard are in the mixed order."""
     ship(spark)
-    return shard_bfd.shard(docs)
+    return shard_bfd.shard(docs, in_order=True)
 
 
 STAGES = [

@@ -86,6 +86,26 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, bucket_rows:
     )
 
 
+def position(df: DataFrame) -> Column:
+    """Where a row stands in df, as a struct that sorts: its file and row, where df only reads files, else its partition and row."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation":  # files are not read in the order of their names
+        return F.struct(F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row"))
+    return F.struct(F.lit("").alias("part"), F.monotonically_increasing_id().alias("row"))
+
+
+def numbered_in_place(df: DataFrame, group: str, at: str, out: str) -> DataFrame:
+    """Number the rows of each group from 0 in the order of `at`, made by position(): stretches of 1024 rows are numbered each, and the sizes of those before are added."""
+    cut = df.withColumn("_b", F.struct(F.col(f"{at}.part"), F.shiftright(F.col(f"{at}.row"), 10)))
+    starts = cut.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_c")).agg(F.count("*").alias("_rows"))
+    before = W.partitionBy("_g").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    ranked = cut.withColumn("_row", F.row_number().over(W.partitionBy(group, "_b").orderBy(at)).cast("long") - 1)
+    return ranked.join(starts, ranked[group].eqNullSafe(starts["_g"]) & (ranked["_b"] == starts["_c"])).withColumn(out, F.col("_row") + F.col("_start")).drop("_g", "_b", "_c", "_row", "_start")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the least node reachable.
 

@@ -16,7 +16,7 @@ Defined cases: a null text has size 1 like an empty one, and each stands in a
 group of its kind; a group above the capacity gets a shard of its own, larger
 than the others; repeated rows belong to one group; an empty table gives no rows;
 other columns are ignored. Slots number a shard's rows from 0 without a gap, by
-doc_id inside of hashed buckets.
+doc_id inside of hashed buckets, or with `in_order` as the rows of the input stand.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, numbered
+from .common import checkpoint, numbered, numbered_in_place, position
 
 LAW = "bytes"
 
@@ -174,15 +174,16 @@ class Packing:
         return found.withColumn(out, F.coalesce("_by_key", "_by_pool")).drop("_k", "_pool", "_by_key", "_by_pool")
 
 
-def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text", per_shard: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text", per_shard: int = 1024, in_order: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is not `key`) of every row.
 
     Give the number of shards (sizes near equal) or their capacity in bytes (as few shards as the packing needs).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), _group(text).alias("key")))
+    at = [position(docs).alias("at")] if in_order else []
+    slim = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), _group(text).alias("key"), *at))
     dealt = Packing(slim, shards, capacity, per_shard).assign(slim, "shard").drop("key")
-    ranked = numbered(dealt, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    ranked = numbered_in_place(dealt, "shard", "at", "slot") if in_order else numbered(dealt, "shard", ["doc_id", "text_crc32", "size"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

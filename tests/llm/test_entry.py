@@ -57,6 +57,23 @@ def test_the_mixed_stream_follows_the_weights(spark):
     assert all(abs(seen[s] - 320 * weight[s]) <= 2 * 16 for s in n)
 
 
+def test_slots_are_in_the_mixed_order(spark, tmp_path):
+    docs = table(spark, SMALL, "documents")
+    slots = {}
+    for name, weights in (("even", None), ("one", {docs.first()["source"]: 1.0})):
+        mixed = corpus_pipeline.pfair_mix.in_mixed_order(docs, F.col("doc_id"), weights)
+        mixed.write.parquet(str(tmp_path / name))
+        want = {r["doc_id"]: i for i, r in enumerate(mixed.collect())}
+        for frame in (mixed, spark.read.parquet(str(tmp_path / name))):
+            got = corpus_pipeline.sharding(spark, frame, SMALL).collect()
+            slots[name] = {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
+            for shard in {r["shard"] for r in got}:
+                own = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
+                assert [r["slot"] for r in own] == list(range(len(own)))
+                assert [want[r["doc_id"]] for r in own] == sorted(want[r["doc_id"]] for r in own)
+    assert slots["even"] != slots["one"]
+
+
 def test_stages_keep_rows_with_odd_ids(spark):
     rows = [(None, "the same words are here again and again", "en", "a", 1, "x"), (None, "the same words are here again and again", "en", "a", 1, "x"), (7, None, None, None, None, None), (8, "", "en", "a", 0, "y"), (9, "quite other words stand in this one text", "en", None, 1, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string").withColumn("score", F.lit(1)).withColumn("rejected", F.lit("no")).withColumn("pos", F.lit(2)).withColumn("term", F.lit("t"))
