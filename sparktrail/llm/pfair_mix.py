@@ -1,38 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows form blocks of `block_rows`. With target weight w, block i of
-a source (from 0) is released at slot floor(i/w) and due at slot ceil((i+1)/w);
-each slot takes, of the released blocks, the one due earliest. On one stream with
-weights that sum to 1 this earliest-deadline-first order meets every deadline,
-so that after any number of slots a source is less than one block from its
-target.
-
-Weights are whole parts of `resolution`, so the schedule repeats after as many
-slots as there are parts: one period is made on the driver and gives the slot
-of every block by division, at any size. When a source has no blocks left, its
-weight goes to the others in proportion and a new phase begins with the
-schedule of those; within each phase the deviation is less than one block.
-No row is dropped or repeated.
-
-Defined cases: a null source is a source of its own; sources without a given
-weight, or beyond the `max_sources` largest, share the name ``other``; weights of
-sources without rows are ignored; weights must not be negative, and a source of
-weight 0 comes after all others; with no weights given they are the square roots
-of the row counts. Ties are broken by source name. Rows of a source are taken in
-an order set by a hash of the id; repeated rows stay; an empty table gives no rows.
+Each source's rows form blocks of `block_rows`. In the ideal stream every source
+advances all the time at the rate of its weight, and when one has no blocks
+left its rate goes to the others in proportion. A block is released in the slot
+in which the ideal stream begins it, and due in that in which it is ended; each
+slot takes, of the released blocks, the one due earliest. On one stream this
+earliest-deadline-first order meets every deadline, so that after any number of
+slots each source is less than one block from the ideal stream.
+
+Every source has a schedule of its own and its weight as given, without rounding.
+The order of the blocks is made on the driver, which holds the names and counts
+of the sources and eight bytes a block. No row is dropped or repeated.
+
+Defined cases: a null source is a source of its own; where weights are given, each
+source without one has the least positive weight given; weights of sources
+without rows are ignored; weights must not be negative, and sources of weight 0
+come after all others, with equal shares; with no weights given they are the
+square roots of the row counts. Ties are broken by source name. Rows of a source
+are taken in an order set by a hash of the id; repeated rows stay; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpoint, fresh, numbered
 
-BLOCK_ROWS, RESOLUTION, MAX_SOURCES = 16, 10_000, 256
+BLOCK_ROWS, RESOLUTION, CHUNK = 16, 10_000, 4096
 
 
 def period(parts: dict[str, int]) -> dict[str, list[int]]:
@@ -78,32 +79,64 @@ def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int =
     return out
 
 
-def mix(rows: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, max_sources: int = MAX_SOURCES) -> DataFrame:
+def _windows(blocks: dict[str, int], weights: dict[str, float]):
+    """A function that gives the slots in which the ideal stream begins and ends block i of source s."""
+    ends = sorted((n / weights[s], n, weights[s]) for s, n in blocks.items())
+    at = [e[0] for e in ends]
+    done = [0, *accumulate(e[1] for e in ends)]
+    rates = [*accumulate((e[2] for e in reversed(ends)), initial=0.0)][::-1]  # of the sources left after each end
+
+    def slots(s: str, i: int) -> float:
+        v = i / weights[s]
+        k = bisect_left(at, v)
+        x = done[k] + rates[k] * v
+        near = round(x)
+        return near if abs(x - near) < 1e-6 else x  # sums of floats that stand for whole slots
+
+    return lambda s, i: (math.floor(slots(s, i)), math.ceil(slots(s, i + 1)))
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, array]:
+    """The slot of each block of each source, by earliest deadline first."""
+    out, t = {s: array("q") for s, n in blocks.items() if n}, 0
+    for own in ({s: weights[s] for s in out if weights[s] > 0}, {s: 1.0 for s in out if not weights[s] > 0}):
+        window = _windows({s: blocks[s] for s in own}, own)
+        first, ready = t, []
+        waiting = [(0, s, window(s, 0)[1]) for s in sorted(own)]
+        heapq.heapify(waiting)
+        while waiting or ready:
+            while waiting and (waiting[0][0] <= t - first or not ready):
+                _, s, due = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, s))
+            _, s = heapq.heappop(ready)
+            out[s].append(t)
+            t += 1
+            if (i := len(out[s])) < blocks[s]:
+                released, due = window(s, i)
+                heapq.heappush(waiting, (released, s, due))
+    return out
+
+
+def mix(rows: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, source, block, slot and place (in the block) of every row: the mixed order is by slot, then place."""
     spark = rows.sparkSession
-    named = rows.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("_s"))
-    counts = named.groupBy("_s").agg(F.count("*").alias("n"))
+    named = rows.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("_s")).withColumn("_h", F.xxhash64("doc_id", F.lit(3)))
+    n = {r["_s"]: r["n"] for r in named.groupBy("_s").agg(F.count("*").alias("n")).collect()}  # a row a source
     if weights is None:
-        own = {r["_s"]: math.sqrt(r["n"]) for r in counts.orderBy(F.desc("n"), "_s").limit(max_sources).collect()}
+        own = {s: math.sqrt(k) for s, k in n.items()}
     else:
-        if len(weights) > max_sources or min(weights.values(), default=0) < 0:
-            raise ValueError("weights must not be negative, and not more than max_sources")
-        own = {"null" if s is None else f"={s}": w for s, w in weights.items()}
-    listed = F.col("_s").isin(list(own)) if own else F.lit(False)
-    named = named.withColumn("_s", F.when(listed, F.col("_s")).otherwise("other")).withColumn("_h", F.xxhash64("doc_id", F.lit(3)))
-    n = {r["_s"]: r["n"] for r in named.groupBy("_s").agg(F.count("*").alias("n")).collect()}  # max_sources + 1 rows at most
-    rest = [w for s, w in own.items() if s in n and w > 0]
-    own.setdefault("other", min(rest, default=1.0))
-    plan = spark.createDataFrame(
-        phases({s: math.ceil(k / block_rows) for s, k in n.items()}, own, resolution),
-        "_p string, first long, blocks long, start long, parts long, period long, slots array<int>",
-    )
+        if min(weights.values(), default=0) < 0:
+            raise ValueError("weights must not be negative")
+        given = {"null" if s is None else f"={s}": w for s, w in weights.items()}
+        least = min((w for s, w in given.items() if s in n and w > 0), default=1.0)
+        own = {s: given.get(s, least) for s in n}
+    slots = schedule({s: math.ceil(k / block_rows) for s, k in n.items()}, own)
+    plan = spark.createDataFrame([(s, i // CHUNK, at[i : i + CHUNK].tolist()) for s, at in slots.items() for i in range(0, len(at), CHUNK)], "_p string, _c long, slots array<long>")
     ranked = numbered(named, "_s", ["_h", "doc_id"], "_r").withColumn("block", F.floor(F.col("_r") / block_rows))
-    inside = F.col("block") - F.col("first")
-    # One row for each source and phase, with at most `resolution` slots in all for a phase.
-    placed = ranked.join(F.broadcast(plan), (F.col("_s") == F.col("_p")) & (inside >= 0) & (inside < F.col("blocks")))
-    slot = F.col("start") + F.floor(inside / F.col("parts")) * F.col("period") + F.get("slots", (inside % F.col("parts")).cast("int"))
-    return placed.select("doc_id", "source", "block", slot.cast("long").alias("slot"), (F.col("_r") % block_rows).alias("place"))
+    # A row of the plan has the slots of CHUNK blocks, so a large source is many keys.
+    placed = ranked.withColumn("_k", F.floor(F.col("block") / CHUNK)).join(plan, (F.col("_s") == F.col("_p")) & (F.col("_k") == F.col("_c")))
+    slot = F.get("slots", (F.col("block") % CHUNK).cast("int"))
+    return placed.select("doc_id", "source", "block", slot.alias("slot"), (F.col("_r") % block_rows).alias("place"))
 
 
 def in_mixed_order(docs: DataFrame, key, weights: dict[str, float] | None = None) -> DataFrame:

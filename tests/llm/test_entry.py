@@ -60,7 +60,7 @@ def test_the_mixed_stream_follows_the_weights(spark):
 def test_slots_are_in_the_mixed_order(spark, tmp_path):
     docs = table(spark, SMALL, "documents")
     slots = {}
-    for name, weights in (("even", None), ("one", {docs.first()["source"]: 1.0})):
+    for name, weights in (("even", None), ("last", {docs.first()["source"]: 0.0})):
         mixed = corpus_pipeline.pfair_mix.in_mixed_order(docs, F.col("doc_id"), weights)
         mixed.write.parquet(str(tmp_path / name))
         want = {r["doc_id"]: i for i, r in enumerate(mixed.collect())}
@@ -71,7 +71,7 @@ def test_slots_are_in_the_mixed_order(spark, tmp_path):
                 own = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
                 assert [r["slot"] for r in own] == list(range(len(own)))
                 assert [want[r["doc_id"]] for r in own] == sorted(want[r["doc_id"]] for r in own)
-    assert slots["even"] != slots["one"]
+    assert slots["even"] != slots["last"]
 
 
 def test_stages_keep_rows_with_odd_ids(spark):

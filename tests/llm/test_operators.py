@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -163,6 +164,32 @@ def test_mix_prefixes_follow_the_weights(spark):
         assert all(abs(seen[s] - w * (t + 1)) < 1 for s, w in weights.items())
 
 
+def test_every_source_follows_its_exact_weight():
+    weights = {f"s{i:03}": math.sqrt(2 + i) for i in range(400)} | {"big": 400 * math.pi}
+    blocks = {s: 100 + int(20 * w) for s, w in weights.items()} | {"big": 40_000}
+    slots = pfair_mix.schedule(blocks, weights)
+    order = [s for _, s in sorted((t, s) for s, own in slots.items() for t in own)]
+    assert len(order) == sum(blocks.values()) == len({t for own in slots.values() for t in own})
+    total, span = sum(weights.values()), min(blocks[s] / weights[s] for s in blocks)
+    until = int(span * total)  # until the first source ends
+    assert until > 150_000
+    for s, w in weights.items():
+        given = np.searchsorted(slots[s], np.arange(1, until + 1, 7))
+        assert np.abs(given - np.arange(1, until + 1, 7) * w / total).max() < 1
+
+
+def test_mix_keeps_hundreds_of_sources_apart(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 400).alias("source"))
+    for weights in (None, {f"s{i}": 1.0 + i for i in range(400)}):
+        got = pfair_mix.mix(df, weights, block_rows=5).collect()
+        by_slot = {}
+        for r in got:
+            by_slot.setdefault(r["slot"], set()).add(r["source"])
+        assert sorted(by_slot) == list(range(800)) and all(len(s) == 1 for s in by_slot.values())
+    seen = Counter(s for t in range(400) for s in by_slot[t])
+    assert seen["s399"] == 2 and seen["s0"] == 0
+
+
 # --- near-dedup
 
 
