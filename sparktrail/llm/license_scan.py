@@ -5,10 +5,12 @@ that are neither letters nor digits become one space. All k-grams of bytes are
 hashed and winnowed: of each window of w neighbours the least hash is kept, so
 that a shared passage of k + w - 1 bytes always shares a fingerprint. An inverted
 index maps the fingerprints of the templates to their places. Where enough
-fingerprints of a template meet a text on nearby diagonals, the template's words
-are aligned with the text's words there, within a band around that diagonal;
-the alignment says how many of the template's words are matched (coverage) and
-which code points of the text they span.
+fingerprints of a template meet a text within the band's reach of a diagonal, the
+template's words are aligned with the text's words there, within a band around
+that diagonal; the alignment says how many of the template's words are matched
+(coverage) and which code points of the text they span. Every such diagonal is
+tried, those with the most fingerprints first. Words of a match are used up, so
+that of overlapping spans of a template the first stays.
 
 The templates are a parameter and their index is small, so each task holds it.
 
@@ -19,6 +21,7 @@ refused; repeated rows are scanned each; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -146,13 +149,15 @@ def words_of(b: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return [words[i] for i in full], starts[full]
 
 
-def align(a: list[bytes], b: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(a: list[bytes], b: list[bytes | None], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """Local alignment of a with b where |j - i - diagonal| <= band: matched words, first and last word of b (exclusive)."""
     best = (0, 0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}  # j: score, matches, start
     for i, word in enumerate(a):
         row: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, i + diagonal - band), min(len(b), i + diagonal + band + 1)):
+            if b[j] is None:  # no alignment goes through a used word
+                continue
             s, m, f = above.get(j - 1, (0, 0, j))
             if s <= 0:
                 s, m, f = 0, 0, j
@@ -183,23 +188,27 @@ def scan(text: str | None, index: Index, band: int = BAND, min_coverage: float =
     for t, own in by.items():
         template = index.templates[t]
         reach = band * 8  # bytes of the words that the band lets a copy gain or lose
-        own.sort()
-        groups = [[own[0]]]
-        for x in own[1:]:
-            if x[0] - groups[-1][-1][0] <= reach:
-                groups[-1].append(x)
-            else:
-                groups.append([x])
-        for group in groups:
-            if len({q for _, _, q in group}) < min_share * template.n_prints:
+        diagonals = defaultdict(list)
+        for d, p, q in own:
+            diagonals[d].append((p, q))
+        order = sorted(diagonals)
+        left = list(words)  # None: used by a match
+        for d in sorted(order, key=lambda d: (-len(diagonals[d]), d)):
+            near = order[bisect_left(order, d - reach) : bisect_right(order, d + reach)]
+            if len({q for x in near for _, q in diagonals[x]}) < min_share * template.n_prints:
                 continue
-            _, p, q = group[len(group) // 2]
-            i = int(np.searchsorted(template.starts, q, "right")) - 1
-            j = int(np.searchsorted(starts, p, "right")) - 1
-            first = max(0, j - i - band)
-            part = words[first : j - i + len(template.words) + band + 1]
-            matched, s, e = align(template.words, part, j - i - first, band)
-            if matched >= min_coverage * len(template.words):
+            while True:
+                free = [(p, q, j) for p, q in diagonals[d] if left[j := int(np.searchsorted(starts, p, "right")) - 1] is not None]
+                if not free:
+                    break
+                _, q, j = free[len(free) // 2]
+                i = int(np.searchsorted(template.starts, q, "right")) - 1
+                first = max(0, j - i - band)
+                part = left[first : j - i + len(template.words) + band + 1]
+                matched, s, e = align(template.words, part, j - i - first, band)
+                if matched < min_coverage * len(template.words):
+                    break
+                left[first + s : first + e] = [None] * (e - s)
                 lo, hi = int(at[starts[first + s]]), int(at[ends[first + e - 1] - 1]) + 1
                 out.add((template.name, matched / len(template.words), lo, hi))
     chars = lambda n: len(raw[:n].decode("utf-8", "surrogatepass"))

@@ -51,6 +51,22 @@ def test_templates_are_found_with_their_spans():
     assert not [m for m in ls.scan(" ".join(mit[:20]), index) if m[0] == "MIT"]
 
 
+def test_repeats_side_by_side_are_reported_each():
+    index = ls.Index(ls.TEMPLATES)
+    for name in ("All-rights-reserved", "CC-BY-NC-4.0-line", "MIT-line", "Apache-2.0-line"):
+        line = ls.TEMPLATES[name]
+        for unit in (line + " ", f"Copyright X. {line}\n"):
+            text = unit * 40
+            found = [m for m in ls.scan(text, index) if m[0] == name]
+            assert [m[1] for m in found] == [1.0] * 40
+            for n, m in enumerate(found):
+                assert text[m[2] : m[3]].strip(".") == line.strip(".") and m[2] // len(unit) == n
+    notice = ls.TEMPLATES["Apache-2.0"]
+    text = (ls.TEMPLATES["Apache-2.0-line"] + "\n") * 60 + notice
+    found = [m for m in ls.scan(text, index) if m[0] == "Apache-2.0"]
+    assert [(m[1], text[m[2] : m[3]]) for m in found] == [(1.0, notice)]
+
+
 def test_scan_does_not_depend_on_chunks(monkeypatch):
     rng, index = random.Random(2), ls.Index(ls.TEMPLATES)
     text = "\n".join(words(rng, 17) + " " + rng.choice(list(ls.TEMPLATES.values())) for _ in range(30))
