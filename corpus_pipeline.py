@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparktrail import ship
 from sparktrail.llm import centroid_langid, decontaminate, pfair_mix, shard_bfd, simhash_tiles
-from sparktrail.llm.common import fresh, row_key, table
+from sparktrail.llm.common import fresh, row_key, table, whole_row_key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one of the least doc_id. Of repeated rows one stays too."""
+    """One document of each component stays: the one of the least doc_id. Of equal rows one stays too; different rows of one doc_id are different documents."""
     ship(spark)
     key = fresh(docs, "key")
-    keyed = docs.withColumn(key, row_key(docs))
+    keyed = docs.withColumn(key, whole_row_key(docs))
     said = simhash_tiles.near_duplicates(keyed, doc_id=key)
     kept = said.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
     key = fresh(docs, "key")
-    keyed = docs.withColumn(key, row_key(docs))
+    keyed = docs.withColumn(key, F.xxhash64(whole_row_key(docs)))
     said = decontaminate.contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return keyed.join(said.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
 

@@ -63,6 +63,12 @@ def row_key(df: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(*rest), 2) + F.lit(1 << 61))
 
 
+def whole_row_key(df: DataFrame) -> Column:
+    """A struct that names a row and sorts by its id: rows of one doc_id that differ are apart."""
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    return F.struct(row_key(df).alias("id"), F.xxhash64(*rest).alias("row"))
+
+
 def numbered(df: DataFrame, group: str, order: list[str], out: str, bucket_rows: int = 1000) -> DataFrame:
     """Number the rows of each group from 0 without a gap, whatever the size of a group.
 

@@ -57,6 +57,18 @@ def test_the_mixed_stream_follows_the_weights(spark):
     assert all(abs(seen[s] - 320 * weight[s]) <= 2 * 16 for s in n)
 
 
+def test_different_texts_of_one_doc_id_are_different_documents(spark):
+    words = "stone river lamp green under seven table wind paper north quick silver".split()
+    texts = [" ".join(words), " ".join(reversed(words)), "an unlike text of the same id, with much else to say about boats"]
+    leak = table(spark, SMALL, "benchmark").where("length(text) > 200").first()["text"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[2]), (6, leak), (6, texts[1] + " " + texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a"))
+    got = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(set(rows) - {(5, texts[0])})
+    clean = corpus_pipeline.decontamination(spark, docs, SMALL)
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(r for r in rows if r[1] != leak)
+
+
 def test_slots_are_in_the_mixed_order(spark, tmp_path):
     docs = table(spark, SMALL, "documents")
     slots = {}
