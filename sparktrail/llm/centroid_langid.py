@@ -11,8 +11,9 @@ quantile of the cosines of training texts of about its length, measured on
 pieces of the training texts of every length.
 
 The fit takes a sample of about `per_lang` labelled rows a language, chosen by a
-hash of the id, among texts of at most `fit_bytes` bytes; prediction reads every
-text whole.
+hash of the id, among texts of at most `fit_bytes` bytes. Where a language has
+fewer of these, longer texts make up the number, by their first `fit_bytes`
+characters; prediction reads every text whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; with no labelled row at all, every text is ``und``; equal cosines go to
@@ -123,13 +124,13 @@ def fit_texts(texts: list[str], langs: list[str], clusters: int = CLUSTERS, dims
 def fit(docs: DataFrame, train: Column | None = None, per_lang: int = PER_LANG, fit_bytes: int = FIT_BYTES, **how) -> Model:
     """From docs (doc_id, text, lang), rows where `train` holds."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")) if train is None else docs.where(train).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    rows = rows.where("lang is not null and text is not null").where(F.octet_length("text") <= fit_bytes)
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    rows = rows.where("lang is not null and text is not null").withColumn("long", F.octet_length("text") > fit_bytes)
+    n = {(r["lang"], r["long"]): r["n"] for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}  # two rows a language
     if not n:
         return Model(dims=how.get("dims", DIMS))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_lang / k)) for lang, k in sorted(n.items())])
+    share = F.coalesce(*[F.when((F.col("lang") == lang) & (F.col("long") == long), F.lit((max(0, per_lang - n.get((lang, False), 0)) if long else per_lang) / k)) for (lang, long), k in sorted(n.items())])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    sample = sorted((r["lang"], r["text"]) for r in rows.where(draw < share).select("lang", "text").collect())
+    sample = sorted((r["lang"], r["text"]) for r in rows.where(draw < share).select("lang", F.when(F.col("long"), F.substring("text", 1, fit_bytes)).otherwise(F.col("text")).alias("text")).collect())
     return fit_texts([text for _, text in sample], [lang for lang, _ in sample], **how)
 
 

@@ -274,6 +274,17 @@ def test_counts_of_long_texts_do_not_depend_on_chunks(monkeypatch):
     assert (centroid_langid.counts(text) == whole).all()
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    say = {"en": "the river runs under the old bridge and the children watch ", "de": "der Fluss zieht unter der alten Bruecke und die Kinder schauen zu ", "fr": "la riviere coule sous le vieux pont et les enfants regardent "}
+    short = [(i, say["en"] * (1 + i), "en") for i in range(4)]
+    long = [(10 * k + i, say[lang] * (700 + i), lang) for k, lang in ((1, "de"), (2, "fr")) for i in range(4)]
+    for rows in (short + long, long):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = centroid_langid.fit(docs)
+        got = centroid_langid.predict(docs, model, ("lang",)).collect()
+        assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in got)
+
+
 # --- decontamination
 
 
