@@ -23,6 +23,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 SPACE = "▁"
 CACHE_WORDS, CACHE_CHARS = 600_000, 64
 
@@ -134,4 +136,4 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
             )
 
     ids = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return ids.mapInArrow(count, f"doc_id {ids.dtypes[0][1]}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(ids, count, f"doc_id {ids.dtypes[0][1]}, n_bytes long, n_tokens long, over_limit boolean")

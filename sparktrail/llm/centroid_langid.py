@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import checkpoint, map_arrow
+
 PER_LANG, FIT_BYTES, DIMS, CLUSTERS = 300, 32_768, 8192, 4
 CHUNK = 1 << 20
 _OTHER = re.compile(r"[\W\d_]+")
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), out: tup
 
     rows = docs.select(F.col("text").alias("_text"), *carry)
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes[1:])
-    return rows.mapInArrow(run, ", ".join(filter(None, [kinds, "`{}` string, `{}` double, `{}` boolean".format(*out)])))
+    return map_arrow(rows, run, ", ".join(filter(None, [kinds, "`{}` string, `{}` double, `{}` boolean".format(*out)])))
 
 
 def held_out() -> Column:

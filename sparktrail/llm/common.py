@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -14,20 +15,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that all executors share.
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow, with this package sent to the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
-    The folder is `spark.checkpoint.dir` of the session. Only where that is
-    unset, as in tests on one machine, a temporary folder is taken.
-    """
-    _folder(df.sparkSession)
-    return df.checkpoint()
+
+@contextmanager
+def _settings(spark: SparkSession, **own: str):
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: The shuffle files of a plan go when it has ended, as its result is in files of its own.
+_SHUFFLES_END = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def _folder(spark: SparkSession) -> str:
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the folder that all executors share."""
+    folder(df.sparkSession)
+    with _settings(df.sparkSession, **_SHUFFLES_END):
+        return df.checkpoint()
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder `spark.checkpoint.dir` of the session. Only where that is unset and all runs on one machine, as in tests, a temporary folder is taken."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -37,11 +61,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The files stay until the folder is cleared, as the frames made from them are read later.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with _settings(spark, **_SHUFFLES_END):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT = 256
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = 100) -> list:
+    """The keys that hold over 1/HOT of the rows each: fewer than HOT, whatever the table."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return [r[0] for r in counts.where((F.col("_n") > total / HOT) & (F.col("_n") >= least)).collect()]
+
+
+def join_unique(rows: DataFrame, key: str, unique: DataFrame, name: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """rows joined with `unique`, whose column `name` has each value once, so that no hot key of rows lands in one task.
+
+    Where rows have hot keys, these meet the rows of `unique` that have them, of
+    which there are fewer than HOT, by broadcast; the rest is joined by a shuffle.
+    Give `hot` where the keys are known.
+    """
+    hot = hot_keys(rows, key) if hot is None else hot
+    hot = [k for k in hot if k is not None]
+    on = rows[key] == unique[name]
+    if not hot:
+        return rows.join(unique, on, how)
+    values = rows.sparkSession.createDataFrame([(k,) for k in hot], f"_hot {dict(unique.dtypes)[name]}")
+    some = F.broadcast(unique.join(F.broadcast(values), unique[name] == F.col("_hot"), "left_semi"))
+    at = F.col(key).isin(hot) if not isinstance(hot[0], (bytes, bytearray)) else F.coalesce(*[F.when(F.col(key) == F.lit(bytes(k)), F.lit(True)) for k in hot], F.lit(False))
+    at = F.coalesce(at, F.lit(False))
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else a union a round doubles them
+    return rows.where(~at).join(unique, on, how).unionByName(rows.where(at).join(some, on, how)).coalesce(most)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     have = {c.lower() for c in df.columns}
@@ -58,9 +113,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(df: DataFrame) -> Column:
-    """An integer that names a row of documents: its doc_id, or for a null one a hash of the row above all usual ids."""
-    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c != "doc_id" and not kind.startswith(("map", "variant"))]
-    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(*rest), 2) + F.lit(1 << 61))
+    """An integer that names a row of documents: its doc_id, or where that is null or no integer a hash of the row above all usual ids."""
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    return F.coalesce(F.col("doc_id").try_cast("long"), F.shiftrightunsigned(F.xxhash64(*rest), 2) + F.lit(1 << 61))
 
 
 def whole_row_key(df: DataFrame) -> Column:
@@ -75,11 +130,13 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, bucket_rows:
     A group is cut into buckets by a hash of `order`, each bucket is numbered by
     a window of its own, and the sizes of the buckets before it are added. No
     task holds a whole group. Rows that agree in all of `order` get their
-    numbers in any order.
+    numbers in any order. `group` must not be null.
     """
     key = F.xxhash64(*[F.col(c) for c in order])
-    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / bucket_rows).cast("long").alias("_n"))
-    cut = df.join(sizes, df[group].eqNullSafe(sizes["_g"])).drop("_g").withColumn("_b", F.pmod(key, F.col("_n"))).drop("_n")
+    sizes = checkpoint(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_rows")).withColumn("_n", F.ceil(F.col("_rows") / bucket_rows).cast("long")))
+    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    hot = [r[0] for r in sizes.where((F.col("_rows") > total / HOT) & (F.col("_rows") >= 100) & F.col("_g").isNotNull()).select("_g").collect()]
+    cut = join_unique(df, group, sizes.select("_g", "_n"), "_g", hot=hot).drop("_g").withColumn("_b", F.pmod(key, F.col("_n"))).drop("_n")
     starts = cut.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_c")).agg(F.count("*").alias("_rows"))
     before = W.partitionBy("_g").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
@@ -119,25 +176,31 @@ def components(edges: DataFrame) -> DataFrame:
     and the edges are carried over to where their ends moved. The image of a
     connected graph stays connected, so no link is lost. Every other round takes
     the least by a hash, so that long ordered chains shrink as fast as others.
-    Nothing is collected; a node with very many edges is an aggregate with
-    partial sums and a join that Spark can split.
+    Nothing grows on the driver. A node with very many edges is an aggregate with
+    partial sums, and is joined by a broadcast of its one row: it holds over
+    1/HOT of the ends of edges, or of the labels, so there are few of these.
     """
-    edges = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("at", F.col("node"))
     turn = 0
-    while not edges.isEmpty():
+    while n := edges.count():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         if turn % 2:
             rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("x"))
-            step = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u"))["x"].alias("p"))
+            step = both.groupBy("u").agg(F.min(rank("v")).alias("m"), F.count("*").alias("n")).select("u", F.least("m", rank("u"))["x"].alias("p"), "n")
         else:
-            step = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("p"))
+            step = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("p"), "n")
+        step = checkpoint(step)
+        # a node that many others move to has as many edges
+        hot = [r[0] for r in step.where((F.col("n") > 2 * n / HOT) & (F.col("n") >= 100)).select("u").collect()]
+        step = step.drop("n")
         again = step.select(F.col("u").alias("w"), F.col("p").alias("q"))
-        step = checkpoint(step.join(again, step["p"] == again["w"]).select("u", F.col("q").alias("p")))
-        labels = checkpoint(labels.join(step, labels["at"] == step["u"], "left").select("node", F.coalesce("p", "at").alias("at")))
-        one = edges.join(step, edges["a"] == step["u"]).select(F.col("p").alias("a"), "b")
-        two = one.join(step, one["b"] == step["u"]).select("a", F.col("p").alias("b")).where("a <> b")
-        edges = checkpoint(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        step = checkpoint(join_unique(step, "p", again, "w", hot=hot).select("u", F.col("q").alias("p")))
+        labels = checkpoint(join_unique(labels, "at", step, "u", "left", hot=hot_keys(labels, "at") if turn else []).select("node", F.coalesce("p", "at").alias("at")))
+        one = join_unique(edges, "a", step, "u", hot=hot).select(F.col("p").alias("a"), "b")
+        two = join_unique(one, "b", step, "u", hot=hot).select("a", F.col("p").alias("b")).where("a <> b")
+        # as files, whose sizes are known: a checkpoint's estimate would be multiplied by each join, to numbers of millions of digits
+        edges = stored(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         turn += 1
-    least = labels.groupBy("at").agg(F.min("node").alias("root"))
-    return labels.join(least, "at").select("node", "root")
+    least = checkpoint(labels.groupBy("at").agg(F.min("node").alias("root")).withColumnRenamed("at", "_at"))
+    return join_unique(labels, "at", least, "_at").select("node", "root")

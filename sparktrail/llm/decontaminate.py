@@ -42,9 +42,9 @@ def words(text: Column) -> Column:
 
 
 def _named() -> list[Column]:
-    """doc_id, and two columns that name a document: its id, else a hash of its text; and a hash of its text."""
+    """doc_id, and two columns that name a document: its id, or where that is no integer a hash of id and text; and a hash of its text."""
     h = F.xxhash64("text")
-    return [F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(h, 2) + F.lit(1 << 61)).alias("dk"), h.alias("th")]
+    return [F.col("doc_id"), F.coalesce(F.col("doc_id").try_cast("long"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 61)).alias("dk"), h.alias("th")]
 
 
 def _send(df: DataFrame, small: bool) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, components, stored
+from .common import checkpoint, components, map_arrow, stored
 
 CORNERS, STEP = (20, 8, 4), 1.5  # the strongest at each scale, besides those of each cell
 CELL, CORNER_AREA = 64, 256  # the strongest of each cell, one for so many pixels
@@ -145,7 +145,7 @@ def keypoints(images: DataFrame, img_id: str = "img_id", image: str = "image") -
                     names=["img_id", "corner", "angle", "d0", "d1", "d2", "d3", "keys"],
                 )
 
-    return images.select(F.col(img_id).cast("long").alias("img_id"), F.col(image).alias("image")).mapInArrow(run, KEYPOINT)
+    return map_arrow(images.select(F.col(img_id).cast("long").alias("img_id"), F.col(image).alias("image")), run, KEYPOINT)
 
 
 def _whole_runs(batches, n_keys: int):
@@ -272,8 +272,8 @@ def links(points: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _consensus(cols, min_votes)], names=["a", "b", "votes"])
 
     run = ["key", "p", "q"]
-    votes = rows.repartition(*run).sortWithinPartitions(*run).mapInArrow(compare, "a long, b long, corner long, other long, cell long")
-    return votes.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(decide, "a long, b long, votes long")
+    votes = map_arrow(rows.repartition(*run).sortWithinPartitions(*run), compare, "a long, b long, corner long, other long, cell long")
+    return map_arrow(votes.repartition("a", "b").sortWithinPartitions("a", "b"), decide, "a long, b long, votes long")
 
 
 def classes(points: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
@@ -325,4 +325,4 @@ def rendered(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
                 out.append({"height": gray.shape[0], "width": gray.shape[1], "gray": gray.tobytes()})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["img_id", "image"])
 
-    return vectors.select(F.col(vec_id).cast("long").alias("img_id"), F.col(vector).alias("v")).mapInArrow(run, "img_id long, image struct<height:int,width:int,gray:binary>")
+    return map_arrow(vectors.select(F.col(vec_id).cast("long").alias("img_id"), F.col(vector).alias("v")), run, "img_id long, image struct<height:int,width:int,gray:binary>")

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 K, WINDOW, BAND = 12, 4, 8
 MIN_COVERAGE, MIN_SHARE = 0.8, 0.25
 CHUNK = 1 << 22
@@ -231,4 +233,4 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_matches", "matches"])
 
     ids = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return ids.mapInArrow(run, f"doc_id {ids.dtypes[0][1]}, n_matches long, matches {MATCHES}")
+    return map_arrow(ids, run, f"doc_id {ids.dtypes[0][1]}, n_matches long, matches {MATCHES}")

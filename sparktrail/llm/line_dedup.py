@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, map_arrow
 
 BLANKS = " \t\n\x0b\x0c\r"
 OUT = "kind int, part int, h1 long, h2 long, dk long, th long, pos int, n_lines int"
@@ -51,7 +51,7 @@ def kept_text(text: str | None, bits: bytes | None) -> str:
 
 
 def _doc_key(doc_id: str, text: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 61))
+    return F.coalesce(F.col(doc_id).try_cast("long"), F.shiftrightunsigned(F.xxhash64(doc_id, text), 2) + F.lit(1 << 61))
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -78,7 +78,7 @@ def line_rows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFr
             cols = both[:, 0].copy(), both[:, 1].copy(), dk[of], th[of], np.fromiter((i for p in pos for i in p), np.int32, len(of)), np.array(n_lines, np.int32)[of]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "dk", "th", "pos", "n_lines"])
 
-    return own.mapInArrow(hashed, "h1 long, h2 long, dk long, th long, pos int, n_lines int")
+    return map_arrow(own, hashed, "h1 long, h2 long, dk long, th long, pos int, n_lines int")
 
 
 class _Run:
@@ -180,7 +180,7 @@ def dropped_lines(docs: DataFrame, min_docs: int | None, doc_id: str = "doc_id",
     rows = line_rows(docs, doc_id, text, min_chars)
     order = ["h1", "h2", "dk", "pos"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = checkpoint(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), OUT))
+    out = checkpoint(map_arrow(rows.repartitionByRange(n, *order).sortWithinPartitions(*order), _stream(min_docs), OUT))
     opened, cols = out.where(F.col("kind") == OPEN), ["dk", "th", "pos", "n_lines"]
     if min_docs is None:
         # of the partitions that have the run, the first keeps its first line
@@ -203,7 +203,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int | None = None, doc_id: str = "do
             bits = [pack_bits(k, np.asarray(x.as_py(), np.int64)) for x, k in zip(lost, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in lost], pa.int64()), pa.array(bits, pa.binary())], names=["_dk", "_th", "gone", "keep"])
 
-    bits = lost.mapInArrow(pack, "_dk long, _th long, gone long, keep binary")
+    bits = map_arrow(lost, pack, "_dk long, _th long, gone long, keep binary")
     named = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in carry if c != doc_id], _doc_key(doc_id, text).alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     joined = named.join(bits, (named["_k"] == bits["_dk"]) & (named["_t"] == bits["_th"]), "left")
     return joined.select("doc_id", "n_lines", F.coalesce("gone", F.lit(0)).cast("long").alias("n_dropped"), "keep", *[c for c in carry if c != doc_id])
@@ -219,4 +219,4 @@ def kept_hashes(docs: DataFrame, min_docs: int, min_chars: int = 1) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hexes, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     rows = line_bitmaps(docs, min_docs, min_chars=min_chars, carry=("text",))
-    return rows.mapInArrow(apply, f"doc_id {rows.dtypes[0][1]}, n_lines long, n_dropped long, kept_sha256 string")
+    return map_arrow(rows, apply, f"doc_id {rows.dtypes[0][1]}, n_lines long, n_dropped long, kept_sha256 string")

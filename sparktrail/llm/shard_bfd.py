@@ -5,18 +5,19 @@ enter the bin with the least remaining capacity that still holds them; the bins
 stand in a balanced tree by remaining capacity, and a new bin is opened only if
 none fits.
 
-What reaches the driver is bounded at any input size: a group of at least
-1/`per_shard` of a shard is an item of its own (there are at most shards x
-per_shard of these), all smaller groups are pooled by hash into at most as many
-items. The rule is the same at every size. For a given number of shards the
-least capacity is searched for which the packing needs no more than that; for a
-given capacity the packing says how many shards there are.
+Every group is packed, whatever its size and the size of the table. Groups of
+equal size are one entry of the packing, as best-fit-decreasing places them in
+runs; the driver holds an entry for each different size and each run. For a given
+number of shards the least capacity is searched for which the packing needs no
+more than that; for a given capacity the packing says how many shards there are.
 
 Defined cases: a null text has size 1 like an empty one, and each stands in a
 group of its kind; a group above the capacity gets a shard of its own, larger
-than the others; repeated rows belong to one group; an empty table gives no rows;
-other columns are ignored. Slots number a shard's rows from 0 without a gap, by
-doc_id inside of hashed buckets, or with `in_order` as the rows of the input stand.
+than the others; groups of equal size are taken in an order set by a hash;
+repeated rows belong to one group; texts are never cut, however long; ids may be
+null or of any kind that sorts; an empty table gives no rows; other columns are
+ignored. Slots number a shard's rows from 0 without a gap, by doc_id inside of
+hashed buckets, or with `in_order` as the rows of the input stand.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, numbered, numbered_in_place, position
+from .common import HOT, checkpoint, fresh, join_unique, numbered, numbered_in_place, position
 
-LAW = "bytes"
+LAW, CELL = "bytes", 4096
 
 
 class Tree:
@@ -110,36 +111,49 @@ class Tree:
         return best
 
 
-def best_fit(sizes: Iterable[int], capacity: int) -> tuple[list[int], int]:
-    """The bin of each size, given largest first, and the number of bins."""
+def best_fit(classes: Iterable[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int, int]], int] | None:
+    """Best-fit-decreasing of classes (size, number of groups), given largest size first: (size, first, end, bin) says that the groups number first to end - 1 of a size are in a bin; and the number of bins. None if there are more than `most`.
+
+    Groups of one size enter the tightest bin one after the other until it holds
+    no more of them, as it stays the tightest: so they enter together.
+    """
     tree, bins, placed = Tree(), 0, []
-    for size in sizes:
-        found = tree.ceiling(size)
-        if found is None:
-            found = (max(capacity, size), bins)
-            bins += 1
-        else:
-            tree.remove(found)
-        tree.insert((found[0] - size, found[1]))
-        placed.append(found[1])
+    for size, n in classes:
+        at = 0
+        while at < n:
+            found = tree.ceiling(size)
+            if found is None:
+                found = (max(capacity, size), bins)
+                bins += 1
+                if most is not None and bins > most:
+                    return None
+            else:
+                tree.remove(found)
+            take = min(n - at, found[0] // size)
+            tree.insert((found[0] - take * size, found[1]))
+            placed.append((size, at, at + take, found[1]))
+            at += take
     return placed, bins
 
 
-def fewest_bytes(sizes: list[int], shards: int) -> list[int]:
-    """Bins of the packing with the least capacity found that takes at most so many bins."""
-    if not sizes:
+def fewest_bytes(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """The packing with the least capacity found that takes at most so many bins."""
+    if not classes:
         return []
-    low = max(math.ceil(sum(sizes) / shards), sizes[0])
-    high = math.ceil(sum(sizes) / shards) + sizes[0]  # a bin is opened only when all others are above the mean: enough
-    best = best_fit(sizes, high)[0]
-    while low < high:
-        mid = (low + high) // 2
-        placed, bins = best_fit(sizes, mid)
-        if bins <= shards:
-            best, high = placed, mid
+    mean = math.ceil(sum(s * n for s, n in classes) / shards)
+    low = max(mean, classes[0][0])
+    high = mean + classes[0][0]  # a bin is opened only when all others are above the mean: enough
+    bad, step = low - 1, 0
+    while (found := best_fit(classes, good := min(high, low + step), shards)) is None:  # the least is mostly near the mean
+        bad, step = good, max(1, 2 * step)
+    while good - bad > 1:
+        mid = (bad + good) // 2
+        now = best_fit(classes, mid, shards)
+        if now is None:
+            bad = mid
         else:
-            low = mid + 1
-    return best
+            good, found = mid, now
+    return found[0]
 
 
 def _group(text: str) -> Column:
@@ -149,32 +163,34 @@ def _group(text: str) -> Column:
 
 
 class Packing:
-    """Which bin each group of (key, size) rows is in. What it holds on the driver is bounded by shards x per_shard."""
-
-    def __init__(self, sized: DataFrame, shards: int | None, capacity: int | None, per_shard: int):
-        groups = checkpoint(sized.groupBy("key").agg(F.sum("size").alias("size")))
-        total = groups.agg(F.sum("size")).first()[0] or 0
-        self.most = per_shard * (shards if capacity is None else math.ceil(total / capacity) + 1)
-        floor = total / self.most
-        large = groups.where(F.col("size") >= floor).collect()  # at most `most` rows: each holds a 1/most of all
-        pools = groups.where(F.col("size") < floor).groupBy(self.pool().alias("pool")).agg(F.sum("size").alias("size")).collect()
-        items = sorted([(-r["size"], 0, bytes(r["key"])) for r in large] + [(-r["size"], 1, r["pool"]) for r in pools])
-        sizes = [-x[0] for x in items]
-        placed = fewest_bytes(sizes, shards) if capacity is None else best_fit(sizes, capacity)[0]
-        spark = sized.sparkSession
-        self.by_key = spark.createDataFrame([(bytearray(x[2]), b) for x, b in zip(items, placed) if not x[1]], "_k binary, _by_key int")
-        self.by_pool = spark.createDataFrame([(x[2], b) for x, b in zip(items, placed) if x[1]], "_pool long, _by_pool int")
+    """The bin of each group of (key, size) rows.
+
+    The driver packs classes of groups of equal size, a row for each different
+    size: k different sizes hold at least k * k / 2 bytes, so there are fewer than
+    the root of twice the bytes. The groups of a size are numbered in Spark, and
+    find their bin by size and number.
+    """
 
-    def pool(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.most))
+    def __init__(self, sized: DataFrame, shards: int | None, capacity: int | None):
+        spark = sized.sparkSession
+        groups = checkpoint(sized.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+        classes = [(r["size"], r["n"]) for r in groups.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()]
+        placed = fewest_bytes(classes, shards) if capacity is None else best_fit(classes, capacity)[0]
+        runs = spark.createDataFrame(placed, "_size long, _first long, _end long, _bin int")
+        # Numbers are cut into cells, so that the groups of a size that fill many bins are joined by number as well.
+        cells = runs.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_first") / CELL), F.floor((F.col("_end") - 1) / CELL))))
+        ranked = numbered(groups.select("key", "size"), "size", ["key"], "rank").withColumn("cell", F.floor(F.col("rank") / CELL))
+        met = (F.col("size") == F.col("_size")) & (F.col("cell") == F.col("_cell")) & (F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_end"))
+        self.bins = checkpoint(ranked.join(cells, met).select(F.col("key").alias("_key"), F.col("_bin")))
+        total = groups.agg(F.sum("rows")).first()[0] or 0
+        self.hot = [r["key"] for r in groups.where((F.col("rows") > total / HOT) & (F.col("rows") >= 100)).select("key").collect()]  # fewer than HOT
 
     def assign(self, rows: DataFrame, out: str) -> DataFrame:
-        """Adds the bin to rows with a key. Both tables have at most `most` rows, so they are sent to all tasks."""
-        found = rows.withColumn("_pool", self.pool()).join(F.broadcast(self.by_key), F.col("key") == F.col("_k"), "left").join(F.broadcast(self.by_pool), "_pool", "left")
-        return found.withColumn(out, F.coalesce("_by_key", "_by_pool")).drop("_k", "_pool", "_by_key", "_by_pool")
+        """Adds the bin to rows with a key."""
+        return join_unique(rows, "key", self.bins, "_key", hot=self.hot).withColumnRenamed("_bin", out).drop("_key")
 
 
-def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text", per_shard: int = 1024, in_order: bool = False) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text", in_order: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is not `key`) of every row.
 
     Give the number of shards (sizes near equal) or their capacity in bytes (as few shards as the packing needs).
@@ -182,18 +198,20 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     body = F.coalesce(F.col(text), F.lit(""))
     at = [position(docs).alias("at")] if in_order else []
     slim = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), _group(text).alias("key"), *at))
-    dealt = Packing(slim, shards, capacity, per_shard).assign(slim, "shard").drop("key")
+    dealt = Packing(slim, shards, capacity).assign(slim, "shard").drop("key")
     ranked = numbered_in_place(dealt, "shard", "at", "slot") if in_order else numbered(dealt, "shard", ["doc_id", "text_crc32", "size"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, text: str = "text", per_shard: int = 1024, file_bytes: int = 256 << 20) -> None:
-    """Write all rows with all their columns to path/shard=<n>/, each shard in files of about file_bytes of text, so that no task holds a shard."""
-    slim = docs.select(_group(text).alias("key"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size"))
-    packing = Packing(slim, shards, None, per_shard)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, text: str = "text", file_bytes: int = 256 << 20) -> None:
+    """Write all rows with all their columns to path/shard=<n>/, each shard in files of about file_bytes of text, so that no task holds a shard. An input column `shard` is written as `_shard`."""
+    slim = checkpoint(docs.select(_group(text).alias("key"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size")))
+    packing = Packing(slim, shards, None)
     total = slim.agg(F.sum("size")).first()[0] or 0
     files = max(1, math.ceil(total / shards / file_bytes))
-    rows = packing.assign(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _group(text).alias("key")), "shard")
+    kept = fresh(docs, "shard")
+    columns = [F.col(f"`{c}`").alias(kept if c.lower() == "shard" else c) for c in docs.columns]
+    rows = packing.assign(docs.select(F.struct(*columns).alias("_row"), _group(text).alias("key")), "shard")
     # rows of one text may go to several files of its shard
-    part = F.pmod(F.hash("row"), F.lit(files))
-    rows.withColumn("_part", part).repartition(shards * files, "shard", "_part").select("shard", "row.*").write.partitionBy("shard").parquet(path)
+    part = F.pmod(F.hash("_row"), F.lit(files))
+    rows.withColumn("_part", part).repartition(shards * files, "shard", "_part").select("shard", "_row.*").write.partitionBy("shard").parquet(path)

@@ -21,8 +21,10 @@ spanning forest of its links, never all pairs.
 
 Defined cases: a null text or one without words has fingerprint zero, linked
 like any other; a null doc_id counts as above all others (its component is null
-if nobody there has an id); repeated rows come back as often; other columns are
-ignored.
+if nobody there has an id); ids that are no integers compare as they sort;
+rows that share an id but not the text are each linked by their own text;
+repeated rows come back as often; texts are read whole, however long; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, join_unique, map_arrow
 
 SEED = 42
 TILE = 4096
@@ -68,7 +70,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     ids = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return ids.mapInArrow(run, f"doc_id {ids.dtypes[0][1]}, fp long")
+    return map_arrow(ids, run, f"doc_id {ids.dtypes[0][1]}, fp long")
 
 
 def tile_links(fps: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +160,7 @@ def links(classes: DataFrame, n: int, radius: int = 4, tile: int = TILE) -> Data
     keys = ["band", "val", "p", "q", "kind"]
 
     def compared(tiles: DataFrame) -> DataFrame:
-        return tiles.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+        return map_arrow(tiles.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys), compare, "a long, b long")
 
     none = F.lit(0)
     if parts.isEmpty():
@@ -183,4 +185,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = moved.groupBy("root").agg(F.min("least").alias("component_id"))
     alone = classes.join(joined, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     named = moved.join(names, "root").select("fp", "component_id").union(alone)
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint that very many documents share, as that of texts without words, is a hot key
+    return join_unique(fps.withColumnRenamed("fp", "own"), "own", checkpoint(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

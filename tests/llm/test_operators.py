@@ -350,7 +350,42 @@ def test_best_fit_decreasing():
             free.append(120)
         free[b] -= s
         want.append(b)
-    assert shard_bfd.best_fit(sizes, 120) == (want, len(free))
+    placed, bins = shard_bfd.best_fit(sorted(Counter(sizes).items(), reverse=True), 120)
+    assert ([b for _, first, end, b in placed for _ in range(first, end)], bins) == (want, len(free))
+    assert shard_bfd.best_fit([(300, 2)], 120) == ([(300, 0, 1, 0), (300, 1, 2, 1)], 2)
+
+
+def plain_packing(sizes, capacity):
+    """Best-fit-decreasing by one search over all bins for each group."""
+    free, held = [], defaultdict(list)
+    for s in sorted(sizes, reverse=True):
+        r, b = min(((r, b) for b, r in enumerate(free) if r >= s), default=(None, len(free)))
+        if r is None:
+            free.append(max(capacity, s))
+        free[b] -= s
+        held[b].append(s)
+    return held
+
+
+def test_many_small_groups_are_packed_as_plain_best_fit_does(spark):
+    rng = random.Random(6)
+    lengths = [min(4000, int(rng.paretovariate(0.9) * 6)) for _ in range(20_000)]
+    texts = [f"{i:06}" + "x" * n for i, n in enumerate(lengths)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(20_000 + i, "a hot text of many copies") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = Counter(t for _, t in rows)
+    sizes = [(len(t) + 1) * n for t, n in sizes.items()]
+    for shards, capacity in ((16, None), (None, 60_000)):
+        got = shard_bfd.shard(df, shards, capacity).collect()
+        loads, held = Counter(), defaultdict(Counter)
+        for r in got:
+            held[r["shard"]][r["text_crc32"], r["size"]] += r["size"]
+            loads[r["shard"]] += r["size"]
+        if capacity is None:
+            assert max(loads.values()) - min(loads.values()) <= 2 * max(loads.values()) / 1000 or max(loads.values()) == max(sizes)
+            capacity = max(loads.values())
+        want = plain_packing(sizes, capacity)
+        assert Counter(tuple(sorted(x.values())) for x in held.values()) == Counter(tuple(sorted(x)) for x in want.values())
 
 
 def test_shards_are_whole_and_near_equal(spark, odd, none):
@@ -378,6 +413,9 @@ def test_shards_are_written_whole(spark, odd, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
     assert back.groupBy("text").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0] == 1
+    shard_bfd.write_shards(odd.withColumn("shard", F.lit("own")), str(tmp_path / "t"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == len(ODD) and {r[0] for r in back.select("_shard").collect()} == {"own"}
 
 
 # --- lines
