@@ -10,15 +10,17 @@ slots each source is less than one block from the ideal stream.
 
 Every source has a schedule of its own and its weight as given, without rounding.
 The order of the blocks is made on the driver, which holds the names and counts
-of the sources and eight bytes a block. No row is dropped or repeated.
+of the sources and eight bytes a block: it follows from what went before, slot by
+slot. `block_rows` sets what that is for a table. No row is dropped or repeated.
 
 Defined cases: a null source is a source of its own; where weights are given, each
 source without one has the least positive weight given; weights of sources
 without rows are ignored; weights must not be negative, and sources of weight 0
 come after all others, with equal shares; with no weights given they are the
 square roots of the row counts. Ties are broken by source name. Rows of a source
-are taken in an order set by a hash of the id; repeated rows stay; an empty table
-gives no rows.
+are taken in an order set by a hash of the id; repeated rows stay; ids may be null
+or of any kind that sorts; texts are not read; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,57 +28,14 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpoint, fresh, numbered
 
-BLOCK_ROWS, RESOLUTION, CHUNK = 16, 10_000, 4096
-
-
-def period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one period of sum(parts) slots, by earliest deadline first."""
-    slots, total = {s: [] for s in parts}, sum(parts.values())
-    due = lambda s, i: -(-(i + 1) * total // parts[s])
-    waiting, ready = [(0, s, 0) for s in sorted(parts)], []
-    heapq.heapify(waiting)
-    for t in range(total):
-        while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, i), s, i))
-        d, s, i = heapq.heappop(ready)
-        if d <= t:
-            raise AssertionError("a deadline was missed")
-        slots[s].append(t)
-        if i + 1 < parts[s]:
-            heapq.heappush(waiting, ((i + 1) * total // parts[s], s, i + 1))
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[tuple]:
-    """(source, first block, blocks, first slot, parts, period, slots in a period) for each source and phase."""
-    out, start, done = [], 0, dict.fromkeys(blocks, 0)
-    left = {s: n for s, n in blocks.items() if n}
-    while left:
-        own = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1.0)
-        total = sum(own.values())
-        parts = {s: max(1, round(w / total * resolution)) for s, w in own.items()}
-        common = math.gcd(*parts.values())
-        parts = {s: a // common for s, a in parts.items()}
-        slots, whole = period(parts), sum(parts.values())
-        at = lambda s, i: i // parts[s] * whole + slots[s][i % parts[s]]  # noqa: B023, E731
-        length = min(at(s, left[s] - 1) for s in parts) + 1
-        for s in sorted(parts):
-            n = length // whole * parts[s] + bisect_right(slots[s], length % whole - 1)
-            if n:
-                out.append((s, done[s], n, start, parts[s], whole, slots[s]))
-                done[s] += n
-                left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += length
-    return out
+BLOCK_ROWS, CHUNK = 16, 4096
 
 
 def _windows(blocks: dict[str, int], weights: dict[str, float]):
@@ -146,6 +105,9 @@ def in_mixed_order(docs: DataFrame, key, weights: dict[str, float] | None = None
     """
     name, at = fresh(docs, "key"), fresh(docs, "at")
     keyed = docs.withColumn(name, key)
-    order = mix(keyed.select(F.col(name).alias("doc_id"), "source"), weights).groupBy(F.col("doc_id").alias(name)).agg(F.min(F.struct("slot", "place")).alias(at))
+    order = checkpoint(mix(keyed.select(F.col(name).alias("doc_id"), "source"), weights).groupBy(F.col("doc_id").alias(name)).agg(F.min(F.struct("slot", "place")).alias(at)))
+    total = (order.agg(F.max(f"{at}.slot")).first()[0] or 0) + 1
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.join(checkpoint(order), name).repartitionByRange(n, at).sortWithinPartitions(at).select(*docs.columns)
+    # each slot has a block, so equal ranges of slots are equal parts of the rows: no sample has to find their borders
+    part = F.floor(F.col(f"{at}.slot") * n / total).cast("int")
+    return keyed.join(order, name).repartitionById(n, part).sortWithinPartitions(at).select(*docs.columns)

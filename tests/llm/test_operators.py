@@ -1,11 +1,13 @@
 """The operators against plain versions, on small and awkward tables."""
 
 import hashlib
+import heapq
 import json
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -123,22 +125,56 @@ def test_token_counts_are_the_library_s(spark, odd, none):
 # --- mixing
 
 
-def test_pfair_deviation_is_less_than_a_block():
-    parts = {"a": 1, "b": 7, "c": 90, "d": 333}
-    slots, total = pfair_mix.period(parts), sum(parts.values())
-    assert sorted(x for s in slots.values() for x in s) == list(range(total))
-    for s, own in slots.items():
-        for i, t in enumerate(own):
-            assert i * total // parts[s] <= t < -(-(i + 1) * total // parts[s])
-        given = np.searchsorted(own, np.arange(1, total + 1))
-        assert np.abs(given - np.arange(1, total + 1) * parts[s] / total).max() < 1
+def plain_schedule(blocks, weights):
+    """Earliest deadline first over all slots, with fractions: (source, block) of each slot, and the windows."""
+    w = {s: Fraction(weights[s]) for s in blocks}
+    ends = sorted({Fraction(n) / w[s] for s, n in blocks.items()})
 
+    def x(v):
+        return sum(min(v * w[s], n) for s, n in blocks.items())
 
-def test_pfair_phases_give_every_block_one_slot():
-    blocks = {"a": 5, "b": 50, "c": 1, "d": 0}
-    plan = pfair_mix.phases(blocks, {"a": 1, "b": 2, "c": 5, "d": 1}, 100)
-    slots = [start + i // parts * period + own[i % parts] for _, _, n, start, parts, period, own in plan for i in range(n)]
-    assert sorted(slots) == list(range(56))
+    assert x(ends[-1]) == sum(blocks.values())
+    jobs = {(s, i): (math.floor(x(i / w[s])), math.ceil(x((i + 1) / w[s]))) for s, n in blocks.items() for i in range(n)}
+    out, ready, waiting = [], [], sorted((r, d, s, i) for (s, i), (r, d) in jobs.items())
+    for t in range(len(jobs)):
+        while waiting and waiting[0][0] <= t:
+            r, d, s, i = waiting.pop(0)
+            heapq.heappush(ready, (d, s, i))
+        out.append(heapq.heappop(ready)[1:])
+    return out, jobs
+
+
+def test_schedule_is_plain_earliest_deadline_first():
+    rng = random.Random(12)
+    for sources in (2, 3, 7, 40):
+        weights = {f"s{i:02}": rng.choice([1, 2, 0.5, rng.random(), 1e-3, rng.random() * 50]) for i in range(sources)}
+        blocks = {s: rng.randint(1, 30) for s in weights}
+        want, jobs = plain_schedule(blocks, weights)
+        got = pfair_mix.schedule(blocks, weights)
+        assert sorted((t, s, i) for s, own in got.items() for i, t in enumerate(own)) == [(t, s, i) for t, (s, i) in enumerate(want)]
+        assert all(r <= t < d for t, job in enumerate(want) for r, d in [jobs[job]])
+
+
+def test_tiny_and_odd_weights_are_followed_at_every_prefix():
+    weights = {"tiny": 1e-6, "odd": 0.12345678, "pi": math.pi / 10, "rest": 0.5623838}
+    blocks = {"tiny": 1, "odd": 15_000, "pi": 40_000, "rest": 70_000}
+    slots = pfair_mix.schedule(blocks, weights)
+    assert sorted(t for own in slots.values() for t in own) == list(range(125_001))
+    until = int(min(blocks[s] / weights[s] for s in ("odd", "pi", "rest")) * sum(weights.values()))
+    assert until > 100_000
+    for s, w in weights.items():
+        given = np.searchsorted(slots[s], np.arange(1, until + 1))
+        assert np.abs(given - np.arange(1, until + 1) * w / sum(weights.values())).max() < 1
+
+
+def test_mix_query_is_the_schedule(spark):
+    got = queries.op3_pfair_mix(spark, SMALL).collect()
+    n = Counter(r["source"] for r in got)
+    blocks = {s: -(-k // pfair_mix.BLOCK_ROWS) for s, k in n.items()}
+    want, _ = plain_schedule(blocks, {s: math.sqrt(k) for s, k in n.items()})
+    assert {(r["slot"], r["source"], r["block"]) for r in got} == {(t, s, i) for t, (s, i) in enumerate(want)}
+    assert Counter(r["doc_id"] for r in got) == Counter(d["doc_id"] for d in brute.rows("sf0.001", "documents"))
+    assert all(len({r["place"] for r in got if r["slot"] == t}) == sum(r["slot"] == t for r in got) for t in range(len(want)))
 
 
 def test_mix_keeps_all_rows(spark, odd, none):
@@ -147,6 +183,8 @@ def test_mix_keeps_all_rows(spark, odd, none):
     assert len({(r["slot"], r["place"]) for r in got}) == len(ODD)
     assert {r["slot"] for r in got} == set(range(max(r["slot"] for r in got) + 1))
     assert pfair_mix.mix(none).count() == 0
+    named = pfair_mix.mix(odd.withColumn("doc_id", F.lit("no number")), block_rows=2)
+    assert named.count() == len(ODD)
     weighted = pfair_mix.mix(odd, {"a": 0.5, None: 0.5}, block_rows=1).collect()
     assert len(weighted) == len(ODD)
     moved = pfair_mix.in_mixed_order(odd, F.coalesce("doc_id", F.xxhash64("text")))
