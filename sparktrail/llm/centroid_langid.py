@@ -11,20 +11,23 @@ quantile of the cosines of training texts of about its length, measured on
 pieces of the training texts of every length.
 
 The fit takes a sample of about `per_lang` labelled rows a language, chosen by a
-hash of the id, among texts of at most `fit_bytes` bytes. Where a language has
-fewer of these, longer texts make up the number, by their first `fit_bytes`
-characters; prediction reads every text whole.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0 and
-rejected; with no labelled row at all, every text is ``und``; equal cosines go to
-the first centroid in order of language; repeated rows are predicted each; other
-columns are ignored.
+hash of the id, whatever their length. The texts are counted whole, in Spark; the
+driver gets the n-gram counts of the sample, whose size doesn't depend on the
+length of a text, and the cosines from which the rejection is found.
+
+Defined cases: a text that is null or has no letter (a character of a Unicode
+category L) is ``und`` with score 0 and rejected; with no labelled row at all,
+every text is ``und``; equal cosines go to the first centroid in order of
+language; repeated rows are predicted each; texts are read whole, however long;
+ids may be of any kind; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +35,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, map_arrow
 
-PER_LANG, FIT_BYTES, DIMS, CLUSTERS = 300, 32_768, 8192, 4
+PER_LANG, DIMS, CLUSTERS = 300, 8192, 4
 CHUNK = 1 << 20
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+@cache
+def _other() -> re.Pattern:
+    """Runs of all but letters. Of what re counts to words, digits, numerals as \u00bd or \u2460, and the underscore are none."""
+    numerals = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
+    return re.compile(rf"[\W_{''.join(numerals)}]+")
 
 
 def counts(text: str | None, dims: int = DIMS) -> np.ndarray | None:
     """Of the hashed n-grams of a whole text; None if it has no letter."""
-    letters = _OTHER.sub(" ", (text or "").lower()).strip()
+    letters = _other().sub(" ", (text or "").lower()).strip()
     if not letters:
         return None
     raw = np.frombuffer(f" {letters} ".encode("utf-8", "replace"), np.uint8)
@@ -95,45 +104,78 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def fit_texts(texts: list[str], langs: list[str], clusters: int = CLUSTERS, dims: int = DIMS, slack: float = 0.5) -> Model:
-    kept = [(t, lang, c.astype(np.int32)) for t, lang in zip(texts, langs) if (c := counts(t, dims)) is not None]
-    if not kept:
+def _centroids(counted: list[tuple[str, np.ndarray, np.ndarray]], clusters: int, dims: int) -> Model:
+    """From (language, places, counts) of the n-grams of each text; the vectors of one language at a time."""
+    if not counted:
         return Model(dims=dims)
-    with_gram = sum((c > 0).astype(np.int64) for _, _, c in kept)
-    model = Model(dims=dims, idf=np.log((1 + len(kept)) / (1 + with_gram)) + 1)
-    vectors = np.stack([model.vector(c) for _, _, c in kept])
-    by = np.array([lang for _, lang, _ in kept])
+    with_gram = np.zeros(dims, np.int64)
+    for _, at, _ in counted:
+        with_gram[at] += 1
+    model = Model(dims=dims, idf=np.log((1 + len(counted)) / (1 + with_gram)) + 1, least=np.zeros(25))
     parts = []
-    for lang in sorted(set(by)):
-        found = _k_means(vectors[by == lang], clusters)
+    for lang in sorted({lang for lang, _, _ in counted}):
+        own = [(at, n) for name, at, n in counted if name == lang]
+        vectors = np.zeros((len(own), dims), np.float32)
+        for row, (at, n) in zip(vectors, own):
+            count = np.zeros(dims, np.int64)
+            count[at] = n
+            row[:] = model.vector(count)
+        found = _k_means(vectors, clusters)
         parts.append(found)
         model.langs += [lang] * len(found)
     model.centroids = np.concatenate(parts)
-    cosines: list[list[float]] = [[] for _ in range(25)]
-    for text, _, count in kept:
-        pieces = [counts(text[: 1 << k], dims) for k in range(2, len(text).bit_length())]
-        for c in [*pieces, count]:
-            if c is not None:
-                cosines[_length(c)].append(model.nearest(c)[1])
+    return model
+
+
+def _cosines(text: str, model: Model) -> list[tuple[int, float]]:
+    """(length, cosine of the nearest centroid) of a text and of its beginnings of 4, 8, 16, ... characters."""
+    pieces = [counts(text[: 1 << k], model.dims) for k in range(2, len(text).bit_length())]
+    return [(_length(c), model.nearest(c)[1]) for c in [*pieces, counts(text, model.dims)] if c is not None]
+
+
+def _rejection(cosines: list[tuple[int, float]], slack: float) -> np.ndarray:
+    by: list[list[float]] = [[] for _ in range(25)]
+    for length, cosine in sorted(cosines):
+        by[length].append(cosine)
     low, least = 0.0, np.zeros(25)
-    for i, found in enumerate(cosines):  # lengths that the sample lacks take the value of the next shorter
+    for i, found in enumerate(by):  # lengths that the sample lacks take the value of the next shorter
         low = float(np.quantile(found, 0.01)) * slack if len(found) >= 20 else low
         least[i] = low
-    model.least = least
-    return model
+    return least
 
 
-def fit(docs: DataFrame, train: Column | None = None, per_lang: int = PER_LANG, fit_bytes: int = FIT_BYTES, **how) -> Model:
+def fit(docs: DataFrame, train: Column | None = None, per_lang: int = PER_LANG, clusters: int = CLUSTERS, dims: int = DIMS, slack: float = 0.5) -> Model:
     """From docs (doc_id, text, lang), rows where `train` holds."""
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")) if train is None else docs.where(train).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    rows = rows.where("lang is not null and text is not null").withColumn("long", F.octet_length("text") > fit_bytes)
-    n = {(r["lang"], r["long"]): r["n"] for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}  # two rows a language
+    rows = docs if train is None else docs.where(train)
+    rows = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not n:
-        return Model(dims=how.get("dims", DIMS))
-    share = F.coalesce(*[F.when((F.col("lang") == lang) & (F.col("long") == long), F.lit((max(0, per_lang - n.get((lang, False), 0)) if long else per_lang) / k)) for (lang, long), k in sorted(n.items())])
+        return Model(dims=dims)
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_lang / k)) for lang, k in sorted(n.items())])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
-    sample = sorted((r["lang"], r["text"]) for r in rows.where(draw < share).select("lang", F.when(F.col("long"), F.substring("text", 1, fit_bytes)).otherwise(F.col("text")).alias("text")).collect())
-    return fit_texts([text for _, text in sample], [lang for lang, _ in sample], **how)
+    sample = checkpoint(rows.where(draw < share).select("text", "lang"))
+
+    def count(batches):
+        for batch in batches:
+            made = [(lang, c) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (c := counts(t, dims)) is not None]
+            at = [np.flatnonzero(c).astype(np.int32) for _, c in made]
+            yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in made], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([c[a] for (_, c), a in zip(made, at)], pa.list_(pa.int64()))], names=["lang", "at", "n"])
+
+    found = map_arrow(sample, count, "lang string, at array<int>, n array<long>").toArrow()
+    counted = [(lang, at.values.to_numpy(), k.values.to_numpy()) for lang, at, k in zip(found["lang"].to_pylist(), found["at"], found["n"])]
+    model = _centroids(sorted(counted, key=lambda c: (c[0], c[1].tobytes(), c[2].tobytes())), clusters, dims)
+    if not model.langs:
+        return model
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches):
+        for batch in batches:
+            said = [x for t in batch.column(0).to_pylist() for x in _cosines(t, sent.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in said], pa.int32()), pa.array([x[1] for x in said], pa.float64())], names=["length", "cosine"])
+
+    said = map_arrow(sample.select("text"), measure, "length int, cosine double").collect()
+    model.least = _rejection([(r["length"], r["cosine"]) for r in said], slack)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

@@ -302,6 +302,9 @@ def test_language_odd_rows(spark, odd, none):
     assert centroid_langid.predict(none, model).count() == 0
     empty = centroid_langid.fit(none)
     assert {r["lang_pred"] for r in centroid_langid.predict(odd, empty).collect()} == {"und"}
+    for text in ("½²", "①", "Ⅷ 12 _", "٣"):  # numerals are no letters
+        assert model.predict(text) == ("und", 0.0, True)
+    assert model.predict("½a²")[0] != "und" != model.predict("ª")[0]
     assert model.predict("Это совсем другой язык и другие буквы здесь")[2]
 
 
