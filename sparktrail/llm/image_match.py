@@ -18,8 +18,10 @@ components. The tables are what the search may miss by: descriptors that differ
 in many bits may agree in none of them; the README has the measured recall.
 
 Defined cases: a null image, or one without corners (too small, or flat), is
-linked with none; copies under the same id count as one image; repeated rows
-come back as often; other columns are ignored; an empty table gives no rows.
+linked with none; a null id is linked with none; copies under the same id count
+as one image; repeated rows come back as often; equal votes and corners are taken
+in the order of their places; pictures are read whole, however large; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ CORNERS, STEP = (20, 8, 4), 1.5  # the strongest at each scale, besides those of
 CELL, CORNER_AREA = 64, 256  # the strongest of each cell, one for so many pixels
 RADIUS, TABLES, TABLE_BITS, MAX_DIFFER, MIN_VOTES = 7, 8, 24, 48, 4
 VOTE_SHARE = 8  # one vote at least for so many matched corners: with many, some agree by chance
-TILE = 2048
+TILE, PASSES = 2048, 4
 ANGLES = 24
 _RNG = np.random.default_rng(20240501)
 PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2, (256, 4))), -RADIUS, RADIUS)
@@ -249,8 +251,33 @@ def _consensus(cols: list[np.ndarray], min_votes: int):
     return cols[0][first[won]], cols[1][first[won]], best[won]
 
 
-def links(points: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE) -> DataFrame:
-    """(a, b, votes): all pairs of images with geometric consensus, for points made by keypoints()."""
+def links(points: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE, passes: int = PASSES) -> DataFrame:
+    """(a, b, votes): all pairs of images with geometric consensus, for points made by keypoints().
+
+    The tables are joined a few at a time and the pairs of images are judged a
+    part at a time, each pass over all points or votes, so that the disk holds the
+    shuffle of one pass.
+    """
+    votes = None
+    for n in range(passes):
+        some = F.filter("keys", lambda k: F.shiftright(k, TABLE_BITS) % passes == n)  # noqa: B023
+        found = stored(_table_votes(points.withColumn("keys", some), tile), "votes")
+        votes = found if votes is None else votes.union(found)
+
+    def decide(batches):
+        for cols in _whole_runs(batches, 2):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _consensus(cols, min_votes)], names=["a", "b", "votes"])
+
+    out = None
+    for n in range(passes):
+        part = votes.where(F.pmod(F.xxhash64("a", "b", F.lit(5)), F.lit(passes)) == n).repartition("a", "b").sortWithinPartitions("a", "b")
+        found = stored(map_arrow(part, decide, "a long, b long, votes long"), "links")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _table_votes(points: DataFrame, tile: int) -> DataFrame:
+    """(a, b, corner of a, corner of b, cell) of the correspondences in the buckets of the keys."""
     rows = points.select(F.explode("keys").alias("key"), "img_id", "corner", "angle", "d0", "d1", "d2", "d3")
     # A bucket of more than a tile is cut by a salt; each part meets each, one pair of parts a run.
     large = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
@@ -267,13 +294,8 @@ def links(points: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE) -> Da
             for found in _votes(cols):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "corner", "other", "cell"])
 
-    def decide(batches):
-        for cols in _whole_runs(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _consensus(cols, min_votes)], names=["a", "b", "votes"])
-
     run = ["key", "p", "q"]
-    votes = map_arrow(rows.repartition(*run).sortWithinPartitions(*run), compare, "a long, b long, corner long, other long, cell long")
-    return map_arrow(votes.repartition("a", "b").sortWithinPartitions("a", "b"), decide, "a long, b long, votes long")
+    return map_arrow(rows.repartition(*run).sortWithinPartitions(*run), compare, "a long, b long, corner long, other long, cell long")
 
 
 def classes(points: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
@@ -292,7 +314,7 @@ def image_copies(images: DataFrame, img_id: str = "img_id", image: str = "image"
     points = stored(keypoints(images, img_id, image), "keypoints")  # found once, read for several joins
     alike = checkpoint(classes(points, min_votes))
     copies = alike.where("img_id <> first").select("img_id")
-    found = checkpoint(links(points.join(copies, "img_id", "left_anti"), min_votes))
+    found = links(points.join(copies, "img_id", "left_anti"), min_votes)
     sizes = alike.where("img_id = first").select("first", "n")
     both = found.select(F.col("a").alias("node"), F.col("b").alias("first")).union(found.select("b", "a"))
     ends = both.join(sizes, "first").groupBy("node").agg(F.sum("n").alias("others"))
