@@ -93,6 +93,15 @@ def cause_match(missing: str, error_key: str) -> Column:
     return F.coalesce(F.array_contains(missing, F.col(error_key)), F.lit(False))
 
 
+def named_cause(named: Column, error_type: Column, error_key: Column, path: Column) -> Column:
+    """What a verdict names is what the recorded error names: a key, also in brackets and quotes, or a path, also by its end or its base name."""
+    bare = F.btrim(named, F.lit("[]'\"` "))
+    key = error_type.isin("KeyError", "KeyError(wrapped)", "index-error(wrapped)") & (bare == error_key)
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    file = (error_type == "FileNotFoundError") & (same_path(bare, path) | (base(bare) == base(path)))
+    return F.coalesce(key, F.lit(False)) | F.coalesce(file, F.lit(False))
+
+
 def scores(predictions: DataFrame) -> DataFrame:
     """caught (blocked with the right cause), blocks of cells that were fine, and shares of each."""
     data = F.col("failed") & F.col("data_reference")

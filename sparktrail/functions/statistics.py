@@ -59,6 +59,16 @@ def kappa(both: str, neither: str, only_a: str, only_b: str) -> Column:
     return F.when(pe < 1, (po - pe) / (1 - F.when(pe < 1, pe).otherwise(0.0)))
 
 
+def at_least(low: Column, high: Column, limit: float) -> Column:
+    """fails: the whole interval is below the limit; passes: none of it is."""
+    return F.when(high < limit, "fails").when(low >= limit, "passes").otherwise("undecided")
+
+
+def not_most(low: Column, high: Column, limit: float = 0.5) -> Column:
+    """fails: the whole interval is above the limit; passes: all of it is below."""
+    return F.when(low > limit, "fails").when(high < limit, "passes").otherwise("undecided")
+
+
 def rule_of_three(n: Column | str) -> Column:
     """Exact upper 95 % bound of a rate with no event in n trials; 1 for n = 0."""
     n = _d(n)

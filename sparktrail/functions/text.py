@@ -12,16 +12,20 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ANSI = r"\x1b\[[0-9;]*m|\\u001b\[[0-9;]*m"
 
 
+#: Escapes and what they stand for, undone one after the other.
+UNESCAPED = (("\\\\n", "\n"), ("\\n", "\n"), ("\\'", "'"), ('\\"', '"'), ("\\\\", "\\"))
+
+
 def plain(text: Column | str) -> Column:
     """Colour codes go; then escaped line ends, quotes and backslashes are undone, in that order."""
     t = F.regexp_replace(text, ANSI, "")
-    for a, b in (("\\\\n", "\n"), ("\\n", "\n"), ("\\'", "'"), ('\\"', '"'), ("\\\\", "\\")):
-        t = F.replace(t, F.lit(a), F.lit(b))
+    for escaped, shown in UNESCAPED:
+        t = F.replace(t, F.lit(escaped), F.lit(shown))
     return t
 
 
@@ -33,7 +37,6 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 WRAPPED = (
     ("executor:forbidden", r"not permitted to evaluate other functions|Forbidden function|is not among the explicitly allowed|Import of .{1,60} is not allowed|Forbidden access|Cannot assign to name .{1,40} erase the existing tool", 600),
     ("executor:budget", r"(?i)max number of operations|Reached the max|operations limit|timed? ?out", 600),
-    ("index-error(wrapped)", r"Could not index", 240),
     ("KeyError(wrapped)", r"KeyError: '[^'\n]{1,80}'", 800),
     ("NameError", r"is not defined|The variable `", 1500),
     ("SyntaxError", r"SyntaxError|invalid syntax|Code parsing failed|unterminated|IndentationError", 1500),
@@ -46,22 +49,38 @@ WRAPPED = (
 NAMED = r"^\s*([A-Za-z]+(?:Error|Exception))"
 
 
+_INDEXED = "Could not index"
+
+
+def _own_name(m: Column) -> Column:
+    """The error's name that a message begins with; that of an interpreter wraps another."""
+    own = _first(m.substr(1, 200), NAMED)
+    return F.when(own != "InterpreterError", own)
+
+
+def _indexed_key(m: Column) -> Column:
+    """The key of a failed look-up that a message begins by telling of; the message may repeat a whole table before it names the key."""
+    begins = F.concat(m.substr(1, 200), m.substr(1, 40)).contains(_INDEXED)
+    key = F.coalesce(_first(m.substr(1, 3000), r"(?s)Could not index .{0,2500}? with '([^'\n]{1,80})'"), _first(m, r"(?s) with '([^'\n]{1,80})': KeyError: '"))
+    return F.when(begins, key)
+
+
 def error_type(message: Column | str) -> Column:
-    """The class of an error from its message: its own name if it begins with one, else the first rule that matches."""
+    """The class of an error from its message: its own name if it begins with one, else the first rule that matches. A failed look-up counts as such only if its key is found, after the rules of the executor."""
     m = F.col(message) if isinstance(message, str) else message
-    own = _first(m.substr(1, 200), NAMED)
+    own = _own_name(m)
     named = F.when(own == "IndentationError", "SyntaxError").when((own == "ValueError") & m.substr(1, 300).contains("Usecols do not match"), "ValueError:usecols").otherwise(own)
-    wrapped = F.coalesce(*[F.when(m.substr(1, n).rlike(p), F.lit(name)) for name, p, n in WRAPPED], F.lit("other"))
-    return F.when(m.isNull(), None).when(own.isNull() | (own == "InterpreterError"), wrapped).otherwise(named)
+    rule = [F.when(m.substr(1, n).rlike(p), F.lit(name)) for name, p, n in WRAPPED]
+    wrapped = F.coalesce(*rule[:2], F.when(_indexed_key(m).isNotNull(), "index-error(wrapped)"), *rule[2:], F.lit("other"))
+    return F.when(m.isNull(), None).when(own.isNull(), wrapped).otherwise(named)
 
 
 def error_key(message: Column | str) -> Column:
     """The missing key that the message names, or null."""
     m = F.col(message) if isinstance(message, str) else message
     kind = error_type(m)
-    indexed = F.coalesce(_first(m.substr(1, 3000), r"(?s)Could not index .{0,2500}? with '([^'\n]{1,80})'"), _first(m, r"(?s) with '([^'\n]{1,80})': KeyError: '"))
     return (
-        F.when(kind == "index-error(wrapped)", indexed)
+        F.when(kind == "index-error(wrapped)", _indexed_key(m))
         .when(kind == "KeyError(wrapped)", _first(m.substr(1, 800), r"KeyError: '([^'\n]{1,80})'"))
         .when(kind == "KeyError", _first(m.substr(1, 200), r"^\s*KeyError:?\s*'([^'\n]{1,80})'"))
     )
@@ -139,15 +158,39 @@ def quoted(text: Column) -> Column:
 
 
 def literal_filters(code: Column) -> Column:
-    """array<struct<column,literal>> of the comparisons of a column with a text literal in program text."""
-    entry = lambda p, c, v: F.zip_with(F.regexp_extract_all(code, F.lit(p), F.lit(c)), F.regexp_extract_all(code, F.lit(p), F.lit(v)), lambda a, b: F.struct(a.alias("column"), b.alias("literal")))
-    return F.array_distinct(
-        F.concat(
-            entry(r"\[(['\"])(\w+)\1\]\s*==\s*(['\"])([^'\"\n]+)\3", 2, 4),
-            entry(r"\.(\w+)\s*==\s*(['\"])([^'\"\n]+)\2", 1, 3),
-            entry(r"\[(['\"])(\w+)\1\]\.isin\(\[(['\"])([^'\"\n]+)\3", 2, 4),
-        )
-    )
+    """array<struct<column,literal>> of the comparisons of a column with a text literal in program text: by ==, every value of isin, and in the text of query()."""
+    every = lambda text, p, n: F.regexp_extract_all(text, F.lit(p), F.lit(n))
+    pair = lambda a, b: F.struct(a.alias("column"), b.alias("literal"))
+    entry = lambda text, p, c, v: F.zip_with(every(text, p, c), every(text, p, v), pair)
+    literal = r"""['"]([^'"\n]{1,80})['"]"""
+    isin = r"""\[\s*['"](\w+)['"]\s*\]\.isin\(\s*\[([^\]]*)\]"""
+    listed = F.flatten(F.zip_with(every(code, isin, 1), every(code, isin, 2), lambda c, values: F.transform(every(values, literal, 1), lambda v: pair(c, v))))
+    queried = F.flatten(F.transform(every(code, r"""query\(\s*(['"])(.*?)\1\s*\)""", 2), lambda q: entry(q, r"""\b(\w+)\s*==\s*\\?['"`]([^'"`]{1,80})\\?['"`]""", 1, 2)))
+    return F.array_distinct(F.concat(entry(code, rf"""\[\s*['"](\w+)['"]\s*\]\s*==\s*{literal}""", 1, 2), entry(code, rf"\.(\w+)\s*==\s*{literal}", 1, 2), listed, queried))
+
+
+#: Where a log tells of a failed cell, and of an error by its last line.
+EVENT = r"(?s)Code execution failed(?=.{0,20000}?(?:due to|because of the following error)[^:]*:(.{0,3000}))"
+
+
+def error_events(logs: DataFrame, key: list[str], log: str) -> DataFrame:
+    """key, error_type, error_key, head: the error events of whole logs, each class, key and beginning of 120 characters once a log."""
+    text = plain(F.col(log))
+    told = F.regexp_extract_all(text, F.lit(EVENT), F.lit(1))
+    lines = F.when(text.contains("Traceback (most recent call last)") | text.contains("[Error]"), F.regexp_extract_all(text, F.lit(LAST_LINE), F.lit(0)))
+    rows = logs.select(*key, F.explode(F.concat(told, F.coalesce(lines, F.array().cast("array<string>")))).alias("_m"))
+    return rows.select(*key, error_type("_m").alias("error_type"), error_key("_m").alias("error_key"), F.left("_m", F.lit(120)).alias("head")).distinct()
+
+
+def lenient_record(value: str | None):
+    """A record written as Python or as JSON, or None."""
+    for read in (ast.literal_eval, json.loads):
+        try:
+            found = read(value or "")
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            continue
+        return found if isinstance(found, dict) else None
+    return None
 
 
 def answer_map(text: Column) -> Column:
@@ -229,25 +272,24 @@ def fenced_blocks(text: pd.Series) -> pd.Series:
     return text.map(blocks)
 
 
+def texts_of(value):
+    """The texts of a JSON value, in order."""
+    parts = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    if isinstance(value, str):
+        yield value
+    for part in parts:
+        yield from texts_of(part)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def json_leaves(text: pd.Series) -> pd.Series:
     """All text leaves of a JSON value, in order; the text itself if it is no JSON."""
 
-    def walk(v):
-        if isinstance(v, str):
-            yield v
-        elif isinstance(v, dict):
-            for x in v.values():
-                yield from walk(x)
-        elif isinstance(v, list):
-            for x in v:
-                yield from walk(x)
-
     def leaves(t):
         if t is None:
             return None
         try:
-            return list(walk(json.loads(t)))
+            return list(texts_of(json.loads(t)))
         except ValueError:
             return [t]
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: A dimension is sent to all tasks only below this measured number of rows.
-BROADCAST_ROWS = 100_000
+#: A dimension is sent to all tasks only below this measured number of rows, and of bytes of their values as text.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint to broadcast, if the table is counted to be small; else the planner chooses."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A hint to broadcast, if the table is measured to be small; else the planner chooses."""
+    first = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("size"))
+    n, total = first.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def compare(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -35,10 +37,28 @@ def strict_compare(old: DataFrame, new: DataFrame, key: list[str], value: str) -
     return both.drop("side")
 
 
-def paired(runs: DataFrame, key: list[str], arm: str, value: str, arms: tuple[str, str]) -> DataFrame:
-    """One row a key with the values of both arms; keys without both are left out. Repeated runs are averaged."""
-    a, b = (F.avg(F.when(F.col(arm) == x, F.col(value))).alias(x) for x in arms)
-    return runs.groupBy(*key).agg(a, b).where(F.col(arms[0]).isNotNull() & F.col(arms[1]).isNotNull())
+def paired(runs: DataFrame, key: list[str], arm: str, value: str, arms: tuple[str, str], order: list[str] | None = None) -> DataFrame:
+    """One row a key with the values of both arms; keys without both are left out. Of repeated runs the last in `order` counts; without an order they are averaged."""
+
+    def of(x: str):
+        own = F.col(arm) == x
+        if order is None:
+            return F.avg(F.when(own, F.col(value)))
+        return F.max_by(F.when(own, F.col(value)), F.when(own, F.struct(*order)))
+
+    return runs.groupBy(*key).agg(*[of(x).alias(x) for x in arms]).where(F.col(arms[0]).isNotNull() & F.col(arms[1]).isNotNull())
+
+
+def made_before(reads: DataFrame, made: DataFrame, by: str, order: str, name: str, variable: str) -> DataFrame:
+    """Adds made_by to rows that read a name: the place of the last row of the same group before it that made it, or null.
+
+    The places that made a name are one row, so a name that is made often
+    costs no more pairs.
+    """
+    makers = made.select(F.col(by).alias("_by"), F.col(order).alias("_at"), F.col(variable).alias("_name"))
+    last = makers.groupBy("_by", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_all"))
+    before = F.filter("_all", lambda x: x < F.col(order))
+    return reads.join(last, (reads[by] == last["_by"]) & (reads[name] == last["_name"]), "left").withColumn("made_by", F.try_element_at(before, F.lit(-1))).drop("_by", "_name", "_all")
 
 
 def leave_self_out(cells: DataFrame, name: str) -> DataFrame:
@@ -46,10 +66,11 @@ def leave_self_out(cells: DataFrame, name: str) -> DataFrame:
 
     An earlier cell of the same trace that wrote it counts as true, too.
     """
-    group = W.partitionBy("submitter", name)
-    fine = F.count_if(~F.col("failed")).over(group) - (~F.col("failed")).cast("long")
-    bad = F.count_if(F.col("failed")).over(group) - F.col("failed").cast("long")
-    return cells.withColumn("exists", F.when(fine > 0, True).when(bad > 0, False))
+    # counts of a group are an aggregate with partial sums, so no task holds a hot submitter's cells
+    total = cells.groupBy(F.col("submitter").alias("_s"), F.col(name).alias("_n")).agg(F.count_if(~F.col("failed")).alias("_fine"), F.count_if(F.col("failed")).alias("_bad"))
+    both = cells.join(small(total), cells["submitter"].eqNullSafe(total["_s"]) & cells[name].eqNullSafe(total["_n"]))
+    fine, bad = F.col("_fine") - (~F.col("failed")).cast("long"), F.col("_bad") - F.col("failed").cast("long")
+    return both.withColumn("exists", F.when(fine > 0, True).when(bad > 0, False)).drop("_s", "_n", "_fine", "_bad")
 
 
 def kth_with_kth(left: DataFrame, right: DataFrame, key: str, left_order: list[str], right_order: list[str]) -> DataFrame:

@@ -82,27 +82,6 @@ def _sql_list(values) -> str:
 
 
 _OUT = f"""outs AS (SELECT trace, idx, ({_sql_list(OUTPUT)})[name % {len(OUTPUT)} + 1] AS o FROM cells)"""
-_RULES = " ".join(f"WHEN regexp_matches(substr(o, 1, {n}), '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p, n in text.WRAPPED)
-_OWN = f"nullif(regexp_extract(substr(o, 1, 200), '{text.NAMED}', 1), '')"
-_TYPE = f"""CASE WHEN {_OWN} IS NULL OR {_OWN} = 'InterpreterError' THEN (CASE {_RULES} ELSE 'other' END)
-    WHEN {_OWN} = 'IndentationError' THEN 'SyntaxError' WHEN {_OWN} = 'ValueError' AND contains(o, 'Usecols do not match') THEN 'ValueError:usecols' ELSE {_OWN} END"""
-
-
-@query(f"SELECT {_TYPE} AS error_type, count(*) AS n FROM outs GROUP BY 1", CELLS_SQL, _OUT)
-def str_error_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return programs(spark, sf_dir).groupBy(text.error_type("output").alias("error_type")).agg(F.count("*").alias("n"))
-
-
-@query(
-    r"""SELECT trace, idx, CASE WHEN o LIKE 'KeyError%' THEN regexp_extract(o, 'KeyError:?\s*''([^''\n]{1,80})''', 1) WHEN contains(o, 'Could not index') THEN regexp_extract(o, ' with ''([^''\n]{1,80})''', 1) END AS key,
-        nullif(regexp_extract(o, 'No such file or directory: ''([^'']+)''', 1), '') AS path, nullif(regexp_extract(o, 'name ''([^'']+)'' is not defined', 1), '') AS name,
-        CASE WHEN contains(o, 'ValueError: could') THEN 'ValueError: could not convert string to float: ''a''' WHEN regexp_matches(o, '^[A-Za-z_.]*(Error|Exception): ?') AND NOT contains(o, 'Interpreter') THEN trim(o) WHEN contains(o, 'Interpreter') THEN trim(o) END AS last_line
-    FROM outs""",
-    CELLS_SQL, _OUT,
-)
-def str_error_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.col("output")
-    return programs(spark, sf_dir).select("trace", "idx", text.error_key(o).alias("key"), text.missing_path(o).alias("path"), text.undefined_name(o).alias("name"), text.last_error_line(o).alias("last_line"))
 
 
 _GROUPS = ["sql:missing-column", "sql:missing-table", "sql:syntax", "mongo:query-json", "mongo:missing-collection", "sql:function", "py:data-key", "interface:var-key", "py:timeout", "py:JSONDecodeError", "interface:var-name", "other"]
@@ -137,24 +116,6 @@ def str_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return programs(spark, sf_dir).select("trace", "idx", F.try_element_at(answers, F.lit("total")).alias("total"), F.try_element_at(answers, F.lit("name")).alias("name"), F.when(seconds > 0, seconds).alias("seconds"))
 
 
-@query("SELECT count(*) FILTER (name = 6) AS filters, count(*) FILTER (name = 6) AS impossible FROM cells", CELLS_SQL)
-def str_literal_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comparisons of a column with a literal, and those whose literal no row can have."""
-    code = F.replace("code", F.lit("== 2023"), F.lit("== 'y2023'"))
-    found = programs(spark, sf_dir).select(F.explode(text.literal_filters(code)).alias("f")).select("f.*")
-    domain = table(spark, sf_dir, "nation").select(F.lit("year").alias("column"), F.col("n_name").alias("literal"))
-    impossible = found.join(domain, ["column", "literal"], "left_anti")
-    return found.agg(F.count("*").alias("filters")).crossJoin(impossible.agg(F.count("*").alias("impossible")))  # two rows of one
-
-
-
-
-@query("SELECT trace, idx, name <> 10 AS compiles, name IN (6, 11) AS writes, name IN (1, 9) AS inspects, name = 7 AS gave_up FROM cells", CELLS_SQL)
-def cod_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of programs; equal programs are parsed once and joined back."""
-    rows = programs(spark, sf_dir).select("trace", "idx", "code")
-    known = rows.select("code").distinct().withColumn("f", facts.facts("code"))
-    return rows.join(known, "code").select("trace", "idx", "f.compiles", (F.col("f.writes") > 0).alias("writes"), "f.inspects", "f.gave_up")
 
 
 @query("SELECT status, count(*) AS n FROM (SELECT ['same', 'changed', 'outer_structure', 'inner_syntax'][name % 4 + 1] AS status FROM cells) GROUP BY 1", CELLS_SQL)

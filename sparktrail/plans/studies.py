@@ -145,11 +145,11 @@ def join_strict_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("old", "new").agg(F.count("*").alias("cells"))
 
 
-_ARMS = "arms AS (SELECT unit, seed, avg(correct) FILTER (arm = 'off') AS off, avg(correct) FILTER (arm = 'on') AS on_ FROM pairs GROUP BY unit, seed)"
+_ARMS = "arms AS (SELECT unit, seed, max_by(correct, (line, part)) FILTER (arm = 'off') AS off, max_by(correct, (line, part)) FILTER (arm = 'on') AS on_ FROM pairs GROUP BY unit, seed)"
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.paired(pairs(spark, sf_dir), ["unit", "seed"], "arm", "correct", ("off", "on"))
+    return joins.paired(pairs(spark, sf_dir), ["unit", "seed"], "arm", "correct", ("off", "on"), ["line", "part"])
 
 
 @query("SELECT unit, seed, off, on_ FROM arms WHERE off IS NOT NULL AND on_ IS NOT NULL", PAIRS_SQL, _ARMS)

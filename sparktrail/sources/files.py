@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import json
+import operator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -55,6 +57,16 @@ def run_keys(files: DataFrame, file: str = "file") -> DataFrame:
     })
 
 
+def selected(files: DataFrame, without: dict[str, list[str]], without_pairs: list[dict[str, list[str]]] = (), file: str = "file") -> DataFrame:
+    """Logs of runs whose path has none of the named models, data sets or queries, nor any of the combinations."""
+    keyed = run_keys(files.select(F.concat(F.lit("/"), F.col(file)).alias("_at"), file), "_at")
+    any_of = lambda names, together: functools.reduce(together, [F.col(k).isin(v) for k, v in names.items()], F.lit(together is operator.and_))
+    out = any_of(without, operator.or_)
+    for pair in without_pairs:
+        out = out | any_of(pair, operator.and_)
+    return keyed.where(~out).select(file)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """file, bytes, sha256 of each file; an error if one is only a pointer to a file elsewhere."""
     files = spark.read.format("binaryFile").load(path)

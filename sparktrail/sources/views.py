@@ -48,7 +48,7 @@ CELLS_SQL = f"""cells AS (
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unit, seed, arm, correct, cost: runs of two arms; a unit is an order, a seed a line number."""
+    """unit, seed, arm, correct, cost, line, part: runs of two arms; a unit is an order, a seed a line number; line and part are the place in the log."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     return l.where("l_returnflag in ('A', 'R')").select(
         (F.col("l_orderkey") % 500).alias("unit"),
@@ -56,12 +56,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "off").otherwise("on").alias("arm"),
         (F.col("l_discount") < 0.05).cast("int").alias("correct"),
         F.col("l_quantity").alias("cost"),
+        F.col("l_orderkey").alias("line"),
+        (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("part"),
     )
 
 
 PAIRS_SQL = """pairs AS (
     SELECT l_orderkey % 500 AS unit, l_linenumber AS seed, CASE WHEN l_returnflag = 'A' THEN 'off' ELSE 'on' END AS arm,
-        CAST(l_discount < 0.05 AS INT) AS correct, l_quantity AS cost
+        CAST(l_discount < 0.05 AS INT) AS correct, l_quantity AS cost, l_orderkey AS line, l_partkey * 100000 + l_suppkey AS part
     FROM lineitem WHERE l_returnflag IN ('A', 'R'))"""
 
 

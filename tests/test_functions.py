@@ -194,6 +194,11 @@ def test_code_facts():
     assert code.facts_of("print(y)\ndef g(a):\n    return a + zz")["undefined"] == ["y", "zz"]
     assert code.facts_of("open('a', 'w').write('x')")["writes"] == 1 and code.facts_of("open('a', mode='rb')")["writes"] == 0
     assert code.facts_of("final_answer('n/a')")["gave_up"] and not code.facts_of("final_answer(f())")["gave_up"]
+    looks = lambda c: code.facts_of(c)["inspects"]
+    assert looks("import os\nprint(os.listdir('/x'))") and looks("df = pd.read_csv('x')\nlist(df.columns)\nrepr(df)") and looks("try:\n    df.info()\nexcept Exception:\n    pass")
+    assert looks("with open('x') as f:\n    d = f.read()\nd.keys()") and looks("x = df.shape\nfor c in df.columns:\n    print(c)")
+    assert not looks("df.value_counts()") and not looks("print(df.x.nunique())") and not looks("x = df.columns\ny = df.sum()") and not looks("print(1)")
+    assert not looks("df.columns = ['a']\nz = f(df)") and not looks("while True:\n    df.head()")
     assert not code.facts_of("x = (")["compiles"]
     assert code.facts_of("def final_answer(x): pass")["answers"] and code.facts_of("import os\nos.listdir('.')")["lists_files"]
 
@@ -223,11 +228,11 @@ def test_runs():
     assert runs.answer_code("text ```python\nx = 1\n``` more") == "x = 1\n"
     assert runs.answer_code("final_answer(3)") == "final_answer(3)" and runs.answer_code("x = 3") is None and runs.answer_code("no code") is None
     programs = ["df = pd.read_csv('x')", "for i, r in df.iterrows():\n    pass", "df['k']"]
-    assert runs.miss_class("k", programs) == "item of: frame from a reader"
-    assert runs.miss_class("k", [*programs[:2], "r['k']"]) == "item of: row of a frame"
-    assert runs.miss_class("k", ["df.sort_values('k')"]) == "argument of .sort_values"
-    assert runs.miss_class("k", ["f()['k']"]) == "item of an expression" and runs.miss_class("k", ["x = 'k'"]) == "elsewhere in the program"
-    assert runs.miss_class("k", ["x"]) == "not in this program" and runs.miss_class(None, ["x"]) == "no key in the error" and runs.miss_class("k", ["x ("]) == "invalid program"
+    assert runs.miss_class("k", programs) == "x['key'], x = frame from a reader"
+    assert runs.miss_class("k", [*programs[:2], "r['k']"]) == "x['key'], x = row of a DataFrame loop"
+    assert runs.miss_class("k", ["df.sort_values('k')"]) == "key as a method argument (.sort_values)"
+    assert runs.miss_class("k", ["f()['k']"]) == "expr['key'] (derived expression)" and runs.miss_class("k", ["x = 'k'"]) == "key in another position"
+    assert runs.miss_class("k", ["x"]) == "key not written in this cell" and runs.miss_class(None, ["x"]) == "error text without a key" and runs.miss_class("k", ["x ("]) == "invalid Python"
 
 
 def test_after_blocked(spark):
