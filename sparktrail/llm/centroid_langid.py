@@ -25,9 +25,7 @@ ids may be of any kind; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +37,20 @@ PER_LANG, DIMS, CLUSTERS = 300, 8192, 4
 CHUNK = 1 << 20
 
 
-@cache
-def _other() -> re.Pattern:
-    """Runs of all but letters. Of what re counts to words, digits, numerals as \u00bd or \u2460, and the underscore are none."""
-    numerals = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
-    return re.compile(rf"[\W_{''.join(numerals)}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def _letters(text: str) -> str:
+    """Runs of letters, lower-cased, with single spaces between. Of what re counts to words, numerals as \u00bd or \u2460 are no letters; they are rare, so a text is searched for them only if it has some."""
+    found = _OTHER.sub(" ", text.lower()).strip()
+    if not found or found.replace(" ", "").isalpha():
+        return found
+    return " ".join("".join(c if c.isalpha() else " " for c in found).split())
 
 
 def counts(text: str | None, dims: int = DIMS) -> np.ndarray | None:
     """Of the hashed n-grams of a whole text; None if it has no letter."""
-    letters = _other().sub(" ", (text or "").lower()).strip()
+    letters = _letters(text or "")
     if not letters:
         return None
     raw = np.frombuffer(f" {letters} ".encode("utf-8", "replace"), np.uint8)
