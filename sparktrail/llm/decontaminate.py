@@ -1,9 +1,8 @@
 """Benchmark decontamination by a stored positional inverted index, in DataFrame functions only.
 
-Index. Every text is split into words once. The postings (document, position,
-term) of the terms that the benchmark has are stored, with one row at least for
-each document that holds its number of words. How often a term occurs in all
-documents is counted from the index.
+Index. Every text is split into words once, and the postings (document, position,
+term) of all its words are stored, with the number of words of the document; one
+without words has one row. The index knows nothing of a benchmark and serves any.
 
 Search. The terms of a window of `width` benchmark words are ordered from the
 rarest. The postings of the two rarest, each moved back by the term's offset,
@@ -22,7 +21,9 @@ Defined cases: null or empty text has no words; an item without words is ignored
 one of fewer than `width` words is one window; items that occur in several rows
 count once by their id; a null item_id reads as an empty string; a repeated row
 comes back as often; rows that share a doc_id but not the text are kept apart;
-other columns are ignored.
+ids may be of any kind; texts are read whole, however long; with an empty
+benchmark no document is hit; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -51,21 +52,21 @@ def _send(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def build_index(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Stored postings (doc_id, dk, th, n_words, pos, term) of `terms`. A document's row with pos 0 (null: no words) is always there, with a null term if its first word is not asked for.
+def build_index(docs: DataFrame) -> DataFrame:
+    """Stored postings (doc_id, dk, th, n_words, pos, term) of all words; a document without words has one row with a null pos and term.
 
     The words of a text are split once: explode_outer is used, as Spark would
     infer a filter from explode that splits every text a second time.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     lists = docs.select(*_named(), words(F.col("text")).alias("words"))
-    every = lists.select("doc_id", "dk", "th", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
-    found = every.join(_send(terms.select("term").distinct(), small), F.col("word") == F.col("term"), "left")
-    return stored(found.where("term is not null or pos is null or pos = 0").drop("word"), "postings")
+    return stored(lists.select("doc_id", "dk", "th", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "term")), "postings")
 
 
-def term_counts(index: DataFrame) -> DataFrame:
-    return index.where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
+def term_counts(index: DataFrame, listed: DataFrame, small: bool) -> DataFrame:
+    """How often each term of the items `listed` occurs in all documents."""
+    asked = listed.select(F.explode("item").alias("term")).distinct()
+    return index.join(_send(asked, small), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -91,17 +92,17 @@ def _bytes(of: Column) -> Column:
     return F.coalesce(F.sum(F.aggregate(of, F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 16)), F.lit(0))
 
 
-def _sizes(benchmark: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, bool]:
-    listed = checkpoint(items(benchmark))
-    return listed, listed.agg(_bytes(F.col("item"))).first()[0] <= broadcast_bytes
+def _is_small(listed: DataFrame, broadcast_bytes: int) -> bool:
+    return listed.agg(_bytes(F.col("item"))).first()[0] <= broadcast_bytes
 
 
 def phrase_matches(index: DataFrame, listed: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(dk, th, item_id, lo, hi): words lo to hi - 1 of a document are a window of the item. `index` has the terms of the items `listed`."""
-    windows = checkpoint(rarest_first(listed, checkpoint(term_counts(index)), width))
+    """(dk, th, item_id, lo, hi): words lo to hi - 1 of a document are a window of the item, for the items `listed` by items()."""
+    counts = term_counts(index, listed, _is_small(listed, broadcast_bytes))
+    windows = checkpoint(rarest_first(listed, checkpoint(counts), width))
     small = windows.agg(_bytes(F.transform("by", lambda x: x["term"]))).first()[0] <= broadcast_bytes
     terms = checkpoint(windows.select("window", "size", "by").distinct().withColumn("win", F.monotonically_increasing_id()))
-    lists = index.where("term is not null").select("dk", "th", "n_words", "pos", "term")
+    lists = index.select("dk", "th", "n_words", "pos", "term")
     # Where the two rarest terms of a window agree on its start; a hot passage is many groups, one for each document.
     two = terms.select("win", "size", F.posexplode(F.slice("by", 1, 2)).alias("k", "r")).select("win", "size", "k", F.col("r.at").alias("at"), F.col("r.term").alias("term"))
     start = F.col("pos") - F.col("at")
@@ -122,11 +123,11 @@ def phrase_matches(index: DataFrame, listed: DataFrame, width: int = WIDTH, broa
 
 def proximity_matches(index: DataFrame, listed: DataFrame, rarest: int = 4, slop: int = 16, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(dk, th, item_id, pos): the rarest term of an item stands at pos, and its `rarest` rarest terms all within slop words of it."""
-    counts = term_counts(index)
+    counts = term_counts(index, listed, _is_small(listed, broadcast_bytes))
     ranked = listed.select("item_id", "item", F.explode(F.array_distinct("item")).alias("term")).join(counts, "term").groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("by"))
     wanted = checkpoint(ranked.where(F.size("by") >= rarest).select("item_id", F.transform(F.slice("by", 1, rarest), lambda x: x["term"]).alias("terms")).distinct())
     small = wanted.agg(_bytes(F.col("terms"))).first()[0] <= broadcast_bytes
-    lists = index.where("term is not null").select("dk", "th", "pos", "term")
+    lists = index.select("dk", "th", "pos", "term")
     centre = lists.join(_send(wanted.select("item_id", "terms", F.get("terms", F.lit(0)).alias("term")), small), "term").select("dk", "th", "item_id", F.col("pos").alias("at"), F.explode("terms").alias("term"))
     # positions meet in cells of slop words, and in the cells beside
     cell = lambda p: F.floor(p / (slop + 1))
@@ -137,8 +138,8 @@ def proximity_matches(index: DataFrame, listed: DataFrame, rarest: int = 4, slop
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
-    listed, small = _sizes(benchmark, broadcast_bytes)
-    index = build_index(docs, listed.select(F.explode("item").alias("term")), small)
+    listed = checkpoint(items(benchmark))
+    index = build_index(docs)
     spans = phrase_matches(index, listed, width, broadcast_bytes)
     # Partial sets before the shuffle; a document has at most as many spans as words for each item.
     per_doc = spans.groupBy("dk", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("ids"))

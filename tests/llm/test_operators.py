@@ -358,9 +358,24 @@ def test_proximity(spark):
     b = spark.createDataFrame([(1, "alpha beta gamma delta common")], "item_id long, text string")
     d = spark.createDataFrame([(1, "delta x gamma y beta z alpha"), (2, "alpha beta gamma " + "common " * 9), (3, "alpha " + "w " * 30 + "beta gamma delta"), (4, None)], "doc_id long, text string")
     listed = decontaminate.items(b)
-    index = decontaminate.build_index(d, listed.select(F.explode("item").alias("term")), True)
+    index = decontaminate.build_index(d)
     got = decontaminate.proximity_matches(index, listed, rarest=4, slop=8).select("dk").collect()
     assert [r[0] for r in got] == [1]
+    other = decontaminate.items(spark.createDataFrame([("q", "beta gamma common"), ("r", "y z"), ("s", "z beta")], "item_id string, text string"))
+    found = {(r["dk"], r["item_id"], r["lo"], r["hi"]) for r in decontaminate.phrase_matches(index, other).collect()}
+    assert found == {(2, "q", 1, 4)}  # the same index serves another benchmark
+
+
+def test_contamination_takes_ids_of_any_kind(spark):
+    b = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    d = spark.createDataFrame([("x1", "say one two three"), ("x2", "nothing"), (None, "one two three"), ("7", None)], "doc_id string, text string")
+    assert Counter((r["doc_id"], r["n_hit"]) for r in decontaminate.contamination(d, b).collect()) == Counter([("x1", 3), ("x2", 0), (None, 3), ("7", 0)])
+    assert decontaminate.contamination(d, b.limit(0)).count() == 4
+    lines = line_dedup.kept_hashes(d, 2).collect()
+    assert {r["doc_id"] for r in lines} == {"x1", "x2", None, "7"}
+    groups = simhash_tiles.near_duplicates(d.union(d)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in groups} == {"x1": "x1", "x2": "x2", None: None, "7": "7"}
+    assert pfair_mix.mix(d.withColumn("source", F.lit("s"))).count() == shard_bfd.shard(d, 2).count() == 4
 
 
 # --- shards
