@@ -6,8 +6,9 @@ pairs, turned by that orientation. Tables of chosen bits of the tests are joined
 descriptors that agree in all bits of a table and differ in few of the 256 are a
 correspondence. Correspondences between two images vote for a change of angle,
 scale and position; enough votes of different corners in one cell are geometric
-consensus, and link the images: MIN_VOTES, and where many corners have matches an
-eighth of these, counted in the image that has fewer.
+consensus, and link the images: MIN_VOTES, and where many corners have matches a
+fifth of these, counted in the image that has fewer. Votes are of different
+corners in both images.
 
 In a bucket of a table every descriptor is compared with every other; a bucket
 larger than a tile becomes pairs of tiles for many tasks. The work of a bucket
@@ -35,7 +36,7 @@ from .common import checkpoint, components, map_arrow, stored
 CORNERS, STEP = (20, 8, 4), 1.5  # the strongest at each scale, besides those of each cell
 CELL, CORNER_AREA = 64, 256  # the strongest of each cell, one for so many pixels
 RADIUS, TABLES, TABLE_BITS, MAX_DIFFER, MIN_VOTES = 7, 8, 24, 48, 4
-VOTE_SHARE = 8  # one vote at least for so many matched corners: with many, some agree by chance
+VOTE_SHARE = 5  # one vote at least for so many matched corners: with many, some agree by chance
 TILE, PASSES = 2048, 4
 ANGLES = 24
 _RNG = np.random.default_rng(20240501)
@@ -239,14 +240,17 @@ def _consensus(cols: list[np.ndarray], min_votes: int):
     need = np.maximum(min_votes, -(-need // VOTE_SHARE))
     # The two cells nearest to a value on each axis, so that no vote is lost at a border.
     cell = np.concatenate([cell + (u << 26) + v for u in (0, 1) for v in (0, 1)])
-    run, corner = np.tile(run, 4), np.tile(corner, 4)
-    order = np.lexsort((corner, cell, run))
-    run, cell, corner = run[order], cell[order], corner[order]
-    new_cell = np.r_[True, (run[1:] != run[:-1]) | (cell[1:] != cell[:-1])]
-    new = new_cell | np.r_[True, corner[1:] != corner[:-1]]
-    votes = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_cell))
+    run = np.tile(run, 4)
+    votes = []
+    for ends in (corner, other):  # different corners in both images: one that meets many has one vote
+        ends = np.tile(ends, 4)
+        order = np.lexsort((ends, cell, run))
+        at, ends = (run[order], cell[order]), ends[order]
+        new_cell = np.r_[True, (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1])]
+        new = new_cell | np.r_[True, ends[1:] != ends[:-1]]
+        votes.append(np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_cell)))
     best = np.zeros(len(first), np.int64)
-    np.maximum.at(best, run[new_cell], votes)
+    np.maximum.at(best, at[0][new_cell], np.minimum(*votes))
     won = np.flatnonzero(best >= need)
     return cols[0][first[won]], cols[1][first[won]], best[won]
 

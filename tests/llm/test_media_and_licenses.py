@@ -198,3 +198,27 @@ def test_links_of_edited_and_equal_copies_are_all_counted(spark):
     df = spark.createDataFrame(rows, "img_id long, image struct<height:int,width:int,gray:binary>, keys string")
     got = {r["img_id"]: (r["component_id"], r["n_links"]) for r in im.image_copies(df).collect()}
     assert got == {**dict.fromkeys(range(7), (0, 6)), 50: (50, 0)}
+
+
+EDITS = {
+    "crop to 70 %": lambda a, rng: a[10 : 10 + int(a.shape[0] * 0.84), 8 : 8 + int(a.shape[1] * 0.84)],
+    "noise": lambda a, rng: np.clip(a + rng.normal(0, 2, a.shape), 0, 255).astype(np.uint8),
+    "gamma": lambda a, rng: np.clip(255 * (a / 255.0) ** 0.8, 0, 255).astype(np.uint8),
+    "quarter turn": lambda a, rng: np.rot90(a).copy(),
+    "resize to 0.8": lambda a, rng: np.clip(im._resized(a.astype(float), 1.25), 0, 255).astype(np.uint8),
+    "resize to 2/3": lambda a, rng: np.clip(im._resized(a.astype(float), 1.5), 0, 255).astype(np.uint8),
+}
+
+def test_recall_by_edit(spark):
+    n, rng = 40, np.random.default_rng(3)
+    base = [picture(1000 + i) for i in range(n)]
+    rows = [row(i, a) for i, a in enumerate(base)]
+    for k, edit in enumerate(EDITS.values(), 1):
+        rows += [row(1000 * k + i, np.ascontiguousarray(edit(a, rng))) for i, a in enumerate(base)]
+    df = spark.createDataFrame(rows, "img_id long, image struct<height:int,width:int,gray:binary>, x string")
+    points = im.keypoints(df)
+    found = {(r["a"], r["b"]) for r in im.links(points).collect()}
+    for k, name in enumerate(EDITS, 1):
+        assert sum((i, 1000 * k + i) in found for i in range(n)) >= 0.95 * n, name
+    pairs = len(rows) * (len(rows) - 1) / 2
+    assert sum(a % 1000 != b % 1000 for a, b in found) <= pairs / 2000  # other pictures agree by chance at times
