@@ -3,6 +3,12 @@
 Each stage takes what the one before kept, and all but the last return the
 columns of documents. Stages 1 to 3 take documents out, stage 4 puts all that
 are left in mixed order, stage 5 deals them to shards, whose slots keep that order.
+
+Defined cases, for all stages: an empty table gives an empty one; columns may be
+null, and their names may clash with those of an operator; ids may be null or
+repeated, as rows are told apart by all their columns; texts are read whole. A null
+text, or one without letters, goes in stage 1; equal rows are one document in stage
+2, and stay as often as they are in the others; a null source is one of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparktrail import ship
 from sparktrail.llm import centroid_langid, decontaminate, pfair_mix, shard_bfd, simhash_tiles
-from sparktrail.llm.common import fresh, row_key, table, whole_row_key
+from sparktrail.llm.common import fresh, row_key, stored, table, whole_row_key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = fresh(docs, "key")
     keyed = docs.withColumn(key, whole_row_key(docs))
     said = simhash_tiles.near_duplicates(keyed, doc_id=key)
-    kept = said.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    # as files, whose size is known, so that the texts are shuffled once at most
+    kept = stored(said.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct(), "kept")
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
