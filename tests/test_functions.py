@@ -246,3 +246,39 @@ def test_after_blocked(spark):
     ]
     df = spark.createDataFrame(cells, "trace long, idx int, code string, ok boolean, blocked boolean, line int, error string")
     assert [tuple(r) for r in runs.after_blocked(df).collect()] == [(1, 2, True, True, True)]
+
+
+def test_records_written_as_python_or_as_json():
+    assert text.lenient_record("{'a': None, 'b': 1}") == {"a": None, "b": 1}
+    assert text.lenient_record('{"a": null, "b": true}') == {"a": None, "b": True}
+    assert text.lenient_record("[1]") is None and text.lenient_record(None) is None and text.lenient_record("{") is None
+
+
+def test_error_events_are_once_a_log(spark):
+    fail = "Code execution failed at line 'x' due to: KeyError: 'a'\n"
+    log = fail + "." * 3100 + fail + "." * 3100 + "Code execution failed because of the following error:\nValueError: bad\n"
+    tail = "Traceback (most recent call last)\nTypeError: no\nTypeError: no\n"
+    df = spark.createDataFrame([(1, log), (2, tail), (3, "Code execution failed"), (4, None)], "k int, log string")
+    got = sorted((r["k"], r["error_type"], r["error_key"]) for r in text.error_events(df, ["k"], "log").collect())
+    assert [g[:2] for g in got] == [(1, "KeyError"), (1, "ValueError"), (2, "TypeError")] and got[0][2] == "a"
+
+
+def test_wrapped_errors_need_their_key(spark):
+    said = ["InterpreterError: Could not index the thing; KeyError: 'abc'", "x" * 195 + " Could not index a with 'k': KeyError: 'k'", "Could not index " + "z\n" * 2000 + " with 'k': KeyError: 'k'", "InterpreterError: Could not index a with 'q'", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, m string")
+    got = [tuple(r) for r in df.orderBy("i").select(text.error_type("m"), text.error_key("m")).collect()]
+    assert got == [("KeyError(wrapped)", "abc"), ("KeyError(wrapped)", "k"), ("index-error(wrapped)", "k"), ("index-error(wrapped)", "q"), (None, None)]
+
+
+def test_joins_by_measure_and_by_order(spark):
+    from sparktrail.operators import joins
+
+    wide = spark.createDataFrame([(1, "x" * 1000)], "k int, t string")
+    assert joins.small(wide)._jdf.queryExecution().logical().toString().lower().count("broadcast") == 1
+    assert "broadcast" not in joins.small(wide, size=500)._jdf.queryExecution().logical().toString().lower()
+    runs = spark.createDataFrame([(1, "a", 0, 1), (1, "a", 1, 2), (1, "b", 1, 3), (1, "b", 0, 4), (2, "a", 1, 5)], "u int, arm string, v int, line int")
+    assert [tuple(r) for r in joins.paired(runs, ["u"], "arm", "v", ("a", "b"), ["line"]).collect()] == [(1, 1, 0)]
+    assert [tuple(r) for r in joins.paired(runs, ["u"], "arm", "v", ("a", "b")).collect()] == [(1, 0.5, 0.5)]
+    reads = spark.createDataFrame([(1, 1, "x"), (1, 3, "x"), (1, 9, "x"), (2, 5, "x"), (1, 4, None)], "t int, i int, n string")
+    made = spark.createDataFrame([(1, 2, "x"), (1, 3, "x"), (1, 2, "x"), (2, 7, "x")], "t int, i int, v string")
+    assert sorted((r["t"], r["i"], r["made_by"]) for r in joins.made_before(reads, made, "t", "i", "n", "v").collect()) == [(1, 1, None), (1, 3, 2), (1, 4, None), (1, 9, 3), (2, 5, None)]
