@@ -11,8 +11,9 @@ end, so words are merged one by one and the counts of words met before are kept,
 in a cache of bounded size. Both facts are checked when a vocabulary is loaded.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; a text is never
-cut; special strings in it are ordinary text; repeated rows are counted each;
-other columns are ignored unless named.
+cut; special strings in it are ordinary text; equal ranks go by place; repeated
+rows are counted each; ids may be null or of any kind; an empty table gives no
+rows; other columns are ignored unless named.
 """
 
 from __future__ import annotations

@@ -8,14 +8,17 @@ decides each run of equal hashes that lies inside it; the first and the last run
 may go on in a neighbour and are settled by a small join. What comes out is, for
 each document, a compressed bitmap of the lines to keep: no text is written.
 
-Two rules: ``keep="first"`` keeps the first occurrence of each key, by
+Two rules: ``min_docs=None`` keeps the first occurrence of each key, by
 (document, position); ``min_docs=n`` drops all lines of keys found in at least n
 documents. Keys of fewer than `min_chars` code points are always kept.
 
 Defined cases: a null or empty text is one empty line; a document is a doc_id,
 so repeated rows of one doc_id count once and get equal bitmaps if their texts
-are equal, and a row with a null doc_id is a document by its content; columns
-other than those named are carried or ignored.
+are equal, and a row whose doc_id is null or no integer is a document by id and
+content; texts are read whole, however long, and a document of very many lines is
+sorted over as many partitions; equal keys are told apart by document and position
+alone; an empty table gives no rows; columns other than those named are carried or
+ignored.
 """
 
 from __future__ import annotations
