@@ -37,8 +37,10 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(stream: DataFrame) -> DataFrame:
     """All that a stream in append mode says of the files that are there, through a file sink in the shared folder of `spark.checkpoint.dir`."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"{base or tempfile.mkdtemp(prefix='streams')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

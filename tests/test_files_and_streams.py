@@ -1,5 +1,6 @@
 import json
 import os
+from types import SimpleNamespace as Stub
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,12 @@ def test_streams(spark, tmp_path):
     assert [(r["cells"], r["failed"]) for r in by.collect()] == [(6, 5)]
     costs = spark.createDataFrame([(i, 4.0) for i in range(6)], "i int, cost double")
     assert folds.until_budget(costs, "i", "cost", 10.0).count() == 3
+
+
+def test_settled_streams_need_a_shared_folder_on_a_cluster(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    rows = spark.readStream.schema("id long").parquet(str(tmp_path / "t"))
+    assert {r["id"] for r in folds.settled(rows).collect()} == set(range(5))
+    on_cluster = Stub(conf=Stub(get=lambda name, other: other), sparkContext=Stub(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folds.settled(Stub(sparkSession=on_cluster))
