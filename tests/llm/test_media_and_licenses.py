@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparktrail.llm import image_match as im, license_scan as ls, queries
@@ -209,9 +210,11 @@ EDITS = {
     "resize to 2/3": lambda a, rng: np.clip(im._resized(a.astype(float), 1.5), 0, 255).astype(np.uint8),
 }
 
-def test_recall_by_edit(spark):
-    n, rng = 40, np.random.default_rng(3)
-    base = [picture(1000 + i) for i in range(n)]
+
+@pytest.mark.parametrize("seed, first", [(3, 1000), (77, 70000)])
+def test_recall_by_edit(spark, seed, first):
+    n, rng = 40, np.random.default_rng(seed)
+    base = [picture(first + i) for i in range(n)]
     rows = [row(i, a) for i, a in enumerate(base)]
     for k, edit in enumerate(EDITS.values(), 1):
         rows += [row(1000 * k + i, np.ascontiguousarray(edit(a, rng))) for i, a in enumerate(base)]
