@@ -149,6 +149,24 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, bucket_rows:
     )
 
 
+def in_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number all rows of df from 0 by `order`, without a task that holds more than its range.
+
+    Rows are dealt by ranges, rows that agree in all of `order` by their place in
+    df, so that no value is too hot; each range is numbered as it is sorted, and
+    the sizes of the ranges before it, one row a range, are added.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie, at = fresh(df, "tie"), fresh(df, "at")
+    cut = df.withColumn(tie, F.monotonically_increasing_id())
+    ranged = stored(cut.repartitionByRange(n, *order, tie).sortWithinPartitions(*order, tie).drop(tie).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright(at, 33)
+    starts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = F.broadcast(starts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")))
+    return ranged.join(starts, part == F.col("_part")).withColumn(out, F.col("_start") + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, "_part", "_start")
+
+
 def position(df: DataFrame) -> Column:
     """Where a row stands in df, as a struct that sorts: its file and row, where df only reads files, else its partition and row."""
     plan = df._jdf.queryExecution().analyzed()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, centroid_langid, chat_format, decontaminate, image_match, license_scan, line_dedup, pfair_mix, shard_bfd, simhash_tiles
+from . import bpe_count, centroid_langid, chat_format, decontaminate, image_match, importance_resample, license_scan, line_dedup, pfair_mix, prefix_hash, shard_bfd, simhash_tiles, whitening
 from .common import table
 
 
@@ -65,7 +65,19 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_match.image_copies(image_match.rendered(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_pfair_mix, op4_license_scan, op5_simhash_dedup, op6_language_id, op7_decontaminate, op8_shard, op9_line_dedup, op10_image_copies)}
+def op11_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_pfair_mix, op4_license_scan, op5_simhash_dedup, op6_language_id, op7_decontaminate, op8_shard, op9_line_dedup, op10_image_copies, op11_prefix_fingerprints, op12_whitening, op13_importance_resample)}
 
 _TEMPLATE = "'<|im_start|>' || {role} || chr(10) || {text} || '<|im_end|>' || chr(10)"
 #: Escapes as the operator does: RE2 lets the backslashes between be kept by a group.
