@@ -28,3 +28,20 @@ def ship(spark):
         sc.addPyFile(out)
         sc.setLocalProperty(_SHIPPED, sc.applicationId)
     return spark
+
+
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see. Only where that is unset and all runs on one machine, as in tests, a temporary folder is taken."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df):
+    """df, computed and kept in files of the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import answers as ans, documents as doc
 from ..operators import existence
@@ -53,19 +50,62 @@ def str_answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(distinct, ["answer", "code", "printed"]).select("trace", "idx", "source")
 
 
-@query("SELECT path, count(*) AS documents FROM (SELECT unnest(CASE WHEN event_type = 'click' THEN ['k', 'deep', 'deep.x', 'deep.y'] ELSE ['k'] END) AS path FROM events) GROUP BY 1")
-def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All dotted paths of the documents of a collection, and how many documents have each."""
+#: The document of an order, nested at three depths; of even orders, what is null is written as null, of odd ones it is left out.
+_NESTED_SQL = """nested AS (
+    SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price, o_orderkey % 2 = 0 AS even, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority,
+        count(l_orderkey) AS n, list(l_linenumber) FILTER (l_orderkey IS NOT NULL) AS numbers, list(l_returnflag) FILTER (l_orderkey IS NOT NULL) AS flags, list(l_tax) FILTER (l_orderkey IS NOT NULL) AS taxes
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey and its document as JSON text: an order with its lines, of which there are a few each."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.struct(F.struct(F.col("l_returnflag").alias("flag")).alias("back"), F.col("l_tax").alias("tax")).alias("ship"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    k = F.col("o_orderkey")
+    order = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("priority"))
+    rows = table(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left")
+    doc_ = F.struct(k.alias("key"), order.alias("order"), (k % 2 == 0).alias("even"), F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"))
+    return rows.select("o_orderkey", F.when(k % 2 == 0, F.to_json(doc_, {"ignoreNullFields": "false"})).otherwise(F.to_json(doc_)).alias("d"))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def paths(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: sorted(doc.field_paths(json.loads(t))))
 
-    extra = F.when(F.col("event_type") == "click", F.concat(F.rtrim(F.col("props"), F.lit("}")), F.lit(', "deep": [{"x": 1}, {"y": 2}]}'))).otherwise(F.col("props"))
-    docs = table(spark, sf_dir, "events").select(extra.alias("d"))
-    # documents of equal shape are walked once
-    shapes = docs.groupBy("d").agg(F.count("*").alias("n"))
-    return shapes.select(F.explode(paths("d")).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("documents"))
+@query(
+    """SELECT path, count(*) AS documents FROM (
+        SELECT unnest(['key', 'order', 'order.status', 'order.price', 'even', 'lines'] || CASE WHEN even OR priority IS NOT NULL THEN ['order.priority'] ELSE [] END
+            || CASE WHEN n > 0 THEN ['lines.n', 'lines.ship', 'lines.ship.back', 'lines.ship.back.flag', 'lines.ship.tax'] ELSE [] END) AS path FROM nested) GROUP BY 1""",
+    _NESTED_SQL,
+)
+def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dotted paths of the documents of a collection, and how many documents have each."""
+    return doc.document_paths(nested(spark, sf_dir), "d", ["o_orderkey"]).groupBy("path").agg(F.count("*").alias("documents"))
+
+
+#: Filters over the nested documents, and the same in SQL.
+_NESTED_FILTERS = {
+    '{"lines.n": {"$gte": 7}}': "len(list_filter(numbers, lambda x: x >= 7)) > 0",
+    '{"lines.ship.back.flag": "R", "order.status": {"$ne": "F"}}': "list_contains(flags, 'R') AND status <> 'F'",
+    '{"lines.ship.back.flag": {"$nin": ["R", "A"]}}': "NOT coalesce(list_has_any(flags, ['R', 'A']), false)",
+    '{"order.priority": null}': "priority IS NULL",
+    '{"order.priority": {"$exists": true}}': "even OR priority IS NOT NULL",
+    '{"order.priority": {"$regex": "^[12]-u", "$options": "i"}}': "regexp_matches(coalesce(priority, ''), '^[12]-[uU]')",
+    '{"even": 1}': "false",
+    '{"even": true, "key": {"$lt": 1000.5}}': "even AND k < 1000.5",
+    '{"key": {"$gt": "a"}}': "false",
+    '{"$or": [{"order.status": "P"}, {"lines.ship.tax": {"$lte": 0}}]}': "status = 'P' OR coalesce(list_min(taxes) <= 0, false)",
+    '{"$nor": [{"order.status": {"$in": ["F", "P"]}}, {"lines": []}]}': "status NOT IN ('F', 'P') AND n > 0",
+    '{"lines.0.n": {"$exists": false}}': "true",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS filter, count(*) FILTER ({s}) AS n, count(*) FILTER ({s}) > 5 AS cut FROM nested" for t, s in _NESTED_FILTERS.items()) + """ UNION ALL SELECT '{"$where": "x"}', NULL, NULL""", _NESTED_SQL)
+def doc_nested_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of several filters over nested documents without a schema, in one pass."""
+    return doc.match_counts(nested(spark, sf_dir), [*_NESTED_FILTERS, '{"$where": "x"}'], "d")
+
+
+@query("SELECT k AS o_orderkey FROM nested WHERE list_contains(flags, 'N') AND (priority IS NULL OR price > 200000)", _NESTED_SQL)
+def doc_nested_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = doc.matches({"lines.ship.back.flag": "N", "$or": [{"order.priority": None}, {"order.price": {"$gt": 200000}}]})
+    return nested(spark, sf_dir).where(test(F.col("d"))).select("o_orderkey")
 
 
 @query(

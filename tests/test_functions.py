@@ -86,53 +86,6 @@ def test_wilson_conventions(spark):
 
 # --- document filters
 
-LEAF = hs.one_of(hs.none(), hs.booleans(), hs.integers(-3, 3), hs.sampled_from(["a", "b", "ab"]))
-FILTERS = [
-    {"a": 1}, {"a": None}, {"a": {"$ne": 1}}, {"a": {"$in": [1, None]}}, {"a": {"$nin": ["a", 2]}}, {"a": {"$gt": 0}}, {"a": {"$lte": "a"}},
-    {"a.b": 1}, {"a.b": {"$exists": False}}, {"$or": [{"a": 1}, {"c": "a"}]}, {"$nor": [{"a": 1}, {"c": "a"}]}, {"$and": [{"a": {"$gte": 0}}, {"c": {"$regex": "^A", "$options": "i"}}]},
-]
-
-
-def test_filters_follow_the_store():
-    ok = lambda f, d: doc.predicate(f)(d)
-    assert ok({"a": 1}, {"a": 1.0}) and not ok({"a": 1}, {"a": True})
-    assert ok({"a": 1}, {"a": [3, 1]}) and ok({"a": [3, 1]}, {"a": [3, 1]})
-    assert ok({"a": None}, {}) and ok({"a": None}, {"a": None}) and not ok({"a": {"$exists": True}}, {})
-    assert ok({"a.b": 2}, {"a": [{"b": 1}, {"b": 2}]}) and not ok({"a": {"$gt": 1}}, {"a": "x"})
-    assert ok({"a": {"$ne": 1}}, {}) and not ok({"a": {"$ne": 1}}, {"a": [1, 2]})
-    with pytest.raises(doc.Unsupported):
-        doc.predicate({"$where": "x"})
-    with pytest.raises(doc.Unsupported):
-        doc.predicate({"a": {"$size": 1}})
-    assert doc.field_paths({"a": [{"b": 1}, {"c": {"d": 2}}]}) == {"a", "a.b", "a.c", "a.c.d"}
-    assert doc.filter_fields({"$or": [{"a": {"$ne": 1}}, {"b": {"$elemMatch": {"c": 1}}}]}) == [("a", True), ("b", False), ("b.c", False)]
-    assert doc.projected({"_id": 0, "a": 1, "$x": 1}) == ["a"]
-    assert doc.field_missing("a.0.b", {"a"}) is None and doc.field_missing("z", {"a"}) and not doc.field_missing("a", {"a"})
-
-
-def test_compiled_filters_are_the_plain_ones(spark):
-    rng = random.Random(2)
-    docs = [{"a": rng.choice([None, 0, 1, 2]), "c": rng.choice([None, "a", "Ab", "b"]), "l": rng.choice([None, [], [1, 2], [0]]), "s": rng.choice([None, [{"b": 1}], [{"b": 2}, {"b": None}]])} for _ in range(120)]
-    clean = [{k: v for k, v in d.items() if v is not None} for d in docs]
-    for d in clean:
-        for s in d.get("s", []):
-            s.pop("b") if s["b"] is None else None
-    df = spark.createDataFrame([(json.dumps(d),) for d in clean], "j string").select("j", F.from_json("j", "a int, c string, l array<int>, s array<struct<b:int>>").alias("d")).select("j", "d.*")
-    filters = [f for f in FILTERS if "a.b" not in f] + [{"l": 1}, {"l": {"$gt": 1}}, {"s.b": 2}, {"s.b": {"$exists": False}}, {"a": "a"}, {"c": {"$lt": 3}}, {"c": {"$in": ["b", 1]}}]
-    for f in filters:
-        got = df.select("j", doc.compiled(f, df.schema).alias("t"), doc.matches(f)(F.col("j")).alias("u")).collect()
-        for r in got:
-            assert r["t"] == r["u"] == doc.predicate(f)(json.loads(r["j"])), (f, r)
-    assert df.select(doc.matches({"$where": 1})(F.col("j"))).first()[0] is None
-
-
-@settings(max_examples=200, deadline=None)
-@given(hs.dictionaries(hs.sampled_from(["a", "c"]), hs.one_of(LEAF, hs.lists(LEAF, max_size=3), hs.dictionaries(hs.just("b"), LEAF))), hs.sampled_from(FILTERS))
-def test_nor_is_not_or(d, f):
-    assert doc.predicate({"$nor": [f]})(d) != doc.predicate(f)(d)
-    assert doc.predicate({"$and": [f, f]})(d) == doc.predicate({"$or": [f]})(d) == doc.predicate(f)(d)
-
-
 def test_cut_previews(spark):
     df = spark.createDataFrame([('[{"a": 1, "b": 2}, {"a"',), ("[]",), (None,), ('[{"a"',)], "p string")
     assert [r[0] for r in df.select(doc.first_record_keys("p")).collect()] == [["a", "b"], None, None, None]
