@@ -19,7 +19,7 @@ components. The tables are what the search may miss by: descriptors that differ
 in many bits may agree in none of them; the README has the measured recall.
 
 Defined cases: a null image, or one without corners (too small, or flat), is
-linked with none; a null id is linked with none; copies under the same id count
+linked with none; a null id is linked with none, other ids may be of any type that sorts; copies under the same id count
 as one image; repeated rows come back as often; equal votes and corners are taken
 in the order of their places; pictures are read whole, however large; other
 columns are ignored; an empty table gives no rows.
@@ -29,9 +29,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import checkpoint, components, map_arrow, stored
+from .common import checkpoint, components, in_order, join_unique, map_arrow, stored
 
 CORNERS, STEP = (20, 8, 4), 1.5  # the strongest at each scale, besides those of each cell
 CELL, CORNER_AREA = 64, 256  # the strongest of each cell, one for so many pixels
@@ -314,7 +314,22 @@ def classes(points: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
 
 
 def image_copies(images: DataFrame, img_id: str = "img_id", image: str = "image", min_votes: int = MIN_VOTES) -> DataFrame:
-    """img_id, component_id (the least id that links reach) and n_links (linked images, all of them counted) of every row."""
+    """img_id, component_id (the least id that links reach) and n_links (linked images, all of them counted) of every row, with ids of the type they have."""
+    rows = images.select(F.col(img_id).alias("img_id"), F.col(image).alias("image"))
+    if isinstance(rows.schema["img_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return _copies(rows, min_votes).select(*[F.col(c).cast(rows.schema["img_id"].dataType).alias(c) for c in ("img_id", "component_id")], "n_links")
+    # ids that are no integers are numbered in their order, each different one once
+    known = in_order(rows.select(F.col("img_id").alias("_id")).where("_id is not null").distinct(), [F.asc("_id")], "_n")
+    numbered = join_unique(rows, "img_id", known, "_id", "left").select(F.col("_n").alias("img_id"), "image")
+    found = _copies(numbered, min_votes)
+    own = known.select(F.col("_id").alias("_own"), F.col("_n").alias("_own_n"))
+    out = join_unique(found, "img_id", own, "_own_n", "left").drop("_own_n")
+    out = join_unique(out, "component_id", known, "_n", "left")
+    return out.select(F.col("_own").alias("img_id"), F.col("_id").alias("component_id"), "n_links")
+
+
+def _copies(images: DataFrame, min_votes: int) -> DataFrame:
+    img_id, image = "img_id", "image"
     points = stored(keypoints(images, img_id, image), "keypoints")  # found once, read for several joins
     alike = checkpoint(classes(points, min_votes))
     copies = alike.where("img_id <> first").select("img_id")
@@ -351,4 +366,5 @@ def rendered(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
                 out.append({"height": gray.shape[0], "width": gray.shape[1], "gray": gray.tobytes()})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["img_id", "image"])
 
-    return map_arrow(vectors.select(F.col(vec_id).cast("long").alias("img_id"), F.col(vector).alias("v")), run, "img_id long, image struct<height:int,width:int,gray:binary>")
+    rows = vectors.select(F.col(vec_id).alias("img_id"), F.col(vector).alias("v"))
+    return map_arrow(rows, run, f"img_id {dict(rows.dtypes)['img_id']}, image struct<height:int,width:int,gray:binary>")

@@ -14,8 +14,8 @@ documents. Keys of fewer than `min_chars` code points are always kept.
 
 Defined cases: a null or empty text is one empty line; a document is a doc_id,
 so repeated rows of one doc_id count once and get equal bitmaps if their texts
-are equal, and a row whose doc_id is null or no integer is a document by id and
-content; texts are read whole, however long, and a document of very many lines is
+are equal, ids of any type count as they are ("1" and "01" are two), and a row whose
+doc_id is null is a document by its content; texts are read whole, however long, and a document of very many lines is
 sorted over as many partitions; equal keys are told apart by document and position
 alone; an empty table gives no rows; columns other than those named are carried or
 ignored.
@@ -27,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import checkpoint, map_arrow
 
@@ -53,15 +53,18 @@ def kept_text(text: str | None, bits: bytes | None) -> str:
     return text or "" if bits is None else "\n".join(x for x, keep in zip(lines, unpack_bits(bits, len(lines)).tolist()) if keep)
 
 
-def _doc_key(doc_id: str, text: str) -> Column:
-    return F.coalesce(F.col(doc_id).try_cast("long"), F.shiftrightunsigned(F.xxhash64(doc_id, text), 2) + F.lit(1 << 61))
+def _doc_key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """A long that names a document: an integer id itself, of any other type a hash of it as it is; without an id a hash of the text above all usual ids."""
+    whole = isinstance(docs.schema[doc_id].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    named = F.col(doc_id).cast("long") if whole else F.xxhash64(doc_id)
+    return F.when(F.col(doc_id).isNotNull(), named).otherwise(F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 61))
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """(h1, h2, dk, th, pos, n_lines) of each line whose key is long enough."""
     import xxhash
 
-    own = docs.select(_doc_key(doc_id, text).alias("dk"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("t"))
+    own = docs.select(_doc_key(docs, doc_id, text).alias("dk"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("t"))
     blanks = BLANKS.encode()
 
     def hashed(batches):
@@ -207,7 +210,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int | None = None, doc_id: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in lost], pa.int64()), pa.array(bits, pa.binary())], names=["_dk", "_th", "gone", "keep"])
 
     bits = map_arrow(lost, pack, "_dk long, _th long, gone long, keep binary")
-    named = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in carry if c != doc_id], _doc_key(doc_id, text).alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in carry if c != doc_id], _doc_key(docs, doc_id, text).alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     joined = named.join(bits, (named["_k"] == bits["_dk"]) & (named["_t"] == bits["_th"]), "left")
     return joined.select("doc_id", "n_lines", F.coalesce("gone", F.lit(0)).cast("long").alias("n_dropped"), "keep", *[c for c in carry if c != doc_id])
 

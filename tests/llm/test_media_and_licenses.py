@@ -225,3 +225,17 @@ def test_recall_by_edit(spark, seed, first):
         assert sum((i, 1000 * k + i) in found for i in range(n)) >= 0.95 * n, name
     pairs = len(rows) * (len(rows) - 1) / 2
     assert sum(a % 1000 != b % 1000 for a, b in found) <= pairs / 2000  # other pictures agree by chance at times
+
+
+@pytest.mark.parametrize("kind,name", [("string", "i{}.png"), ("double", "{}.25"), ("decimal(6,2)", "{}.5"), ("int", "{}")])
+def test_image_ids_of_any_type(spark, kind, name):
+    vectors = spark.read.parquet(f"{brute.DATA}/sf0.001/embeddings.parquet").orderBy("vec_id").limit(6)
+    named = vectors.select(F.format_string(name.replace("{}", "%d"), "vec_id").cast(kind).alias("vec_id"), "embedding")
+    none = named.limit(1).select(F.lit(None).cast(kind).alias("vec_id"), "embedding")
+    copied = named.limit(1).select(F.lit(name.format(99)).cast(kind).alias("vec_id"), "embedding")
+    got = im.image_copies(im.rendered(named.union(none).union(copied)))
+    assert [t for _, t in got.dtypes] == [kind, kind, "bigint"]
+    by = {r["img_id"]: r for r in got.collect()}
+    first, last = copied.first()["vec_id"], named.first()["vec_id"]
+    assert len(by) == 8 and by[None]["component_id"] is None and by[None]["n_links"] == 0
+    assert by[first]["component_id"] == by[last]["component_id"] == min(first, last) and by[first]["n_links"] >= 1

@@ -516,3 +516,13 @@ def test_bitmaps_round_trip():
     bits = line_dedup.pack_bits(21, np.array([0, 3, 20]))
     assert np.flatnonzero(~line_dedup.unpack_bits(bits, 21)).tolist() == [0, 3, 20]
     assert hashlib.sha256(line_dedup.kept_text("a\nb\nc", line_dedup.pack_bits(3, np.array([1]))).encode()).hexdigest() == hashlib.sha256(b"a\nc").hexdigest()
+
+
+@pytest.mark.parametrize("kind,ids", [("double", [1.25, 1.75, 2.5]), ("string", ["01", "1", " 1"]), ("decimal(5,2)", [1, 1.5, 1.75]), ("boolean", [True, False, None]), ("string", ["a", "b", None]), ("int", [1, 2, None])])
+def test_line_dedup_counts_ids_of_any_type(spark, kind, ids):
+    rows = [(None if i is None else str(i), f"shared line\nown {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame([*rows, rows[0]], "i string, text string")
+    df = df.select(F.col("i").cast(kind).alias("doc_id"), "text")
+    got = line_dedup.kept_hashes(df, min_docs=3).collect()
+    assert [(r["n_lines"], r["n_dropped"]) for r in got] == [(2, 1)] * 4
+    assert all(r["n_dropped"] == 0 for r in line_dedup.kept_hashes(df, min_docs=4).collect())
