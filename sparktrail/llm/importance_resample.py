@@ -28,15 +28,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, checkpoint, in_order, map_arrow, stored
+from .common import checkpoint, in_order, map_arrow, stored
 
-WORD, OTHER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: Letters and digits before A-Z are lowered.
+WORD, OTHER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 CHUNK = 1 << 15
 
 
@@ -46,11 +46,8 @@ def chunks(text: Column, n: int = 1, size: int = CHUNK) -> Column:
     cut = F.lit(rf"(?s)(.{{1,{size}}}+{WORD}*+){carry}")
     own = F.regexp_extract_all(text, cut, F.lit(1))
     if n > 1:
-        many = F.transform(F.arrays_zip(own.alias("own"), F.regexp_extract_all(text, cut, F.lit(2)).alias("carried")), lambda c: F.struct(c["own"].alias("own"), c["carried"].alias("carried")))
-    else:
-        many = F.transform(own, lambda x: F.struct(x.alias("own"), F.lit("").alias("carried")))
-    one = F.array(F.struct(text.alias("own"), F.lit("").alias("carried")))
-    return F.when(F.length(text) <= size, one).otherwise(many)
+        return F.transform(F.arrays_zip(own.alias("own"), F.regexp_extract_all(text, cut, F.lit(2)).alias("carried")), lambda c: F.struct(c["own"].alias("own"), c["carried"].alias("carried")))
+    return F.transform(own, lambda x: F.struct(x.alias("own"), F.lit("").alias("carried")))
 
 
 def runs(own: list[bytes], carried: list[bytes], n: int) -> list[bytes]:
@@ -64,28 +61,26 @@ def runs(own: list[bytes], carried: list[bytes], n: int) -> list[bytes]:
 def hashed(docs: DataFrame, n: int = 1, buckets: int = 10_000, doc_id: str = "doc_id", text: str = "text", size: int = CHUNK) -> DataFrame:
     """(row, doc_id, words, buckets): one row a chunk, in which `row` tells the rows of docs apart, `words` is how many words begin there, and `buckets` has one number a feature."""
 
-    def cut(part: DataFrame, row: Column) -> DataFrame:
-        named = part.select(row.alias("row"), "doc_id", "t")  # first, else each piece gets a number of its own
-        return named.select("row", "doc_id", F.posexplode(chunks(F.col("t"), n, size)).alias("piece", "c"))
-
     def number(batches):
         word = re.compile(WORD.encode("latin-1") + b"+")  # in UTF-8 all bytes of other letters are of words
+        of = lambda t: word.findall(t.encode("utf-8", "surrogatepass").lower())  # noqa: E731  of bytes, lower() is A-Z only
         for batch in batches:
-            counts, features = [], []
-            for own, carried in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                first = word.findall(own.encode("utf-8", "surrogatepass"))
+            counts, found = [], []
+            for own, carried in zip(batch.column(2), batch.column(3)):
+                first = of(own.as_py())
                 counts.append(len(first))
-                features.append(runs(first, word.findall(carried.encode("utf-8", "surrogatepass")) if n > 1 else [], n))
-            ends = np.cumsum([0, *map(len, features)], dtype=np.int32)
-            values = np.fromiter(map(zlib.crc32, chain.from_iterable(features)), np.uint32, int(ends[-1])) % np.uint32(buckets)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+                features = runs(first, of(carried.as_py()) if n > 1 else [], n)
+                found.append(np.fromiter(map(zlib.crc32, features), np.uint32, len(features)) % np.uint32(buckets))
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), lists], names=["row", "doc_id", "words", "buckets"])
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    long = cut(texts.where(F.length("t") > size), -1 - F.monotonically_increasing_id())
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    short = texts.where(F.length("t") <= size).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("t").alias("own"), F.lit("").alias("carried"))
+    long = texts.where(F.length("t") > size).select((-1 - F.monotonically_increasing_id()).alias("row"), "doc_id", "t")  # first, else each piece gets a number of its own
+    long = long.select("row", "doc_id", F.posexplode(chunks(F.col("t"), n, size)).alias("piece", "c"))
     long = long.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "piece")
-    pieces = cut(texts.where(F.length("t") <= size), F.monotonically_increasing_id()).union(long).select("row", "doc_id", "c.own", "c.carried")
-    return map_arrow(pieces, number, f"row long, doc_id {dict(texts.dtypes)['doc_id']}, words long, buckets array<int>")
+    return map_arrow(short.union(long.select("row", "doc_id", "c.own", "c.carried")), number, f"row long, doc_id {dict(texts.dtypes)['doc_id']}, words long, buckets array<int>")
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
