@@ -36,11 +36,19 @@ def tolerant_records(spark: SparkSession, path: str, schema: str) -> tuple[DataF
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text) with physical line numbers from 1, blank lines counted but not returned.
 
-    A whole file is one value, as its numbers depend on all lines before: files of logs are many and small.
+    Files are read in byte ranges, as Spark splits them, whatever their size: the
+    lines of each range are counted, the counts of the ranges before it in the file are
+    added, and a line's place in its range is the difference of row ids. What is
+    joined back is one row a range. A line ends with \\n, \\r\\n or \\r, the last
+    one may end with the file.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "text"))
-    return lines.where(F.trim("text") != "").select("file", (F.col("pos") + 1).alias("line"), "text")
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("row"), "value")
+    ranges = lines.groupBy(F.col("file").alias("_f"), F.col("start").alias("_s")).agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("_f").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = lines.join(ranges, (F.col("file") == F.col("_f")) & (F.col("start") == F.col("_s")))
+    return placed.where(F.trim("value") != "").select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
 
 
 def run_keys(files: DataFrame, file: str = "file") -> DataFrame:
