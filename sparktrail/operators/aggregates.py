@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .. import cut_lineage
+
 
 def share(n: Column, of: Column) -> Column:
     """n / of as a double; 0 where `of` is 0, never null."""
@@ -16,10 +18,36 @@ def with_total(rows: DataFrame, key: str, *aggs: Column, total: str = "ALL") ->
     return grouped.withColumn(key, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(key).cast("string"))).drop("_all")
 
 
-def index_percentile(value: str, p: float) -> Column:
-    """v[int(p * n)] of the sorted values, from 0."""
-    v = F.array_sort(F.collect_list(value))
-    return F.get(v, F.floor(F.lit(p) * F.size(v)).cast("int"))
+def index_percentile(rows: DataFrame, by: list[str], value: str, p: float, cells: int = 256, few: int = 10_000) -> DataFrame:
+    """(by..., n, value): v[int(p * n)] of the sorted values of each group, from 0, exactly; nulls are not counted.
+
+    No task sorts a group: the range of values is cut into cells, counted with
+    partial sums, and the cell that holds the place is cut again, until it holds few
+    rows or one value only. A round reads the rows again and moves a row a cell.
+    """
+    v, key = F.col(value).cast("double"), [f"_by{i}" for i in range(len(by))]
+    rows = rows.where(v.isNotNull() & ~F.isnan(v)).select(*[F.col(c).alias(k) for c, k in zip(by, key)], v.alias("_v"))
+    at = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_in"))
+    at = cut_lineage(at.withColumn("_k", F.least(F.floor(F.lit(p) * F.col("n")).cast("long"), F.col("n") - 1)))
+
+    def inside() -> DataFrame:
+        """The values in the range that is left of each group of more than one value."""
+        left = at.where(F.col("_low") < F.col("_high")).select(*[F.col(k).alias(f"_at{k}") for k in key], "n", "_k", "_low", "_high")
+        on = [rows[k].eqNullSafe(left[f"_at{k}"]) for k in key]
+        return rows.join(left, on).where(F.col("_v").between(F.col("_low"), F.col("_high"))).drop(*[f"_at{k}" for k in key])
+
+    while not at.where((F.col("_in") > few) & (F.col("_low") < F.col("_high"))).isEmpty():
+        cell = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))
+        counted = inside().withColumn("_cell", cell).groupBy(*key, "n", "_k", "_cell").agg(F.count("*").alias("_in"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        before = F.coalesce(F.sum("_in").over(W.partitionBy(*key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        held = counted.withColumn("_before", before).where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_in")))
+        next_ = held.select(*key, "n", "_low", "_high", "_in", (F.col("_k") - F.col("_before")).alias("_k"))
+        at = cut_lineage(next_.union(at.where(F.col("_low") == F.col("_high")).select(*next_.columns)))
+    # of one value that is it; else at most `few` values of each group are sorted
+    alone = at.where(F.col("_low") == F.col("_high")).select(*key, "n", F.col("_low").alias("value"))
+    place = F.row_number().over(W.partitionBy(*key).orderBy("_v")) - 1
+    some = inside().withColumn("_place", place).where(F.col("_place") == F.col("_k")).select(*key, "n", F.col("_v").alias("value"))
+    return alone.union(some).toDF(*by, "n", "value")
 
 
 def top(rows: DataFrame, key: str, k: int) -> DataFrame:

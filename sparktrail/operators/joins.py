@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: A dimension is sent to all tasks only below this measured number of rows, and of bytes of their values as text.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
@@ -52,13 +52,15 @@ def paired(runs: DataFrame, key: list[str], arm: str, value: str, arms: tuple[st
 def made_before(reads: DataFrame, made: DataFrame, by: str, order: str, name: str, variable: str) -> DataFrame:
     """Adds made_by to rows that read a name: the place of the last row of the same group before it that made it, or null.
 
-    The places that made a name are one row, so a name that is made often
-    costs no more pairs.
+    Both sides are put in one order by (group, name), in which the last maker so far is carried on: a sort and no list, however often a name is made.
     """
-    makers = made.select(F.col(by).alias("_by"), F.col(order).alias("_at"), F.col(variable).alias("_name"))
-    last = makers.groupBy("_by", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_all"))
-    before = F.filter("_all", lambda x: x < F.col(order))
-    return reads.join(last, (reads[by] == last["_by"]) & (reads[name] == last["_name"]), "left").withColumn("made_by", F.try_element_at(before, F.lit(-1))).drop("_by", "_name", "_all")
+    key = lambda c: [F.col(by).alias("_by"), F.col(c).alias("_name"), F.col(order).alias("_at")]
+    rows = reads.select(*key(name), F.lit(1).alias("_read"), F.lit(None).cast(made.schema[order].dataType).alias("_made"), F.struct(*reads.columns).alias("_row"))
+    makers = made.select(*key(variable), F.lit(0).alias("_read"), F.col(order).alias("_made"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    # of one place the reads come first, as what is made there is not before them
+    so_far = W.partitionBy("_by", "_name").orderBy("_at", F.desc("_read")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.when(F.col("_name").isNotNull() & F.col("_by").isNotNull(), F.last("_made", ignorenulls=True).over(so_far))
+    return rows.union(makers).withColumn("made_by", last).where("_read = 1").select("_row.*", "made_by")
 
 
 def leave_self_out(cells: DataFrame, name: str) -> DataFrame:
@@ -80,13 +82,27 @@ def kth_with_kth(left: DataFrame, right: DataFrame, key: str, left_order: list[s
     return lk.join(rk, [key, "k"])
 
 
+def ends(path) -> Column:
+    """All ends of a path that begin at a part: of a/b/c.csv these are itself, b/c.csv and c.csv."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.call_function("substring_index", path, F.lit("/"), -i))
+
+
 def suffix_pairs(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:
-    """Paths that are equal, or one of which ends in / and the other: an equi-join on the base name and a test of the rest."""
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    l = left.withColumn("_base", base(F.col(left_path)))  # noqa: E741
-    r = right.withColumn("_base", base(F.col(right_path)))
-    a, b = F.col(left_path), F.col(right_path)
-    return l.join(r, "_base").where((a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))).drop("_base")
+    """Paths that are equal, or one of which ends in / and the other.
+
+    Each path gives a row for each of its ends, as many as it has parts, and the ends are
+    joined with whole paths: paths of one base name meet only where they match. Different paths are matched, and rows joined back.
+    """
+
+    def matched(longer: DataFrame, at: str, shorter: DataFrame, other: str) -> DataFrame:
+        known = shorter.select(F.col(other).alias("_short")).distinct()
+        return longer.select(F.col(at).alias("_long")).distinct().select("_long", F.explode(ends(F.col("_long"))).alias("_short")).join(known, "_short")
+
+    one = matched(left, left_path, right, right_path).select(F.col("_long").alias("_l"), F.col("_short").alias("_r"))
+    two = matched(right, right_path, left, left_path).select(F.col("_short").alias("_l"), F.col("_long").alias("_r"))
+    both = one.union(two).distinct()
+    return left.join(both, left[left_path] == both["_l"]).join(right, F.col("_r") == right[right_path]).drop("_l", "_r")
 
 
 def jobs_not_done(tasks: DataFrame, arms: list[str], seeds: int, done: DataFrame, key: str) -> DataFrame:

@@ -6,9 +6,9 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.code import called, compiles, names, parse
+from ..functions.code import compiles, parse, used_names
 
 
 def measures(cells: str = "cells") -> list[Column]:
@@ -54,40 +54,42 @@ def followed_by(rows: DataFrame, by: str, order: str, note: Column, event: Colum
     return rows.groupBy(by).agg(F.coalesce(last > first, F.lit(False)).alias("followed"))
 
 
-STALE = T.StructType([T.StructField("trace", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("reassigns", T.BooleanType()), T.StructField("name_error", T.BooleanType()), T.StructField("stale_read", T.BooleanType())])
+def stale_names(uses: DataFrame, skipped: DataFrame, lost: DataFrame) -> DataFrame:
+    """(trace, idx, reassigns, name_error, stale_read) of each cell that was stopped and had set names: did an earlier cell set one of them, is one missed later, or its old value read?
 
-
-def _bound_before(code: str, line: int) -> set[str]:
-    tree = parse(code)
-    return names(ast.Module([s for s in tree.body if s.lineno < line], []))[0] if tree else set()
+    `uses`: (trace, idx, name, bound, read) of cells that ran, one row a name;
+    `skipped`: (trace, idx, name) of what stopped cells would have set; `lost`: (trace,
+    idx, name) of cells that failed for want of a name. All of a name in a trace is one sorted
+    run, in which a skipped name holds until the next cell that sets it: work grows as the rows.
+    """
+    none = F.lit(None).cast("int")
+    at = lambda c: F.when(c, F.col("idx"))
+    ran = uses.groupBy("trace", "idx", "name").agg(F.bool_or("bound").alias("bound"), F.bool_or("read").alias("read"))
+    # a cell that sets a name has set it before it reads it
+    rows = ran.select("trace", "idx", "name", at(F.col("bound")).alias("set"), at(F.col("read") & ~F.col("bound")).alias("got"), none.alias("miss"), F.lit(False).alias("stop"))
+    rows = rows.union(lost.distinct().select("trace", "idx", "name", none, none, F.col("idx"), F.lit(False)))
+    rows = rows.union(skipped.distinct().select("trace", "idx", "name", none, none, none, F.lit(True)))
+    # frames that grow from one end, so that each row is added once; the next one is the last, seen from the other end
+    before, after = (W.partitionBy("trace", "name").orderBy(o).rangeBetween(W.unboundedPreceding, -1) for o in (F.asc("idx"), F.desc("idx")))
+    next_ = lambda c: F.last(c, ignorenulls=True).over(after)
+    until = F.coalesce(next_("set"), F.lit(2**31 - 1))
+    known = F.last("set", ignorenulls=True).over(before).isNotNull()
+    said = rows.withColumns({"known": known, "missed": F.coalesce(next_("miss") < until, F.lit(False)), "stale": known & F.coalesce(next_("got") < until, F.lit(False))}).where("stop")
+    return said.groupBy("trace", "idx").agg(F.bool_or("known").alias("reassigns"), F.bool_or("missed").alias("name_error"), F.bool_or("stale").alias("stale_read"))
 
 
 def after_blocked(cells: DataFrame) -> DataFrame:
-    """For each blocked cell (trace, idx, code, ok, blocked, line, error): do the lines it skipped reassign a name, does a later cell miss such a name, or read its old value?"""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, out = pdf.sort_values("idx").to_dict("records"), []
-        for i, c in enumerate(rows):
-            if not c["blocked"] or pd.isna(c["line"]):
-                continue
-            skipped = _bound_before(c["code"], int(c["line"]))
-            known = set().union(*(names(t)[0] for d in rows[:i] if d["ok"] and (t := parse(d["code"]))))
-            missing, stale = set(skipped), skipped & known
-            found = [c["trace"], c["idx"], bool(stale), False, False]
-            for d in rows[i + 1 :]:
-                if d["blocked"]:
-                    continue
-                if not d["ok"]:
-                    lost = re.search(r"name '([^']+)' is not defined", d["error"] or "")
-                    found[3] |= bool(lost and lost[1] in missing)
-                elif (t := parse(d["code"])) is not None:
-                    bound, read = names(t)
-                    found[4] |= bool(read & (stale - bound))
-                    missing, stale = missing - bound, stale - bound
-            out.append(found)
-        return pd.DataFrame(out, columns=STALE.names)
-
-    return cells.groupBy("trace").applyInPandas(fold, STALE)
+    """stale_names for each blocked cell of (trace, idx, code, ok, blocked, line, error), where the lines above `line` are what was stopped; each program is parsed once."""
+    rows = cells.select("trace", "idx", "ok", "blocked", "error", used_names("code", F.when(F.col("blocked"), F.col("line")).cast("double")).alias("u"))
+    ran, key = rows.where("ok and not blocked"), ["trace", "idx"]
+    uses = ran.select(*key, F.explode("u.bound").alias("name"), F.lit(True).alias("bound"), F.lit(False).alias("read"))
+    uses = uses.union(ran.select(*key, F.explode("u.read"), F.lit(False), F.lit(True)))
+    skipped = rows.where("blocked").select(*key, F.explode("u.bound_above").alias("name"))
+    lost = rows.where("not ok and not blocked").select(*key, F.nullif(F.regexp_extract("error", "name '([^']+)' is not defined", 1), F.lit("")).alias("name")).where("name is not null")
+    told = stale_names(uses, skipped, lost)
+    every = rows.where("blocked and u.bound_above is not null").select(*key)
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("reassigns", "name_error", "stale_read")]
+    return every.join(told, key, "left").select(*key, *flags)
 
 
 def answer_code(reply: str) -> str | None:
@@ -101,99 +103,108 @@ def answer_code(reply: str) -> str | None:
     return bare if one_call and compiles(bare) else None
 
 
-#: Calls that read a frame, that load other data, that build a frame; methods whose arguments name columns.
-READERS = {"read_csv", "read_json", "read_excel", "read_parquet"}
-DATA_LOADERS = {"load", "loads", "read_json_metadata_file", "read_csv_metadata_file", "safe_read_file"}
-BUILDERS = {"DataFrame", "concat", "merge", "json_normalize"}
-ROW_LOOPS = {"iterrows", "itertuples"}
-COLUMN_METHODS = {
-    "groupby", "sort_values", "merge", "drop", "set_index", "pivot", "pivot_table", "value_counts", "drop_duplicates", "dropna",
-    "agg", "rename", "explode", "melt", "nlargest", "nsmallest", "get", "filter", "join",
-}
-#: What an expression of a kind makes, by the form of the call and the names it may have (None: any); then by the kind of node.
-CALLS_MAKE = (
-    (("method",), READERS, "frame from a reader"),
-    (("method", "function"), DATA_LOADERS, "JSON or text from a file"),
-    (("method",), BUILDERS, "frame built in code"),
-    (("method",), None, "result of a method call"),
-    (("function", "other"), None, "result of a function call"),
+#: What an expression makes, by the first pattern that its form matches: how it is called and by what name, or its kind of node.
+MAKES = (
+    (r"method (read_csv|read_json|read_excel|read_parquet)", "frame from a reader"),
+    (r"(method|function) (load|loads|read_json_metadata_file|read_csv_metadata_file|safe_read_file)", "JSON or text from a file"),
+    (r"method (DataFrame|concat|merge|json_normalize)", "frame built in code"),
+    (r"method .*", "result of a method call"),
+    (r"(function|call) .*", "result of a function call"),
+    (r"node (Subscript|Attribute)", "subscript or attribute of another object"),
+    (r"node (Dict|List|ListComp|DictComp)", "literal or comprehension"),
+    (r".*", "other"),
 )
-NODES_MAKE = {
-    ast.Subscript: "subscript or attribute of another object",
-    ast.Attribute: "subscript or attribute of another object",
-    ast.Dict: "literal or comprehension",
-    ast.List: "literal or comprehension",
-    ast.ListComp: "literal or comprehension",
-    ast.DictComp: "literal or comprehension",
-}
-
-
-def _form(call: ast.Call) -> str:
-    return {ast.Attribute: "method", ast.Name: "function"}.get(type(call.func), "other")
-
-
-def _makes(value: ast.expr) -> str:
-    if isinstance(value, ast.Call):
-        form, name = _form(value), called(value)
-        return next(made for forms, allowed, made in CALLS_MAKE if form in forms and (allowed is None or name in allowed))
-    return NODES_MAKE.get(type(value), "other")
-
-
-def _named_in(target: ast.AST) -> set[str]:
-    return {n.id for n in ast.walk(target) if isinstance(n, ast.Name)}
-
-
-def bindings(tree: ast.Module) -> dict[str, str]:
-    """What each name of a program was last bound to, outer parts of the program before inner ones."""
-    made: dict[str, str] = {}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Assign):
-            made |= dict.fromkeys((t.id for t in node.targets if isinstance(t, ast.Name)), _makes(node.value))
-        elif isinstance(node, (ast.For, ast.comprehension)):
-            over = node.iter
-            by_row = isinstance(over, ast.Call) and _form(over) == "method" and called(over) in ROW_LOOPS
-            made |= dict.fromkeys(_named_in(node.target), "row of a DataFrame loop" if by_row else "loop variable")
-        elif isinstance(node, ast.arg):
-            made[node.arg] = "function argument"
-    return made
-
-
-class _Places(ast.NodeVisitor):
-    """Where a key is written in a program: as a subscript, in the arguments of a method that takes columns, or elsewhere."""
-
-    def __init__(self, key: str, tree: ast.Module):
-        self.key, self.subscripts, self.methods, self.seen = key, [], [], False
-        self.visit(tree)
-
-    def visit_Constant(self, node):
-        self.seen |= node.value == self.key
-
-    def visit_Subscript(self, node):
-        if isinstance(node.slice, ast.Constant) and node.slice.value == self.key:
-            self.subscripts.append(node.value)
-        self.generic_visit(node)
-
-    def visit_Call(self, node):
-        if _form(node) == "method" and called(node) in COLUMN_METHODS and any(isinstance(c, ast.Constant) and c.value == self.key for c in ast.walk(node)):
-            self.methods.append(called(node))
-        self.generic_visit(node)
-
-
-def miss_class(key: str | None, programs: list[str], error_type: str | None = None) -> str:
-    """Where the key that was missing stands in the last program, and what it was looked up in; programs in the order they ran."""
-    by_error = {"FileNotFoundError": "missing file", "ValueError:usecols": "usecols"}.get(error_type)
-    trees = [parse(p) for p in programs]
-    if by_error or trees[-1] is None:
-        return by_error or "invalid Python"
-    if not key:
-        return "error text without a key"
-    places = _Places(key, trees[-1])
-    match places.subscripts:
-        case [ast.Name(id=name), *_]:
-            known = (b[name] for t in reversed(trees) if t is not None and name in (b := bindings(t)))
-            return "x['key'], x = " + next(known, "not bound in the trace")
-        case [_, *_]:
-            return "expr['key'] (derived expression)"
-    if places.methods:
-        return f"key as a method argument (.{places.methods[0]})"
-    return "key in another position" if places.seen else "key not written in this cell"
+ROW_LOOP = r"method (iterrows|itertuples)"
+COLUMN_METHOD = (
+    r"method (groupby|sort_values|merge|drop|set_index|pivot|pivot_table|value_counts|drop_duplicates|dropna|"
+    r"agg|rename|explode|melt|nlargest|nsmallest|get|filter|join)"
+)
+
+
+def _form(e: ast.expr) -> str:
+    match e:
+        case ast.Call(func=ast.Attribute(attr=name)):
+            return f"method {name}"
+        case ast.Call(func=ast.Name(id=name)):
+            return f"function {name}"
+        case ast.Call():
+            return "call -"
+    return f"node {type(e).__name__}"
+
+
+def _matches(pattern: str, e: ast.expr) -> bool:
+    return re.fullmatch(pattern, _form(e)) is not None
+
+
+BINDING = T.StructType([T.StructField("name", T.StringType()), T.StructField("made", T.StringType())])
+
+
+def origins(code: str | None) -> list[tuple[str, str]]:
+    """(name, what it was made by), once a name of a program: its last binding, where those of outer parts come before those of inner ones."""
+    rows = []
+    for node in ast.walk(parse(code or "") or ast.Module([], [])):
+        match node:
+            case ast.Assign(targets=targets, value=value):
+                made = next(label for pattern, label in MAKES if _matches(pattern, value))
+                rows += [(t.id, made) for t in targets if isinstance(t, ast.Name)]
+            case ast.For(target=target, iter=over) | ast.comprehension(target=target, iter=over):
+                made = "row of a DataFrame loop" if _matches(ROW_LOOP, over) else "loop variable"
+                rows += [(n.id, made) for n in ast.walk(target) if isinstance(n, ast.Name)]
+            case ast.arg(arg=name):
+                rows.append((name, "function argument"))
+    return list(dict(rows).items())
+
+
+PLACE = T.StructType([T.StructField("how", T.StringType()), T.StructField("of", T.StringType())])
+
+
+def place_of(key: str | None, code: str | None) -> tuple[str, str | None]:
+    """Where a program writes a key: how, and the name it is looked up in or the method it is given to."""
+    tree = parse(code or "")
+    if tree is None or not key:
+        return ("invalid" if tree is None else "no key"), None
+    written = lambda n: isinstance(n, ast.Constant) and n.value == key
+    nodes = sorted((n for n in ast.walk(tree) if isinstance(n, ast.expr)), key=lambda n: (n.lineno, n.col_offset))
+    subscripts = [n.value for n in nodes if isinstance(n, ast.Subscript) and written(n.slice)]
+    if subscripts:
+        return ("name", subscripts[0].id) if isinstance(subscripts[0], ast.Name) else ("expression", None)
+    given = [_form(n).removeprefix("method ") for n in nodes if _matches(COLUMN_METHOD, n) and any(map(written, ast.walk(n)))]
+    return ("argument", given[0]) if given else ("elsewhere" if any(map(written, nodes)) else "absent", None)
+
+
+@F.pandas_udf(T.ArrayType(BINDING))
+def _origins(code: pd.Series) -> pd.Series:
+    return code.map(lambda c: [{"name": n, "made": m} for n, m in origins(c)])
+
+
+@F.pandas_udf(PLACE)
+def _place(key: pd.Series, code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([place_of(k, c) for k, c in zip(key, code)], columns=PLACE.names)
+
+
+def miss_classes(cells: DataFrame) -> DataFrame:
+    """(trace, idx, miss) of the failed cells of (trace, idx, code, failed, key, error_type): where the missing key stands in the program, and what made the object it was looked up in.
+
+    Each program gives its bindings once. A lookup in a name meets the last of them
+    in its trace, its own cell included, by a sort of the name's places.
+    """
+    failed = cells.where("failed and (key is not null or error_type in ('FileNotFoundError', 'ValueError:usecols'))")
+    asked = failed.select("trace", "idx", "error_type", _place("key", "code").alias("p"))
+    bound = cells.select("trace", "idx", F.explode(_origins("code")).alias("b"))
+    one = bound.select("trace", "idx", F.col("b.name").alias("name"), F.lit(0).alias("ask"), F.col("b.made").alias("made"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast(PLACE).alias("p"))
+    two = asked.select("trace", "idx", F.col("p.of").alias("name"), F.lit(1), F.lit(None).cast("string"), "error_type", "p")
+    so_far = W.partitionBy("trace", "name").orderBy("idx", "ask").rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = F.coalesce(F.last("made", ignorenulls=True).over(so_far), F.lit("not bound in the trace"))
+    how = F.col("p.how")
+    miss = (
+        F.when(F.col("error_type") == "FileNotFoundError", "missing file")
+        .when(F.col("error_type") == "ValueError:usecols", "usecols")
+        .when(how == "invalid", "invalid Python")
+        .when(how == "no key", "error text without a key")
+        .when(how == "name", F.concat(F.lit("x['key'], x = "), "known"))
+        .when(how == "expression", "expr['key'] (derived expression)")
+        .when(how == "argument", F.concat(F.lit("key as a method argument (."), "p.of", F.lit(")")))
+        .when(how == "elsewhere", "key in another position")
+        .otherwise("key not written in this cell")
+    )
+    return one.union(two).withColumn("known", known).where("ask = 1").select("trace", "idx", miss.alias("miss"))

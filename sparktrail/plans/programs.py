@@ -214,43 +214,50 @@ def mis_calls_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("arm").agg(F.count("*").alias("calls"), F.count_if(F.col("syntax")).alias("syntax"), F.count_if(F.col("syntax") & (F.col("arm") == "A")).alias("harness"))
 
 
-@query("SELECT trace, idx, CASE name WHEN 2 THEN 'near-miss' WHEN 5 THEN 'absent' WHEN 6 THEN 'exists-in-main' WHEN 7 THEN 'exists-elsewhere' WHEN 8 THEN 'case-mismatch' END AS class FROM cells WHERE name IN (2, 5, 6, 7, 8)", CELLS_SQL)
+@query(
+    """SELECT k.source, k.key, CASE WHEN EXISTS (SELECT 1 FROM known WHERE known.source = k.source AND known.name = k.key) THEN 'exists-in-main' WHEN k.key IN (SELECT name FROM known) THEN 'exists-elsewhere'
+            WHEN lower(k.key) IN (SELECT lower(name) FROM known) THEN 'case-mismatch' WHEN bool_or(k.cut) THEN 'near-miss' ELSE 'absent' END AS class
+        FROM (SELECT c_mktsegment AS source, c_custkey % 5 = 3 AS cut, CASE c_custkey % 5 WHEN 2 THEN upper(c_name) WHEN 3 THEN left(c_name, 5) || substr(c_name, 7) WHEN 4 THEN repeat('#', 20) || c_custkey ELSE c_name END AS key FROM customer) k GROUP BY 1, 2""",
+    "known AS (SELECT c_mktsegment AS source, c_name AS name FROM customer WHERE c_custkey % 5 <> 1 UNION SELECT 'other', c_name FROM customer WHERE c_custkey % 5 = 1)",
+)
 def str_key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a missing key exists: in the main source, another, in other letters, nearly, or nowhere."""
-    known = sorted({c for cols in SCHEMA.values() for c in cols})
-    key = F.element_at(F.array(*map(F.lit, ["eur_amonut", "country", "year", "account_type", "id"])), F.when(F.col("name") == 2, 1).otherwise(F.col("name") - 3).cast("int"))
-    rows = cells(spark, sf_dir).where("name in (2, 5, 6, 7, 8)").select("trace", "idx", key.alias("key"))
-    distinct = rows.select("key").distinct().withColumn("near", text.nearest(known)("key"))
-    kind = (
-        F.when(F.col("key").isin(SCHEMA["payments.csv"]), "exists-in-main")
-        .when(F.col("key").isin(known), "exists-elsewhere")
-        .when(F.lower("key").isin([k.lower() for k in known]), "case-mismatch")
-        .when(F.size("near") > 0, "near-miss")
-        .otherwise("absent")
-    )
-    return rows.join(distinct.withColumn("class", kind), "key").select("trace", "idx", "class")
+    """Where a missing key exists: in the main source, another, in other letters, nearly, or nowhere. Keys are the names of customers, some changed; the vocabulary is a table."""
+    from ..operators import names
+
+    k, name = F.col("c_custkey") % 5, F.col("c_name")
+    c = table(spark, sf_dir, "customer")
+    changed = F.when(k == 2, F.upper(name)).when(k == 3, F.concat(F.left(name, F.lit(5)), F.substring(name, 7, 1000))).when(k == 4, F.concat(F.lit("#" * 20), "c_custkey")).otherwise(name)
+    known = c.select(F.when(k == 1, "other").otherwise(F.col("c_mktsegment")).alias("source"), name.alias("name"))
+    return names.key_classes(c.select(F.col("c_mktsegment").alias("source"), changed.alias("key")), known)
 
 
 @query(None)
 def cod_miss_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the key that was missing stands in the program of the failed cell, given the programs before it."""
-    import pandas as pd
+    from ..operators import runs
+
+    rows = programs(spark, sf_dir).select("trace", "idx", "code", "failed", text.error_key("output").alias("key"), F.lit(None).cast("string").alias("error_type"))
+    return runs.miss_classes(rows)
 
+
+@query(
+    """SELECT s.trace, s.idx, EXISTS (SELECT 1 FROM b WHERE b.trace = s.trace AND b.name = s.name AND b.idx < s.idx) AS reassigns,
+        EXISTS (SELECT 1 FROM l WHERE l.trace = s.trace AND l.name = s.name AND l.idx > s.idx AND NOT EXISTS (SELECT 1 FROM b WHERE b.trace = s.trace AND b.name = s.name AND b.idx > s.idx AND b.idx < l.idx)) AS name_error,
+        EXISTS (SELECT 1 FROM b WHERE b.trace = s.trace AND b.name = s.name AND b.idx < s.idx)
+            AND EXISTS (SELECT 1 FROM r WHERE r.trace = s.trace AND r.name = s.name AND r.idx > s.idx AND NOT EXISTS (SELECT 1 FROM b WHERE b.trace = s.trace AND b.name = s.name AND b.idx > s.idx AND b.idx <= r.idx)) AS stale_read
+    FROM s""",
+    CELLS_SQL,
+    "b AS (SELECT trace, idx, name FROM cells WHERE kind IN ('click', 'purchase'))",
+    "r AS (SELECT trace, idx, (name + 1) % 12 AS name FROM cells WHERE NOT failed)",
+    "s AS (SELECT trace, idx, name FROM cells WHERE failed AND error_type = 'KeyError')",
+    "l AS (SELECT trace, idx, name FROM cells WHERE failed AND error_type = 'NameError')",
+)
+def win_stale_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a stopped cell would have set: set before, missed or read later. A cell sets the name of its number, and reads the next."""
     from ..operators import runs
 
-    rows = programs(spark, sf_dir).select("trace", "idx", "code", "failed", text.error_key("output").alias("key"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def fold(batches):
-        at, before = None, []
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.trace != at:
-                    at, before = r.trace, []
-                before.append(r.code)
-                if r.failed and r.key is not None:
-                    out.append((r.trace, r.idx, runs.miss_class(r.key, before)))
-            yield pd.DataFrame(out, columns=["trace", "idx", "miss"])
-
-    return rows.repartition(n, "trace").sortWithinPartitions("trace", "idx").mapInPandas(fold, "trace long, idx int, miss string")
+    rows = cells(spark, sf_dir)
+    sets = rows.where("kind in ('click', 'purchase')").select("trace", "idx", "name", F.lit(True).alias("bound"), F.lit(False).alias("read"))
+    reads = rows.where("not failed").select("trace", "idx", ((F.col("name") + 1) % 12).alias("name"), F.lit(False).alias("bound"), F.lit(True).alias("read"))
+    of = lambda kind: rows.where(f"failed and error_type = '{kind}'").select("trace", "idx", "name")
+    return runs.stale_names(sets.union(reads), of("KeyError"), of("NameError"))

@@ -248,18 +248,9 @@ def agg_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.median("v").alias("median"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
-        # the value at an index of the sorted values, from counts of equal values: no list of a group is held
         F.percentile("v", 0.95).alias("linear_p95"),
         F.count_distinct("k").alias("keys"),
-    ).join(_index_p95(rows), "mode")
-
-
-def _index_p95(rows: DataFrame) -> DataFrame:
-    counts = rows.groupBy("mode", "v").agg(F.count("*").alias("n"))
-    w = W.partitionBy("mode").orderBy("v")
-    upto, total = F.sum("n").over(w), F.sum("n").over(W.partitionBy("mode"))
-    at = counts.withColumn("upto", upto).withColumn("at", F.floor(F.lit(0.95) * total)).where("upto > at")
-    return at.groupBy("mode").agg(F.min("v").alias("index_p95"))
+    ).join(agg.index_percentile(rows, ["mode"], "v", 0.95).select("mode", F.col("value").alias("index_p95")), "mode")
 
 
 @query("SELECT avg(m) AS pass_at_1 FROM (SELECT n, avg(m) AS m FROM (SELECT c_nationkey AS n, o_custkey, avg(CAST(o_orderstatus = 'F' AS DOUBLE)) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1)")

@@ -162,6 +162,9 @@ def test_wrapper_and_environment():
     assert code.wrapped("x = 'a\\nb'")[:2] == (True, "inner_syntax")
     assert code.wrapped('y = 1 """\nz = """')[1] != "same"
     assert code.environment_as_names("v = locals()['a'] + globals().get('b-c')", {"a", "b-c"}) == ("v = a + _var_b_c", 2)
+    many = "x = locals()['a'] # as \u00e9\ny = [globals()['a'], globals().get('b', locals()['a'])]\nlocals()['a'] = 1\nz = locals()['c']"
+    assert code.environment_as_names(many, {"a", "b"}) == ("x = a # as \u00e9\ny = [a, b]\nlocals()['a'] = 1\nz = locals()['c']", 3)
+    assert code.environment_as_names("class A:\n    v = globals()['a']\n    w = locals()['a']\nh = lambda: globals().get('a')", {"a"}) == ("class A:\n    v = a\n    w = locals()['a']\nh = lambda: a", 2)
     assert code.environment_as_names("def f():\n    return locals()['a']", {"a"})[1] == 0
 
 
@@ -180,12 +183,30 @@ def test_runs():
 
     assert runs.answer_code("text ```python\nx = 1\n``` more") == "x = 1\n"
     assert runs.answer_code("final_answer(3)") == "final_answer(3)" and runs.answer_code("x = 3") is None and runs.answer_code("no code") is None
-    programs = ["df = pd.read_csv('x')", "for i, r in df.iterrows():\n    pass", "df['k']"]
-    assert runs.miss_class("k", programs) == "x['key'], x = frame from a reader"
-    assert runs.miss_class("k", [*programs[:2], "r['k']"]) == "x['key'], x = row of a DataFrame loop"
-    assert runs.miss_class("k", ["df.sort_values('k')"]) == "key as a method argument (.sort_values)"
-    assert runs.miss_class("k", ["f()['k']"]) == "expr['key'] (derived expression)" and runs.miss_class("k", ["x = 'k'"]) == "key in another position"
-    assert runs.miss_class("k", ["x"]) == "key not written in this cell" and runs.miss_class(None, ["x"]) == "error text without a key" and runs.miss_class("k", ["x ("]) == "invalid Python"
+
+
+def test_miss_classes(spark):
+    from sparktrail.operators import runs
+
+    traces = {
+        1: (["df = pd.read_csv('x')", "for i, r in df.iterrows():\n    pass", "df['k']"], "x['key'], x = frame from a reader"),
+        2: (["df = pd.read_csv('x')", "for i, r in df.iterrows():\n    pass", "r['k']"], "x['key'], x = row of a DataFrame loop"),
+        3: (["df.sort_values('k')"], "key as a method argument (.sort_values)"),
+        4: (["f()['k']"], "expr['key'] (derived expression)"),
+        5: (["x = 'k'"], "key in another position"),
+        6: (["x"], "key not written in this cell"),
+        7: (["x ("], "invalid Python"),
+        8: (["d['k']"], "x['key'], x = not bound in the trace"),
+        9: (["d = json.load(f)", "d = {}", "d = d['k']"], "x['key'], x = subscript or attribute of another object"),
+        10: (["def g(d):\n    return d['k']"], "x['key'], x = function argument"),
+        11: (["d = load(f)", "x = [d for d in y]", "d = (1, 2)", "d['k']"], "x['key'], x = other"),
+        12: (["d['k']", "d = 1"], "x['key'], x = not bound in the trace"),
+    }
+    rows = [(t, i, c, (c == "d['k']") if t == 12 else i == len(p) - 1, "k", None) for t, (p, _) in traces.items() for i, c in enumerate(p)]
+    rows += [(20, 1, "x", True, "", None), (21, 1, "x", True, None, "FileNotFoundError"), (22, 1, "x", True, None, None)]
+    df = spark.createDataFrame(rows, "trace long, idx int, code string, failed boolean, key string, error_type string").repartition(5)
+    got = {r["trace"]: r["miss"] for r in runs.miss_classes(df).collect()}
+    assert got == {t: want for t, (_, want) in traces.items()} | {20: "error text without a key", 21: "missing file"}
 
 
 def test_after_blocked(spark):
@@ -235,3 +256,38 @@ def test_joins_by_measure_and_by_order(spark):
     reads = spark.createDataFrame([(1, 1, "x"), (1, 3, "x"), (1, 9, "x"), (2, 5, "x"), (1, 4, None)], "t int, i int, n string")
     made = spark.createDataFrame([(1, 2, "x"), (1, 3, "x"), (1, 2, "x"), (2, 7, "x")], "t int, i int, v string")
     assert sorted((r["t"], r["i"], r["made_by"]) for r in joins.made_before(reads, made, "t", "i", "n", "v").collect()) == [(1, 1, None), (1, 3, 2), (1, 4, None), (1, 9, 3), (2, 5, None)]
+
+
+def plain_stale(cells):
+    """A walk over each stopped cell's later cells."""
+    for t, i, sets in [(c[0], c[1], c[2]) for c in cells if c[5]]:
+        mine = sorted((c for c in cells if c[0] == t), key=lambda c: c[1])
+        known = {n for c in mine if c[1] < i and c[4] for n in c[2]} & sets
+        open_, old, said = set(sets), set(known), [t, i, bool(known), False, False]
+        for _, j, bound, read, ran, stopped, lost in mine:
+            if j <= i or stopped:
+                continue
+            if ran:
+                said[4] |= bool(read & (old - bound))
+                open_, old = open_ - bound, old - bound
+            else:
+                said[3] |= lost in open_
+        if sets:
+            yield tuple(said)
+
+
+def test_stale_names_against_a_plain_walk(spark):
+    from sparktrail.operators import runs
+
+    rng, some = random.Random(8), lambda: {n for n in "abcd" if rng.random() < 0.3}
+    cells = []
+    for t in range(40):
+        for i in range(rng.randrange(1, 14)):
+            kind = rng.choice(["ran", "ran", "stopped", "failed"])
+            cells.append((t, i, some() if kind != "failed" else set(), some() if kind == "ran" else set(), kind == "ran", kind == "stopped", rng.choice("abcd") if kind == "failed" else None))
+    uses = [(t, i, n, n in b, n in r) for t, i, b, r, ran, _, _ in cells if ran for n in b | r]
+    skipped = [(t, i, n) for t, i, b, _, _, stopped, _ in cells if stopped for n in b]
+    lost = [(c[0], c[1], c[6]) for c in cells if c[6]]
+    frame = lambda rows, more="": spark.createDataFrame(rows, "trace long, idx int, name string" + more)
+    got = runs.stale_names(frame(uses, ", bound boolean, read boolean"), frame(skipped), frame(lost))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_stale(cells))

@@ -90,8 +90,18 @@ def test_totals_are_sums_and_shares_are_never_null(spark):
     df = spark.createDataFrame(random_cells(7), SCHEMA)
     rows = {r["submitter"]: r for r in agg.with_total(df, "submitter", F.count("*").alias("n"), agg.share(F.count_if(F.lit(False)), F.count_if(F.lit(False))).alias("zero")).collect()}
     assert rows["ALL"]["n"] == sum(r["n"] for k, r in rows.items() if k != "ALL") and all(r["zero"] == 0.0 for r in rows.values())
-    v = list(range(20))
-    assert spark.createDataFrame([(x,) for x in v], "v int").agg(agg.index_percentile("v", 0.95)).first()[0] == v[int(0.95 * 20)]
+
+
+def test_index_percentile_is_exact_without_sorting_a_group(spark):
+    rng = random.Random(5)
+    groups = {"even": list(range(4000)), "one": [7.5] * 3000, "skewed": [10.0 ** rng.randrange(-3, 12) * rng.random() for _ in range(3000)], "two": [1.0] * 1500 + [2.0] * 1500, "few": [3, 1, 2], None: [5.0, -1.0], "none": []}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("few", None), ("none", None), ("few", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    for p in (0.0, 0.5, 0.95, 0.999, 1.0):
+        got = {r["g"]: (r["n"], r["value"]) for r in agg.index_percentile(df, ["g"], "v", p, cells=4, few=50).collect()}
+        assert got == {g: (len(v), sorted(v)[min(int(p * len(v)), len(v) - 1)]) for g, v in groups.items() if v}
+    plan = agg.index_percentile(df, ["g"], "v", 0.5)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
 
 
 def test_compare_and_strict_compare(spark):
@@ -109,6 +119,9 @@ def test_compare_and_strict_compare(spark):
 def test_paths_numbers_and_last_attempts(spark):
     left = spark.createDataFrame([("a/b/c.csv",), ("c.csv",), ("xc.csv",)], "p string")
     right = spark.createDataFrame([("b/c.csv",), ("c.csv",)], "q string")
+    many = spark.range(20000).select(F.concat(F.lit("d"), F.col("id"), F.lit("/data.csv")).alias("p"))
+    same = joins.suffix_pairs(many, many.withColumnRenamed("p", "q"), "p", "q")
+    assert same.count() == 20000 and same.where("p <> q").count() == 0
     assert {tuple(r) for r in joins.suffix_pairs(left, right, "p", "q").collect()} == {("a/b/c.csv", "b/c.csv"), ("a/b/c.csv", "c.csv"), ("c.csv", "b/c.csv"), ("c.csv", "c.csv")}
     rng = random.Random(3)
     keys = [rng.randrange(50) for _ in range(400)]
