@@ -5,7 +5,7 @@ stands before it, modulo a prime. The hash of any span is a difference of two en
 so two spans are compared in one step, and the longest common extension of two
 places is found by binary search over its length (`Prefixes`).
 
-A fingerprint is a prefix array read at few places: every place up to 16, then eight to
+A fingerprint is a prefix array read at few places: every place up to 16, then five to
 a doubling, from the start and from the end of the text, and a hash of the whole by two primes. Its size
 grows with the logarithm of the text's. Two fingerprints are compared by the same
 binary search over their marks: how far the texts agree from their starts, and from their
@@ -28,7 +28,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,8 @@ from .common import map_arrow, stored
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_461_527_891, 1_902_846_539)
 BLOCK = 1 << 18
-EXACT, STEPS = 16, 8
+EXACT, STEPS = 16, 5
+MARK_DIGITS = 6  # of a hash, for a mark: enough to search by; the whole has both hashes in full
 
 
 def _powers(which: int, n: int, made: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
@@ -57,14 +58,13 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+LADDER = sorted({*range(EXACT + 1), *(int(EXACT * 2 ** (k / STEPS)) for k in range(1, STEPS * 31))})
+
+
 def marks(n: int) -> list[int]:
     """The lengths at which a text of n code points has marks; those of a shorter text are among them, but for its own."""
-    out = list(range(min(n, EXACT) + 1))
-    k = 1
-    while out[-1] < n:
-        out.append(min(n, int(EXACT * 2 ** (k / STEPS))))
-        k += 1
-    return out
+    at = bisect_left(LADDER, n)
+    return [*LADDER[:at], n]
 
 
 class Prefixes:
@@ -110,18 +110,15 @@ def fingerprint(text: str) -> str:
     """length . hash of the whole . marks from the start . marks from the end, in hexadecimal digits."""
     points, own = code_points(text), marks(len(text))
     n = len(points)
-    ends = sorted({*own, *(n - m for m in own)})
-    one, two = Prefixes(points, ends), Prefixes(points, [0, n] if n else [0], 1)
-    whole = f"{one.upto(n):08x}{two.upto(n):08x}"
-    forward = "".join(f"{one.upto(m):08x}" for m in own)
-    # base**-(n-m) for the spans from the end: one inverse, then multiplications up from the longest
-    backward = "".join(f"{one.span(n - m, n):08x}" for m in own)
-    return f"{n:x}.{whole}.{forward}.{backward}"
+    one, two = Prefixes(points, own), Prefixes(points, [n], 1)
+    digits = lambda p: p.values.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - MARK_DIGITS // 2 :].tobytes().hex()
+    # an end of the text is a start of it read backwards
+    return f"{n:x}.{int(one.values[-1]):08x}{int(two.values[-1]):08x}.{digits(one)}.{digits(Prefixes(points[::-1], own))}"
 
 
 def _common(a: str, b: str, places: list[int]) -> int:
     """The largest place up to which the marks agree, by binary search: beyond a difference all marks differ."""
-    return places[bisect_right(range(1, len(places)), False, key=lambda i: a[8 * i : 8 * i + 8] != b[8 * i : 8 * i + 8])]
+    return places[bisect_right(range(1, len(places)), False, key=lambda i: a[MARK_DIGITS * i : MARK_DIGITS * (i + 1)] != b[MARK_DIGITS * i : MARK_DIGITS * (i + 1)])]
 
 
 def likeness(a: str | None, b: str | None) -> float | None:
