@@ -1,4 +1,4 @@
 """The registered queries: importing this fills registry.QUERIES and registry.ORACLE."""
 
-from . import answers, generated, programs, recovery, reports, studies  # noqa: F401
+from . import answers, generated, logs, programs, recovery, reports, studies  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -127,11 +127,3 @@ def mis_task_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = c.groupBy(F.col("c_mktsegment").alias("domain")).agg(F.to_json(F.collect_list(F.struct(F.col("c_custkey").alias("task"), F.array(F.lit(1), F.lit(2)).alias("questions")))).alias("j"))
     tasks = nested.select("domain", F.explode(F.from_json("j", "array<struct<task:long,questions:array<int>>>")).alias("t"))
     return tasks.select("domain", "t.task", F.explode("t.questions").alias("q"))
-
-
-@query("SELECT o_orderkey % 97 AS filter, count(*) AS asked, (SELECT count(*) FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 97 = any_value(o_orderkey % 97)) AS matches FROM orders GROUP BY 1")
-def doc_memo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct filter is counted once, and joined back to those who asked."""
-    asked = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 97).alias("filter")).agg(F.count("*").alias("asked"))
-    counted = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy((F.col("l_suppkey") % 97).alias("filter")).agg(F.count("*").alias("matches"))
-    return asked.join(counted, "filter", "left").select("filter", "asked", F.coalesce("matches", F.lit(0)).alias("matches"))

@@ -6,13 +6,20 @@ they arrive. Windows by event time are an addition.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+from .. import cut_lineage, shared_folder
+from ..functions.documents import match_counts
 
 
 def arriving(spark: SparkSession, path: str, schema: str, files_per_batch: int = 64) -> DataFrame:
@@ -46,27 +53,108 @@ def settled(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-CHAIN = "trace long, idx long, chain int"
+def until_budget(costs: DataFrame, order: str, cost: str, cap: float, ranges: int | None = None) -> DataFrame:
+    """Rows in the order of a column while the sum of those before is below the cap, with that sum as `spent`.
+
+    A prefix sum in parts: rows are dealt by ranges of the order and kept in files of
+    their range, whose sums, one row a range, are added up; only ranges that
+    begin below the cap are read again and summed inside. Rows of equal order come in any order; a null cost is 0.
+    """
+    spark = costs.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    tie = F.monotonically_increasing_id()
+    costs.withColumn("_tie", tie).repartitionByRange(n, order, "_tie").withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
+    kept = spark.read.schema(costs.withColumn("_tie", tie).withColumn("_range", F.lit(0)).schema).parquet(path)
+    sums = kept.groupBy("_range").agg(F.coalesce(F.sum(cost), F.lit(0)).alias("_sum"))
+    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start")).where(F.col("_start") < cap)
+    last = starts.agg(F.max("_range")).first()[0]
+    read = kept.where(F.col("_range") <= F.lit(-1 if last is None else last))
+    inside = F.coalesce(F.sum(cost).over(W.partitionBy("_range").orderBy(order, "_tie").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return read.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn("spent", F.col("_start") + F.col("_inside")).where(F.col("spent") < cap).select(*costs.columns, "spent")
+
+
+def memo(spark: SparkSession, path: str) -> DataFrame:
+    """(filter, n) of all finished batches of a memo; empty if there are none."""
+    try:
+        return spark.read.schema("filter string, n long").parquet(f"{path}/batch=*")
+    except AnalysisException:
+        return spark.createDataFrame([], "filter string, n long")
+
+
+def counted_once(docs: DataFrame, json_text: str, filters: DataFrame, path: str, per_batch: int = 64, seconds: float | None = None) -> DataFrame:
+    """(filter, n): the memo at `path`, extended by the different filters of the column `filter` that it doesn't hold; n is how many documents match, null if that is not supported.
+
+    A batch of filters is counted in one pass over the documents and written as a
+    folder, whose name follows from its filters, by Spark's commit protocol: one that was stopped leaves nothing and is
+    done again, one that is finished is in the memo. After `seconds` no new batch begins; the next call goes on.
+    """
+    spark, began = docs.sparkSession, time.monotonic()
+    asked = cut_lineage(filters.select("filter").where("filter is not null").distinct())
+    while seconds is None or time.monotonic() - began < seconds:
+        batch = [r["filter"] for r in asked.join(memo(spark, path), "filter", "left_anti").orderBy("filter").limit(per_batch).collect()]
+        if not batch:
+            break
+        name = hashlib.sha256(json.dumps(batch).encode()).hexdigest()[:32]
+        match_counts(docs, batch, json_text).select("filter", "n").write.mode("overwrite").parquet(f"{path}/batch={name}")
+    return memo(spark, path)
+
+
+def counted_as_they_arrive(stream: DataFrame, docs: DataFrame, json_text: str, path: str, checkpoint: str) -> StreamingQuery:
+    """The same for a stream of filters: each batch extends the memo, so one that is repeated after a restart counts nothing twice."""
 
+    def extend(batch: DataFrame, _: int) -> None:
+        counted_once(docs, json_text, batch, path)
 
-def open_chains(rows: DataFrame) -> DataFrame:
-    """For each trace and batch: the length of the chain of failures it ends with, and where. Cells of a trace must arrive in order of batches; inside one they are sorted."""
+    return stream.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, chain = state.get if state.exists else (0, 0)
-        cells = pd.concat(list(batches)).sort_values("idx")
+
+CHAIN_ROW = "trace long, idx long, chain int, ends boolean"
+
+
+class FailureChains(StatefulProcessor):
+    """Per trace: the length of the chain of failures that ends at each cell. Cells of a batch are put in order; one that is late is not counted again.
+
+    A trace of which nothing is heard for `idle_ms` is closed: its last row is given again with ends = true, and its state goes.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("chain", "last long, chain int, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, chain, due = self.state.get() if self.state.exists() else (-1, 0, -1)
+        cells = pd.concat(list(rows)).sort_values("idx")
+        out = []
         for idx, failed in zip(cells["idx"], cells["failed"]):
-            if idx > last:  # a cell that came before is not counted again
+            if idx > last:
                 last, chain = int(idx), chain + 1 if failed else 0
-        state.update((last, chain))
-        yield pd.DataFrame({"trace": [key[0]], "idx": [last], "chain": [chain]})
+                out.append((int(key[0]), last, chain, False))
+        if due >= 0:
+            self.handle.deleteTimer(due)
+        due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms if self.idle_ms else -1
+        if due >= 0:
+            self.handle.registerTimer(due)
+        self.state.update((last, chain, due))
+        yield pd.DataFrame(out, columns=["trace", "idx", "chain", "ends"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            last, chain, _ = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame([(int(key[0]), last, chain, True)], columns=["trace", "idx", "chain", "ends"])
+
+    def close(self) -> None:
+        pass
 
-    return rows.groupBy("trace").applyInPandasWithState(fold, CHAIN, "last long, chain int", "update", GroupStateTimeout.NoTimeout)
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def until_budget(costs: DataFrame, order: str, cost: str, cap: float) -> DataFrame:
-    """Rows of a batch, in order, while the sum of those before is below the cap. One total order: for a ledger of jobs, which is small."""
-    from pyspark.sql import Window as W
 
-    before = F.coalesce(F.sum(cost).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return costs.withColumn("spent", before).where(F.col("spent") < cap)
+def failure_chains(rows: DataFrame, idle_ms: int = 0) -> DataFrame:
+    """(trace, idx, chain, ends) of a stream of (trace, idx, failed), with state in RocksDB; idle_ms = 0 keeps the state of a trace for good."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.select("trace", "idx", "failed").groupBy("trace").transformWithStateInPandas(FailureChains(idle_ms), CHAIN_ROW, "append", "processingTime" if idle_ms else "none")

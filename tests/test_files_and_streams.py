@@ -1,5 +1,6 @@
 import json
 import os
+import time
 from types import SimpleNamespace as Stub
 
 import pytest
@@ -71,14 +72,71 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
         return spark.table(name)
 
-    chains = run(folds.open_chains(folds.arriving(spark, str(source), schema, 1)), "chains", "update")
-    last = {r["trace"]: r["chain"] for r in chains.groupBy("trace").agg(F.max_by("chain", "idx").alias("chain")).collect()}
-    assert last == {1: 3, 2: 1}
     assert run(folds.once_by_key(folds.arriving(spark, str(source), schema), ["trace", "idx"]), "once", "append").count() == 5
     by = run(folds.failures_by_window(folds.arriving(spark, str(source), schema)), "by", "complete")
     assert [(r["cells"], r["failed"]) for r in by.collect()] == [(6, 5)]
     costs = spark.createDataFrame([(i, 4.0) for i in range(6)], "i int, cost double")
-    assert folds.until_budget(costs, "i", "cost", 10.0).count() == 3
+    assert sorted((r["i"], r["spent"]) for r in folds.until_budget(costs, "i", "cost", 10.0).collect()) == [(0, 0.0), (1, 4.0), (2, 8.0)]
+    ledger = [(i, float(i % 7) if i % 5 else None) for i in range(900)]
+    many = spark.createDataFrame(ledger, "i int, cost double").repartition(7)
+    before = [0.0]
+    for _, cost in ledger:
+        before.append(before[-1] + (cost or 0.0))
+    for cap in (-1.0, 0.5, 700.0, 1e9):
+        got = folds.until_budget(many, "i", "cost", cap, ranges=13).collect()
+        assert sorted((r["i"], r["spent"]) for r in got) == [(i, before[i]) for i in range(900) if before[i] < cap]
+
+
+def test_state_of_traces_over_restarts_and_time(spark, tmp_path):
+    """A cell that is late, a stop between files, a trace that goes quiet."""
+    source = tmp_path / "in"
+    source.mkdir()
+    schema = "trace long, idx long, failed boolean"
+
+    def put(k, *cells):
+        (source / f"{k}.json").write_text("\n".join(json.dumps({"trace": t, "idx": i, "failed": f}) for t, i, f in cells))
+        os.utime(source / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+
+    def run(idle=0):
+        said = folds.failure_chains(folds.arriving(spark, str(source), schema, 1), idle)
+        q = said.writeStream.format("parquet").option("path", str(tmp_path / f"out{idle}")).option("checkpointLocation", str(tmp_path / f"state{idle}")).trigger(**({"once": True} if idle else {"availableNow": True})).start()
+        assert q.awaitTermination(60)  # with timers, "available now" would wait for more of them
+        return sorted(tuple(r) for r in spark.read.schema(folds.CHAIN_ROW).parquet(str(tmp_path / f"out{idle}")).collect())
+
+    put(0, (1, 1, True), (1, 2, True), (2, 1, False))
+    first = run()
+    assert first == [(1, 1, 1, False), (1, 2, 2, False), (2, 1, 0, False)]
+    put(1, (1, 2, True), (1, 4, False), (1, 3, True), (2, 2, True))  # a late cell, and some out of order
+    assert run() == sorted([*first, (1, 3, 3, False), (1, 4, 0, False), (2, 2, 1, False)])  # goes on from the checkpoint
+    assert run() == run()
+    run(1)
+    time.sleep(0.2)
+    put(2, (3, 1, True))
+    ended = [r for r in run(1) if r[3]]
+    assert (1, 4, 0, True) in ended and (2, 2, 1, True) in ended
+    put(3, (2, 3, True))
+    time.sleep(0.2)
+    assert (2, 3, 1, False) in run(1)  # the state was gone: the chain begins anew
+
+
+def test_memo_is_extended_and_counts_nothing_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(json.dumps({"a": i % 5, "b": [i % 3]}),) for i in range(60)], "d string")
+    frame = lambda *f: spark.createDataFrame([(x,) for x in f], "filter string")
+    path, seen = str(tmp_path / "memo"), []
+    texts = [json.dumps({"a": i}) for i in range(5)] + ['{"b": 1}', '{"$where": 1}']
+    assert folds.counted_once(docs, "d", frame(*texts), path, seconds=0).count() == 0  # no time: nothing is begun
+    for part in ([texts[0], texts[0], None], texts[:4], texts, texts):
+        got = {r["filter"]: r["n"] for r in folds.counted_once(docs, "d", frame(*part), path, per_batch=2).collect()}
+        seen.append(sorted(os.listdir(path)))
+        assert folds.memo(spark, path).count() == len(got)
+    assert got == dict.fromkeys(texts[:5], 12) | {'{"b": 1}': 20, '{"$where": 1}': None}
+    assert len(seen[0]) == 1 and set(seen[1]) > set(seen[0]) and seen[2] == seen[3]
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "0.json").write_text(json.dumps({"filter": '{"a": {"$gt": 2}}'}) + "\n" + json.dumps({"filter": texts[0]}))
+    for _ in range(2):
+        folds.counted_as_they_arrive(folds.arriving(spark, str(source), "filter string"), docs, "d", path, str(tmp_path / "state")).awaitTermination(120)
+    assert folds.memo(spark, path).count() == 8 and folds.memo(spark, path).where("filter like '%$gt%'").first()["n"] == 24
 
 
 def test_settled_streams_need_a_shared_folder_on_a_cluster(spark, tmp_path):
