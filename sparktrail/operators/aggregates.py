@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import cut_lineage
@@ -78,9 +81,31 @@ def varying(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def group_hash(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    """SHA-256 of the texts of a group, joined in order."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda r: F.concat(r[order].cast("string"), r[text])), "")
-    return rows.groupBy(by).agg(F.sha2(joined, 256).alias("hash"))
+    """SHA-256 of the texts of a group, each after its order, in that order; rows without a text or an order are left out, their group isn't.
+
+    Rows are sorted by (group, order) and hashed as they pass: no task holds a group.
+    """
+    line = F.concat(F.col(order).cast("string"), F.col(text))
+    rows = rows.select(F.col(by).alias("by"), F.col(order).alias("order"), line.alias("line"))
+
+    def run(batches):
+        at = digest = None
+        for batch in batches:
+            keys, out = batch.column(0), []
+            for key, said in zip(keys, batch.column(2)):
+                if digest is None or key != at:
+                    if digest is not None:
+                        out.append((at, digest.hexdigest()))
+                    at, digest = key, hashlib.sha256()
+                if said.is_valid:
+                    digest.update(said.as_py().encode())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k, _ in out], keys.type), pa.array([h for _, h in out])], names=["by", "hash"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], at.type), pa.array([digest.hexdigest()])], names=["by", "hash"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "by").sortWithinPartitions("by", "order", "line").mapInArrow(run, f"by {dict(rows.dtypes)['by']}, hash string").withColumnRenamed("by", by)
 
 
 def first_examples(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:

@@ -217,18 +217,18 @@ def mis_calls_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT k.source, k.key, CASE WHEN EXISTS (SELECT 1 FROM known WHERE known.source = k.source AND known.name = k.key) THEN 'exists-in-main' WHEN k.key IN (SELECT name FROM known) THEN 'exists-elsewhere'
             WHEN lower(k.key) IN (SELECT lower(name) FROM known) THEN 'case-mismatch' WHEN bool_or(k.cut) THEN 'near-miss' ELSE 'absent' END AS class
-        FROM (SELECT c_mktsegment AS source, c_custkey % 5 = 3 AS cut, CASE c_custkey % 5 WHEN 2 THEN upper(c_name) WHEN 3 THEN left(c_name, 5) || substr(c_name, 7) WHEN 4 THEN repeat('#', 20) || c_custkey ELSE c_name END AS key FROM customer) k GROUP BY 1, 2""",
-    "known AS (SELECT c_mktsegment AS source, c_name AS name FROM customer WHERE c_custkey % 5 <> 1 UNION SELECT 'other', c_name FROM customer WHERE c_custkey % 5 = 1)",
+        FROM (SELECT p_brand AS source, p_partkey % 5 = 3 AS cut, CASE p_partkey % 5 WHEN 2 THEN upper(p_name) WHEN 3 THEN left(p_name, 5) || substr(p_name, 7) WHEN 4 THEN repeat('#', 20) || p_type ELSE p_name END AS key FROM part) k GROUP BY 1, 2""",
+    "known AS (SELECT p_brand AS source, p_name AS name FROM part WHERE p_partkey % 5 = 0 UNION SELECT 'other', p_name FROM part)",
 )
 def str_key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a missing key exists: in the main source, another, in other letters, nearly, or nowhere. Keys are the names of customers, some changed; the vocabulary is a table."""
+    """Where a missing key exists: in the main source, another, in other letters, nearly, or nowhere. Keys are the names of parts, some changed; the vocabulary is a table."""
     from ..operators import names
 
-    k, name = F.col("c_custkey") % 5, F.col("c_name")
-    c = table(spark, sf_dir, "customer")
-    changed = F.when(k == 2, F.upper(name)).when(k == 3, F.concat(F.left(name, F.lit(5)), F.substring(name, 7, 1000))).when(k == 4, F.concat(F.lit("#" * 20), "c_custkey")).otherwise(name)
-    known = c.select(F.when(k == 1, "other").otherwise(F.col("c_mktsegment")).alias("source"), name.alias("name"))
-    return names.key_classes(c.select(F.col("c_mktsegment").alias("source"), changed.alias("key")), known)
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    parts = table(spark, sf_dir, "part")
+    changed = F.when(k == 2, F.upper(name)).when(k == 3, F.concat(F.left(name, F.lit(5)), F.substring(name, 7, 1000))).when(k == 4, F.concat(F.lit("#" * 20), "p_type")).otherwise(name)
+    known = parts.where(k == 0).select(F.col("p_brand").alias("source"), name.alias("name")).union(parts.select(F.lit("other"), name))
+    return names.key_classes(parts.select(F.col("p_brand").alias("source"), changed.alias("key")), known)
 
 
 @query(None)
