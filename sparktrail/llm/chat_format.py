@@ -9,7 +9,10 @@ Everything here is built of Spark's own functions.
 
 Defined cases: a null text or role is empty; a null or unreadable JSON, or one
 of no known layout, gives no turns and the mapping ``none``; columns and fields
-that no mapping names are ignored, whatever their names; repeated rows are
+that no mapping names are ignored, whatever their names; a text given as a list of
+parts is the texts of these, put together; fields of one role in a row are one turn, joined by
+a line end, without the empty ones; a system text beside a layout that has no place for
+one is the first turn, if it is not empty; repeated rows are
 repeated turns; turns that tie in number stand by role, then text; a
 conversation without turns is formatted as the empty string; an empty table
 gives an empty table. The turns of one conversation become one text, so they
@@ -71,6 +74,8 @@ MAPPINGS = (
 #: Names that message layouts give to the canonical roles; rows by turn keep the roles that they have.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURNS = "array<struct<role:string,text:string>>"
+#: Where a system text may stand beside any layout.
+SYSTEM = ("system", "system_prompt")
 
 
 def field_paths(schema: T.StructType, before: str = "") -> list[str]:
@@ -98,12 +103,34 @@ def _turn(role: Column, text: Column, rename: bool = True) -> Column:
     return F.struct(canonical.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _messages(array: Column, m: Mapping) -> Column:
-    return F.transform(array, lambda t: _turn(t[m.role], t[m.text]))
+def _said(value: Column, kind: T.DataType) -> Column:
+    """The text of a field: itself, or the texts of its parts put together."""
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda p: F.coalesce(_said(p, kind.elementType), F.lit(""))), "")
+    return value["text"].cast("string") if isinstance(kind, T.StructType) and "text" in kind.names else value.cast("string")
 
 
-def _prefixed(names: Column, before: str) -> Column:
-    return F.transform(names, lambda n: F.concat(F.lit(before), n))
+def _variant_said(value: Column) -> Column:
+    """The same of a VARIANT."""
+    one = lambda p: F.coalesce(F.when(F.schema_of_variant(p).startswith("OBJECT"), F.try_variant_get(p, "$.text", "string")).otherwise(F.try_variant_get(p, "$", "string")), F.lit(""))
+    parts = value.try_cast("array<variant>")
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, one), "")).otherwise(one(value))
+
+
+def _laid_out(m: Mapping, field) -> Column:
+    """The turns of a layout of fields; field(path) is the text there. Fields of one role in a row are one turn."""
+    turns: list[tuple[str, list[str]]] = []
+    for role, path in m.turns:
+        if turns and turns[-1][0] == role:
+            turns[-1][1].append(path)
+        else:
+            turns.append((role, [path]))
+    texts = lambda paths: field(paths[0]) if len(paths) == 1 else F.array_join(F.filter(F.array(*map(field, paths)), lambda t: t != ""), "\n")
+    return F.array(*[_turn(F.lit(role), texts(paths)) for role, paths in turns])
+
+
+def _after_system(turns: Column, text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.array(_turn(F.lit("system"), text)).cast(TURNS), turns)).otherwise(turns)
 
 
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id", mappings=MAPPINGS) -> DataFrame:
@@ -118,24 +145,31 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", mappings=MAPPINGS)
         rows = df.groupBy(conv_id).agg(F.array_sort(F.collect_list(one)).alias("rows"))
         return rows.select(F.col(conv_id).alias("conv_id"), *said, F.transform("rows", lambda t: _turn(t["role"], t["text"], rename=False)).alias("turns"))
     if m.shape == "array":
-        turns = _messages(F.coalesce(F.col(m.array), F.array().cast(df.schema[m.array].dataType)), m)
+        kind = df.schema[m.array].dataType
+        turns = F.transform(F.coalesce(F.col(m.array), F.array().cast(kind)), lambda t: _turn(t[m.role], _said(t[m.text], kind.elementType[m.text].dataType)))
     else:
-        turns = F.array(*[_turn(F.lit(role), F.col(path)) for role, path in m.turns])
-    return df.select(F.col(conv_id).alias("conv_id"), *said, turns.cast(TURNS).alias("turns"))
+        turns = _laid_out(m, lambda path: _said(F.col(path), df.schema[path].dataType))
+    turns = turns.cast(TURNS)
+    for path in SYSTEM:
+        if path in df.columns and path not in m.paths:
+            turns = _after_system(turns, _said(F.col(path), df.schema[path].dataType))
+    return df.select(F.col(conv_id).alias("conv_id"), *said, turns.alias("turns"))
 
 
 def canonical_turns_json(df: DataFrame, conv_id: str = "conv_id", payload: str = "payload", mappings=MAPPINGS) -> DataFrame:
     """(conv_id, fingerprint, mapping, turns) of a column of JSON objects whose layout may differ from row to row."""
     mappings = [m for m in mappings if m.shape != "rows"]
     tops = sorted({p.split("[]")[0] for m in mappings for p in m.paths})
-    inner = sorted({p.split("[].")[1] for m in mappings for p in m.paths if "[]." in p})
     parsed = df.select(F.col(conv_id).alias("conv_id"), F.try_parse_json(payload).alias("v"))
-    paths = []
+    at = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    messages = lambda top: F.filter(F.coalesce(at(top).try_cast("array<variant>"), F.array().cast("array<variant>")), lambda t: F.schema_of_variant(t).startswith("OBJECT"))
+    none, paths = F.array().cast("array<string>"), []
     for top in tops:
-        part = F.try_variant_get("v", f"$.{top}", "variant")
-        names = F.array_distinct(F.regexp_extract_all(F.schema_of_variant(part), F.lit(rf"[<,] ?({'|'.join(inner)}):"), F.lit(1)))
-        nested = F.when(F.schema_of_variant(part).startswith("ARRAY<OBJECT<"), _prefixed(names, f"{top}[]."))
-        paths.append(F.when(part.isNotNull(), F.concat(F.array(F.lit(top)), F.coalesce(nested, F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>")))
+        paths.append(F.when(at(top).isNotNull(), F.array(F.lit(top))).otherwise(none))
+        # a field counts if a message has it, not something inside of a message
+        for inner in sorted({p.split("[].")[1] for m in mappings for p in m.paths if p.startswith(f"{top}[].")}):
+            has = F.exists(messages(top), lambda t: F.try_variant_get(t, f"$.{inner}", "variant").isNotNull())  # noqa: B023
+            paths.append(F.when(has, F.array(F.lit(f"{top}[].{inner}"))).otherwise(none))
     known = F.array_sort(F.array_distinct(F.flatten(F.array(*paths))))
     rows = parsed.withColumn("paths", known).withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
     exact = F.coalesce(*[F.when(F.col("fingerprint") == m.fingerprint, F.lit(m.name)) for m in mappings])
@@ -144,11 +178,14 @@ def canonical_turns_json(df: DataFrame, conv_id: str = "conv_id", payload: str =
     turns = F.array().cast(TURNS)
     for m in mappings:
         if m.shape == "array":
-            got = F.try_variant_get("v", f"$.{m.array}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-            made = _messages(F.filter(got, lambda t: t.isNotNull()), m)
+            made = F.transform(messages(m.array), lambda t: _turn(F.try_variant_get(t, f"$.{m.role}", "string"), _variant_said(F.try_variant_get(t, f"$.{m.text}", "variant"))))  # noqa: B023
         else:
-            made = F.array(*[_turn(F.lit(role), F.try_variant_get("v", f"$.{path}", "string")) for role, path in m.turns])
-        turns = F.when(F.col("mapping") == m.name, F.coalesce(made.cast(TURNS), F.array().cast(TURNS))).otherwise(turns)
+            made = _laid_out(m, lambda path: _variant_said(at(path)))
+        made = F.coalesce(made.cast(TURNS), F.array().cast(TURNS))
+        for path in SYSTEM:
+            if path not in m.paths:
+                made = _after_system(made, _variant_said(at(path)))
+        turns = F.when(F.col("mapping") == m.name, made).otherwise(turns)
     return rows.select("conv_id", "fingerprint", "mapping", turns.alias("turns"))
 
 

@@ -90,6 +90,29 @@ def test_chat_layouts_meet_in_the_same_turns(spark):
         chat_format.canonical_turns(df.select("conv_id"))
 
 
+def test_chat_layouts_lose_and_invent_no_text(spark):
+    parts = [{"type": "text", "text": "q1 "}, {"type": "image"}, "and ", {"type": "text", "text": "q2"}]
+    cases = [
+        ({"conversations": [{"from": "human", "value": "q"}], "system": "s"}, "shared_turns", [("system", "s"), ("user", "q")]),
+        ({"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "a", "meta": {"text": "x", "from": "y"}}]}, "messages", [("user", "q1 and q2"), ("assistant", "a")]),
+        ({"instruction": "do", "input": "", "output": "a"}, "instruction_input", [("user", "do"), ("assistant", "a")]),
+        ({"instruction": "do", "input": "this", "output": "a", "system": "s"}, "instruction_input", [("user", "do\nthis"), ("assistant", "a")]),
+        ({"system": "s", "prompt": "q", "response": "a"}, "system_prompt_response", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"system_prompt": "s", "question": "q", "answer": {"text": "a"}, "system": ""}, "question_answer", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"messages": [{"role": "user"}, "loose", {"content": "c"}, None]}, "messages", [("user", ""), ("", "c")]),
+        ({"messages": [{"body": {"role": "user", "content": "no"}}], "prompt": "q", "completion": "a"}, "prompt_completion", [("user", "q"), ("assistant", "a")]),
+    ]
+    cases[3][2].insert(0, ("system", "s"))
+    df = spark.createDataFrame([(i, json.dumps(c[0])) for i, c in enumerate(cases)], "conv_id long, payload string")
+    got = {r["conv_id"]: r for r in chat_format.canonical_turns_json(df).collect()}
+    for i, (_, name, turns) in enumerate(cases):
+        assert (got[i]["mapping"], [tuple(t) for t in got[i]["turns"]]) == (name, turns), cases[i][0]
+    typed = spark.createDataFrame([(1, [("user", [("q1 ",), (None,), ("q2",)])], "s"), (2, None, None)], "conv_id long, messages array<struct<role:string,content:array<struct<text:string>>>>, system string")
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat_format.canonical_turns(typed).collect()} == {1: [("system", "s"), ("user", "q1 q2")], 2: []}
+    typed = spark.createDataFrame([(1, "do", None, "a"), (2, "do", "it", "a")], "conv_id long, instruction string, input string, output string")
+    assert [[tuple(t) for t in r["turns"]] for r in chat_format.canonical_turns(typed).orderBy("conv_id").collect()] == [[("user", "do"), ("assistant", "a")], [("user", "do\nit"), ("assistant", "a")]]
+
+
 def test_chat_ties_repeats_and_empty(spark):
     kind = "conv_id long, turn long, role string, text string, prompt string"
     df = spark.createDataFrame([(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (None, 1, "user", "n", "x"), (2, 0, "bot", "z", "x")], kind)
