@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .. import cut_lineage
+
 #: A dimension is sent to all tasks only below this measured number of rows, and of bytes of their values as text.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
@@ -127,18 +129,16 @@ def zipped(left: DataFrame, right: DataFrame, line: str = "line") -> DataFrame:
 
 
 def numbered_rows(rows: DataFrame, order: list[str], out: str, parts: int = 64) -> DataFrame:
-    """Numbers from 1 in a total order that begins with a number, without one task for all rows.
+    """Numbers from 1 in order, without one task for all rows.
 
-    About even ranges of the first column are found from its quantiles; rows are
-    numbered inside each range, and the sizes of the ranges before are added.
+    Rows are dealt by ranges of the order, those that agree in all of it by their
+    place in the table, so that no value is too hot. Each range is numbered as it is
+    sorted, and the sizes of the ranges before it, one row a range, are added.
     """
-    bounds = sorted(set(rows.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.002)))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(order[0]) >= b).cast("int")
-    cut = rows.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))  # `parts` rows at most
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie")
+    ranged = cut_lineage(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_part").orderBy(*order)
-    return cut.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_k")).drop("_part", "_k", "_start")
+    starts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = F.broadcast(starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return ranged.join(starts, part == F.col("_part")).withColumn(out, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_start")

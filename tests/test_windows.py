@@ -92,6 +92,18 @@ def test_totals_are_sums_and_shares_are_never_null(spark):
     assert rows["ALL"]["n"] == sum(r["n"] for k, r in rows.items() if k != "ALL") and all(r["zero"] == 0.0 for r in rows.values())
 
 
+def test_numbers_in_order_have_no_hot_value(spark):
+    rows = spark.range(5000).select(F.lit("same").alias("a"), (F.col("id") % 3).alias("b"), "id").repartition(5)
+    got = joins.numbered_rows(rows, ["a", "b"], "k", parts=7)
+    assert got.columns == ["a", "b", "id", "k"]
+    by = sorted((r["k"], r["b"]) for r in got.collect())
+    assert [k for k, _ in by] == list(range(1, 5001)) and [b for _, b in by] == sorted(b for _, b in by)
+    assert len({r["id"] for r in got.collect()}) == 5000
+    sizes = [n for (n,) in rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(7, "a", "b", "_tie").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 2500
+    assert joins.numbered_rows(rows.limit(0), ["b"], "k").count() == 0
+
+
 def test_index_percentile_is_exact_without_sorting_a_group(spark):
     rng = random.Random(5)
     groups = {"even": list(range(4000)), "one": [7.5] * 3000, "skewed": [10.0 ** rng.randrange(-3, 12) * rng.random() for _ in range(3000)], "two": [1.0] * 1500 + [2.0] * 1500, "few": [3, 1, 2], None: [5.0, -1.0], "none": []}
