@@ -20,6 +20,11 @@ def _d(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def _named(value: Column, use) -> Column:
+    """use(value), with the value worked out once and not at each mention."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sign_test(wins: Column | str, losses: Column | str) -> Column:
     """Two-sided exact binomial test of wins against losses at one half (also McNemar's); null without either.
 
@@ -40,28 +45,29 @@ def beta_quantile(a: Column, b: Column, p: float, cells: int = CELLS) -> Column:
     With x = sin(t)^2 the density is sin(t)^(2a-1) cos(t)^(2b-1), without poles. It is
     summed over cells around its peak, eight spreads to each side, and the cell that holds p is interpolated.
     """
-    a, b = _d(a), _d(b)
-    u, v = 2 * a - 1, 2 * b - 1
-    peak = F.atan2(F.sqrt(u), F.sqrt(v))
-    spread = 4 / F.sqrt(u + v + 1)
-    low, high = F.greatest(F.lit(0.0), peak - 2 * spread), F.least(F.lit(math.pi / 2), peak + 2 * spread)
-    step = (high - low) / cells
-    log_top = F.when(u > 0, u * F.log(F.greatest(F.sin(peak), F.lit(1e-300)))).otherwise(0.0) + F.when(v > 0, v * F.log(F.greatest(F.cos(peak), F.lit(1e-300)))).otherwise(0.0)
-    at = lambda i: low + (i + 0.5) * step
-    density = lambda i: F.exp(u * F.log(F.sin(at(i))) + v * F.log(F.cos(at(i))) - log_top)
-    weights = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), density)
-    # the array is made once; the second fold goes on while the sum is below the share
-    held = F.struct(weights.alias("w"), F.aggregate(weights, F.lit(0.0), lambda s, w: s + w).alias("t"))
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("i"), F.lit(False).alias("done"))
-
-    def cell(s: Column, w: Column, total: Column) -> Column:
-        need = p * total - s["c"]
-        inside = ~s["done"] & (w > 0) & (need <= w)
-        moved = F.when(s["done"], s["i"]).when(inside, s["i"] + need / w).otherwise(s["i"] + 1)
-        return F.struct((s["c"] + w).alias("c"), moved.alias("i"), (s["done"] | inside).alias("done"))
-
-    place = F.transform(F.array(held), lambda h: F.aggregate(h["w"], start, lambda s, w: cell(s, w, h["t"]), lambda s: s["i"]))[0]
-    return F.pow(F.sin(low + place * step), F.lit(2.0))
+    shape = F.struct((2 * _d(a) - 1).alias("u"), (2 * _d(b) - 1).alias("v"))
+    peak = _named(shape, lambda c: F.struct(c["u"].alias("u"), c["v"].alias("v"), F.atan2(F.sqrt(c["u"]), F.sqrt(c["v"])).alias("peak"), (8 / F.sqrt(c["u"] + c["v"] + 1)).alias("reach")))
+
+    def grid(c: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), c["peak"] - c["reach"]), F.least(F.lit(math.pi / 2), c["peak"] + c["reach"])
+        log_of = lambda n, x: F.when(n > 0, n * F.log(F.greatest(x, F.lit(1e-300)))).otherwise(0.0)
+        top = log_of(c["u"], F.sin(c["peak"])) + log_of(c["v"], F.cos(c["peak"]))
+        return F.struct(c["u"].alias("u"), c["v"].alias("v"), low.alias("low"), ((high - low) / cells).alias("step"), top.alias("top"))
+
+    def summed(g: Column) -> Column:
+        points = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: g["low"] + (i + 0.5) * g["step"])
+        weights = F.transform(points, lambda t: F.exp(g["u"] * F.log(F.sin(t)) + g["v"] * F.log(F.cos(t)) - g["top"]))
+        return F.struct(g["low"].alias("low"), g["step"].alias("step"), weights.alias("w"))
+
+    def place(g: Column) -> Column:
+        need = F.aggregate(g["w"], F.lit(0.0), lambda s, w: s + w, lambda s: s * p)
+        # left: what is still to come of the share; negative once its cell is found
+        start = F.struct(need.alias("left"), F.lit(0.0).alias("at"))
+        step = lambda s, w: F.when(s["left"] <= 0, s).otherwise(F.struct((s["left"] - w).alias("left"), (s["at"] + F.least(F.lit(1.0), F.try_divide(s["left"], w))).alias("at")))
+        found = F.aggregate(g["w"], start, lambda s, w: F.when(w > 0, step(s, w)).otherwise(F.struct(s["left"].alias("left"), (s["at"] + F.when(s["left"] > 0, 1.0).otherwise(0.0)).alias("at"))), lambda s: s["at"])
+        return F.pow(F.sin(g["low"] + found * g["step"]), F.lit(2.0))
+
+    return _named(_named(_named(peak, grid), summed), place)
 
 
 def upper_bound(k: Column | str, n: Column | str, level: float = 0.95) -> Column:
