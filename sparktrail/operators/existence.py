@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import posixpath
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 
 def normal(path: str | None) -> str | None:
     return None if path is None else posixpath.normpath(path)
 
 
-@F.pandas_udf(T.StringType())
-def normal_path(path: pd.Series) -> pd.Series:
-    return path.map(normal)
+def normal_path(path: Column | str) -> Column:
+    """normal() as a Column: empty parts and . go, .. takes the part before it away, and stays only at the front of a relative path."""
+    path = F.col(path) if isinstance(path, str) else path
+    rooted = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    up = lambda held, x: F.when((x != "..") | (~rooted & ((F.size(held) == 0) | (F.try_element_at(held, F.lit(-1)) == ".."))), F.concat(held, F.array(x))).otherwise(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))))
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+    root = F.when(path.startswith("//") & ~path.startswith("///"), "//").when(rooted, "/").otherwise("")
+    whole = F.concat(root, joined)
+    return F.when(whole == "", ".").otherwise(whole)
 
 
 def same_path(a: Column, b: Column) -> Column:
