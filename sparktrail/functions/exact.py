@@ -6,7 +6,9 @@ the group had. Sums over the terms of a distribution are array functions of one
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -135,3 +137,47 @@ def wilcoxon(rows: DataFrame, by: list[str], difference: str) -> DataFrame:
     small = (F.col("n") <= 25) & (ties == 0)
     p = F.when(small, signed_rank_exact(F.col("w"), F.when(small, n).otherwise(1.0))).otherwise(normal_two_sided((F.col("w") - mean) / F.sqrt(var)))
     return sums.select(*by, "n", "w", p.alias("p"))
+
+
+#: Where the variance ratio is looked for: logarithms, and how often the step is made 32 times finer.
+LOW, HIGH, STEP, FINER = -16.0, 8.0, 0.25, 2
+
+
+def random_intercept(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
+    """by, groups, n, mean, se, group_variance, residual_variance: REML of value = mean + group effect + noise, nulls left out.
+
+    Groups are first brought down to their size, sum and sum of squares. The restricted likelihood at each
+    variance ratio of a grid is a sum over groups, made before the shuffle; the
+    grid then closes in on its best point. Ratio 0 (no group effect) wins where no other is
+    better by a 10^9th. The ratio is right to about 1.2e-4 of itself. Null below two rows.
+    """
+    v = F.col(value).cast("double")
+    # squares from the mean of all, so that a far origin costs no digits
+    held = rows.select(*by, group, v.alias("_v")).where("_v is not null")
+    centre = held.groupBy(*by).agg(F.avg("_v").alias("_m"))
+    keyed = _beside(held, centre, by)
+    sizes = cut_lineage(keyed.groupBy(*by, group, "_m").agg(F.count("*").cast("double").alias("_n"), F.sum(F.col("_v") - F.col("_m")).alias("_s"), F.sum(F.pow(F.col("_v") - F.col("_m"), F.lit(2.0))).alias("_q")))
+    points = int((HIGH - LOW) / STEP)
+    best, step = sizes.select(*by).distinct().withColumn("_grid", F.sequence(F.lit(-1), F.lit(points)).cast("array<double>")).withColumn("_grid", F.transform("_grid", lambda i: F.when(i < 0, F.lit(None)).otherwise(LOW + i * STEP))), STEP
+    for _ in range(FINER + 1):
+        at = _beside(sizes, best, by).withColumn("_t", F.explode("_grid"))
+        r, n, s = F.coalesce(F.exp("_t"), F.lit(0.0)), F.col("_n"), F.col("_s")
+        w = 1 / (1 + n * r)
+        sums = at.groupBy(*by, "_t", "_m").agg(F.count("*").alias("groups"), F.sum(n).alias("_all"), F.sum(n * w).alias("_xx"), F.sum(s * w).alias("_xy"), F.sum(F.col("_q") - r * w * s * s).alias("_yy"), F.sum(F.log1p(n * r)).alias("_log"))
+        s2 = F.try_divide(F.col("_yy") - F.try_divide(F.col("_xy") * F.col("_xy"), F.col("_xx")), F.col("_all") - 1)
+        scored = sums.withColumn("_s2", s2).withColumn("_loss", (F.col("_all") - 1) * F.log(F.greatest("_s2", F.lit(1e-300))) + F.col("_log") + F.log("_xx"))
+        found = scored.groupBy(*by).agg(F.min_by(F.struct("groups", "_all", "_m", "_xx", "_xy", "_s2", "_t"), F.struct(F.round("_loss", 9), F.coalesce("_t", F.lit(-99.0)))).alias("_b"))
+        step = step / 32
+        around = F.array(*[F.col("_b._t") + i * step for i in range(-32, 33)])
+        best = cut_lineage(found.withColumn("_grid", F.when(F.col("_b._t").isNull(), F.array(F.lit(None).cast("double"))).otherwise(around)))
+        found, best = best.drop("_grid"), best.drop("_b")
+    b, ratio = F.col("_b"), F.coalesce(F.exp("_b._t"), F.lit(0.0))
+    return found.select(*by, b["groups"].alias("groups"), b["_all"].cast("long").alias("n"), (b["_m"] + b["_xy"] / b["_xx"]).alias("mean"), F.sqrt(F.try_divide(b["_s2"], b["_xx"])).alias("se"), (ratio * b["_s2"]).alias("group_variance"), b["_s2"].alias("residual_variance"))
+
+
+def _beside(rows: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of the one row of their group; null keys are equal. Without keys that is one row for all."""
+    if not by:
+        return rows.crossJoin(F.broadcast(one))
+    key = functools.reduce(operator.and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+    return rows.alias("a").join(one.alias("b"), key).select("a.*", *[F.col(f"b.{c}") for c in one.columns if c not in by])

@@ -119,6 +119,20 @@ def elsewhere(names: DataFrame, name: str = "name", source: str = "source") -> D
     return names.select(source, name).distinct().join(every, name).select(source, name, F.array_remove("_all", F.col(source)).alias("found_in"))
 
 
+def found_elsewhere(names: DataFrame, name: str = "name", source: str = "source") -> DataFrame:
+    """For each (source, name): how many other sources have the name, one of them (the smallest, for that itself the greatest) and a class: here only, one other, several others.
+
+    A name gives one row of counts, so a name that all sources have costs no more than another.
+    """
+    own = names.select(source, name).distinct()
+    every = own.groupBy(name).agg(F.count("*").alias("_n"), F.min(source).alias("_low"), F.max(source).alias("_high"))
+    others = F.col("_n") - 1
+    another = F.when(F.col(source).eqNullSafe(F.col("_low")), F.when(others > 0, F.col("_high"))).otherwise(F.col("_low"))
+    kind = F.when(others == 0, "here only").when(others == 1, "one other").otherwise("several others")
+    both = own.alias("a").join(every.alias("b"), F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}")))
+    return both.select(source, F.col(f"a.{name}").alias(name), others.alias("others"), another.alias("another"), kind.alias("class"))
+
+
 def not_in_domain(literals: DataFrame, domain: DataFrame, on: list[str]) -> DataFrame:
     return literals.join(domain.select(*on).distinct(), on, "left_anti")
 

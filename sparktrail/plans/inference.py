@@ -191,3 +191,27 @@ def stat_wilcoxon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = cells(spark, sf_dir).where("kind = 'purchase'").withColumn("d", F.col("value") - F.lag("value").over(W.partitionBy("trace").orderBy("idx")))
     untied = steps.where("round(abs(d), 9) > 0").groupBy("trace").agg(F.count("*").alias("_n"), F.count_distinct(F.round(F.abs("d"), 9)).alias("_sizes")).where("_n = _sizes and _n <= 25")
     return exact.wilcoxon(steps, ["trace"], "d").join(untied.select("trace"), "trace", "left_semi")
+
+
+def _reml_views() -> list[str]:
+    """The search of exact.random_intercept in SQL: b0, b1, ... are the best points of grids g0, g1, ..."""
+    points, step = int((exact.HIGH - exact.LOW) / exact.STEP), exact.STEP
+    views = [f"g0 AS (SELECT seed, t FROM (SELECT DISTINCT seed FROM sizes), (SELECT CASE WHEN i >= 0 THEN {exact.LOW} + i * {step} END::DOUBLE AS t FROM range(-1, {points} + 1) r(i)))"]
+    for k in range(exact.FINER + 1):
+        views.append(f"""b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round((a - 1) * ln(greatest(s2, 1e-300)) + lg + ln(xx), 9), coalesce(t, -99)) AS place FROM (SELECT *, (yy - xy * xy / xx) / (a - 1) AS s2 FROM (
+            SELECT seed, t, any_value(m) AS m, count(*) AS groups, sum(n) AS a, sum(n / (1 + n * r)) AS xx, sum(s / (1 + n * r)) AS xy, sum(q - r / (1 + n * r) * s * s) AS yy, sum(ln(1 + n * r)) AS lg
+            FROM (SELECT *, CASE WHEN t IS NULL THEN 0e0 ELSE exp(t) END AS r FROM sizes JOIN g{k} USING (seed)) GROUP BY seed, t))) WHERE place = 1)""")
+        step = step / 32
+        views.append(f"g{k + 1} AS (SELECT DISTINCT seed, t + i * {step!r}::DOUBLE AS t FROM b{k}, range(-32, 33) r(i))")
+    return views[:-1]
+
+
+@query(
+    f"SELECT seed, groups, a::BIGINT AS n, m + xy / xx AS mean, sqrt(s2 / xx) AS se, CASE WHEN t IS NULL THEN 0e0 ELSE exp(t) END * s2 AS group_variance, s2 AS residual_variance FROM b{exact.FINER}",
+    PAIRS_SQL, "vals AS (SELECT seed, unit, cost + unit % 13 * 4 * (seed % 3) AS v FROM pairs)",
+    "sizes AS (SELECT seed, unit, m, count(*)::DOUBLE AS n, sum(v - m) AS s, sum((v - m) * (v - m)) AS q FROM (SELECT *, avg(v) OVER (PARTITION BY seed) AS m FROM vals) GROUP BY 1, 2, 3)", *_reml_views(),
+)
+def stat_random_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of runs as mean, effect of the unit and noise, by seed, by restricted likelihood."""
+    rows = pairs(spark, sf_dir).select("seed", "unit", (F.col("cost") + F.col("unit") % 13 * 4 * (F.col("seed") % 3)).alias("v"))
+    return exact.random_intercept(rows, ["seed"], "unit", "v")

@@ -98,3 +98,29 @@ def src_numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition(16, "folder").sortWithinPartitions("folder", "event_id").select("folder", "value").write.partitionBy("folder").text(path)
     lines = files.numbered_lines(spark, path)
     return lines.select(F.regexp_extract("file", r"/folder=(\d+)/", 1).cast("int").alias("folder"), "line", "text")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stm_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of keys over the files of a table as they arrive, a file a batch."""
+    from ..streaming import folds
+
+    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    e.repartition(4, "event_id").write.parquet(f"{path}/arriving")
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
+    folds.appended_once(rows, ["user_id", "event_type"], ["event_id"], f"{path}/log", f"{path}/state").awaitTermination()
+    return folds.appended(spark, f"{path}/log", e.schema).select("user_id", "event_type")
+
+
+@query("SELECT CAST(user_id % 8 AS INT) AS folder, count(*) FILTER (event_type <> 'error' AND k IS NOT NULL) AS n, sum(k) FILTER (event_type <> 'error')::BIGINT AS k, count(*) FILTER (event_type = 'error') AS bad FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) GROUP BY 1")
+def src_tolerant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs in which a line of each error is cut short, as by a stopped writer, and blank lines stand: what can be read, and how many lines can't, by folder."""
+    e = table(spark, sf_dir, "events")
+    line = F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).when(F.col("event_type") == "view", F.concat(F.lit("\n"), "props")).otherwise(F.col("props"))
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    e.select((F.col("user_id") % 8).cast("int").alias("folder"), line.alias("value")).write.partitionBy("folder").text(path)
+    good, bad = files.tolerant_records(spark, path, "k int")
+    folder = F.regexp_extract("file", r"/folder=(\d+)/", 1).cast("int").alias("folder")
+    read = good.where("k is not null").groupBy(folder).agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    return read.join(bad.groupBy(folder).agg(F.sum("bad_lines").alias("bad")), "folder").select("folder", "n", "k", "bad")

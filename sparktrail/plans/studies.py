@@ -200,6 +200,15 @@ def join_found_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.elsewhere(names).withColumn("found_in", F.array_join("found_in", ","))
 
 
+@query(
+    """SELECT source, name, n - 1 AS others, CASE WHEN source <> low THEN low WHEN n > 1 THEN high END AS another, CASE n WHEN 1 THEN 'here only' WHEN 2 THEN 'one other' ELSE 'several others' END AS class
+    FROM (SELECT DISTINCT l_suppkey AS source, l_partkey AS name FROM lineitem) JOIN (SELECT l_partkey AS name, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS low, max(l_suppkey) AS high FROM lineitem GROUP BY 1) USING (name)"""
+)
+def join_found_elsewhere_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts only one supplier ships, and who else ships the others."""
+    return joins.found_elsewhere(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("name")))
+
+
 # --- aggregates
 
 

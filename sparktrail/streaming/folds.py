@@ -6,8 +6,10 @@ they arrive. Windows by event time are an addition.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 import tempfile
 import time
 import uuid
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from .. import cut_lineage, shared_folder
@@ -109,6 +111,37 @@ def counted_as_they_arrive(stream: DataFrame, docs: DataFrame, json_text: str, p
     return stream.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def appended_once(stream: DataFrame, key: list[str], order: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """A log at `path` that gets each key once for ever: of a batch the first row of a key in the order given, if the log does not hold the key.
+
+    The log itself is the state, so none is kept in memory. A batch is a folder
+    of its number: one that is repeated after a restart is written again in its place, and looks only at the others. Null keys are equal.
+    """
+    # an empty folder is a log without rows; the stream's schema is the log's
+    spark, schema = stream.sparkSession, stream.schema
+
+    def extend(batch: DataFrame, number: int) -> None:
+        first = W.partitionBy(*key).orderBy(*order)
+        new = batch.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+        held = appended(spark, path, schema)
+        if held is not None:
+            known = held.where(F.col("batch") != number).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)])
+            new = new.join(known, functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)]), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The rows of such a log with the number of their batch; None before its first batch."""
+    try:
+        return spark.read.option("basePath", path).schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/batch=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 CHAIN_ROW = "trace long, idx long, chain int, ends boolean"
 
 

@@ -146,3 +146,26 @@ def test_settled_streams_need_a_shared_folder_on_a_cluster(spark, tmp_path):
     on_cluster = Stub(conf=Stub(get=lambda name, other: other), sparkContext=Stub(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         folds.settled(Stub(sparkSession=on_cluster))
+
+
+def test_log_gets_each_key_once_also_over_restarts(spark, tmp_path):
+    path, state, source = str(tmp_path / "log"), str(tmp_path / "state"), tmp_path / "in"
+    source.mkdir()
+    schema = "k string, n int"
+
+    def arrive(name, *rows):
+        (source / name).write_text("".join(json.dumps({"k": k, "n": n}) + "\n" for k, n in rows))
+        stream = folds.arriving(spark, str(source), schema, 1)
+        folds.appended_once(stream, ["k"], ["n"], path, state).awaitTermination()
+        return sorted((r["k"] or "", r["n"], r["batch"]) for r in folds.appended(spark, path, stream.schema).collect())
+
+    assert folds.appended(spark, path, spark.createDataFrame([], schema).schema) is None
+    one = arrive("a.json", ("x", 3), ("x", 1), (None, 4), ("y", 2))
+    assert one == [("", 4, 0), ("x", 1, 0), ("y", 2, 0)]
+    assert arrive("b.json", ("x", 0), ("z", 9), (None, 1), ("z", 8)) == [*one, ("z", 8, 1)]
+    # the second batch was written, but its end was not recorded: it is done again, in its place
+    (tmp_path / "state" / "commits" / "1").unlink()
+    crc = tmp_path / "state" / "commits" / ".1.crc"
+    if crc.exists():
+        crc.unlink()
+    assert arrive("c.json", ("y", 1), ("w", 1)) == [*one[:1], ("w", 1, 2), *one[1:], ("z", 8, 1)]

@@ -166,3 +166,22 @@ def test_wilcoxon_of_one_hot_group_is_ranked_in_many_tasks(spark):
     parts = parts.sort_values("size")
     assert tasks > 2
     assert (parts["before"].to_numpy() == parts["n"].cumsum().to_numpy() - parts["n"].to_numpy()).all()
+
+
+def test_random_intercept_against_golden_section(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for k, sd in (("a", 1.0), (None, 0.0), ("c", 3.0)):
+        for g in range(40):
+            u = rng.normal(0, sd)
+            rows += [(k, g, float(1e6 + u + rng.normal())) for _ in range(rng.integers(1, 9))]
+    df = spark.createDataFrame([*rows, ("a", 1, None), ("one", 1, 5.0)], "k string, g int, x double")
+    got = {r["k"]: r for r in exact.random_intercept(df, ["k"], "g", "x").collect()}
+    assert got["one"]["mean"] == 5 and got["one"]["se"] is None and len(got) == 4
+    for k in ("a", None, "c"):
+        own = [r for r in rows if r[0] == k]
+        want = st.random_intercept(np.array([r[2] - 1e6 for r in own]), np.array([r[1] for r in own]))
+        r = got[k]
+        assert (r["groups"], r["n"]) == (40, len(own)) and r["mean"] - 1e6 == pytest.approx(want["mean"], abs=1e-5)
+        assert r["se"] == pytest.approx(want["se"], rel=1e-4) and r["residual_variance"] == pytest.approx(want["residual_variance"], rel=1e-4)
+        assert r["group_variance"] == pytest.approx(want["group_variance"], rel=5e-4, abs=1e-5)

@@ -150,3 +150,11 @@ def test_samples_do_not_depend_on_order(spark):
     assert take(df) == take(df.repartition(9).orderBy("value")) and len(take(df)) == 9
     capped = sampling.capped_share(df, "submitter", ["trace"], ["trace", "idx"], 2)
     assert capped.groupBy("submitter").count().agg(F.max("count")).first()[0] == 2 and capped.select("trace").distinct().count() == capped.count()
+
+
+def test_found_elsewhere_counts(spark):
+    df = spark.createDataFrame([("a", "n"), ("b", "n"), ("c", "n"), ("a", "n"), ("a", "own"), ("a", "two"), ("b", "two"), ("a", None), ("c", None)], "source string, name string")
+    got = {(r["source"], r["name"]): (r["others"], r["another"], r["class"]) for r in joins.found_elsewhere(df).collect()}
+    assert got["a", "n"] == (2, "c", "several others") and got["b", "n"] == (2, "a", "several others") and got["c", "n"] == (2, "a", "several others")
+    assert got["a", "own"] == (0, None, "here only") and got["a", "two"] == (1, "b", "one other") and got["b", "two"] == (1, "a", "one other")
+    assert got["c", None] == (1, "a", "one other") and len(got) == 8
