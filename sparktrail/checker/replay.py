@@ -25,37 +25,83 @@ def alternative(result) -> str:
     return str(result).lower()
 
 
+class Decisions:
+    """The decisions of a task, and the states they lead to, each made once while it is kept.
+
+    States that hold the same are one object, which is not changed any more, so that
+    traces that come to it by different ways share what follows. When
+    more than `most` decisions or `room` characters of programs are kept, all are
+    given up and it begins anew. Only `decide` is known to say the same again; another check is asked each time.
+    """
+
+    def __init__(self, schema: dict[str, list[str]], check: Callable, tolerant: bool, most: int = 20_000, room: int = 8_000_000):
+        self.schema, self.check, self.tolerant, self.most, self.room = schema, check, tolerant, most, room
+        self.clear()
+
+    def clear(self) -> None:
+        self.made, self.states, self.held = {}, {}, 0
+
+    def first(self) -> State:
+        return self.one(State()) if self.check is decide else State()
+
+    def one(self, state: State) -> State:
+        return self.states.setdefault(state.key(), state)
+
+    def next(self, code: str, failed: bool, state: State | None, known: dict | None) -> tuple[State | None, tuple]:
+        """The state after a cell, and what is said of it from the outcome on."""
+        if self.check is not decide:
+            return state, self.judge(code, failed, state, known)
+        # a state kept in a key can't be given up, so its id stays its own
+        key = (code, failed, state and id(state), None if known is None else tuple(sorted(known.items())))
+        got = self.made.get(key)
+        if got is None:
+            after = State(dict(state.names)) if state is not None else None
+            said = self.judge(code, failed, after, known)
+            if len(self.made) >= self.most or self.held > self.room:
+                self.clear()
+            got = self.made[key] = (after and self.one(after), said, state)
+            self.held += len(code)
+        return got[:2]
+
+    def judge(self, code: str, failed: bool, state: State | None, known: dict | None) -> tuple:
+        """What is said of a cell, whose state goes on."""
+        began = time.perf_counter()
+        try:
+            got = self.check(code, self.schema, state, known.get if known is not None else None, self.tolerant)
+            outcome = alternative(got)
+        except Exception as e:  # a defect of the checker is a result of its own
+            got, outcome = {"reason": repr(e)}, "checker_error"
+        ms = (time.perf_counter() - began) * 1000
+        if state is not None:
+            # a blocked cell would have failed
+            state.commit(failed or outcome == "block")
+        found = got.get("violations") or []
+        return (outcome, got.get("kind"), got.get("source"), sorted({v["missing"] for v in found}), got.get("location"), got.get("found_in") or [], got.get("near_matches") or [], sorted({f["path"] for f in got.get("files") or () if not f["conditional"]}), got.get("written") or [], ms)
+
+
 def replay(cells: DataFrame, schema: dict[str, list[str]], carry: bool = True, tolerant: bool = False, check: Callable = decide, existing: str | None = None) -> DataFrame:
     """A prediction for each cell (trace, idx, code, failed). `existing` names a map<string,boolean> column of paths that are known to exist or not.
 
     Cells are dealt by trace and sorted, and each partition is read as a stream:
     the state of one trace at a time is held, whatever its length. The number of
     partitions is kept as it is set, since the work is in Python and the rows
-    are small.
+    are small. What `decide` says follows from the program, the state and the
+    files that are known, so a task keeps its last decisions and does not make the
+    same one again; a repeated cell has the ms of the decision it repeats.
     """
     columns = ["trace", "idx", "code", "failed", *([existing] if existing else [])]
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
+        kept = Decisions(schema, check, tolerant)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.trace != at:
-                    at, state = r.trace, State() if carry else None
-                known = dict(getattr(r, existing) or {}) if existing else None
-                began = time.perf_counter()
-                try:
-                    got = check(r.code or "", schema, state, known.get if known is not None else None, tolerant)
-                    outcome = alternative(got)
-                except Exception as e:  # a defect of the checker is a result of its own
-                    got, outcome = {"reason": repr(e)}, "checker_error"
-                ms = (time.perf_counter() - began) * 1000
-                if state is not None:
-                    # a blocked cell would have failed
-                    state.commit(bool(r.failed) or outcome == "block")
-                found = got.get("violations") or []
-                out.append((r.trace, r.idx, bool(r.failed), outcome, got.get("kind"), got.get("source"), sorted({v["missing"] for v in found}), got.get("location"), got.get("found_in") or [], got.get("near_matches") or [], sorted({f["path"] for f in got.get("files") or () if not f["conditional"]}), got.get("written") or [], ms))
+                    at, state = r.trace, kept.first() if carry else None
+                state, said = kept.next(r.code or "", bool(r.failed), state, dict(getattr(r, existing) or {}) if existing else None)
+                out.append((r.trace, r.idx, bool(r.failed), *said))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PREDICTION.split(", ")])
 
     return cells.select(*columns).repartition(n, "trace").sortWithinPartitions("trace", "idx").mapInPandas(fold, PREDICTION)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import cut_lineage
 from ..checker import replay as chk
 from ..functions import code as facts, text
 from ..operators import existence
@@ -159,7 +160,8 @@ def chk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chk_replay_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two passes: what each cell reads and writes, then decisions with the evidence of the other cells."""
     rows = judged(spark, sf_dir).withColumn("missing_path", text.missing_path(F.col("output")))
-    first = chk.replay(rows, SCHEMA)
+    # made once, as the reads and what was written are read from it for several joins
+    first = cut_lineage(chk.replay(rows, SCHEMA).select("trace", "idx", "failed", "reads", "written"))
     return chk.replay(chk.file_evidence(rows, first), SCHEMA, existing="existing").drop("ms")
 
 

@@ -188,3 +188,32 @@ def test_file_evidence(spark):
     assert got == {(1, 1): {"a.csv": True}, (2, 1): {"./a.csv": True}, (2, 2): {"gone.csv": False}, (3, 1): {"gone.csv": False}, (4, 1): None, (5, 1): {"a.csv": True}, (5, 2): {"made.csv": True}}
     said = {(r["trace"], r["idx"]): r["outcome"] for r in replay(file_evidence(df, replay(df, schema)), schema, existing="existing").collect()}
     assert said[2, 2] == said[3, 1] == "block" and said[4, 1] == said[5, 2] == "run"
+
+
+def test_a_task_decides_once_for_cells_in_the_same_state():
+    from sparktrail.checker import replay as chk
+    from sparktrail.checker.interpreter import decide
+
+    codes = ["import pandas as pd\ndf = pd.read_csv('a.csv')", "print(df['y'])", "df['y'] = 1", "other = df", "other['z'] = df['x']", "print(df['z'])", "def f(:", "q = df.rename(columns={'x': 'w'})\nprint(q['x'])"]
+    rng, made = random.Random(3), 0
+    kept = chk.Decisions({"a.csv": ["x"]}, decide, False, most=50)
+    plain = chk.Decisions({"a.csv": ["x"]}, lambda *a: decide(*a), False)
+    judge = kept.judge
+
+    def counted(*a):
+        nonlocal made
+        made += 1
+        return judge(*a)
+
+    kept.judge = counted
+    for _ in range(60):
+        one, two = kept.first(), plain.first()
+        for _ in range(20):
+            code, failed, known = rng.choice(codes), rng.random() < 0.2, rng.choice([None, {}, {"a.csv": False}])
+            one, said = kept.next(code, failed, one, known)
+            two, want = plain.next(code, failed, two, known)
+            assert said[:-1] == want[:-1] and one.key() == two.key()
+        assert len(kept.made) <= 50
+    assert made < 1200
+    again = [kept.next(codes[0], False, kept.first(), None)[1] for _ in range(2)]
+    assert again[0] is again[1]
