@@ -29,7 +29,8 @@ def compare(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataF
 
 
 def strict_compare(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
-    """As compare, but an error if a key is repeated or on one side only."""
+    """As compare, but an error if a key is repeated or on one side only. Each table is made once, in files, as it is read for the tests and for the result."""
+    old, new = (cut_lineage(df.select(*key, value)) for df in (old, new))
     for name, df in (("old", old), ("new", new)):
         if not df.groupBy(*key).agg(F.count("*").alias("_times")).where("_times > 1").isEmpty():
             raise ValueError(f"repeated keys in the {name} table")
