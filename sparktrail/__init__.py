@@ -45,3 +45,8 @@ def cut_lineage(df):
     """df, computed and kept in files of the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def tasks_for(df, rows: int = 200_000) -> int:
+    """To how many tasks df is dealt for so many rows a task, at least as many as are set, so that what a task holds does not grow with the table. Counts df."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))

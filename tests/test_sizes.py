@@ -1,5 +1,11 @@
 """What a task holds does not grow with the table."""
 
+import __spark_entry__ as entry
+from sparktrail import tasks_for
+
+SF = "/root/testdata/sf0.001"
+
+
 def test_decisions_of_a_comparison_are_made_once(spark, monkeypatch):
     from sparktrail.operators import joins
 
@@ -13,3 +19,14 @@ def test_decisions_of_a_comparison_are_made_once(spark, monkeypatch):
 
     assert joins.strict_compare(rows.mapInArrow(counted, rows.schema), rows, ["k"], "o").count() == 20
     assert made.value == 20
+
+
+def test_runs_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from sparktrail.plans import reports
+
+    assert tasks_for(spark.range(10)) == 8 and tasks_for(spark.range(95), 10) == 10
+    monkeypatch.setattr(reports, "tasks_for", lambda df, rows: tasks_for(df, 100))
+    df = entry.queries()["mis_merge_run_sets"](spark, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert df.rdd.getNumPartitions() == -(-lines // 100)
+    assert df.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
