@@ -252,14 +252,17 @@ def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def agg_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("mode"), F.col("l_quantity").alias("v"), F.col("l_suppkey").alias("k"))
-    return rows.groupBy("mode").agg(
-        F.avg("v").alias("mean"),
-        F.median("v").alias("median"),
+    # counted by value first, and keys apart: beside a count of different keys each key of a mode would have percentiles of its own
+    values = rows.groupBy("mode", "v").agg(F.count("v").alias("n"), F.sum("v").alias("s"))
+    spread = values.groupBy("mode").agg(
+        (F.sum("s") / F.sum("n")).alias("mean"),
+        F.percentile("v", 0.5, F.col("n")).alias("median"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
-        F.percentile("v", 0.95).alias("linear_p95"),
-        F.count_distinct("k").alias("keys"),
-    ).join(agg.index_percentile(rows, ["mode"], "v", 0.95).select("mode", F.col("value").alias("index_p95")), "mode")
+        F.percentile("v", 0.95, F.col("n")).alias("linear_p95"),
+    )
+    keys = rows.select("mode", "k").distinct().groupBy("mode").agg(F.count("k").alias("keys"))
+    return spread.join(keys, "mode").join(agg.index_percentile(rows, ["mode"], "v", 0.95).select("mode", F.col("value").alias("index_p95")), "mode")
 
 
 @query("SELECT avg(m) AS pass_at_1 FROM (SELECT n, avg(m) AS m FROM (SELECT c_nationkey AS n, o_custkey, avg(CAST(o_orderstatus = 'F' AS DOUBLE)) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1)")

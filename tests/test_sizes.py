@@ -30,3 +30,9 @@ def test_runs_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert df.rdd.getNumPartitions() == -(-lines // 100)
     assert df.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+
+
+def test_percentiles_are_not_kept_by_key(spark):
+    plan = entry.queries()["agg_spread"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    held = [line for line in plan.splitlines() if "percentile(" in line]
+    assert held and all("k#" not in line for line in held)
