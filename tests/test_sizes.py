@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 from sparktrail import tasks_for
+from sparktrail.sources import traces
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,10 @@ def test_percentiles_are_not_kept_by_key(spark):
     plan = entry.queries()["agg_spread"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     held = [line for line in plan.splitlines() if "percentile(" in line]
     assert held and all("k#" not in line for line in held)
+
+
+def test_traces_are_taken_apart_in_pieces(monkeypatch):
+    monkeypatch.setattr(traces, "PIECE", 10)
+    texts = ["a" * 4, None, "b" * 7, "c" * 30, "", "d"]
+    pieces = list(traces._pieces(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), 0))
+    assert [p.column(0).to_pylist() for p in pieces] == [["a" * 4, None, "b" * 7], ["c" * 30], ["", "d"]]
