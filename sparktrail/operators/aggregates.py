@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import cut_lineage
+from .joins import small
 
 
 def share(n: Column, of: Column) -> Column:
@@ -26,7 +27,9 @@ def index_percentile(rows: DataFrame, by: list[str], value: str, p: float, cells
 
     No task sorts a group: the range of values is cut into cells, counted with
     partial sums, and the cell that holds the place is cut again, until it holds few
-    rows or one value only. A round reads the rows again and moves a row a cell.
+    rows or one value only. A round reads the rows again and moves a row a cell; the ranges
+    of the groups, where these are measured to be few, are sent to the rows, as a join by
+    shuffle would sort all rows of a group in one task.
     """
     v, key = F.col(value).cast("double"), [f"_by{i}" for i in range(len(by))]
     rows = rows.where(v.isNotNull() & ~F.isnan(v)).select(*[F.col(c).alias(k) for c, k in zip(by, key)], v.alias("_v"))
@@ -37,7 +40,7 @@ def index_percentile(rows: DataFrame, by: list[str], value: str, p: float, cells
         """The values in the range that is left of each group of more than one value."""
         left = at.where(F.col("_low") < F.col("_high")).select(*[F.col(k).alias(f"_at{k}") for k in key], "n", "_k", "_low", "_high")
         on = [rows[k].eqNullSafe(left[f"_at{k}"]) for k in key]
-        return rows.join(left, on).where(F.col("_v").between(F.col("_low"), F.col("_high"))).drop(*[f"_at{k}" for k in key])
+        return rows.join(small(left), on).where(F.col("_v").between(F.col("_low"), F.col("_high"))).drop(*[f"_at{k}" for k in key])
 
     while not at.where((F.col("_in") > few) & (F.col("_low") < F.col("_high"))).isEmpty():
         cell = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))

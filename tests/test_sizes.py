@@ -27,6 +27,15 @@ def test_percentiles_are_not_kept_by_key(spark):
     assert held and all("k#" not in line for line in held)
 
 
+def test_no_task_gets_all_rows_of_a_group(spark):
+    from sparktrail.operators import aggregates as agg
+
+    rows = spark.range(40_000).selectExpr("id % 2 AS g", "CAST(id AS double) AS v")
+    found = agg.index_percentile(rows, ["g"], "v", 0.95, cells=4)
+    assert {r["g"]: r["value"] for r in found.collect()} == {0: 38000.0, 1: 38001.0}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_traces_are_taken_apart_in_pieces(monkeypatch):
     monkeypatch.setattr(traces, "PIECE", 10)
     texts = ["a" * 4, None, "b" * 7, "c" * 30, "", "d"]
