@@ -2,21 +2,24 @@
 
 Corners (Harris) are found on an image at several scales. Each gets the
 orientation of its patch (intensity centroid) and 256 binary tests of pixel
-pairs, turned by that orientation. Tables of chosen bits of the tests are joined:
-descriptors that agree in all bits of a table and differ in few of the 256 are a
+pairs, turned by that orientation. Tables of chosen bits of the tests are held
+against each other: descriptors that agree in all bits of a table and differ in few of the 256 are a
 correspondence. Correspondences between two images vote for a change of angle,
 scale and position; enough votes of different corners in one cell are geometric
 consensus, and link the images: MIN_VOTES, and where many corners have matches a
 fifth of these, counted in the image that has fewer. Votes are of different
 corners in both images.
 
-In a bucket of a table every descriptor is compared with every other; a bucket
-larger than a tile becomes pairs of tiles for many tasks. The work of a bucket
-and the links of a group of copies grow with their squares, as each is looked at.
-Images with the same corners and descriptors are one class, compared once and
-counted with its size. The groups that links join are found by distributed
-components. The tables are what the search may miss by: descriptors that differ
-in many bits may agree in none of them; the README has the measured recall.
+In a bucket of a table every descriptor is compared with every other. Images are
+dealt to tiles, and each two tiles are a cell: one task finds the correspondences
+of a cell and judges them, a piece at a time, so that no correspondence leaves it.
+Of a cell come the images with links, the number of these and the trees they make,
+however many links there are. Images with the same corners and descriptors are one
+class, compared once and counted with its size. The groups that links join are found
+by distributed components. The comparisons of a bucket and of a group of copies grow
+with their squares, as each two are looked at. The tables are what the search may
+miss by: descriptors that differ in many bits may agree in none of them; the README
+has the measured recall.
 
 Defined cases: a null image, or one without corners (too small, or flat), is
 linked with none; a null id is linked with none, other ids may be of any type that sorts; copies under the same id count
@@ -37,15 +40,20 @@ CORNERS, STEP = (20, 8, 4), 1.5  # the strongest at each scale, besides those of
 CELL, CORNER_AREA = 64, 256  # the strongest of each cell, one for so many pixels
 RADIUS, TABLES, TABLE_BITS, MAX_DIFFER, MIN_VOTES = 7, 8, 24, 48, 4
 VOTE_SHARE = 5  # one vote at least for so many matched corners: with many, some agree by chance
-TILE, PASSES = 2048, 4
+TILE = 1 << 18  # points of a tile; a cell is held whole by its task
+SPREAD, SPREAD_TILE = 12, 1 << 12  # smaller tiles, so that there are cells for many tasks
+COPIES = 3  # other tiles that an image is sent to in a pass
+PIECE = 1 << 20  # pairs of points looked at together
 ANGLES = 24
 _RNG = np.random.default_rng(20240501)
 PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2, (256, 4))), -RADIUS, RADIUS)
 BITS = np.stack([_RNG.permutation(256)[:TABLE_BITS] for _ in range(TABLES)])
 #: The 256 bits of each table as four words, as the tests are packed.
 MASKS = np.stack([np.packbits(np.isin(np.arange(256), own)).view(">u8").astype(np.uint64) for own in BITS])
+_ODD = _RNG.integers(0, 1 << 63, 4, np.uint64) << np.uint64(1) | np.uint64(1)
 #: corner holds level, y and x: level << 48 | y << 24 | x, counted in pixels of that level.
 KEYPOINT = "img_id long, corner long, angle float, d0 long, d1 long, d2 long, d3 long, keys array<int>"
+WORDS = ["d0", "d1", "d2", "d3"]
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -151,23 +159,22 @@ def keypoints(images: DataFrame, img_id: str = "img_id", image: str = "image") -
     return map_arrow(images.select(F.col(img_id).cast("long").alias("img_id"), F.col(image).alias("image")), run, KEYPOINT)
 
 
-def _whole_runs(batches, n_keys: int):
-    """Lists of columns in which no run of rows with equal first n_keys columns is cut, from batches sorted by these."""
-    held = None
+def _cells(batches):
+    """A table for the rows of each cell, which is the first column, from batches sorted by it."""
+    held, last = [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
-        last = np.ones(len(cols[0]), bool)
-        for k in cols[:n_keys]:
-            last &= k == k[-1]
-        start = int(last.argmax())
-        if start:
-            yield [c[:start] for c in cols]
-        held = [c[start:] for c in cols]
-    if held is not None:
-        yield held
+        cell = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            if held and cell[start] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = cell[start]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _run_ends(keys: list[np.ndarray]) -> np.ndarray:
@@ -179,47 +186,95 @@ def _run_ends(keys: list[np.ndarray]) -> np.ndarray:
     return np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
 
 
-def _pairs(end: np.ndarray, most: int = 1 << 20):
-    """All pairs of rows of one run, in pieces."""
-    left = end - np.arange(len(end)) - 1  # rows of the run behind a row
-    total = np.cumsum(left)
-    i = 0
-    while i < len(left):
-        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
-        own = left[i:j]
-        p = np.repeat(np.arange(i, j), own)
-        yield p, p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(own) - own, own)
-        i = j
-
-
-def _votes(cols: list[np.ndarray]):
-    """(a, b, corner of a, corner of b, cell) of the correspondences in sorted rows (key, p, q, me, img_id, corner, angle, d0 to d3)."""
-    key, p, q, me, img, corner, angle = cols[:7]
-    words = np.stack(cols[7:], 1).view(np.uint64)
-    table = key >> TABLE_BITS
-    level = corner >> 48
-    scale = STEP ** level.astype(np.float64)
-    x, y = (corner & 0xFFFFFF) * scale, (corner >> 24 & 0xFFFFFF) * scale
-    for i, j in _pairs(_run_ends([key, p, q])):
-        ok = (img[i] != img[j]) & ((p[i] == q[i]) | (me[i] != me[j]))  # of two tiles only what is between them
-        i, j = i[ok], j[ok]
-        differ = words[i] ^ words[j]
-        near = np.bitwise_count(differ).sum(1, dtype=np.int64) <= MAX_DIFFER
-        i, j, differ = i[near], j[near], differ[near]
-        for t in range(TABLES - 1):  # a pair is told by the first table in which it agrees
-            told = (t < table[i]) & ~(differ & MASKS[t]).any(1)
-            i, j, differ = i[~told], j[~told], differ[~told]
-        if not len(i):
-            continue
-        swap = img[i] > img[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        turn = angle[j].astype(np.float64) - angle[i]
-        ratio = scale[j] / scale[i]
-        dx = x[j] - ratio * (np.cos(turn) * x[i] - np.sin(turn) * y[i])
-        dy = y[j] - ratio * (np.sin(turn) * x[i] + np.cos(turn) * y[i])
-        at = lambda d: np.floor(d / 16.0 - 0.5).astype(np.int64) + (1 << 24)
-        cell = np.round(turn / (2 * np.pi / ANGLES)).astype(np.int64) % ANGLES << 58 | level[j] - level[i] + 32 << 52 | at(dx) << 26 | at(dy)
-        yield img[i], img[j], corner[i], corner[j], cell
+def _cuts(cost: np.ndarray, ends: np.ndarray, most: int):
+    """(start, end) of pieces that end at some of `ends` and cost `most` together, or are one step."""
+    total = np.cumsum(cost)
+    start, at = 0, total[ends - 1]
+    while start < len(cost):
+        before = total[start - 1] if start else 0
+        end = int(ends[max(np.searchsorted(at, before + most, "right") - 1, np.searchsorted(ends, start, "right"))])
+        yield start, end
+        start = end
+
+
+class _Points:
+    """The points of a cell in the order of their images, which are numbered in the order of their ids."""
+
+    def __init__(self, cell: pa.Table, tiles: int):
+        number, tile, img, size = (cell.column(c).to_numpy() for c in range(4))
+        lists = cell.column(4).combine_chunks()
+        fields = dict(zip(["corner", "angle", *WORDS], lists.flatten().flatten()))
+        self.ids, row = np.unique(img, return_inverse=True)
+        self.size = np.zeros(len(self.ids), np.int64)
+        self.size[row] = size
+        n = lists.value_lengths().to_numpy()
+        order = np.argsort(np.repeat(row, n), kind="stable")
+        self.own = np.repeat(row, n)[order]
+        self.corner = fields["corner"].to_numpy()[order]
+        self.angle = fields["angle"].to_numpy()[order].astype(np.float64)
+        self.words = np.stack([fields[w].to_numpy()[order] for w in WORDS], 1).view(np.uint64)
+        self.level = self.corner >> 48
+        self.scale = STEP ** self.level.astype(np.float64)
+        self.x, self.y = (self.corner & 0xFFFFFF) * self.scale, (self.corner >> 24 & 0xFFFFFF) * self.scale
+        tile = np.repeat(tile, n)[order]
+        first, second = divmod(int(number[0]), tiles)
+        self.same, self.sides = first == second, (np.flatnonzero(tile == first), np.flatnonzero(tile == second))
+
+    def links(self, min_votes: int, most: int = PIECE):
+        """(a, b, votes) of all linked images of the two sides, a piece at a time."""
+        keys = [((self.words & mask) * _ODD).sum(1, dtype=np.uint64) for mask in MASKS]
+        todo = [self.sides]
+        while todo:
+            left, right = todo.pop()
+            if not len(left) or not len(right):
+                continue
+            met, cost = [], np.zeros(len(left), np.int64)
+            for key in keys:  # the points of the right side in the bucket of each of the left
+                order = right[np.argsort(key[right])]
+                start = np.searchsorted(key[order], key[left])
+                n = np.searchsorted(key[order], key[left], "right") - start
+                met.append((order, start, n))
+                cost += n
+            for s, e in _cuts(cost, np.flatnonzero(np.r_[self.own[left][1:] != self.own[left][:-1], True]) + 1, most):
+                if cost[s:e].sum() > most and self.own[right[0]] != self.own[right[-1]]:  # one image that meets very many points
+                    middle = self.own[right[len(right) // 2]]
+                    cut = np.searchsorted(self.own[right], middle, "left" if middle > self.own[right[0]] else "right")
+                    todo += [(left[s:e], right[:cut]), (left[s:e], right[cut:])]
+                    continue
+                votes = [v for t, (order, start, n) in enumerate(met) for v in self._votes(t, left[s:e], order, start[s:e], n[s:e], most)]
+                if votes:
+                    cols = [np.concatenate(c) for c in zip(*votes)]
+                    order = np.lexsort((cols[1], cols[0]))
+                    yield _consensus([c[order] for c in cols], min_votes)
+
+    def _votes(self, table: int, left: np.ndarray, order: np.ndarray, start: np.ndarray, n: np.ndarray, most: int):
+        """(a, b, corner of a, corner of b, cell) of the correspondences of points of the left with those they meet in a table."""
+        own, corner, level, scale, x, y = self.own, self.corner, self.level, self.scale, self.x, self.y
+        for s, e in _cuts(n, np.arange(1, len(n) + 1), most):
+            m = n[s:e]
+            i = np.repeat(left[s:e], m)
+            j = order[np.repeat(start[s:e] - np.cumsum(m) + m, m) + np.arange(len(i))]
+            if self.same:
+                once = own[i] < own[j]
+                i, j = i[once], j[once]
+            differ = self.words[i] ^ self.words[j]
+            near = np.bitwise_count(differ).sum(1, dtype=np.int64) <= MAX_DIFFER
+            i, j, differ = i[near], j[near], differ[near]
+            keep = ~(differ & MASKS[table]).any(1)  # not only the hash of the bits is equal
+            for mask in MASKS[:table]:  # a pair is told by the first table in which it agrees
+                keep &= (differ & mask).any(1)
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            swap = own[i] > own[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            turn = self.angle[j] - self.angle[i]
+            ratio = scale[j] / scale[i]
+            dx = x[j] - ratio * (np.cos(turn) * x[i] - np.sin(turn) * y[i])
+            dy = y[j] - ratio * (np.sin(turn) * x[i] + np.cos(turn) * y[i])
+            at = lambda d: np.floor(d / 16.0 - 0.5).astype(np.int64) + (1 << 24)
+            cell = np.round(turn / (2 * np.pi / ANGLES)).astype(np.int64) % ANGLES << 58 | level[j] - level[i] + 32 << 52 | at(dx) << 26 | at(dy)
+            yield own[i], own[j], corner[i], corner[j], cell
 
 
 def _consensus(cols: list[np.ndarray], min_votes: int):
@@ -255,51 +310,73 @@ def _consensus(cols: list[np.ndarray], min_votes: int):
     return cols[0][first[won]], cols[1][first[won]], best[won]
 
 
-def links(points: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE, passes: int = PASSES) -> DataFrame:
-    """(a, b, votes): all pairs of images with geometric consensus, for points made by keypoints().
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's tree, from those before, when links (a, b) are added."""
+    x, y = root[a], root[b]
+    while (differ := x != y).any():
+        x, y = x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+        x, y = root[x], root[y]
+    return root
+
+
+def _packed(points: DataFrame, part: int = 256) -> DataFrame:
+    """(img_id, points): the points of an image in rows of `part` at most, as very many rows go to a task together."""
+    lists = points.groupBy("img_id").agg(F.collect_list(F.struct("corner", "angle", *WORDS)).alias("all"))
+    starts = F.sequence(F.lit(1), F.size("all"), F.lit(part))
+    return lists.select("img_id", F.explode(F.transform(starts, lambda i: F.slice("all", i, part))).alias("points"))
+
+
+def _in_cells(images: DataFrame, run, schema: str, tile: int) -> DataFrame:
+    """What run(points of a cell) gives for each two tiles of images (img_id, n, points).
 
-    The tables are joined a few at a time and the pairs of images are judged a
-    part at a time, each pass over all points or votes, so that the disk holds the
-    shuffle of one pass.
+    Cells are worked off in passes, in each of which an image goes to a few other
+    tiles, so that the disk holds these copies, however many tiles there are.
     """
-    votes = None
-    for n in range(passes):
-        some = F.filter("keys", lambda k: F.shiftright(k, TABLE_BITS) % passes == n)  # noqa: B023
-        found = stored(_table_votes(points.withColumn("keys", some), tile), "votes")
-        votes = found if votes is None else votes.union(found)
+    total = images.agg(F.sum(F.size("points"))).first()[0] or 0
+    tiles = max(1, -(-total // tile), min(SPREAD, -(-total // SPREAD_TILE)))
+    passes = -(-tiles // COPIES)
 
-    def decide(batches):
-        for cols in _whole_runs(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _consensus(cols, min_votes)], names=["a", "b", "votes"])
+    def search(batches):
+        for cell in _cells(batches):
+            for found in run(_Points(cell, tiles)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=[c.split()[0] for c in schema.split(", ")])
 
+    rows = images.withColumn("tile", F.pmod(F.xxhash64("img_id", F.lit(3)), F.lit(tiles)))
     out = None
     for n in range(passes):
-        part = votes.where(F.pmod(F.xxhash64("a", "b", F.lit(5)), F.lit(passes)) == n).repartition("a", "b").sortWithinPartitions("a", "b")
-        found = stored(map_arrow(part, decide, "a long, b long, votes long"), "links")
+        others = F.filter(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda o: F.pmod(o + F.col("tile"), F.lit(passes)) == n)  # noqa: B023
+        cells = rows.withColumn("other", F.explode(others)).select((F.least("tile", "other") * tiles + F.greatest("tile", "other")).alias("cell"), "tile", "img_id", "n", "points")
+        found = stored(map_arrow(cells.repartition(2 * tiles * COPIES, "cell").sortWithinPartitions("cell"), search, schema), "links")
         out = found if out is None else out.union(found)
     return out
 
 
-def _table_votes(points: DataFrame, tile: int) -> DataFrame:
-    """(a, b, corner of a, corner of b, cell) of the correspondences in the buckets of the keys."""
-    rows = points.select(F.explode("keys").alias("key"), "img_id", "corner", "angle", "d0", "d1", "d2", "d3")
-    # A bucket of more than a tile is cut by a salt; each part meets each, one pair of parts a run.
-    large = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
-    none = F.lit(0)
-    if large.isEmpty():
-        rows = rows.select("key", none.alias("p"), none.alias("q"), none.alias("me"), *rows.columns[1:])
-    else:
-        cut = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("me", F.pmod(F.xxhash64("img_id", "corner", "d0"), F.col("parts")).cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(none, F.col("parts") - 1)))
-        rows = cut.select("key", F.least("me", "other").alias("p"), F.greatest("me", "other").alias("q"), "me", *rows.columns[1:])
+def links(points: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE) -> DataFrame:
+    """(a, b, votes): all pairs of images with geometric consensus, for points made by keypoints()."""
+
+    def run(cell):
+        for a, b, votes in cell.links(min_votes):
+            yield cell.ids[a], cell.ids[b], votes
+
+    return _in_cells(stored(_packed(points).withColumn("n", F.lit(1).cast("long")), "packed"), run, "a long, b long, votes long", tile)
+
+
+def linked(images: DataFrame, min_votes: int = MIN_VOTES, tile: int = TILE) -> DataFrame:
+    """(a, b, others): for each image (img_id, n, points) that has links in a cell, the least image of its tree there and the sum of n of those it is linked with."""
 
-    def compare(batches):
-        for cols in _whole_runs(batches, 3):
-            for found in _votes(cols):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "corner", "other", "cell"])
+    def run(cell):
+        root, others = np.arange(len(cell.ids)), np.zeros(len(cell.ids), np.int64)
+        for a, b, _ in cell.links(min_votes):
+            np.add.at(others, a, cell.size[b])
+            np.add.at(others, b, cell.size[a])
+            root = _joined(root, a, b)
+        has = others > 0
+        yield cell.ids[has], cell.ids[root[has]], others[has]
 
-    run = ["key", "p", "q"]
-    return map_arrow(rows.repartition(*run).sortWithinPartitions(*run), compare, "a long, b long, corner long, other long, cell long")
+    return _in_cells(images, run, "a long, b long, others long", tile)
 
 
 def classes(points: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
@@ -330,14 +407,13 @@ def image_copies(images: DataFrame, img_id: str = "img_id", image: str = "image"
 
 def _copies(images: DataFrame, min_votes: int) -> DataFrame:
     img_id, image = "img_id", "image"
-    points = stored(keypoints(images, img_id, image), "keypoints")  # found once, read for several joins
+    points = stored(keypoints(images, img_id, image).drop("keys"), "keypoints")  # found once, read twice
     alike = checkpoint(classes(points, min_votes))
-    copies = alike.where("img_id <> first").select("img_id")
-    found = links(points.join(copies, "img_id", "left_anti"), min_votes)
     sizes = alike.where("img_id = first").select("first", "n")
-    both = found.select(F.col("a").alias("node"), F.col("b").alias("first")).union(found.select("b", "a"))
-    ends = both.join(sizes, "first").groupBy("node").agg(F.sum("n").alias("others"))
-    named = alike.join(components(found), F.col("first") == F.col("node"), "left").select(F.col("img_id").alias("me"), "first", F.coalesce("root", "first").alias("root"), "n")
+    firsts = _packed(points).join(sizes, F.col("img_id") == F.col("first")).select("img_id", "n", "points")
+    found = linked(stored(firsts, "packed"), min_votes)
+    ends = found.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+    named = alike.join(components(found.select("a", "b")), F.col("first") == F.col("node"), "left").select(F.col("img_id").alias("me"), "first", F.coalesce("root", "first").alias("root"), "n")
     named = named.join(ends, F.col("first") == F.col("node"), "left").select("me", "root", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     ids = images.select(F.col(img_id).cast("long").alias("img_id"))
     return ids.join(named, F.col("img_id") == F.col("me"), "left").select("img_id", F.coalesce("root", "img_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -192,6 +193,50 @@ def test_links_in_a_bucket_are_those_of_all_pairs(spark):
         assert {(r["a"], r["b"]): r["votes"] for r in im.links(df, tile=tile).collect()} == {(3, 4): 5, (3, 5): 5, (4, 5): 5}
 
 
+def points_of(rng, n, bits, places):
+    """Points of n copies of a picture with the same bits, each with one bit of its own turned."""
+    rows = []
+    for i in range(n):
+        for t, place in zip(bits, places):
+            t = t.copy()
+            t[rng.integers(256)] ^= True
+            rows.append((i, int(place) << 24 | int(place), 0.0, *np.packbits(t).view(">i8").tolist(), []))
+    return rows
+
+
+def test_a_group_of_copies_leaves_no_more_rows_than_images_for_each_cell(spark):
+    """40 near copies have 780 links; of one cell come 40 rows, of ten cells, in which each image stands with each of four tiles, 160 at most."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(points_of(rng, 40, rng.random((6, 256)) < 0.5, 20 * np.arange(6)), im.KEYPOINT).drop("keys")
+    images = im._packed(df, 4).withColumn("n", F.when(F.col("img_id") == 3, 5).otherwise(1).cast("long"))
+    for tile, cells in ((1 << 18, 1), (60, 4)):
+        want = {(r["a"], r["b"]) for r in im.links(df, tile=tile).collect()}
+        found = im.linked(images, tile=tile).collect()
+        assert len(want) > 700 and len(found) <= 40 * cells
+        others, root = Counter(), list(range(40))
+        for r in found:
+            others[r["a"]] += r["others"]
+        weight = lambda i: 5 if i == 3 else 1
+        assert others == Counter({i: sum(weight(a + b - i) for a, b in want if i in (a, b)) for i in range(40)})
+        root = im._joined(np.array(root), np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
+        assert set(root.tolist()) == {0}
+
+
+def test_small_pieces_find_the_same_links():
+    """Pieces of few pairs, down to parts of what one image meets, lose and repeat nothing."""
+    rng = np.random.default_rng(8)
+    rows = points_of(rng, 14, rng.random((6, 256)) < 0.5, 20 * np.arange(6))
+    img, corner, angle, *words = zip(*(r[:7] for r in rows))
+    parts = [slice(k, k + 3) for k in range(0, len(rows), 3)]
+    lists = [[{"corner": corner[i], "angle": angle[i], **{w: words[k][i] for k, w in enumerate(im.WORDS)}} for i in range(len(rows))[p]] for p in parts]
+    kind = im.pa.list_(im.pa.struct([("corner", im.pa.int64()), ("angle", im.pa.float32()), *((w, im.pa.int64()) for w in im.WORDS)]))
+    for number, tile in ((0, [0] * len(parts)), (1, [img[p][0] % 2 for p in parts])):
+        cell = im.pa.table([im.pa.array([number] * len(parts)), im.pa.array(tile), im.pa.array([img[p][0] for p in parts]), im.pa.array([1] * len(parts)), im.pa.array(lists, kind)], names=["cell", "tile", "img_id", "n", "points"])
+        got = [sorted(l for a, b, v in im._Points(cell, 2).links(4, most) for l in zip(a.tolist(), b.tolist(), v.tolist())) for most in (1 << 20, 50, 1)]
+        assert got[0] == got[1] == got[2] and len(set(got[0])) == len(got[0]) > 40
+        assert all(a < b and (number == 0 or a % 2 != b % 2) for a, b, _ in got[0])
+
+
 def test_links_of_edited_and_equal_copies_are_all_counted(spark):
     a, rng = picture(70), np.random.default_rng(1)
     edited = [np.clip(a + rng.normal(0, 1.5, a.shape), 0, 255).astype(np.uint8) for _ in range(4)]
