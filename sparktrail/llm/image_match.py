@@ -30,8 +30,11 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import checkpoint, components, in_order, join_unique, map_arrow, stored
@@ -43,7 +46,8 @@ VOTE_SHARE = 5  # one vote at least for so many matched corners: with many, some
 TILE = 1 << 18  # points of a tile; a cell is held whole by its task
 SPREAD, SPREAD_TILE = 12, 1 << 12  # smaller tiles, so that there are cells for many tasks
 COPIES = 3  # other tiles that an image is sent to in a pass
-PIECE = 1 << 20  # pairs of points looked at together
+PIECE = 1 << 19  # pairs of points looked at together
+PIXELS = 3 << 14  # of pictures of one size that are described together
 ANGLES = 24
 _RNG = np.random.default_rng(20240501)
 PAIRS = np.clip(np.round(_RNG.normal(0, RADIUS / 2, (256, 4))), -RADIUS, RADIUS)
@@ -57,73 +61,111 @@ WORDS = ["d0", "d1", "d2", "d3"]
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    p = np.pad(a, r, mode="edge")
-    c = np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    """The means of the squares around each place of the last two axes."""
+    p = np.concatenate([a[..., :1, :]] * r + [a] + [a[..., -1:, :]] * r, -2)
+    p = np.concatenate([p[..., :1]] * r + [p] + [p[..., -1:]] * r, -1)
+    c = np.zeros((*p.shape[:-2], p.shape[-2] + 1, p.shape[-1] + 1))
+    np.cumsum(p, -2, out=p)
+    np.cumsum(p, -1, out=c[..., 1:, 1:])
     n = 2 * r + 1
-    return (c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]) / (n * n)
+    out = c[..., n:, n:] - c[..., :-n, n:]
+    out -= c[..., n:, :-n]
+    out += c[..., :-n, :-n]
+    out /= n * n
+    return out
 
 
 def _resized(a: np.ndarray, factor: float) -> np.ndarray:
-    h, w = int(a.shape[0] / factor), int(a.shape[1] / factor)
-    y, x = np.minimum(np.arange(h) * factor, a.shape[0] - 1), np.minimum(np.arange(w) * factor, a.shape[1] - 1)
-    i, j = np.minimum(y.astype(int), a.shape[0] - 2), np.minimum(x.astype(int), a.shape[1] - 2)
-    v, u = (y - i)[:, None], (x - j)[None]
-    return (a[i][:, j] * (1 - u) + a[i][:, j + 1] * u) * (1 - v) + (a[i + 1][:, j] * (1 - u) + a[i + 1][:, j + 1] * u) * v
+    h, w = int(a.shape[-2] / factor), int(a.shape[-1] / factor)
+    y, x = np.minimum(np.arange(h) * factor, a.shape[-2] - 1), np.minimum(np.arange(w) * factor, a.shape[-1] - 1)
+    i, j = np.minimum(y.astype(int), a.shape[-2] - 2), np.minimum(x.astype(int), a.shape[-1] - 2)
+    v, u = (y - i)[:, None], x - j
+    across = np.take(a, j, -1) * (1 - u) + np.take(a, j + 1, -1) * u
+    return np.take(across, i, -2) * (1 - v) + np.take(across, i + 1, -2) * v
 
 
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
 
 
-def _strongest(y: np.ndarray, x: np.ndarray, h: int, w: int, most: int) -> np.ndarray:
-    """Which corners, given strongest first, are kept: the first of all and of each cell, so that every part of a large picture keeps its own."""
-    across = -(-w // CELL)
-    cell = y // CELL * across + x // CELL
-    room = np.minimum(CELL, h - y // CELL * CELL) * np.minimum(CELL, w - x // CELL * CELL)
-    order = np.argsort(cell, kind="stable")
-    first = np.r_[True, cell[order][1:] != cell[order][:-1]]
-    rank = np.empty(len(y), np.int64)
-    rank[order] = np.arange(len(y)) - np.maximum.accumulate(np.where(first, np.arange(len(y)), 0))
-    return (rank < -(-room // CORNER_AREA)) | (np.arange(len(y)) < most)
+#: The different places of the tests, and which of them each test compares.
+_PLACES, _FIRST = np.unique(PAIRS.reshape(-1, 2), axis=0, return_inverse=True)
+_FIRST, _SECOND = _FIRST.reshape(-1, 2).T
 
 
-def describe(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, level, angle), with x and y in pixels of the level, and the 256 tests of the strongest corners of each level."""
-    image, points, tests = gray.astype(np.float64), [], []
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """For each value its place among the equal ones."""
+    order = np.argsort(groups, kind="stable")
+    first = np.r_[True, groups[order][1:] != groups[order][:-1]]
+    rank = np.empty(len(groups), np.int64)
+    rank[order] = np.arange(len(groups)) - np.maximum.accumulate(np.where(first, np.arange(len(groups)), 0))
+    return rank
+
+
+def _strongest(picture: np.ndarray, y: np.ndarray, x: np.ndarray, h: int, w: int, most: int) -> np.ndarray:
+    """Which corners, given strongest first, are kept of each picture: the first of all and of each cell, so that every part of a large picture keeps its own."""
+    down, across = -(-h // CELL), -(-w // CELL)
+    room = np.minimum(CELL, h - y // CELL * CELL) * np.minimum(CELL, w - x // CELL * CELL)
+    rank = _ranks((picture * down + y // CELL) * across + x // CELL)
+    return (rank < -(-room // CORNER_AREA)) | (_ranks(picture) < most)
+
+
+def _responses(smooth: np.ndarray) -> np.ndarray:
+    """Harris' measure of corners, of all but the border."""
+    gy, gx = np.empty_like(smooth), np.empty_like(smooth)
+    for g, at in ((gy, lambda s: np.s_[..., s, :]), (gx, lambda s: np.s_[..., s])):
+        inside = np.subtract(smooth[at(np.s_[2:])], smooth[at(np.s_[:-2])], out=g[at(np.s_[1:-1])])
+        inside /= 2
+        g[at(0)] = smooth[at(1)] - smooth[at(0)]
+        g[at(-1)] = smooth[at(-1)] - smooth[at(-2)]
+    a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    response = a * b
+    c *= c
+    response -= c
+    a += b
+    response -= 0.05 * a**2
+    return response
+
+
+def described(grays: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pictures of one size: the picture, (x, y, level, angle), with x and y in pixels of the level, and the 256 tests of the strongest corners of each level."""
+    image, pictures, points, tests = grays.astype(np.float64), [], [], []
     for level, most in enumerate(CORNERS):
-        h, w = image.shape
+        h, w = image.shape[1:]
         edge = RADIUS * 2
         if min(h, w) <= 2 * edge:
             break
         smooth = _box(image, 1)
-        gy, gx = np.gradient(smooth)
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        response = a * b - c * c - 0.05 * (a + b) ** 2
-        core = response[1:-1, 1:-1]
-        peak = np.ones(core.shape, bool)
+        response = _responses(smooth)
+        core = response[:, edge : h - edge, edge : w - edge]
+        peak = core > 1e-3
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 if dy or dx:
-                    peak &= core >= response[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx]
-        y, x = np.nonzero(peak & (core > 1e-3))
-        y, x = y + 1, x + 1
-        inside = (y >= edge) & (y < h - edge) & (x >= edge) & (x < w - edge)
-        y, x = y[inside], x[inside]
-        if len(y):
-            best = np.lexsort((x, y, -response[y, x]))
-            y, x = y[best], x[best]
-            best = _strongest(y, x, h, w, most)
-            y, x = y[best], x[best]
-            patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
+                    peak &= core >= response[:, edge + dy : h - edge + dy, edge + dx : w - edge + dx]
+        of, y, x = np.nonzero(peak)
+        if len(of):
+            best = np.lexsort((x, y, -core[of, y, x], of))
+            of, y, x = of[best], y[best] + edge, x[best] + edge
+            best = _strongest(of, y, x, h, w, most)
+            of, y, x = of[best], y[best], x[best]
+            flat, start = smooth.ravel(), (of * h * w)[:, None]
+            patch = flat[start + (y * w + x)[:, None] + (_DISC[:, 0] * w + _DISC[:, 1])]
             angle = np.arctan2((patch * _DISC[:, 0]).sum(1), (patch * _DISC[:, 1]).sum(1))
             cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-            y1, x1, y2, x2 = PAIRS.T
-            at = lambda py, px: smooth[np.round(y[:, None] + py * cos + px * sin).astype(int), np.round(x[:, None] + px * cos - py * sin).astype(int)]  # noqa: B023, E731
-            tests.append(at(y1, x1) < at(y2, x2))
+            py, px = _PLACES.T
+            values = flat[start + np.rint(y[:, None] + py * cos + px * sin).astype(int) * w + np.rint(x[:, None] + px * cos - py * sin).astype(int)]
+            tests.append(np.take(values, _FIRST, 1) < np.take(values, _SECOND, 1))
             points.append(np.stack([x, y, np.full(len(y), level), angle], 1))
+            pictures.append(of)
         image = _resized(image, STEP)
     if not points:
-        return np.zeros((0, 4)), np.zeros((0, 256), bool)
-    return np.concatenate(points), np.concatenate(tests)
+        return np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros((0, 256), bool)
+    return np.concatenate(pictures), np.concatenate(points), np.concatenate(tests)
+
+
+def describe(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What described() gives for one picture."""
+    return described(gray[None])[1:]
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 256):
@@ -131,22 +173,29 @@ def _parts(batch: pa.RecordBatch, rows: int = 256):
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
+def _keys(tests: np.ndarray) -> np.ndarray:
+    """The bits of each table, below its number."""
+    bits = np.packbits(np.take(tests, BITS.ravel(), 1).reshape(len(tests), TABLES, TABLE_BITS), axis=2, bitorder="little").astype(np.int32)
+    return bits[:, :, 0] | bits[:, :, 1] << 8 | bits[:, :, 2] << 16 | np.arange(TABLES, dtype=np.int32) << TABLE_BITS
+
+
 def keypoints(images: DataFrame, img_id: str = "img_id", image: str = "image") -> DataFrame:
     """A row for each corner; `image` is struct<height:int,width:int,gray:binary>."""
-    weights = np.left_shift(np.uint64(1), np.arange(TABLE_BITS, dtype=np.uint64))
 
     def run(batches):
         for batch in (part for whole in batches for part in _parts(whole)):
-            ids, points, words, keys = [], [], [], []
+            ids, points, words, keys, alike = [], [], [], [], defaultdict(list)
             for i, im in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if i is None or im is None or not im["gray"] or im["height"] * im["width"] != len(im["gray"]):
-                    continue
-                p, t = describe(np.frombuffer(im["gray"], np.uint8).reshape(im["height"], im["width"]))
-                if len(p):
-                    ids.append(np.full(len(p), i, np.int64))
-                    points.append(p)
-                    words.append(np.packbits(t, axis=1).view(">i8").astype(np.int64))
-                    keys.append(((t[:, BITS] * weights).sum(2).astype(np.int64) | np.arange(TABLES, dtype=np.int64) << TABLE_BITS).astype(np.int32))
+                if i is not None and im is not None and im["gray"] and im["height"] * im["width"] == len(im["gray"]):
+                    alike[im["height"], im["width"]].append((i, im["gray"]))
+            for (h, w), own in alike.items():
+                for some in (own[k : k + max(1, PIXELS // (h * w))] for k in range(0, len(own), max(1, PIXELS // (h * w)))):
+                    of, p, t = described(np.frombuffer(b"".join(gray for _, gray in some), np.uint8).reshape(-1, h, w))
+                    if len(p):
+                        ids.append(np.array([i for i, _ in some], np.int64)[of])
+                        points.append(p)
+                        words.append(np.packbits(t, axis=1).view(">i8").astype(np.int64))
+                        keys.append(_keys(t))
             if ids:
                 p, w = np.concatenate(points), np.concatenate(words)
                 x, y, level = p[:, :3].astype(np.int64).T
@@ -197,6 +246,11 @@ def _cuts(cost: np.ndarray, ends: np.ndarray, most: int):
         start = end
 
 
+def _equal(differ: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Where no bit of the mask differs, from the four words of differing bits."""
+    return np.bitwise_or.reduce([word & bits for word, bits in zip(differ, mask)]) == 0
+
+
 class _Points:
     """The points of a cell in the order of their images, which are numbered in the order of their ids."""
 
@@ -218,63 +272,112 @@ class _Points:
         self.x, self.y = (self.corner & 0xFFFFFF) * self.scale, (self.corner >> 24 & 0xFFFFFF) * self.scale
         tile = np.repeat(tile, n)[order]
         first, second = divmod(int(number[0]), tiles)
-        self.same, self.sides = first == second, (np.flatnonzero(tile == first), np.flatnonzero(tile == second))
+        side = np.flatnonzero(tile == first)
+        self.same, self.sides = first == second, (side, side if first == second else np.flatnonzero(tile == second))
 
     def links(self, min_votes: int, most: int = PIECE):
         """(a, b, votes) of all linked images of the two sides, a piece at a time."""
-        keys = [((self.words & mask) * _ODD).sum(1, dtype=np.uint64) for mask in MASKS]
+        hashes = [sum((word & bits) * odd for word, bits, odd in zip(self.words.T, mask, _ODD)) for mask in MASKS]
         todo = [self.sides]
         while todo:
             left, right = todo.pop()
             if not len(left) or not len(right):
                 continue
-            met, cost = [], np.zeros(len(left), np.int64)
-            for key in keys:  # the points of the right side in the bucket of each of the left
-                order = right[np.argsort(key[right])]
-                start = np.searchsorted(key[order], key[left])
-                n = np.searchsorted(key[order], key[left], "right") - start
-                met.append((order, start, n))
-                cost += n
-            for s, e in _cuts(cost, np.flatnonzero(np.r_[self.own[left][1:] != self.own[left][:-1], True]) + 1, most):
+            met = _Met(hashes, left, right, self.same and left is right)
+            own, other = self.own[left], self.own[met.order]
+            cost = met.n.sum(0)
+            for s, e in _cuts(cost, np.flatnonzero(np.r_[own[1:] != own[:-1], True]) + 1, most):
                 if cost[s:e].sum() > most and self.own[right[0]] != self.own[right[-1]]:  # one image that meets very many points
                     middle = self.own[right[len(right) // 2]]
                     cut = np.searchsorted(self.own[right], middle, "left" if middle > self.own[right[0]] else "right")
                     todo += [(left[s:e], right[:cut]), (left[s:e], right[cut:])]
                     continue
-                votes = [v for t, (order, start, n) in enumerate(met) for v in self._votes(t, left[s:e], order, start[s:e], n[s:e], most)]
+                votes = [v for table, i, j in met.pairs(s, e, own, other, min_votes, most) for v in self._votes(table, left[i], met.order[j])]
                 if votes:
                     cols = [np.concatenate(c) for c in zip(*votes)]
                     order = np.lexsort((cols[1], cols[0]))
                     yield _consensus([c[order] for c in cols], min_votes)
 
-    def _votes(self, table: int, left: np.ndarray, order: np.ndarray, start: np.ndarray, n: np.ndarray, most: int):
-        """(a, b, corner of a, corner of b, cell) of the correspondences of points of the left with those they meet in a table."""
+    def _votes(self, table: int, i: np.ndarray, j: np.ndarray):
+        """(a, b, corner of a, corner of b, cell) of the correspondences among points i and j, which meet in a table."""
         own, corner, level, scale, x, y = self.own, self.corner, self.level, self.scale, self.x, self.y
-        for s, e in _cuts(n, np.arange(1, len(n) + 1), most):
-            m = n[s:e]
-            i = np.repeat(left[s:e], m)
-            j = order[np.repeat(start[s:e] - np.cumsum(m) + m, m) + np.arange(len(i))]
-            if self.same:
-                once = own[i] < own[j]
-                i, j = i[once], j[once]
-            differ = self.words[i] ^ self.words[j]
-            near = np.bitwise_count(differ).sum(1, dtype=np.int64) <= MAX_DIFFER
-            i, j, differ = i[near], j[near], differ[near]
-            keep = ~(differ & MASKS[table]).any(1)  # not only the hash of the bits is equal
-            for mask in MASKS[:table]:  # a pair is told by the first table in which it agrees
-                keep &= (differ & mask).any(1)
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            swap = own[i] > own[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            turn = self.angle[j] - self.angle[i]
-            ratio = scale[j] / scale[i]
-            dx = x[j] - ratio * (np.cos(turn) * x[i] - np.sin(turn) * y[i])
-            dy = y[j] - ratio * (np.sin(turn) * x[i] + np.cos(turn) * y[i])
-            at = lambda d: np.floor(d / 16.0 - 0.5).astype(np.int64) + (1 << 24)
-            cell = np.round(turn / (2 * np.pi / ANGLES)).astype(np.int64) % ANGLES << 58 | level[j] - level[i] + 32 << 52 | at(dx) << 26 | at(dy)
-            yield own[i], own[j], corner[i], corner[j], cell
+        if self.same:
+            once = own[i] < own[j]
+            i, j = i[once], j[once]
+        differ = self.words[i] ^ self.words[j]
+        near = sum(np.bitwise_count(word).astype(np.int16) for word in differ.T) <= MAX_DIFFER
+        i, j, differ = i[near], j[near], differ[near].T
+        keep = _equal(differ, MASKS[table])  # not only the hash of the bits
+        for mask in MASKS[:table]:  # a pair is told by the first table in which it agrees
+            keep &= ~_equal(differ, mask)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            return
+        swap = own[i] > own[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        turn = self.angle[j] - self.angle[i]
+        ratio = scale[j] / scale[i]
+        dx = x[j] - ratio * (np.cos(turn) * x[i] - np.sin(turn) * y[i])
+        dy = y[j] - ratio * (np.sin(turn) * x[i] + np.cos(turn) * y[i])
+        at = lambda d: np.floor(d / 16.0 - 0.5).astype(np.int64) + (1 << 24)
+        cell = np.round(turn / (2 * np.pi / ANGLES)).astype(np.int64) % ANGLES << 58 | level[j] - level[i] + 32 << 52 | at(dx) << 26 | at(dy)
+        yield own[i], own[j], corner[i], corner[j], cell
+
+
+class _Met:
+    """Which points of the right side the points of the left meet in the tables.
+
+    The points of the right stand in the order of the hashes of each table, those of one
+    hash by their images; equal bits have equal hashes, and now and then others too.
+    `order` has them table after table; `start` and `n`, with a row for each table, say where in it
+    are those that a point of the left meets. On one and the same side these are the points after its own.
+    """
+
+    def __init__(self, hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool):
+        bits = np.uint64(64 - max(8, (4 * len(right)).bit_length()))
+        self.order = np.empty(len(hashes) * len(right), np.int32)
+        self.start, self.n = np.empty((2, len(hashes), len(left)), np.int64)
+        for table, h in enumerate(hashes):
+            slot = h[right] >> bits
+            place = (np.sort(slot << np.uint64(32) | np.arange(len(right), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            count = np.bincount(slot.astype(np.int64), minlength=1 << 64 - int(bits))
+            end = np.cumsum(count)
+            own = slot if same else h[left] >> bits
+            own = own.astype(np.int64)
+            if same:
+                self.start[table, place] = np.arange(1, len(right) + 1)
+            else:
+                self.start[table] = end[own] - count[own]
+            self.n[table] = end[own] - self.start[table]
+            self.start[table] += table * len(right)
+            self.order[table * len(right) : (table + 1) * len(right)] = right[place]
+
+    def pairs(self, s: int, e: int, own: np.ndarray, other: np.ndarray, min_votes: int, most: int):
+        """(table, places in left, places in order) of the pairs of points s to e with those they meet, whose images may have as many votes as a link needs.
+
+        Each meeting is counted for its two images, some of which share a counter, so
+        images that are left out have met less often than min_votes, and few that stay have.
+        """
+        n = self.n[:, s:e].ravel()
+        first = self.start[:, s:e].ravel() - np.cumsum(n) + n
+        total = int(n.sum())
+        if total > most:  # two images that alone have more
+            for table, (start, n) in enumerate(zip(self.start[:, s:e], self.n[:, s:e])):
+                for k, m in _cuts(n, np.arange(1, e - s + 1), most):
+                    yield table, np.repeat(np.arange(s + k, s + m), n[k:m]), np.repeat(start[k:m] - np.cumsum(n[k:m]) + n[k:m], n[k:m]) + np.arange(n[k:m].sum())
+            return
+        j = np.repeat(first, n)
+        j += np.arange(total)
+        pair = np.repeat(np.tile((own[s:e] - own[s]) * (int(other.max(initial=0)) + 1), len(self.n)), n)
+        pair += other[j]
+        pair &= (1 << (2 * total).bit_length()) - 1
+        may = np.flatnonzero(np.bincount(pair)[pair] >= min_votes)
+        i = np.searchsorted(np.cumsum(n), may, "right")
+        j, (table, i) = j[may], np.divmod(i, e - s)
+        cuts = np.searchsorted(table, np.arange(len(self.n) + 1))
+        for t, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                yield t, i[a:b] + s, j[a:b]
 
 
 def _consensus(cols: list[np.ndarray], min_votes: int):
@@ -422,25 +525,27 @@ def _copies(images: DataFrame, min_votes: int) -> DataFrame:
 def rendered(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", grid: int = 24, side: int = 72) -> DataFrame:
     """(img_id, image): each vector drawn as a grey texture; a fixed pattern says which of its values is the height at each point of a square grid, and heights are blended between.
 
-    A null or empty vector has no picture; null and infinite values count as 0.
+    A null or empty vector has no picture; null and infinite values count as 0. Vectors are
+    dealt out anew, as a file may hold all of them in one piece and a picture takes a task some thousand times what its vector takes.
     """
 
     def run(batches):
-        patterns = {}
         kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("gray", pa.binary())])
         for batch in (part for whole in batches for part in _parts(whole)):
-            out = []
-            for v in batch.column(1).to_pylist():
-                if not v:
-                    out.append(None)
-                    continue
-                v = np.nan_to_num(np.array([0.0 if x is None else x for x in v], np.float64), posinf=0.0, neginf=0.0)
-                if len(v) not in patterns:
-                    patterns[len(v)] = np.random.default_rng(7).integers(0, len(v), (grid + 1, grid + 1))
-                big = _resized(v[patterns[len(v)]], grid / side)[:side, :side]
-                gray = np.clip(np.round(127.5 + 127.5 * big / (np.abs(v).max() or 1.0)), 0, 255).astype(np.uint8)
-                out.append({"height": gray.shape[0], "width": gray.shape[1], "gray": gray.tobytes()})
+            lists, out = batch.column(1), [None] * batch.num_rows
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.nan_to_num(pc.fill_null(pc.cast(lists.flatten(), pa.float64(), safe=False), 0.0).to_numpy(zero_copy_only=False), posinf=0.0, neginf=0.0)
+            for size in np.unique(n[n > 0]):
+                own, pattern = np.flatnonzero(n == size), np.random.default_rng(7).integers(0, size, (grid + 1, grid + 1))
+                at = (np.cumsum(n) - n)[own]
+                for some in (slice(k, k + max(1, PIXELS // side**2)) for k in range(0, len(own), max(1, PIXELS // side**2))):
+                    v = values[at[some, None] + np.arange(size)]
+                    big = _resized(v[:, pattern], grid / side)[:, :side, :side]
+                    most = np.abs(v).max(1)[:, None, None]
+                    gray = np.clip(np.round(127.5 + 127.5 * big / np.where(most, most, 1.0)), 0, 255).astype(np.uint8)
+                    for i, g in zip(own[some], gray):
+                        out[i] = {"height": g.shape[0], "width": g.shape[1], "gray": g.tobytes()}
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["img_id", "image"])
 
-    rows = vectors.select(F.col(vec_id).alias("img_id"), F.col(vector).alias("v"))
+    rows = vectors.select(F.col(vec_id).alias("img_id"), F.col(vector).alias("v")).repartition(3 * vectors.sparkSession.sparkContext.defaultParallelism)
     return map_arrow(rows, run, f"img_id {dict(rows.dtypes)['img_id']}, image struct<height:int,width:int,gray:binary>")

@@ -237,6 +237,89 @@ def test_small_pieces_find_the_same_links():
         assert all(a < b and (number == 0 or a % 2 != b % 2) for a, b, _ in got[0])
 
 
+def cell_of(rows, number, tiles):
+    """One cell, with an image a row, for _Points."""
+    images = sorted({r[0] for r in rows})
+    lists = [[dict(zip(["corner", "angle", *im.WORDS], r[1:7])) for r in rows if r[0] == i] for i in images]
+    kind = im.pa.list_(im.pa.struct([("corner", im.pa.int64()), ("angle", im.pa.float32()), *((w, im.pa.int64()) for w in im.WORDS)]))
+    n = len(images)
+    return im.pa.table([im.pa.array([number] * n), im.pa.array([i % tiles for i in images]), im.pa.array(images), im.pa.array([1] * n), im.pa.array(lists, kind)], names=["cell", "tile", "img_id", "n", "points"])
+
+
+def test_images_that_meet_too_seldom_are_not_compared(monkeypatch):
+    """200 images meet in a table by one point each, and two of them by all points: of 19,900 pairs few more than theirs are looked at."""
+    rng, looked = np.random.default_rng(12), [0]
+    bits = rng.random((200, 5, 256)) < 0.5
+    bits[:, 0, im.BITS[3]] = bits[0, 0, im.BITS[3]]
+    bits[151] = bits[4]
+    rows = [(i, 20 * k << 24 | 40 * k, 0.0, *np.packbits(bits[i, k]).view(">i8").tolist()) for i in range(200) for k in range(5)]
+    votes = im._Points._votes
+
+    def counted(self, table, i, j, *rest):
+        looked[0] += int(rest[1].sum()) if rest else len(i)
+        return votes(self, table, i, j, *rest)
+
+    monkeypatch.setattr(im._Points, "_votes", counted)
+    for number, tiles in ((0, 1), (1, 2)):
+        looked[0] = 0
+        assert [l for a, b, v in im._Points(cell_of(rows, number, tiles), tiles).links(5) for l in zip(a.tolist(), b.tolist(), v.tolist())] == [(4, 151, 5)]
+        assert im.TABLES * 5 <= looked[0] < 1000
+
+
+def test_points_that_meet_are_those_of_equal_hashes():
+    rng = np.random.default_rng(13)
+    hashes = [rng.integers(0, 12, 300, np.uint64) << np.uint64(58) for _ in range(2)]
+    own = np.sort(rng.integers(0, 60, 300))
+    some = np.flatnonzero(own % 2 == 0), np.flatnonzero(own % 2 == 1)
+    for left, right, same in ((*some, False), (some[0], some[0], True)):
+        met = im._Met(hashes, left, right, same)
+        for most in (1 << 20, 7):  # counted, and too many for that
+            got = Counter()
+            for table, i, j in met.pairs(3, len(left), own[left], own[met.order], 1, most):
+                got.update((table, a, b) for a, b in zip(left[i].tolist(), met.order[j].tolist()))
+            want = Counter((t, a, b) for t, h in enumerate(hashes) for a in left[3:].tolist() for b in right.tolist() if h[a] == h[b] and (not same or a < b))
+            assert got == want and len(want) > 500
+        pairs = Counter((own[a], own[b]) for _, a, b in want)
+        kept = Counter((own[a], own[b]) for t, i, j in met.pairs(3, len(left), own[left], own[met.order], 3, 1 << 20) for a, b in zip(left[i], met.order[j]))
+        assert {p: n for p, n in kept.items() if n >= 3} == {p: n for p, n in pairs.items() if n >= 3} != {}
+
+
+def test_pictures_described_together_are_as_each_alone(spark):
+    sizes = [(72, 72), (140, 160), (40, 300), (20, 20), (72, 72), (72, 72)]
+    pictures = [picture(200 + i, h, w) for i, (h, w) in enumerate(sizes)]
+    pictures[4] = np.full((72, 72), 9, np.uint8)  # without corners
+    of, p, t = im.described(np.stack([pictures[i] for i in (0, 4, 5)]))
+    assert set(of.tolist()) == {0, 2}
+    for k, i in ((0, 0), (2, 5)):
+        one = im.describe(pictures[i])
+        assert np.array_equal(p[of == k], one[0]) and np.array_equal(t[of == k], one[1])
+    found = im.keypoints(spark.createDataFrame([row(i, a) for i, a in enumerate(pictures)], "img_id long, image struct<height:int,width:int,gray:binary>, x string")).collect()
+    for i, a in enumerate(pictures):
+        p, t = im.describe(a)
+        want = {(int(l) << 48 | int(y) << 24 | int(x), np.packbits(w).tobytes(), tuple(int((w[b] << np.arange(im.TABLE_BITS)).sum()) | n << im.TABLE_BITS for n, b in enumerate(im.BITS))) for (x, y, l, _), w in zip(p, t)}
+        assert {(r["corner"], np.array([r[w] for w in im.WORDS]).astype(">i8").tobytes(), tuple(r["keys"])) for r in found if r["img_id"] == i} == want
+
+
+def test_vectors_of_one_piece_are_drawn_by_many_tasks(spark):
+    rng = np.random.default_rng(14)
+    vectors = [[float(x) for x in rng.normal(size=n)] for n in (64, 8, 64, 3) * 60]
+    vectors[5], vectors[6], vectors[7], vectors[9] = None, [], [0.0, 0.0, 0.0], [1.0, None, float("inf"), float("-inf"), float("nan"), 2.0]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").coalesce(1)
+    drawn = im.rendered(df)
+    parts = {r["part"] for r in drawn.select(F.spark_partition_id().alias("part")).collect()}
+    assert len(parts) > 1
+    got = {r["img_id"]: r["image"] for r in drawn.collect()}
+    assert len(got) == len(vectors)
+    for i, v in enumerate(vectors):
+        if not v:
+            assert got[i] is None
+            continue
+        v = np.nan_to_num(np.array([0.0 if x is None else x for x in v]), posinf=0.0, neginf=0.0)
+        big = im._resized(v[np.random.default_rng(7).integers(0, len(v), (25, 25))], 24 / 72)[:72, :72]
+        gray = np.clip(np.round(127.5 + 127.5 * big / (np.abs(v).max() or 1.0)), 0, 255).astype(np.uint8)
+        assert (got[i]["height"], got[i]["width"], bytes(got[i]["gray"])) == (72, 72, gray.tobytes())
+
+
 def test_links_of_edited_and_equal_copies_are_all_counted(spark):
     a, rng = picture(70), np.random.default_rng(1)
     edited = [np.clip(a + rng.normal(0, 1.5, a.shape), 0, 255).astype(np.uint8) for _ in range(4)]
