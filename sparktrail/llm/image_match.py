@@ -47,6 +47,7 @@ TILE = 1 << 18  # points of a tile; a cell is held whole by its task
 SPREAD, SPREAD_TILE = 12, 1 << 12  # smaller tiles, so that there are cells for many tasks
 COPIES = 3  # other tiles that an image is sent to in a pass
 PIECE = 1 << 19  # pairs of points looked at together
+COUNTED = 1 << 16  # of these, those counted together, whose counters stay near the processor
 PIXELS = 3 << 14  # of pictures of one size that are described together
 ANGLES = 24
 _RNG = np.random.default_rng(20240501)
@@ -246,11 +247,6 @@ def _cuts(cost: np.ndarray, ends: np.ndarray, most: int):
         start = end
 
 
-def _equal(differ: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Where no bit of the mask differs, from the four words of differing bits."""
-    return np.bitwise_or.reduce([word & bits for word, bits in zip(differ, mask)]) == 0
-
-
 class _Points:
     """The points of a cell in the order of their images, which are numbered in the order of their ids."""
 
@@ -292,27 +288,28 @@ class _Points:
                     cut = np.searchsorted(self.own[right], middle, "left" if middle > self.own[right[0]] else "right")
                     todo += [(left[s:e], right[:cut]), (left[s:e], right[cut:])]
                     continue
-                votes = [v for table, i, j in met.pairs(s, e, own, other, min_votes, most) for v in self._votes(table, left[i], met.order[j])]
+                votes = [self._votes(table, left[i], met.order[j]) for table, i, j in met.pairs(s, e, own, other, min_votes, most)]
+                votes = [v for v in votes if len(v[0])]
                 if votes:
                     cols = [np.concatenate(c) for c in zip(*votes)]
                     order = np.lexsort((cols[1], cols[0]))
                     yield _consensus([c[order] for c in cols], min_votes)
 
-    def _votes(self, table: int, i: np.ndarray, j: np.ndarray):
+    def _votes(self, table: np.ndarray, i: np.ndarray, j: np.ndarray):
         """(a, b, corner of a, corner of b, cell) of the correspondences among points i and j, which meet in a table."""
         own, corner, level, scale, x, y = self.own, self.corner, self.level, self.scale, self.x, self.y
         if self.same:
             once = own[i] < own[j]
-            i, j = i[once], j[once]
-        differ = self.words[i] ^ self.words[j]
-        near = sum(np.bitwise_count(word).astype(np.int16) for word in differ.T) <= MAX_DIFFER
-        i, j, differ = i[near], j[near], differ[near].T
-        keep = _equal(differ, MASKS[table])  # not only the hash of the bits
-        for mask in MASKS[:table]:  # a pair is told by the first table in which it agrees
-            keep &= ~_equal(differ, mask)
+            table, i, j = table[once], i[once], j[once]
+        differ = [word[i] ^ word[j] for word in self.words.T]
+        near = np.flatnonzero(sum(np.bitwise_count(d).astype(np.int16) for d in differ) <= MAX_DIFFER)
+        table, i, j, differ = table[near], i[near], j[near], [d[near] for d in differ]
+        # A pair is told by the first table in which it agrees, and where it does not agree at all only the hash of the bits is equal.
+        agree = [np.bitwise_or.reduce([d & bits for d, bits in zip(differ, mask)]) == 0 for mask in MASKS]
+        keep = np.choose(table, agree)
+        for t, equal in enumerate(agree):
+            keep &= ~equal | (table <= t)
         i, j = i[keep], j[keep]
-        if not len(i):
-            return
         swap = own[i] > own[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         turn = self.angle[j] - self.angle[i]
@@ -321,7 +318,7 @@ class _Points:
         dy = y[j] - ratio * (np.sin(turn) * x[i] + np.cos(turn) * y[i])
         at = lambda d: np.floor(d / 16.0 - 0.5).astype(np.int64) + (1 << 24)
         cell = np.round(turn / (2 * np.pi / ANGLES)).astype(np.int64) % ANGLES << 58 | level[j] - level[i] + 32 << 52 | at(dx) << 26 | at(dy)
-        yield own[i], own[j], corner[i], corner[j], cell
+        return own[i], own[j], corner[i], corner[j], cell
 
 
 class _Met:
@@ -358,26 +355,29 @@ class _Met:
         Each meeting is counted for its two images, some of which share a counter, so
         images that are left out have met less often than min_votes, and few that stay have.
         """
-        n = self.n[:, s:e].ravel()
-        first = self.start[:, s:e].ravel() - np.cumsum(n) + n
-        total = int(n.sum())
-        if total > most:  # two images that alone have more
-            for table, (start, n) in enumerate(zip(self.start[:, s:e], self.n[:, s:e])):
+        n = self.n[:, s:e]
+        cost = n.sum(0)
+        if cost.sum() > most:  # two images that alone have more
+            for table, (start, n) in enumerate(zip(self.start[:, s:e], n)):
                 for k, m in _cuts(n, np.arange(1, e - s + 1), most):
-                    yield table, np.repeat(np.arange(s + k, s + m), n[k:m]), np.repeat(start[k:m] - np.cumsum(n[k:m]) + n[k:m], n[k:m]) + np.arange(n[k:m].sum())
+                    place = np.repeat(np.arange(k, m), n[k:m])
+                    yield np.full(len(place), table), s + place, (start - np.cumsum(n) + n)[place] + np.arange(len(place)) + n[:k].sum()
             return
-        j = np.repeat(first, n)
-        j += np.arange(total)
-        pair = np.repeat(np.tile((own[s:e] - own[s]) * (int(other.max(initial=0)) + 1), len(self.n)), n)
-        pair += other[j]
-        pair &= (1 << (2 * total).bit_length()) - 1
-        may = np.flatnonzero(np.bincount(pair)[pair] >= min_votes)
-        i = np.searchsorted(np.cumsum(n), may, "right")
-        j, (table, i) = j[may], np.divmod(i, e - s)
-        cuts = np.searchsorted(table, np.arange(len(self.n) + 1))
-        for t, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                yield t, i[a:b] + s, j[a:b]
+        found, ends = [], np.flatnonzero(np.r_[own[s + 1 : e] != own[s : e - 1], True]) + 1
+        for k, m in _cuts(cost, ends, COUNTED):
+            met = n[:, k:m].ravel()
+            end = np.cumsum(met)
+            total = int(end[-1])
+            j = np.repeat(self.start[:, s + k : s + m].ravel() - end + met, met)
+            j += np.arange(total)
+            counters = (1 << (2 * total).bit_length()) - 1
+            pair = np.repeat(np.tile((own[s + k : s + m] - own[s + k]) * 1_000_003 & counters, len(n)), met)
+            pair += other[j]
+            pair &= counters
+            may = np.flatnonzero(np.bincount(pair)[pair] >= min_votes)
+            table, i = np.divmod(np.searchsorted(end, may, "right"), m - k)
+            found.append((table, i + (s + k), j[may]))
+        yield tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _consensus(cols: list[np.ndarray], min_votes: int):

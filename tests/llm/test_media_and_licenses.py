@@ -276,7 +276,7 @@ def test_points_that_meet_are_those_of_equal_hashes():
         for most in (1 << 20, 7):  # counted, and too many for that
             got = Counter()
             for table, i, j in met.pairs(3, len(left), own[left], own[met.order], 1, most):
-                got.update((table, a, b) for a, b in zip(left[i].tolist(), met.order[j].tolist()))
+                got.update(zip(table.tolist(), left[i].tolist(), met.order[j].tolist()))
             want = Counter((t, a, b) for t, h in enumerate(hashes) for a in left[3:].tolist() for b in right.tolist() if h[a] == h[b] and (not same or a < b))
             assert got == want and len(want) > 500
         pairs = Counter((own[a], own[b]) for _, a, b in want)
