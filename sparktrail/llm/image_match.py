@@ -10,13 +10,14 @@ consensus, and link the images: MIN_VOTES, and where many corners have matches a
 fifth of these, counted in the image that has fewer. Votes are of different
 corners in both images.
 
-In a bucket of a table every descriptor is compared with every other. Images are
-dealt to tiles, and each two tiles are a cell: one task finds the correspondences
-of a cell and judges them, a piece at a time, so that no correspondence leaves it.
+In a bucket of a table every descriptor meets every other. Images are dealt to tiles,
+and each two tiles are a cell: one task counts how often two images meet in all tables,
+compares the descriptors of those that meet as often as a link needs votes, and judges
+their correspondences, a piece at a time, so that no correspondence leaves it.
 Of a cell come the images with links, the number of these and the trees they make,
 however many links there are. Images with the same corners and descriptors are one
 class, compared once and counted with its size. The groups that links join are found
-by distributed components. The comparisons of a bucket and of a group of copies grow
+by distributed components. The counts of a bucket and the comparisons of a group of copies grow
 with their squares, as each two are looked at. The tables are what the search may
 miss by: descriptors that differ in many bits may agree in none of them; the README
 has the measured recall.
